@@ -50,11 +50,14 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Multisets and how many windows each fills, until no length is left. Every entry uses up one length or leaves fewer of it
-    than a window takes, so that entries grow with the capacity and not with the rows."""
+    """Multisets and how many windows each fills, until no length is left. A window begins with the longest length there is, so
+    that the small ones are not spent before the large ones; the subset-sum fills the rest. Every entry uses up one length or
+    leaves fewer of it than a window takes, so that entries grow with the capacity and not with the rows."""
     left, out = {k: n for k, n in counts.items() if n > 0}, []
     while left:
-        own = fill(left, capacity)
+        seed = max(left)
+        own = fill(left | {seed: left[seed] - 1}, capacity - seed)
+        own[seed] = own.get(seed, 0) + 1
         times = min(left[k] // m for k, m in own.items())
         out.append((own, times))
         for k, m in own.items():
