@@ -102,5 +102,5 @@ def strict_schema(kind: T.DataType, name: str = "") -> dict[str, Any]:
     return {"type": plain, "enum": list(ALLOWED[name])} if name in ALLOWED else {"type": plain}
 
 
-def response_format(schema: str) -> dict[str, Any]:
-    return {"type": "json_schema", "json_schema": {"name": schema, "strict": True, "schema": strict_schema(struct(REPLIES[schema]))}}
+def response_format(schema: str, kind: T.StructType | None = None) -> dict[str, Any]:
+    return {"type": "json_schema", "json_schema": {"name": schema, "strict": True, "schema": strict_schema(kind or struct(REPLIES[schema]))}}

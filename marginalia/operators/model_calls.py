@@ -10,6 +10,7 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.replies import parse, response_format
 from marginalia.functions.text import CONTEXT_MARKERS, FORMAT_MARKERS
@@ -43,10 +44,12 @@ class Outcome:
     error: str
 
 
-def exchange(client: ModelClient, schema: str, model: str, system: str, user: str) -> Outcome:
+def exchange(client: ModelClient, schema: str, model: str, system: str, user: str, kind: T.StructType | None = None) -> Outcome:
     """Asks for JSON of a reply schema: by schema, then as a JSON object, then as text. An invalid reply gets one turn that
-    states what is wrong. A message that doesn't fit, or a failure that is not about the format, ends it."""
-    kind, talk = struct(REPLIES[schema]), [{"role": "system", "content": system}, {"role": "user", "content": user}]
+    states what is wrong. A message that doesn't fit, or a failure that is not about the format, ends it. kind: the schema's
+    type, which only the driver can make from its name."""
+    kind = kind or struct(REPLIES[schema])
+    talk = [{"role": "system", "content": system}, {"role": "user", "content": user}]
     out = Outcome(None, "failed", 0, model, {}, 0.0, "no valid JSON produced")
 
     def ask(messages: list[dict[str, str]], wanted: dict[str, Any] | None) -> tuple[str | None, str, Reply]:
@@ -56,7 +59,7 @@ def exchange(client: ModelClient, schema: str, model: str, system: str, user: st
             out.usage[k] = out.usage.get(k, 0) + n
         return *parse(reply.text, kind), reply
 
-    for mode, wanted in (("json_schema", response_format(schema)), ("json_object", {"type": "json_object"}), ("text", None)):
+    for mode, wanted in (("json_schema", response_format(schema, kind)), ("json_object", {"type": "json_object"}), ("text", None)):
         out.attempts += 1
         try:
             found, wrong, reply = ask(talk, wanted)
@@ -89,6 +92,8 @@ def run(requests: DataFrame, make_client: Callable[[], ModelClient], model: str,
     """Every request's outcome, as a reply and a call record in one row. A call never raises: its error is in its row. Store the
     result before using it, as a task that is run again asks again."""
 
+    kinds = {k: struct(v) for k, v in REPLIES.items()}
+
     def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for b in batches:
@@ -98,7 +103,7 @@ def run(requests: DataFrame, make_client: Callable[[], ModelClient], model: str,
                 user = f"{(prompts or {}).get(r[pass_], '')}\n\n=== INPUT ===\n{r.payload}"
                 began = time.time()
                 try:
-                    o = exchange(client, r[pass_], model, system, user)
+                    o = exchange(client, r[pass_], model, system, user, kinds[r[pass_]])
                 except Exception as e:  # noqa: BLE001  a client may raise anything; one call must not end the others
                     o = Outcome(None, "failed", 1, model, {}, time.time() - began, f"{type(e).__name__}: {e}")
                 rows.append((r.paper_id, r[pass_], r.label, r.request_hash, o.json, o.model, o.mode, o.json is not None, o.attempts, o.duration_s, o.usage, o.error))
