@@ -32,6 +32,10 @@ TILE = 1 << 20
 PLACE_BITS = 21
 #: Bytes of contexts in one shard, about.
 SHARD_BYTES = 2_000_000
+#: A name with more classes than this is split by SPLIT places of its gram and the bytes between, so that no shard grows with
+#: one name.
+MOST_CLASSES = 20_000
+SPLIT = 8
 #: Recursion goes on over alphabets up to this. numpy's passes need few large buckets, so a string of more names is ranked by
 #: prefix doubling.
 MOST_SYMBOLS = 2048
@@ -366,6 +370,42 @@ def _solve(rows: list[tuple[int, int, bytes]], length: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["name", "class", "from", "to"])
 
 
+def _finer(text: bytes, first: int, starts: int, name: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """A context cut into (first, starts, name, class) by where its gram lies in its windows, SPLIT places together. Windows of
+    one part have the bytes between the last start and the first end of such places in common, which name the part: equal
+    windows get equal names, as before, but far fewer others do."""
+    own = text[first : first + starts - 1 + length]
+    last = np.uint64((1 << PLACE_BITS) - 1)
+    grams = _grams(np.frombuffer(own, np.uint8))[: length - GRAM + 1]
+    at = int(last - (((grams & ~last) | (last - np.arange(len(grams), dtype=np.uint64))).min() & last))
+    number = lambda *parts: int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "big", signed=True)
+    for block in range((at - starts + 1) // SPLIT, at // SPLIT + 1):
+        low, high = max(0, at - SPLIT * block - SPLIT + 1), min(starts - 1, at - SPLIT * block)
+        core = own[at - SPLIT * block : at - SPLIT * block - SPLIT + 1 + length]
+        yield first + low, high - low + 1, number(b"%d,%d," % (name, block), core), number(own[low : high + length])
+
+
+def _split_hot(again: DataFrame, classes: DataFrame, rows: DataFrame, docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame | None:
+    """again with the contexts of names of very many classes cut finer; None if there are none."""
+    hot = stored(classes.groupBy(F.col("name").alias("_name")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_CLASSES).select("_name"), "hot")
+    if hot.isEmpty():
+        return None
+    own = again.join(hot, F.col("name") == F.col("_name"), "left_semi").join(rows.select("row", "key"), "row")
+    texts = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
+    asked = own.groupBy("key", "row").agg(F.collect_list(F.struct("first", "starts", "name")).alias("asked"))
+    # of equal rows any one text does
+    texts = texts.join(asked.select(F.col("key").alias("_k")).distinct(), F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text, wants in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2), strict=True):
+                found = [x for w in wants.as_py() for x in _finer(text, w["first"], w["starts"], w["name"], length)]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), *[pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]], ["row", "first", "starts", "name", "class"])
+
+    finer = asked.join(texts, F.col("key") == F.col("_key")).select("row", "text", "asked").mapInArrow(cut, "row long, first int, starts int, name long, class long")
+    return again.join(hot, F.col("name") == F.col("_name"), "left_anti").unionByName(finer)
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, and spans (arrays from and to, in bytes) of each row of docs.
 
@@ -377,9 +417,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         raise ValueError(f"length must be {2 * GRAM} or more")
     rows = stored(survey(docs, length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "survey")
     every = rows.where(F.size("first") > 0).select("row", F.explode(F.arrays_zip("first", "starts", "name", "class")).alias("x")).select("row", "x.*")
-    twice = rows.select(F.explode("name").alias("_name")).groupBy("_name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_name")
+    # written first, so that both sides of the join are plain exchanges, which AQE may split where a name stands very often
+    twice = stored(rows.select(F.explode("name").alias("_name")).groupBy("_name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_name"), "names")
     again = stored(every.join(twice, F.col("name") == F.col("_name")).drop("_name"), "again")
-    classes = stored(again.groupBy("name", "class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "starts")).alias("at")), "classes")
+    def grouped(contexts: DataFrame) -> DataFrame:
+        return stored(contexts.groupBy("name", "class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "starts")).alias("at")), "classes")
+
+    classes = grouped(again)
+    finer = _split_hot(again, classes, rows, docs, length, id_col, text_col)
+    if finer is not None:
+        again = stored(finer, "again")
+        classes = grouped(again)
     many = classes.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("name").alias("_name"))
     met = stored(classes.join(many, F.col("name") == F.col("_name"), "left_semi").select("name", "class", "at.*"), "met")
     total = met.agg(F.sum(F.col("starts") + length)).first()[0] or 0

@@ -236,7 +236,9 @@ def repeat_rows():
     return [(i if i % 9 else None if i == 9 else i, t) for i, t in enumerate(texts)]
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("most", [suffix.MOST_CLASSES, 1])
+def test_repeats(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix, "MOST_CLASSES", most)
     rows = repeat_rows()
     docs = spark.createDataFrame(rows + [rows[4]], DOCS)
     texts = [(t or "").encode() for _, t in rows + [rows[4]]]
