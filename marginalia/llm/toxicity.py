@@ -80,13 +80,13 @@ def train(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     if not n_pos or not n_unl:
         return Model({}, float(np.log(max(prior, 1e-6) / (1 - min(max(prior, 1e-6), 0.999999)))))
     lengths = np.array([len(r) for r in rows])
-    owner, flat = np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows)
+    owner, flat = np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate(rows)
     pos = np.bincount(flat[positive[owner]], minlength=FEATURES)
     unl = np.bincount(flat[~positive[owner]], minlength=FEATURES)
     p, u = (pos + 0.5) / (n_pos + 1), (unl + 0.5) / (n_unl + 1)
     error = np.sqrt(u * (1 - u) / n_pos + p * (1 - p) / n_unl + 1e-12)
     chosen = np.flatnonzero((np.maximum(pos, unl) >= least) & (pos + unl >= least) & (np.abs(p - u) > z * error))
-    place = np.full(FEATURES, -1)
+    place = np.full(FEATURES, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     used = place[flat] >= 0
     owner, column = owner[used], place[flat[used]]
@@ -127,9 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 8_000, most_unl
     # the unlabelled texts stand for all texts: confirmed ones among them stay, or the risk's second part would be too small
     unl = docs.where(~held_out(id_col) & id_.isNotNull()).where(draw(id_, most_unlabelled, total * 0.75)).select(F.lit(0).alias("_pos"), text_col)
     got = features(pos.unionAll(unl), ["_pos"], text_col).toPandas()
-    rows = [np.asarray(f, np.int64) for f in got["features"]]
+    rows, positive = [np.asarray(f, np.int32) for f in got.pop("features")], got["_pos"].to_numpy() == 1
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # training must not depend on arrival
-    return train([rows[i] for i in order], got["_pos"].to_numpy()[order] == 1, prior)
+    return train([rows[i] for i in order], positive[order], prior)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], cut: float = 0.3, text_col: str = "text") -> DataFrame:
