@@ -28,6 +28,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marginalia/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Spark drops a finished job's shuffle files once the driver's garbage is collected, for which a small heap gives it no cause
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,25 +49,32 @@ def bucket_of(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+#: Rows that one task of a round of components() takes, about.
+COMPONENT_ROWS = 50_000
+
+
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b), any orderable type: (node, root), root being the component's least node. Only
     nodes with an edge are returned; self edges count as none, nulls are left out.
 
-    Each round gives every node the least root among its neighbours, then jumps twice along the roots, so that long chains
-    need about the logarithm of their length in rounds. Tables between rounds are written to the shared folder. A hub's rows
-    are met only in sums with partial aggregation and in joins that AQE may split."""
+    Each round gives every node the least root among its neighbours, then jumps along the roots, so that long chains need about
+    the logarithm of their length in rounds. Tables between rounds are written to the shared folder. The edges are counted
+    first, and stages get as many tasks as their number asks for. A hub's rows are met only in sums with partial aggregation
+    and in joins that AQE may split."""
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     e = stored(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
-    label = stored(e.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), f"{tag}-0")
+    tasks = max(2, -(-e.count() // COMPONENT_ROWS))
+    label = stored(e.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node").coalesce(tasks), f"{tag}-0")
     for i in range(1, rounds):
-        near = e.join(label, e["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        near = e.join(label, e["b"] == label["node"]).select("a", "root").coalesce(tasks).groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(near, label["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("to"))
+        step = stored(step.coalesce(tasks), f"{tag}-{i}")
         over = step.select(F.col("node").alias("at"), F.col("to").alias("next"))
         # the root's own root is at most as large, and lies in the same component
-        step = step.join(over, step["to"] == over["at"], "left").select("node", "root", F.least("to", F.coalesce("next", "to")).alias("to"))
-        step = stored(step, f"{tag}-{i}")
-        done = step.where("root <> to").isEmpty()
-        label = step.select("node", F.col("to").alias("root"))
+        jump = step.join(over, step["to"] == over["at"], "left").select("node", "root", F.least("to", F.coalesce("next", "to")).alias("to"))
+        jump = stored(jump.coalesce(tasks), f"{tag}-{i}")
+        done = jump.where("root <> to").isEmpty()
+        label = jump.select("node", F.col("to").alias("root"))
         if done:
             return label
     raise RuntimeError("components did not settle; raise rounds")
