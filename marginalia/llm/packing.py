@@ -67,19 +67,45 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return out
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+class _Chunks(Cache):
+    """White-space-separated chunks to their ids, as bytes of little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(None, 250_000)
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def load(self, chunks: set[bytes]) -> None:
+        """Tokenizes those not known yet in a few calls. A comma or full stop after a plain letter is a token run of its own."""
+        new, later = set(), []
+        for c in [c for c in chunks if c not in self]:
+            if (known := self.aside.get(c)) is not None:
+                self[c] = known
+            elif len(c) > 1 and c[-1:] in (b",", b".") and c[-2:-1].isalpha():
+                later.append(c)
+                new |= {x for x in (c[:-1], c[-1:]) if x not in self}
+            else:
+                new.add(c)
+        todo = list(new)
+        for at in range(0, len(todo), 20_000):
+            words = [w.decode() for w in todo[at : at + 20_000]]
+            found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+            first = np.cumsum([0] + [len(w) + 1 for w in words])
+            cut = np.searchsorted(np.array([o for o, _ in found.offsets], np.int64), first)
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.update((w.encode(), ids[4 * i : 4 * j]) for w, i, j in zip(words, cut.tolist(), cut[1:].tolist(), strict=False))
+        for c in later:
+            self[c] = self[c[:-1]] + self[c[-1:]]
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.load({word})
+        return self[word]
 
 
 @functools.cache
-def _chunks(path: str) -> Cache:
-    def make(word: bytes) -> bytes:
-        return np.array(_tokenizer(path).encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    return Cache(make, 150_000)
+def _chunks(path: str) -> _Chunks:
+    return _Chunks(path)
 
 
 def tokenize(docs: DataFrame, path: str, keep: list[str], capacity: int, end_id: int = 2, text_col: str = "text") -> DataFrame:
@@ -95,9 +121,11 @@ def tokenize(docs: DataFrame, path: str, keep: list[str], capacity: int, end_id:
         cache = _chunks(path)
         for b in slices(batches, 256):
             row, start, length, ids, total = [], [], [], [], []
-            for i, text in enumerate(texts_of(b.column(b.num_columns - 1))):
-                cache.trim()
-                all_ids = b"".join(map(cache.__getitem__, text.split())) + end
+            cut = [t.split() for t in texts_of(b.column(b.num_columns - 1))]
+            cache.trim()
+            cache.load(set().union(*cut))
+            for i, chunks in enumerate(cut):
+                all_ids = b"".join(map(cache.__getitem__, chunks)) + end
                 n = len(all_ids) // 4
                 for at in range(0, n, capacity):
                     row.append(i)

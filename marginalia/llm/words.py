@@ -22,18 +22,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 class Cache(dict):
-    """Word to number, computed once by make(word); emptied between documents when it has grown over limit."""
+    """Word to number, computed once by make(word). When it has grown over limit, trim(), between documents, lays its words
+    aside: one that comes again is taken back from there, the others are forgotten at the next time."""
 
     def __init__(self, make, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.aside = make, limit, {}
 
     def __missing__(self, word: bytes):
-        out = self[word] = self.make(word)
+        out = self.aside.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
         return out
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.aside = dict(self)
             self.clear()
 
 
