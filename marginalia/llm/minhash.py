@@ -5,7 +5,8 @@ Each tree of the forest is one order of the classes, sorted by a signature of it
 values of it are in one region. In a region every class meets its next neighbours in the order, which are those with the longest
 common prefix: a region of many classes is thereby read at a greater depth than one of few. Candidates are confirmed on the full
 sets, in two steps: first the likeliest partner of each class, then those candidates that still join different groups. Groups
-are connected components."""
+are connected components. Where a region then still holds classes of different groups, all pairs across them are compared, in
+blocks, so that no pair of a region that reaches the threshold is left apart."""
 
 from __future__ import annotations
 
@@ -101,15 +102,18 @@ def _meet(least_share: float):
     return run
 
 
-def candidates(classes: DataFrame, share: float) -> DataFrame:
-    """(a, b, hits): pairs of classes that are neighbours in a region, in so many trees and steps. classes: class_key, n,
-    signature."""
+def forest(classes: DataFrame) -> DataFrame:
+    """tree, sort, class_key, n of the classes of every region that has more than one. classes: class_key, n, signature."""
     own = F.concat(*[F.expr(f"substring(signature, tree * {4 * LEAST} + 1, {4 * DEPTH})"), F.expr("substring(signature, 1, 0)")])
     rows = classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(TREES)]))).select("tree", own.alias("sort"), "class_key", "n")
     # a region of one class gives no candidate: such rows need not be sorted
     full = rows.groupBy("tree", F.expr(f"substring(sort, 1, {4 * LEAST})").alias("head")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("tree").alias("_t"), "head")
     rows = rows.join(full, (F.col("tree") == F.col("_t")) & (F.expr(f"substring(sort, 1, {4 * LEAST})") == F.col("head"))).select("tree", "sort", "class_key", "n")
-    rows = stored(rows, "forest")
+    return stored(rows, "forest")
+
+
+def candidates(rows: DataFrame, share: float) -> DataFrame:
+    """(a, b, hits): pairs of classes of the forest's rows that are neighbours in a region, in so many trees and steps."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "tree", "sort", "class_key").sortWithinPartitions("tree", "sort", "class_key")
     return ordered.mapInArrow(_meet(share), "a binary, b binary").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
@@ -163,6 +167,73 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+#: Classes and shingles that one side of a block comparison holds, about.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Shingles that a block comparison multiplies at a time.
+COLUMNS = 4096
+
+
+def _links_between(sets: list[np.ndarray], sizes: np.ndarray, roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions that reach the threshold and whose roots differ, without those that others of them join already."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(shared.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[at], column[at] - low] = 1
+        both += has @ has.T
+    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (roots[:, None] != roots[None, :])
+    fresh, out = np.ones(len(sets), bool), []
+    for start in np.flatnonzero(linked.any(1)).tolist():
+        queue = [start] if fresh[start] else []
+        fresh[start] = False
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(linked[i] & fresh).tolist()
+            fresh[found] = False
+            out += [(i, j) for j in found]
+            queue += found
+    return out
+
+
+def left_apart(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes of one region that groups(node, root) hold apart, as many as join what is to be joined.
+
+    Of a region's groups the largest is met only by the others, which meet each other too; both are dealt in blocks, of which
+    one task compares two."""
+    head = F.expr(f"substring(sort, 1, {4 * LEAST})").alias("head")
+    own = rows.select("tree", head, "class_key", "n").join(groups, F.col("class_key") == F.col("node"), "left").select("tree", "head", "class_key", "n", F.coalesce("root", "class_key").alias("root"))
+    own = stored(own, "regions")
+    sums = own.groupBy("tree", "head", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    regions = sums.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("roots"), F.max_by(F.struct("root", "c", "w"), F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("roots > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    regions = regions.select(F.col("tree").alias("_t"), F.col("head").alias("_h"), F.col("most.root").alias("most"), blocks(F.col("most.c"), F.col("most.w")).alias("large"), blocks(F.col("c") - F.col("most.c"), F.col("w") - F.col("most.w")).alias("others"))
+    met = own.join(regions, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_h")))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("class_key"), F.when(F.col("root") == F.col("most"), F.col("large")).otherwise(F.col("others"))).cast("int"))
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.col("mine")
+    tasks = F.when(F.col("root") == F.col("most"), F.transform(to("others"), lambda x: task("large", x, mine)))
+    tasks = tasks.otherwise(F.concat(F.transform(to("others"), lambda x: task("others", F.least(x, mine), F.greatest(x, mine))), F.transform(to("large"), lambda x: task("large", mine, x))))
+    met = met.select("tree", "head", "class_key", "root", F.explode(tasks).alias("task"))
+    met = met.join(sets.select(F.col("class_key").alias("_c"), "n", "packed"), F.col("class_key") == F.col("_c")).select("tree", "head", "task", "class_key", "root", "n", "packed")
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, roots = t.column("class_key").to_pylist(), t.column("root").to_pylist()
+        _, roots = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
+        sizes = np.array(t.column("n").to_pylist(), np.int64)
+        found = _links_between([_unpacked(x) for x in t.column("packed").to_pylist()], sizes, roots, percent) if roots.max() else []
+        return pa.table([pa.array([keys[i] for i, _ in found], pa.binary()), pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
+
+    return met.groupBy("tree", "head", "task").applyInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles (long), component_id, kept (boolean) of each row of docs.
 
@@ -181,8 +252,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     shaped = some.select(F.col("id").alias("_i"), F.col("text_key").alias("_k"), "signature", F.col("n_shingles").alias("n"))
     classes = classes.join(shaped, F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_key") == F.col("_k"))).dropDuplicates(["class_key"]).select("class_key", "id", "text_key", "n", "signature")
     classes = stored(classes, "classes")
-    pairs = stored(candidates(classes.select("class_key", "n", "signature"), percent / 100), "pairs")
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct(), "class_key", "left_semi").select("id", "text_key", "class_key")
+    trees = forest(classes.select("class_key", "n", "signature"))
+    pairs = stored(candidates(trees, percent / 100), "pairs")
+    wanted = classes.join(trees.select("class_key").distinct(), "class_key", "left_semi").select("id", "text_key", "class_key")
     sets = stored(sets_of(docs, wanted, size, id_col, text_col).dropDuplicates(["class_key"]), "sets")
     first = pairs.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
     links = stored(confirm(first, sets, percent), "links")
@@ -191,7 +263,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     rest = pairs.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
     more = stored(confirm(rest, sets, percent), "links")
     if not more.isEmpty():
-        groups = components(links.unionAll(more), "near")
+        links = links.unionAll(more)
+        groups = components(links, "near")
+    apart = stored(left_apart(trees, groups, sets, percent), "links")
+    if not apart.isEmpty():
+        groups = components(links.unionAll(apart), "near")
     least = groups.join(classes.select(F.col("class_key").alias("node"), "id"), "node")
     roots = least.groupBy("root").agg(F.min("id").alias("least"))
     named = least.join(roots, "root").select(F.col("node").alias("class_key"), "least")

@@ -317,3 +317,45 @@ def test_near_duplicates(spark, percent):
     kept = minhash.keep_first(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), percent)
     assert kept.columns == docs.columns and kept.where("doc_id between 5000 and 5200").count() == 1
     assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_region_is_met_as_a_whole(spark, percent):
+    random.seed(9)
+    base = [f"w{k}" for k in range(1000)]
+    rows = [(1, " ".join(base))]
+    for k in range(300):  # each near the original alone
+        copy = list(base)
+        for at in random.sample(range(5, 990, 7), 14):
+            copy[at] = f"e{k}-{at}"
+        rows.append((2 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, percent).collect())
+    assert got == Counter(plain_groups(rows, percent))
+    assert {c for _, _, c in got} == {1}
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    random.seed(10)
+    rows = []
+    for i in range(20):
+        base = words(60, 300 + i)
+        for k in range(2):
+            rows.append((len(rows), " ".join([*base[:57], *[f"x{k}{j}" for j in range(3 * k)], *base[57 + 3 * k :]])))
+    docs, parts = spark.createDataFrame(rows, DOCS), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 80).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == Counter(plain_groups(rows, 80))
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_blocks_join_what_windows_left_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    monkeypatch.setattr(minhash, "candidates", lambda rows, share: rows.select(F.col("class_key").alias("a"), F.col("class_key").alias("b"), F.lit(1).alias("hits")).where("false"))
+    rows = [(i, " ".join([f"w{k}" for k in range(60)][: 60 - i % 7] + [f"c{i % 3}"] * (i % 5))) for i in range(40)]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 80).collect())
+    assert got == Counter(plain_groups(rows, 80))
