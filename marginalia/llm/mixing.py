@@ -2,7 +2,7 @@
 
 The corpus is summed to a table of cells (source, language, topic). Raking scales the cells' token weights to one marginal
 after the other until all agree. A cell can't give more tokens than it has, so a share is bounded by the cell's tokens over the
-wanted tokens. Every document is then kept with its cell's probability; the draw is a hash of its id, so that a run can be
+wanted tokens; so are the marginals, and what one value can't give is spread over those that have tokens to spare. Every document is then kept with its cell's probability; the draw is a hash of its id, so that a run can be
 repeated."""
 
 from __future__ import annotations
@@ -30,30 +30,43 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]]
     """cells(dims, tokens) with share, the wanted part of the sample's tokens, and aim_<dim>, the wanted part of its value.
 
     targets: for a dimension, weights of its values; values that are absent get none, and a dimension that is absent aims at
-    its tokens to the power of temperature. budget: wanted tokens over all tokens."""
-    total, spark = Window.partitionBy(), cells.sparkSession
+    its tokens to the power of temperature. budget: wanted tokens over all tokens. Aims are at most what a value holds and sum
+    to 1, or to the least of what a dimension's wanted values hold."""
     cells = stored(cells, "cells")
     small = cells.limit(CELLS_IN_ONE_TASK + 1).count() <= CELLS_IN_ONE_TASK
     together = lambda df: df.coalesce(1) if small else df  # noqa: E731  windows over one partition need no exchange
-    sums = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    w = together(cells).withColumns({"share": F.col("tokens") / F.lit(float(max(sums, 1))), "most": F.col("tokens") / F.lit(max(sums, 1) * float(budget))})
+    weight = {d: F.coalesce(*[F.when(F.col(d) == k, float(x)) for k, x in wanted.items()], F.lit(0.0)) for d in dims if (wanted := (targets or {}).get(d))}
+    held = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.when(w > 0, F.col("tokens"))).alias(d) for d, w in weight.items()]).first().asDict()
+    whole = max(held["n"] or 0, 1) * float(budget)
+    reach = min(1.0, *[(held[k] or 0) / whole for k in ("n", *weight)])
+    w = together(cells).withColumns({"share": F.col("tokens") / F.lit(float(max(held["n"] or 0, 1))), "most": F.col("tokens") / F.lit(whole)})
     aims = []
     for d in dims:
-        # the values of a dimension, each once
-        if wanted := (targets or {}).get(d):
-            value = F.coalesce(*[F.when(F.col(d) == k, float(x)) for k, x in wanted.items()], F.lit(0.0))
-        else:
-            value = F.pow(F.sum("tokens").over(Window.partitionBy(d)).cast("double"), float(temperature))
-        n = F.count(F.lit(1)).over(Window.partitionBy(d))
-        w = w.withColumns({f"aim_{d}": value, f"_n_{d}": n})
-        w = w.withColumn(f"aim_{d}", F.try_divide(F.col(f"aim_{d}"), F.sum(F.col(f"aim_{d}") / F.col(f"_n_{d}")).over(total))).drop(f"_n_{d}").fillna(0.0, [f"aim_{d}"])
+        # the values of a dimension; those that hold the least for their weight come first, and give all while it is too little
+        values = together(cells).groupBy(F.col(d).alias("_of")).agg(F.sum("tokens").alias("_held"))
+        value = weight.get(d, F.pow(F.col("_held").cast("double"), float(temperature)))
+        values = values.withColumn(d, F.col("_of")).withColumns({"_v": value, "_cap": F.col("_held") / F.lit(whole)}).where("_v > 0")
+        order = Window.orderBy(F.col("_cap") / F.col("_v"), "_of")
+        given = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        level = F.try_divide(F.lit(reach) - given, F.sum("_v").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        values = values.withColumn("_level", level).withColumn("_level", F.max("_level").over(Window.partitionBy()))
+        values = values.select("_of", F.least("_cap", F.col("_level") * F.col("_v")).alias(f"aim_{d}"), (F.col("_level") * F.col("_v") >= F.col("_cap") * (1 - 1e-9)).alias(f"_all_{d}"))
+        w = w.join(values, w[d].eqNullSafe(values["_of"]), "left").drop("_of").fillna(0.0, [f"aim_{d}"]).fillna(False, [f"_all_{d}"])
         aims.append(f"aim_{d}")
+    # the cells of a value that must give all it holds give all they hold
+    fixed = F.lit(False)
+    for d in dims:
+        fixed = fixed | F.col(f"_all_{d}")
+    for a in aims:
+        fixed = fixed & (F.col(a) > 0)
+    w = w.withColumns({"fixed": fixed, "share": F.when(fixed, F.col("most")).otherwise(F.col("share"))}).drop(*[f"_all_{d}" for d in dims])
     state = stored(w, "rake")
     for _ in range(batches):
         w = together(state).withColumn("old", F.col("share"))
         for d in dims * steps:
-            have = F.sum("share").over(Window.partitionBy(d))
-            w = w.withColumn("share", F.when(have > 0, F.least(F.col("share") * F.col(f"aim_{d}") / have, F.col("most"))).otherwise(0.0))
+            have, sure = (F.coalesce(F.sum(F.when(x, F.col("share"))).over(Window.partitionBy(d)), F.lit(0.0)) for x in (~F.col("fixed"), F.col("fixed")))
+            by = F.greatest(F.col(f"aim_{d}") - sure, F.lit(0.0)) / have
+            w = w.withColumn("share", F.when(F.col("fixed"), F.col("share")).when(have > 0, F.least(F.col("share") * by, F.col("most"))).otherwise(0.0))
         state = stored(w, "rake")
         moved = state.select(F.max(F.abs(F.col("share") - F.col("old")))).first()[0] or 0.0
         state = state.drop("old")

@@ -85,6 +85,36 @@ def test_raking_meets_the_marginals(spark):
     assert abs(out["kept"].sum() - out["probability"].sum()) < 4 * math.sqrt(out["probability"].sum())
 
 
+def test_raking_meets_budget_and_marginals_with_rare_values(spark):
+    random.seed(11)
+    topics = ["licence of a license", "mail a@b", "### mark", "prose"]
+    rows = [(i, random.choices(topics, [1, 2, 3, 94])[0] + " x" * (5 + i % 11), f"src{min(i % 17, 5)}", random.choices(["en", "de", "fr", "es"], [70, 15, 10, 5])[0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(docs).withColumn("topic", mixing.topic_of(F.col("text"))).toPandas()
+    weight, total = out["probability"] * out["tokens"], out["tokens"].sum()
+    assert weight.sum() == pytest.approx(0.5 * total, rel=1e-3)
+    for d in ("source", "lang", "topic"):
+        held = out.groupby(d)["tokens"].sum() / (0.5 * total)
+        aims, full = held * 0, set()
+        while True:  # what is full stays so, the others share the rest
+            left = [v for v in held.index if v not in full]
+            root = np.sqrt(held[left])
+            aims[left] = root / root.sum() * (1 - held[list(full)].sum())
+            over = [v for v in left if aims[v] > held[v]]
+            aims[over] = held[over]
+            full |= set(over)
+            if not over:
+                break
+        got = weight.groupby(out[d]).sum() / (0.5 * total)
+        assert dict(got) == pytest.approx(dict(aims), abs=2e-3)
+
+
+def test_raking_to_values_that_hold_too_little(spark):
+    df = spark.createDataFrame([("a", "x", 10), ("a", "y", 10), ("b", "x", 40), ("b", "y", 40)], "s string, l string, tokens long")
+    got = {(r["s"], r["l"]): r["share"] for r in mixing.rake(df, ["s", "l"], {"s": {"a": 1.0}}, 0.5, 0.5).collect()}
+    assert got == pytest.approx({("a", "x"): 0.2, ("a", "y"): 0.2, ("b", "x"): 0.0, ("b", "y"): 0.0})
+
+
 def plain_rake(cells, dims, aims, most, steps):
     w = {c: n for c, n in cells.items()}
     for _ in range(steps):
