@@ -7,21 +7,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.fuzzy import PAIR_THRESHOLD, pair_score
+from marginalia.llm.common import stored
 
 SIDE = ["paper_id", "ord", "severity", "category", "location", "quote", "description", "source_pass"]
 
 
+#: Tasks over which the pairs of one paper are dealt.
+SALTS = 32
+#: Rounds of assign() in which whole tables are matched; what is left then is matched paper by paper.
+ROUNDS = 12
+
+
 def pairs(truth: DataFrame, predicted: DataFrame, threshold: float = PAIR_THRESHOLD) -> DataFrame:
-    """(paper_id, t, p, score) of the pairs of a paper that reach the threshold."""
+    """(paper_id, t, p, score) of the pairs of a paper that reach the threshold. All pairs are scored: a token set ratio can be
+    high for texts without a common word, so no key would meet all matches. A paper's pairs are dealt to SALTS tasks."""
     t = truth.select("paper_id", *[F.col(c).alias(f"t_{c}") for c in SIDE[1:]])
     p = predicted.select("paper_id", *[F.col(c).alias(f"p_{c}") for c in SIDE[1:]])
-    both = t.join(p, "paper_id")
+    t = t.withColumn("salt", F.pmod(F.xxhash64("t_ord"), F.lit(SALTS)).cast("int"))
+    p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = t.join(p, ["paper_id", "salt"])
     score = pair_score(F.col("t_quote"), F.col("t_location"), F.col("t_description"), F.col("p_quote"), F.col("p_location"), F.col("p_description"))
     return both.select("paper_id", F.col("t_ord").alias("t"), F.col("p_ord").alias("p"), score.alias("score")).where(F.col("score") >= threshold)
 
 
 def assign(scored: DataFrame) -> DataFrame:
-    """Of the scored pairs of each paper the best, then the best of what is left; ties by t, then p."""
+    """Of the scored pairs of each paper the best, then the best of what is left; ties by t, then p.
+
+    A pair that is the best one of both its findings is taken whatever else there is. Rounds take all such pairs at once and
+    drop what they rule out, so that no task holds a paper; only long chains of ties outlast the rounds."""
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "t", "p"], ascending=[False, True, True])
@@ -33,7 +46,23 @@ def assign(scored: DataFrame) -> DataFrame:
                 keep.append(i)
         return rows.loc[keep]
 
-    return scored.groupBy("paper_id").applyInPandas(greedy, "paper_id string, t bigint, p bigint, score double")
+    kind = "paper_id string, t bigint, p bigint, score double"
+    left = scored.select("paper_id", F.col("t").cast("bigint").alias("t"), F.col("p").cast("bigint").alias("p"), "score")
+    left = stored(left, "pairs")
+    taken = []
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
+        best = F.min(F.struct((-F.col("score")).alias("s"), "t", "p"))
+        of_t = left.groupBy("paper_id", "t").agg(best.alias("m")).select("paper_id", "t", F.col("m.p").alias("p"))
+        of_p = left.groupBy("paper_id", "p").agg(best.alias("m")).select("paper_id", F.col("m.t").alias("t"), "p")
+        now = stored(left.join(of_t, ["paper_id", "t", "p"]).join(of_p, ["paper_id", "t", "p"]).select("paper_id", "t", "p", "score"), "matches")
+        taken.append(now)
+        left = stored(left.join(now.select("paper_id", "t"), ["paper_id", "t"], "left_anti").join(now.select("paper_id", "p"), ["paper_id", "p"], "left_anti").select("paper_id", "t", "p", "score"), "pairs")
+    out = left.groupBy("paper_id").applyInPandas(greedy, kind)
+    for now in taken:
+        out = out.unionByName(now)
+    return out
 
 
 def exact_matches(truth: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -487,7 +487,7 @@ def confusion_by_paper(spark, d):
 
 @query()
 def greedy_matches(spark, d):
-    t, p = view(spark, d, TRUTH + " WHERE d.doc_id % 10 = 1"), view(spark, d, FINDING + " WHERE doc_id % 10 = 1")
+    t, p = view(spark, d, TRUTH), view(spark, d, FINDING)
     return calibrate.assign(calibrate.pairs(t, p))
 
 

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import fuzzy
 from marginalia.operators import calibrate, captions, findings, model_calls, payloads, references, report, sections, spelling
+from marginalia.plans import catalogue
 from marginalia.schemas import FINDINGS
 from marginalia.sources import clients, config, files
 from marginalia.streaming import jobs
@@ -150,6 +152,45 @@ def test_calibration(spark):
     assert ok.count() == 0 and failed.count() == 1 and schema
 
 
+def test_all_findings_are_matched_as_by_brute_force(spark):
+    import random
+
+    random.seed(4)
+    said = "the mean of every measure in table grows over time and falls when noise is added to long runs".split()
+    text = lambda: " ".join(random.choices(said, k=9))
+    shared = [text() for _ in range(12)]
+    make = lambda first: table(spark, *[finding(first + i, quote=random.choice(shared), description=random.choice(shared), location=f"Section {i % 3}") for i in range(40)])
+    truth, predicted = make(1), make(1001)
+    rows = [(r.asDict(), q.asDict()) for r in truth.collect() for q in predicted.collect()]
+    clean = lambda x: " ".join(x.split()).lower()
+    scored = []
+    for a, b in rows:
+        quote, said_same = (fuzzy.token_set_ratio(clean(a[k]), clean(b[k])) for k in ("quote", "description"))
+        score = 0.0 if quote < 55 and said_same < 70 else 0.6 * quote + 0.15 * fuzzy.partial_ratio(a["location"].lower(), b["location"].lower()) + 0.25 * said_same
+        if score >= 70:
+            scored.append((-score, a["ord"], b["ord"]))
+    used, want = set(), set()
+    for _, t, p in sorted(scored):
+        if t not in used and p not in used:
+            used |= {t, p}
+            want.add((t, p))
+    assert {(r["t"], r["p"]) for r in calibrate.assign(calibrate.pairs(truth, predicted)).collect()} == want and len(want) > 20
+
+
+def test_greedy_matches_reads_all_findings(spark):
+    got = catalogue.QUERIES["greedy_matches"](spark, "/root/testdata/sf0.001").toPandas()
+    assert (got["p"] % 10 != 1).any() and (got["t"] % 10 != 1).any()
+
+
+def test_rounds_and_rest_agree(spark, monkeypatch):
+    scored = spark.createDataFrame([("p", t, p, 90.0 - abs(t - p) // 3) for t in range(20) for p in range(20)], "paper_id string, t bigint, p bigint, score double")
+    found = []
+    for n in (0, 3, 100):
+        monkeypatch.setattr(calibrate, "ROUNDS", n)
+        found.append({(r["t"], r["p"]) for r in calibrate.assign(scored).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 20
+
+
 def test_greedy_takes_the_best_first(spark):
     scored = spark.createDataFrame([("p", 1, 1, 80.0), ("p", 1, 2, 90.0), ("p", 2, 2, 85.0), ("p", 2, 3, 85.0), ("p", 3, 3, 85.0)], "paper_id string, t bigint, p bigint, score double")
     assert {(r["t"], r["p"]) for r in calibrate.assign(scored).collect()} == {(1, 2), (2, 3)}
