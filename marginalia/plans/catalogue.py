@@ -54,9 +54,14 @@ PAPER_TEXT = f"""'Abstract' || {NL} || substr(text, 1, 300) || {NL} || '1 Introd
   || {NL} || 'Table 1. Means of all measures' || {NL} || 'a b c' || {NL} || '2.1 Results and Discussion' || {NL} || substr(text, 501, 300) || {NL} || 'Figure 2: Development over time' || {NL} || 'References' || {NL} || '[1] Belady, L. (1966). A study of replacement algorithms. Systems Journal.' || {NL} || '[2] Mattson, R. (1970). Evaluation techniques for storage hierarchies. doi:10.1000/ab.12.'"""
 PAPERS = f"SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, {PAPER_TEXT} AS text FROM {{documents}}"
 
+# The same papers of whole documents: a third of the text in each place
+THIRD = "CAST(floor(length(text) / 3) AS INT)"
+WHOLE_TEXT = PAPER_TEXT.replace("substr(text, 1, 300)", f"substr(text, 1, {THIRD})").replace("substr(text, 301, 200)", f"substr(text, {THIRD} + 1, {THIRD})").replace("substr(text, 501, 300)", f"substr(text, 2 * {THIRD} + 1)")
+WHOLE_PAPERS = PAPERS.replace(PAPER_TEXT, WHOLE_TEXT)
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    p = view(spark, d, PAPERS)
+
+def lines(spark: SparkSession, d: str, papers: str = WHOLE_PAPERS) -> DataFrame:
+    p = view(spark, d, papers)
     rows = p.select("paper_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return rows.withColumn("page", (F.floor(F.col("line_no") / 5) + 1).cast("int"))
 
@@ -194,7 +199,7 @@ def spelling_suggestions(spark, d):
 def section_spelling(spark, d):
     s = sections.sections(lines(spark, d))
     refs = references.references(s)
-    allow = spelling.allowlist(view(spark, d, PAPERS), refs)
+    allow = spelling.allowlist(view(spark, d, WHOLE_PAPERS), refs)
     t = spelling.tokens(s).groupBy(F.lower("token").alias("word")).agg(F.count_distinct("paper_id").alias("n")).where("n >= 3").select("word")
     return spelling.candidates(s, allow, t)
 
@@ -216,14 +221,14 @@ HEADINGS_SQL = rf"""h0 AS (SELECT paper_id, line_no, trim(text) AS t FROM lines
 
 
 @query(f"WITH {LINES_SQL}, {HEADINGS_SQL} SELECT paper_id, CAST(section_idx AS BIGINT) AS section_idx, number, title, label, kind, text, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page FROM sections")
-def paper_sections(spark, d):
-    s = sections.sections(lines(spark, d))
+def paper_sections(spark, d, papers=PAPERS):
+    s = sections.sections(lines(spark, d, papers))
     return s.withColumns({c: F.col(c).cast("bigint") for c in ("section_idx", "start_page", "end_page")})
 
 
 @query(f"WITH {LINES_SQL}, {HEADINGS_SQL} SELECT paper_id, label FROM sections WHERE kind NOT IN ('references', 'back_matter') AND length(trim(text)) > 200")
-def reviewable_sections(spark, d):
-    return sections.reviewable(sections.sections(lines(spark, d))).select("paper_id", "label")
+def reviewable_sections(spark, d, papers=PAPERS):
+    return sections.reviewable(sections.sections(lines(spark, d, papers))).select("paper_id", "label")
 
 
 INVENTORY = "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, n.ord, n.number, n.title FROM {documents} CROSS JOIN (SELECT 1 AS ord, '' AS number, 'abstract' AS title UNION ALL SELECT 2 AS ord, '1' AS number, 'Introduction' AS title UNION ALL SELECT 3 AS ord, '' AS number, 'References' AS title UNION ALL SELECT 4 AS ord, '' AS number, 'No such' AS title) n"
@@ -240,25 +245,34 @@ def sections_from_inventory(spark, d):
   named AS (SELECT DISTINCT s.paper_id, m.k || ' ' || m.n AS id FROM (SELECT paper_id, unnest(string_split(text, {NL})) AS line FROM sections WHERE kind <> 'references') s, LATERAL (SELECT regexp_extract(line, '\b(Figure|Table)s?\.?\s*(\d+)\b', ['k', 'n']) AS m) x
             WHERE m.k <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.paper_id = s.paper_id AND c.text = s.line))
   SELECT paper_id, lower(m.k) AS kind, m.k || ' ' || m.n AS id, trim(m.c) AS caption, CAST(page AS BIGINT) AS page, (paper_id, m.k || ' ' || m.n) IN (SELECT (paper_id, id) FROM named) AS referenced_in_text FROM c""")
-def paper_captions(spark, d):
-    own = lines(spark, d)
+def paper_captions(spark, d, papers=PAPERS):
+    own = lines(spark, d, papers)
     found = captions.with_mentions(captions.captions(own), captions.mentions(own, sections.sections(own)))
     return found.withColumn("page", F.col("page").cast("bigint"))
 
 
 @query(f"""WITH {LINES_SQL}, spot AS (SELECT paper_id, min(line_no) AS spot FROM lines WHERE text LIKE 'Table 1%' OR contains(text, 'Means of all measures') GROUP BY paper_id)
   SELECT l.paper_id, 'Table 1' AS id, string_agg(text, {NL} ORDER BY line_no) AS text FROM lines l JOIN spot USING (paper_id) WHERE line_no BETWEEN greatest(0, spot - 2) AND spot + 39 GROUP BY l.paper_id""")
-def table_windows(spark, d):
-    own = lines(spark, d)
+def table_windows(spark, d, papers=PAPERS):
+    own = lines(spark, d, papers)
     return captions.table_windows(own, captions.captions(own))
 
 
 @query(f"WITH {LINES_SQL}, {HEADINGS_SQL}, c AS (SELECT paper_id, page, regexp_extract(text, '^((Figure|Table) \\d+)[.:] ', 1) AS id FROM lines WHERE regexp_matches(text, '^(Figure|Table) \\d+[.:] ')) SELECT s.paper_id, CAST(section_idx AS BIGINT) AS section_idx, c.id FROM sections s JOIN c ON s.paper_id = c.paper_id AND c.page BETWEEN s.start_page AND s.end_page")
-def captions_by_section(spark, d):
-    own = lines(spark, d)
+def captions_by_section(spark, d, papers=PAPERS):
+    own = lines(spark, d, papers)
     return captions.per_section(captions.captions(own), sections.sections(own)).select("paper_id", F.col("section_idx").cast("bigint").alias("section_idx"), "id")
 
 
+def _on_whole_papers(name: str) -> None:
+    QUERIES[f"whole_{name}"] = lambda spark, d: QUERIES[name](spark, d, WHOLE_PAPERS)
+    ORACLES[f"whole_{name}"] = ORACLES[name].replace(PAPER_TEXT, WHOLE_TEXT)
+
+
+for _name in ("paper_sections", "reviewable_sections", "paper_captions", "table_windows", "captions_by_section"):
+    _on_whole_papers(_name)
+
+
 # References -----------------------------------------------------------------------------------------------------------------
 
 ENTRIES = """SELECT 'p' || CAST(item_id % 4 AS STRING) AS paper_id, CAST(item_id AS INT) AS pos, CASE WHEN item_id % 2 = 0 THEN '[' || CAST(item_id + 1 AS STRING) || '] ' ELSE '' END
@@ -499,7 +513,7 @@ def requests_pass1(spark, d):
     own = lines(spark, d)
     s = sections.sections(own)
     caps = captions.per_section(captions.captions(own), s)
-    words = spelling.candidates(s, spelling.allowlist(view(spark, d, PAPERS), references.references(s)), spelling.tokens(s).select(F.lower("token").alias("word")).groupBy("word").count().where("count >= 5").select("word"))
+    words = spelling.candidates(s, spelling.allowlist(view(spark, d, WHOLE_PAPERS), references.references(s)), spelling.tokens(s).select(F.lower("token").alias("word")).groupBy("word").count().where("count >= 5").select("word"))
     return payloads.pass1(s, caps, words, spark.createDataFrame([], "paper_id string, json string"))
 
 

@@ -30,3 +30,16 @@ def test_query(spark, name):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
         want = con.sql(catalogue.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_papers_hold_whole_documents(spark):
+    documents = spark.read.parquet(f"{D}/documents.parquet")
+    papers = {r["doc_id"]: r["text"] for r in catalogue.view(spark, D, catalogue.WHOLE_PAPERS).collect()}
+    for r in documents.select("doc_id", "text").collect():
+        n = len(r["text"]) // 3
+        for part in (r["text"][:n], r["text"][n : 2 * n], r["text"][2 * n :]):
+            assert part in papers[r["doc_id"]]
+    longest = max(len(r["text"]) for r in documents.collect())
+    assert longest > 10_000
+    text = catalogue.QUERIES["whole_paper_sections"](spark, D).selectExpr("max(length(text)) AS n").first()["n"]
+    assert text >= longest // 4
