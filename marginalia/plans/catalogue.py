@@ -188,13 +188,18 @@ LEXICON = "SELECT lower(regexp_replace(word, '[^A-Za-z]', '', 'g')) AS word FROM
   known AS (SELECT * FROM l WHERE frequency >= 5)
   SELECT t.word, k.word AS suggestion FROM typed t JOIN known k ON damerau_levenshtein(t.word, k.word) = 1
   QUALIFY row_number() OVER (PARTITION BY t.word ORDER BY k.frequency DESC, k.word) = 1""")
-def spelling_suggestions(spark, d):
+def spelling_suggestions(spark, d, least=4, most=7):
     docs = view(spark, d, "SELECT text FROM {documents} WHERE lang = 'en'")
-    w = docs.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("word")).where(F.length("word").between(4, 7))
-    n = w.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
+    w = docs.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("word")).where(F.length("word") >= least)
+    n = w.where(F.length("word") <= most if most else F.lit(True)).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
     return spelling.suggestions(n.where("frequency = 1").select("word"), n.where("frequency >= 5"))
 
 
+@query()
+def spelling_suggestions_any_length(spark, d):
+    return spelling_suggestions(spark, d, 1, None)
+
+
 @query()
 def section_spelling(spark, d):
     s = sections.sections(lines(spark, d))

@@ -43,3 +43,26 @@ def test_papers_hold_whole_documents(spark):
     assert longest > 10_000
     text = catalogue.QUERIES["whole_paper_sections"](spark, D).selectExpr("max(length(text)) AS n").first()["n"]
     assert text >= longest // 4
+
+
+def near(a, b):
+    """Whether one deletion, insertion, replacement or swap of neighbours leads from a to b."""
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+
+
+def test_suggestions_for_words_of_any_length(spark, tmp_path):
+    known = {"of": 9, "be": 6, "house": 7, "horse": 8, "measurement": 5, "internationalisation": 6, "heteroscedasticity": 5}
+    typed = "ox houze measurment measuremnet internationalisatoin heteroscedasticityy eb unrelatedness q interrnationalisation".split()
+    text = " ".join([w for w, n in known.items() for _ in range(n)] + typed)
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for t in typed:
+        if found := [(-n, k) for k, n in known.items() if near(t, k)]:
+            want[t] = min(found)[1]
+    got = {r["word"]: r["suggestion"] for r in catalogue.QUERIES["spelling_suggestions_any_length"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 8
