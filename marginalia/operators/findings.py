@@ -41,8 +41,8 @@ def from_pass1(replies: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.BooleanType())
-def _near_udf(needle: pd.Series, haystack: pd.Series) -> pd.Series:
-    return pd.Series([n is not None and h is not None and partial_ratio(n, h) >= 90 for n, h in zip(needle, haystack, strict=True)])
+def _near_udf(needles: pd.Series, haystack: pd.Series) -> pd.Series:
+    return pd.Series([h is not None and any(partial_ratio(n, h) >= 90 for n in ns) for ns, h in zip(needles, haystack, strict=True)], dtype=bool)
 
 
 def covered(needles: Column, haystack: Column) -> Column:
@@ -51,10 +51,8 @@ def covered(needles: Column, haystack: Column) -> Column:
     wanted = F.filter(F.transform(needles, lambda n: F.lower(strip(F.coalesce(n, F.lit(""))))), lambda n: n != "")
     short, long = F.filter(wanted, lambda n: F.length(n) <= 25), F.filter(wanted, lambda n: F.length(n) > 25)
     exact = F.exists(long, lambda n: F.contains(haystack, n))
-    near = F.lit(False)
-    for i in range(4):  # a check has a quantity and the values of a few places; those past the fourth long one are met exactly
-        one = F.get(long, i)
-        near = near | _near_udf(F.when(~exact, one), F.when(~exact & one.isNotNull(), haystack))
+    unsure = ~exact & (F.size(long) > 0)
+    near = _near_udf(F.when(unsure, long), F.when(unsure, haystack))
     return exact | near | ((F.size(short) > 0) & F.forall(short, lambda n: F.contains(haystack, n)))
 
 

@@ -137,6 +137,13 @@ def test_covered(spark):
     assert not c(["a needle of more than twenty five characters", "zz"], "nothing alike")
 
 
+def test_covered_by_any_long_needle(spark):
+    needles = [f"{w} has nothing to do with this finding at all" for w in ("alpha", "beta", "gamma", "delta")] + ["a needle of more than twenty five characters"]
+    rows = [(needles, "here is a needle of more than twenty-five characters indeed"), (needles, "nothing alike"), (None, "x"), ([], None)]
+    got = spark.createDataFrame(rows, "n array<string>, h string").select(findings.covered(F.col("n"), F.col("h")).alias("c")).collect()
+    assert [r["c"] for r in got][:2] == [True, False]
+
+
 def test_calibration(spark):
     schema = FINDINGS
     truth = table(spark, finding(1, "major", quote="quote one is here", description="same"), finding(2, "minor", quote="quote two is there", description="else"))
