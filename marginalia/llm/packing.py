@@ -9,6 +9,9 @@ among the rows of their length, by a join with the table of multisets."""
 from __future__ import annotations
 
 import functools
+import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bucket_of, free_name, stored
-from marginalia.llm.words import Cache, slices, texts_of
+from marginalia.llm.common import free_name, stored
+from marginalia.llm.words import Cache, alone, slices, texts_of
 
-#: Rows are ranked inside so many hash buckets for each length, then offset: no task ranks all rows of a common length.
-BUCKETS = 256
+#: Rows of one length are ranked in hash buckets of about so many, then offset: no task ranks all rows of a common length.
+BUCKET_ROWS = 2_000
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -67,40 +70,52 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return out
 
 
+#: Letters whose lower case is one letter each and that no normalisation changes; a chunk of them, digits and signs but no
+#: apostrophe falls into runs of letters, single digits and runs of signs, each a token run of its own.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
+
 class _Chunks(Cache):
     """White-space-separated chunks to their ids, as bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(None, 250_000)
+        super().__init__(self._ids, 250_000)
         self.tokenizer = Tokenizer.from_file(path)
-
-    def load(self, chunks: set[bytes]) -> None:
-        """Tokenizes those not known yet in a few calls. A comma or full stop after a plain letter is a token run of its own."""
-        new, later = set(), []
-        for c in [c for c in chunks if c not in self]:
-            if (known := self.aside.get(c)) is not None:
-                self[c] = known
-            elif len(c) > 1 and c[-1:] in (b",", b".") and c[-2:-1].isalpha():
-                later.append(c)
-                new |= {x for x in (c[:-1], c[-1:]) if x not in self}
-            else:
-                new.add(c)
-        todo = list(new)
-        for at in range(0, len(todo), 20_000):
-            words = [w.decode() for w in todo[at : at + 20_000]]
-            found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
-            first = np.cumsum([0] + [len(w) + 1 for w in words])
-            cut = np.searchsorted(np.array([o for o, _ in found.offsets], np.int64), first)
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.update((w.encode(), ids[4 * i : 4 * j]) for w, i, j in zip(words, cut.tolist(), cut[1:].tolist(), strict=False))
-        for c in later:
-            self[c] = self[c[:-1]] + self[c[-1:]]
-
-    def __missing__(self, word: bytes) -> bytes:
-        self.load({word})
-        return self[word]
+        self.model = self.tokenizer.model if self._is_plain() else None
+
+    def _is_plain(self) -> bool:
+        """Whether the vocabulary lower-cases, cuts runs as _RUNS does and reads bytes as letters."""
+        form = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        cut = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["invert"] and cut[0]["pattern"].get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+            and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"] and not form["model"]["dropout"]
+        )
+
+    def _ids(self, chunk: bytes) -> bytes:
+        if self.model is not None and chunk.isalpha():
+            low = chunk.lower()
+            return self._run(low.decode()) if low == chunk else self[low]
+        text = chunk.decode()
+        if self.model is None or not _PLAIN.fullmatch(text) or "<|" in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        low = text.lower()
+        runs = _RUNS.findall(low)
+        if len(runs) > 1:
+            return b"".join([self[r.encode()] for r in runs])
+        return self._run(low if low.isascii() else low.encode().decode("latin-1").translate(_AS_LETTERS))
+
+    def _run(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+
+#: The letters that stand for bytes in a vocabulary of bytes: those that print stand for themselves, the others follow from 256.
+_AS_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 @functools.cache
@@ -119,13 +134,12 @@ def tokenize(docs: DataFrame, path: str, keep: list[str], capacity: int, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _chunks(path)
+        alone(cache)
         for b in slices(batches, 256):
             row, start, length, ids, total = [], [], [], [], []
-            cut = [t.split() for t in texts_of(b.column(b.num_columns - 1))]
-            cache.trim()
-            cache.load(set().union(*cut))
-            for i, chunks in enumerate(cut):
-                all_ids = b"".join(map(cache.__getitem__, chunks)) + end
+            for i, text in enumerate(texts_of(b.column(b.num_columns - 1))):
+                cache.trim()
+                all_ids = b"".join(map(cache.__getitem__, text.split())) + end
                 n = len(all_ids) // 4
                 for at in range(0, n, capacity):
                     row.append(i)
@@ -141,32 +155,48 @@ def tokenize(docs: DataFrame, path: str, keep: list[str], capacity: int, end_id:
     return out.toDF(*schema.names, "start", "length", "ids", "doc_tokens")
 
 
+def _entries(counts: dict[int, int], capacity: int) -> tuple[list[tuple], list[tuple]]:
+    """The plan as two small tables, whose sizes follow from the capacity: for each length (length, parts, width), and for each
+    length and multiple of width that an entry of the plan covers (length, cell, from, to, each, first sequence, offset)."""
+    own, first = {k: [] for k in counts}, 0
+    taken = dict.fromkeys(counts, 0)
+    for multiset, times in plan(counts, capacity):
+        offset = 0
+        for length in sorted(multiset, reverse=True):
+            to = taken[length] + multiset[length] * times
+            own[length].append((taken[length], to, multiset[length], first, offset))
+            taken[length] = to
+            offset += multiset[length] * length
+        first += times
+    lengths, cells = [], []
+    for length, found in own.items():
+        # as many cells as entries: together they are met twice for each entry at most
+        width = -(-counts[length] // len(found))
+        lengths.append((length, max(1, -(-counts[length] // BUCKET_ROWS)), width))
+        cells += [(length, cell, *e) for e in found for cell in range(e[0] // width, (e[1] - 1) // width + 1)]
+    return lengths, cells
+
+
 def assign(pieces: DataFrame, capacity: int, order: list[Column]) -> DataFrame:
     """pieces (with a column length, from 1 to capacity) with sequence_id and offset, both long.
 
-    order: columns that tell pieces apart; pieces equal in all of them may change places. Other columns are carried along.
-    pieces is read twice: pass a stored table. An empty table gives an empty result."""
+    order: columns that tell pieces apart; pieces equal in all of them may change places. Other columns are carried along, and
+    names that clash are no error. pieces is read twice: pass a stored table. An empty table gives an empty result."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, first = [], 0
-    taken = dict.fromkeys(counts, 0)
-    for own, times in plan(counts, capacity):
-        offset = 0
-        for length in sorted(own, reverse=True):
-            rows.append((length, taken[length], taken[length] + own[length] * times, own[length], first, offset))
-            taken[length] += own[length] * times
-            offset += own[length] * length
-        first += times
-    table = spark.createDataFrame(rows, "_length long, _from long, _to long, _each long, _first long, _offset long")
-    bucket, rank, before = free_name(pieces, "bucket", "rank", "before")
-    dealt = pieces.withColumn(bucket, bucket_of(BUCKETS, *order))
+    lengths, cells = _entries(counts, capacity)
+    # both tables follow from the capacity (one row, and a few, for each of its lengths), so they may be broadcast
+    lengths = spark.createDataFrame(lengths, "_length long, _parts long, _width long")
+    cells = spark.createDataFrame(cells, "_len long, _cell long, _from long, _to long, _each long, _first long, _offset long")
+    parts, width, bucket, rank, before = free_name(pieces, "parts", "width", "bucket", "rank", "before")
+    named = lengths.select(F.col("_length"), F.col("_parts").alias(parts), F.col("_width").alias(width))
+    dealt = pieces.join(F.broadcast(named), F.col("length") == F.col("_length")).drop("_length").withColumn(bucket, F.pmod(F.xxhash64(*order), F.col(parts)))
     sums = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("_n"))
     sums = sums.select(F.col("length").alias("_l"), F.col(bucket).alias("_b"), (F.sum("_n").over(Window.partitionBy("length").orderBy(bucket)) - F.col("_n")).alias(before))
-    # sums has capacity * BUCKETS rows at most
+    # sums has one row for each BUCKET_ROWS rows, and one for each length
     placed = dealt.withColumn(rank, F.row_number().over(Window.partitionBy("length", bucket).orderBy(*order)) - 1)
     placed = placed.join(sums, (F.col("length") == F.col("_l")) & (F.col(bucket) == F.col("_b"))).withColumn(rank, F.col(rank) + F.col(before))
-    # the table's rows follow from the capacity (a few for each of its lengths), so it may be broadcast
-    found = placed.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")))
+    found = placed.join(F.broadcast(cells), (F.col("length") == F.col("_len")) & (F.floor(F.col(rank) / F.col(width)) == F.col("_cell")) & (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")))
     nth = F.col(rank) - F.col("_from")
     return found.select(*pieces.columns, (F.col("_first") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + nth % F.col("_each") * F.col("length")).cast("long").alias("offset"))
 
@@ -175,9 +205,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_c
     """Pieces of all documents with their ids: id_col, start, length, ids, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one piece of end_id alone; ids may be null or repeat, each row is packed on its own; very long
-    texts give as many full windows as they fill. An empty table gives an empty result."""
-    pieces = stored(tokenize(docs, path, [id_col], capacity, end_id, text_col), "pieces")
-    return assign(pieces, capacity, [F.col(id_col), F.col("start"), F.crc32("ids")])
+    texts give as many full windows as they fill. An empty table gives an empty result. Other columns of docs play no part; if
+    id_col has the name of a new column, that one begins with an underscore."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pieces = stored(tokenize(own, path, ["id"], capacity, end_id), "pieces")
+    out = assign(pieces, capacity, [F.col("id"), F.col("start"), F.crc32("ids")])
+    return out.toDF(id_col, *free_name(docs.select(id_col), *out.columns[1:]))
 
 
 def vocabulary() -> str:
