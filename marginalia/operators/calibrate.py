@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.fuzzy import PAIR_THRESHOLD, pair_score
-from marginalia.llm.common import stored
+from marginalia.storage import stored
 
 SIDE = ["paper_id", "ord", "severity", "category", "location", "quote", "description", "source_pass"]
 
