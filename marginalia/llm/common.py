@@ -1,36 +1,13 @@
-"""What several operators of this subpackage share: written intermediate tables, columns, components."""
+"""What several operators of this subpackage share: columns, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARED = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local folder is made only where the setting is absent and Spark runs in one JVM."""
-    if found := spark.conf.get(SHARED, None):
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError(f"{SHARED} must name a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-    spark.conf.set(SHARED, made)
-    return made
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as Parquet into the shared folder and read again: it is not computed twice, a lost executor loses
-    nothing of it, and its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/marginalia/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Spark drops a finished job's shuffle files once the driver's garbage is collected, for which a small heap gives it no cause
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+from marginalia.storage import freed, stored
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
@@ -44,37 +21,50 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def bucket_of(n: int, *cols: Column) -> Column:
-    """A hash bucket in 0..n-1, an int."""
-    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-
-
 #: Rows that one task of a round of components() takes, about.
 COMPONENT_ROWS = 50_000
 
 
-def components(edges: DataFrame, tag: str = "cc", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of edges(a, b), any orderable type: (node, root), root being the component's least node. Only
     nodes with an edge are returned; self edges count as none, nulls are left out.
 
-    Each round gives every node the least root among its neighbours, then jumps along the roots, so that long chains need about
-    the logarithm of their length in rounds. Tables between rounds are written to the shared folder. The edges are counted
-    first, and stages get as many tasks as their number asks for. A hub's rows are met only in sums with partial aggregation
-    and in joins that AQE may split."""
+    In each round every node points at its least neighbour. Such pointers run in circles of two nodes only, of which the lesser
+    becomes a root; jumping doubles the reach of the pointers until all show roots. Then roots take the place of nodes in the
+    edges. As every node joins another one, each round leaves half of the nodes at most, whatever the names and the shape:
+    rounds end by themselves, after log2 of the nodes at the latest, and the tables shrink.
+
+    Tables between steps are written to the shared folder. Stages get as many tasks as the number of edges asks for. A hub's rows
+    are met only in sums with partial aggregation and in joins that AQE may split."""
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     e = stored(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
-    tasks = max(2, -(-e.count() // COMPONENT_ROWS))
-    label = stored(e.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node").coalesce(tasks), f"{tag}-0")
-    for i in range(1, rounds):
-        near = e.join(label, e["b"] == label["node"]).select("a", "root").coalesce(tasks).groupBy("a").agg(F.min("root").alias("near"))
-        step = label.join(near, label["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("to"))
-        step = stored(step.coalesce(tasks), f"{tag}-{i}")
-        over = step.select(F.col("node").alias("at"), F.col("to").alias("next"))
-        # the root's own root is at most as large, and lies in the same component
-        jump = step.join(over, step["to"] == over["at"], "left").select("node", "root", F.least("to", F.coalesce("next", "to")).alias("to"))
-        jump = stored(jump.coalesce(tasks), f"{tag}-{i}")
-        done = jump.where("root <> to").isEmpty()
-        label = jump.select("node", F.col("to").alias("root"))
-        if done:
-            return label
-    raise RuntimeError("components did not settle; raise rounds")
+    label = e.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    for turn in itertools.count():
+        n = e.count()
+        if not n:
+            break
+        tasks = max(2, -(-n // COMPONENT_ROWS))
+        near = stored(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).coalesce(tasks), f"{tag}-near")
+        seen = lambda up: up.select(F.col("node").alias("at"), F.col("to").alias("next"))
+        low = (F.col("next") == F.col("node")) & (F.col("node") < F.col("to"))
+        up = stored(near.join(seen(near), F.col("to") == F.col("at")).select("node", F.when(low, F.col("node")).otherwise(F.col("to")).alias("to")).coalesce(tasks), f"{tag}-up")
+        freed(near)
+        while True:
+            jump = stored(up.join(seen(up), F.col("to") == F.col("at")).select("node", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")).coalesce(tasks), f"{tag}-up")
+            freed(up)
+            up = jump
+            if up.where("moved").isEmpty():
+                break
+        a, b = (up.select(F.col("node").alias(f"_{x}"), F.col("to").alias(f"r{x}")) for x in "ab")
+        rest = e.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        rest = stored(rest.coalesce(tasks), f"{tag}-edges")
+        if turn:
+            joined = stored(label.join(seen(up), F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root")), f"{tag}-label")
+        else:
+            joined = stored(up.select("node", F.col("to").alias("root")), f"{tag}-label")
+        freed(e, up, label)
+        e, label = rest, joined
+    least = label.groupBy(F.col("root").alias("_root")).agg(F.min("node").alias("least"))
+    out = stored(label.join(least, F.col("root") == F.col("_root")).select("node", F.col("least").alias("root")), f"{tag}-label")
+    freed(label)
+    return out
