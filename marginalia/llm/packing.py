@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import free_name, stored
+from marginalia.llm.common import free_name
 from marginalia.llm.words import Cache, alone, slices, texts_of
+from marginalia.storage import stored
 
 #: Rows of one length are ranked in hash buckets of about so many, then offset: no task ranks all rows of a common length.
 BUCKET_ROWS = 2_000

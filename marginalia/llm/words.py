@@ -42,6 +42,21 @@ class Cache(dict):
             self.clear()
 
 
+_KEPT: list[Cache] = []
+
+
+def alone(cache: Cache | None = None) -> None:
+    """Empties what other operators left in a worker that serves one after the other, so that it holds the words of one stage at
+    a time. cache is kept from task to task."""
+    for other in _KEPT:
+        if other is not cache:
+            other.clear()
+            other.aside = {}
+    if cache is not None and not any(other is cache for other in _KEPT):
+        _KEPT.append(cache)
+    pa.default_memory_pool().release_unused()
+
+
 def hashes() -> Cache:
     """Of words to 64-bit hashes."""
     return Cache(xxhash.xxh3_64_intdigest)
