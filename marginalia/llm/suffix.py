@@ -2,8 +2,9 @@
 
 Which strings can meet is settled first. Every window of LENGTH bytes is named by the least hash of the GRAM-byte strings in it;
 equal windows have equal names, wherever they stand. A run of window starts named by one place is a context. Names found once can't
-hold a repeat. Contexts equal byte for byte form a class. The classes of one name are dealt to one shard, in which a suffix
-array over all its contexts is built:
+hold a repeat. Contexts of one name and one 128-bit hash form a class. The classes of one name are dealt to one shard, in which a
+suffix array over all its contexts is built. A name of very many classes is first cut into finer ones, by bytes that its windows
+have in common around the gram, again and again until no name is crowded. In each shard
 
 - sorted_suffixes() classifies suffixes, sorts the leftmost smaller substrings by induction, names them, recurses on the names
   (by prefix doubling once they are very many) and induces the whole array, all in passes over buckets with numpy;
@@ -19,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import stored
-from marginalia.llm.words import mixed, texts_of
+from marginalia.llm.common import free_name
+from marginalia.llm.words import alone, mixed, slices, texts_of
+from marginalia.storage import freed, stored
 
 #: Bytes hashed at a time: a power of two.
 GRAM = 32
@@ -32,10 +35,8 @@ TILE = 1 << 20
 PLACE_BITS = 21
 #: Bytes of contexts in one shard, about.
 SHARD_BYTES = 2_000_000
-#: A name with more classes than this is split by SPLIT places of its gram and the bytes between, so that no shard grows with
-#: one name.
-MOST_CLASSES = 20_000
-SPLIT = 8
+#: A name with more classes than this is cut finer, so that no shard grows with one name.
+MOST_CLASSES = 2_000
 #: Recursion goes on over alphabets up to this. numpy's passes need few large buckets, so a string of more names is ranked by
 #: prefix doubling.
 MOST_SYMBOLS = 2048
@@ -256,26 +257,28 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-_BASE, _POWERS = 0x2545F4914F6CDD1D, {}
+#: Odd bases of two hashes modulo 2 ** 64, which together tell contexts apart.
+_BASES, _POWERS = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15), {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of an odd number and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, x in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+    if len(_POWERS.get(base, ((),))[0]) < n:
+        both = []
+        for x in (base, pow(base, -1, 2**64)):
             out = np.full(n, np.uint64(x))
             out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+            both.append(np.multiply.accumulate(out))
+        _POWERS[base] = tuple(both)
+    return _POWERS[base]
 
 
 def contexts_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of all parts: part number, first window start, window starts, name and hash of each context."""
+    """Of all parts: part number, first window start, window starts, name and both hashes of each context."""
     sizes = np.array([len(p) for p in parts])
     b = np.frombuffer(b"".join(parts), np.uint8)
     if len(b) < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     grams = _grams(b)
     # the low bits give the place, so that of grams equal in the others the last one names a window; a window's name follows
     # from its bytes alone, and a repeat inside a text always has another place
@@ -289,10 +292,12 @@ def contexts_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(begin)
     stop = np.minimum(np.append(first[1:], len(place)), np.maximum(end[part[first]] - length + 1, 0))
     names = grams[place[first]]
-    up, down = _powers(max(len(b) + 1, TILE + length))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[: len(b)])])
-    own = mixed((sums[stop - 1 + length] - sums[first]) * down[first] + (stop - first).astype(np.uint64))
-    return part[first], first - (end - sizes)[part[first]], stop - first, names.view(np.int64), own.view(np.int64)
+    own, wide = [], _BYTE[b]
+    for base in _BASES:
+        up, down = _powers(base, max(len(b) + 1, TILE + length))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * up[: len(b)])])
+        own.append(mixed((sums[stop - 1 + length] - sums[first]) * down[first] + (stop - first).astype(np.uint64)).view(np.int64))
+    return part[first], first - (end - sizes)[part[first]], stop - first, names.view(np.int64), *own
 
 
 def _tiles(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -310,100 +315,166 @@ def _tiles(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
         yield lot
 
 
-def survey(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each row of docs: id, key (of id and text), n_bytes, sha256 of the text, and the arrays first, starts, name,
-    class of its contexts."""
+def _lots(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most 512 rows and, but for one long text, TILE bytes."""
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < whole.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 512]), TILE, side="right")))
+            yield whole.slice(at, n)
+            at += n
+
+
+def survey(docs: DataFrame, length: int) -> DataFrame:
+    """One row for each row of docs(id, text): key (of id and text) and the arrays first, starts, name, class, more of its
+    contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = 0
-            while at < whole.num_rows:
-                n = 1
-                size = len(whole.column(2)[at].as_py() or "") if at < whole.num_rows else 0
-                while at + n < whole.num_rows and n < 512 and size < TILE:
-                    size += len(whole.column(2)[at + n].as_py() or "")
-                    n += 1
-                yield from one(whole.slice(at, n))
-                at += n
-
-    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = texts_of(b.column(2))
-        found = []
-        for lot in _tiles(texts, length):
-            part, first, starts, name, own = contexts_of([t for _, _, t in lot], length)
-            doc, base = np.array([i for i, _, _ in lot]), np.array([o for _, o, _ in lot])
-            found.append((doc[part], first + base[part], starts, name, own))
-        doc, *rest = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
-        at = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(t), pa.from_numpy_dtype(t))) for x, t in zip(rest, (np.int32, np.int32, np.int64, np.int64), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), *lists], ["id", "key", "n_bytes", "sha", "first", "starts", "name", "class"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, key binary, n_bytes long, sha string, first array<int>, starts array<int>, name array<long>, class array<long>")
-
-
-def _key(id_col: str, text_col: str):
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text)))
+        alone()
+        for b in _lots(batches, 1):
+            texts = texts_of(b.column(1))
+            found = []
+            for lot in _tiles(texts, length):
+                part, first, *rest = contexts_of([t for _, _, t in lot], length)
+                doc, base = np.array([i for i, _, _ in lot]), np.array([o for _, o, _ in lot])
+                found.append((doc[part], first + base[part], *rest))
+            doc, *rest = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
+            at = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(t), pa.from_numpy_dtype(t))) for x, t in zip(rest, (np.int32, np.int32, np.int64, np.int64, np.int64), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "first", "starts", "name", "class", "more"])
+
+    return docs.select(_key().alias("key"), "text").mapInArrow(run, "key binary, first array<int>, starts array<int>, name array<long>, class array<long>, more array<long>")
+
+
+def _key():
+    """Of the columns id and text; the id's length keeps it apart from the text."""
+    own = F.col("id").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.length(own).cast("string"), F.lit("-")), F.lit(" "), F.coalesce(own, F.lit("")), F.coalesce("text", F.lit("")))))
 
 
 def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, name, class, context) sorted by shard to (name, class, from[], to[]): runs of repeated window starts."""
-    held, shard = [], None
+    """Rows (shard, name, class, more, context) sorted by shard to (name, class, more, from[], to[]): runs of repeated starts.
+    A row that comes again is taken once."""
+    held, shard = {}, None
     for b in batches:
-        for row in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+        for row in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
             if row[0] != shard:
                 yield from _solve(held, length)
-                held, shard = [], row[0]
-            held.append(row[1:])
+                held, shard = {}, row[0]
+            held[row[1:4]] = row[4]
     yield from _solve(held, length)
 
 
-def _solve(rows: list[tuple[int, int, bytes]], length: int) -> Iterator[pa.RecordBatch]:
+def _solve(rows: dict[tuple[int, int, int], bytes], length: int) -> Iterator[pa.RecordBatch]:
     if not rows:
         return
     low, high = [], []
-    for found in repeated_starts([r[2] for r in rows], length):
+    for found in repeated_starts(list(rows.values()), length):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
         low.append(edge[0::2].tolist())
         high.append(edge[1::2].tolist())
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["name", "class", "from", "to"])
+    yield pa.RecordBatch.from_arrays([*[pa.array(k, pa.int64()) for k in zip(*rows, strict=True)], pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], [*CLASS, "from", "to"])
 
 
-def _finer(text: bytes, first: int, starts: int, name: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """A context cut into (first, starts, name, class) by where its gram lies in its windows, SPLIT places together. Windows of
-    one part have the bytes between the last start and the first end of such places in common, which name the part: equal
-    windows get equal names, as before, but far fewer others do."""
-    own = text[first : first + starts - 1 + length]
+def _finer(context: bytes, name: int, length: int, step: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """A context cut into (low, starts, name, class, more, bytes) by where its gram lies in its windows, `step` places together.
+    Windows of one part have the bytes between the last start and the first end of such places in common, which name the part:
+    equal windows get equal names, as before, but far fewer others do. With a step of 1 the name tells all."""
+    starts = len(context) - length + 1
     last = np.uint64((1 << PLACE_BITS) - 1)
-    grams = _grams(np.frombuffer(own, np.uint8))[: length - GRAM + 1]
+    grams = _grams(np.frombuffer(context, np.uint8))[: length - GRAM + 1]
     at = int(last - (((grams & ~last) | (last - np.arange(len(grams), dtype=np.uint64))).min() & last))
-    number = lambda *parts: int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "big", signed=True)
-    for block in range((at - starts + 1) // SPLIT, at // SPLIT + 1):
-        low, high = max(0, at - SPLIT * block - SPLIT + 1), min(starts - 1, at - SPLIT * block)
-        core = own[at - SPLIT * block : at - SPLIT * block - SPLIT + 1 + length]
-        yield first + low, high - low + 1, number(b"%d,%d," % (name, block), core), number(own[low : high + length])
-
-
-def _split_hot(again: DataFrame, classes: DataFrame, rows: DataFrame, docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame | None:
-    """again with the contexts of names of very many classes cut finer; None if there are none."""
-    hot = stored(classes.groupBy(F.col("name").alias("_name")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_CLASSES).select("_name"), "hot")
-    if hot.isEmpty():
-        return None
-    own = again.join(hot, F.col("name") == F.col("_name"), "left_semi").join(rows.select("row", "key"), "row")
-    texts = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
-    asked = own.groupBy("key", "row").agg(F.collect_list(F.struct("first", "starts", "name")).alias("asked"))
-    # of equal rows any one text does
-    texts = texts.join(asked.select(F.col("key").alias("_k")).distinct(), F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"])
+    number = lambda data, size: hashlib.blake2b(data, digest_size=size).digest()
+    for block in range(max(at - starts + 1, 0) // step, at // step + 1):
+        low, high = max(0, at - step * block - step + 1), min(starts - 1, at - step * block)
+        core, part = context[at - step * block : at - step * block - step + 1 + length], context[low : high + length]
+        own = number(part, 16)
+        yield low, high - low + 1, *(int.from_bytes(x, "big", signed=True) for x in (number(b"%d,%d,%d," % (step, name, block) + core, 8), own[:8], own[8:])), part
+
+
+CLASS = ["name", "class", "more"]
+_PART = ["part", "part_class", "part_more"]
+
+
+def _crowded(contexts: DataFrame) -> DataFrame:
+    return stored(contexts.groupBy(F.col("name").alias("_name")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_CLASSES).select("_name"), "crowded")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, text, wants in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2), strict=True):
-                found = [x for w in wants.as_py() for x in _finer(text, w["first"], w["starts"], w["name"], length)]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), *[pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]], ["row", "first", "starts", "name", "class"])
 
-    finer = asked.join(texts, F.col("key") == F.col("_key")).select("row", "text", "asked").mapInArrow(cut, "row long, first int, starts int, name long, class long")
-    return again.join(hot, F.col("name") == F.col("_name"), "left_anti").unionByName(finer)
+def _cut_finer(contexts: DataFrame, length: int, step: int) -> DataFrame:
+    """CLASS, low, starts, _PART and context of the parts of contexts(CLASS, context)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            rows, found = [], []
+            for i, (name, context) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                for part in _finer(context, name, length, step):
+                    rows.append(i)
+                    found.append(part)
+            at = pa.array(rows, pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(3)], *[pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)]], [*CLASS, "low", "starts", *_PART, "context"])
+
+    return contexts.select(*CLASS, "context").mapInArrow(run, "name long, class long, more long, low int, starts int, part long, part_class long, part_more long, context binary")
+
+
+def _on(left: list[str], right: list[str]):
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & (F.col(a) == F.col(b))
+    return out
+
+
+def _repeats(contexts: DataFrame, length: int) -> DataFrame:
+    """CLASS, from and to: runs of window starts in each class of contexts(CLASS, context) that are found again elsewhere in
+    them. The classes of a name that is not crowded are sorted in one shard; those of one that is are cut finer, up to single
+    windows, and what is found of a part holds for all classes that have it."""
+    level, ready, above, sure, spent = contexts, None, None, None, []
+    for step in (max(1, length // 3), max(1, length // 24), 1):
+        crowded = _crowded(level)
+        spent.append(crowded)
+        if crowded.isEmpty():
+            break
+        hot = F.col("name") == F.col("_name")
+        cool = level.join(crowded, hot, "left_anti")
+        finer = stored(_cut_finer(level.join(crowded, hot, "left_semi"), length, step), "finer")
+        spent.append(finer)
+        ready = cool if ready is None else ready.unionByName(cool)
+        own = finer.select(*CLASS, "low", "starts", *_PART)
+        if above is not None:
+            inner = own.toDF("_name", "_class", "_more", "_low", "_starts", "_p", "_pc", "_pm")
+            joined = above.join(inner, _on(_PART, ["_name", "_class", "_more"]), "left")
+            own = joined.select(*CLASS, (F.col("low") + F.coalesce("_low", F.lit(0))).alias("low"), F.coalesce("_starts", "starts").alias("starts"), F.coalesce("_p", "part").alias("part"), F.coalesce("_pc", "part_class").alias("part_class"), F.coalesce("_pm", "part_more").alias("part_more"))
+        above = stored(own, "above")
+        spent.append(above)
+        parts = stored(finer.groupBy(*_PART).agg(F.first("context").alias("context"), F.count(F.lit(1)).alias("times")), "parts")
+        spent.append(parts)
+        # a part that several classes have is repeated as a whole
+        twice = parts.where("times > 1").select(*_PART).toDF("_name", "_class", "_more")
+        twice = above.join(twice, _on(_PART, ["_name", "_class", "_more"]), "left_semi").select(*CLASS, F.array("low").alias("from"), F.array(F.col("low") + F.col("starts")).alias("to"))
+        sure = twice if sure is None else sure.unionByName(twice)
+        level = parts.select(*[F.col(p).alias(c) for p, c in zip(_PART, CLASS, strict=True)], "context")
+    ready = level if ready is None else ready.unionByName(level)
+    # a class alone with its name meets no other
+    many = ready.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("context")).alias("b")).where("c > 1")
+    many = stored(many.select(F.col("name").alias("_name"), "b"), "many")
+    total = many.agg(F.sum("b")).first()[0] or 0
+    shards = max(1, -(-int(total) // SHARD_BYTES))
+    dealt = ready.join(many, F.col("name") == F.col("_name"), "left_semi").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
+    dealt = dealt.select("shard", *CLASS, "context").repartition(shards, "shard").sortWithinPartitions("shard")
+    solved = dealt.mapInArrow(lambda it: _shard(it, length), "name long, class long, more long, from array<int>, to array<int>").where(F.size("from") > 0)
+    if above is None:
+        out = stored(solved, "solved")
+    else:
+        solved = stored(solved, "solved")
+        parts = above.select(*_PART).distinct().toDF("_name", "_class", "_more")
+        runs = above.join(solved.toDF("_name", "_class", "_more", "from", "to"), _on(_PART, ["_name", "_class", "_more"]))
+        moved = lambda name: F.transform(name, lambda x: x + F.col("low")).alias(name)
+        out = solved.join(parts, _on(CLASS, ["_name", "_class", "_more"]), "left_anti").unionByName(runs.select(*CLASS, moved("from"), moved("to"))).unionByName(sure)
+        out = stored(out, "solved")
+        spent.append(solved)
+    freed(many, *spent)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,72 +482,78 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     A byte is removed if a string of length bytes that covers it also starts anywhere else in the table, in the same text or
     another; strings are judged on the input. A null text is empty: nothing is removed. Ids may be null or repeat; repeated rows
-    are copies of each other, so that each loses all its bytes if it has length or more. Texts are read whole. An empty table
-    gives an empty result."""
+    are copies of each other, so that each loses all its bytes if it has length or more. Texts are read whole, in tiles, however
+    long they are. An empty table gives an empty result. Other columns of docs play no part; if id_col has the name of a new
+    column, that one begins with an underscore.
+
+    Texts are moved twice: once to cut out contexts that must be sorted, once to meet their spans."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
-    rows = stored(survey(docs, length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "survey")
-    every = rows.where(F.size("first") > 0).select("row", F.explode(F.arrays_zip("first", "starts", "name", "class")).alias("x")).select("row", "x.*")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = stored(survey(docs, length).withColumn("row", F.monotonically_increasing_id()), "survey")
+    rows = stored(found.where(F.size("first") > 0).select("row", "key"), "rows")
+    every = found.where(F.size("first") > 0).select("row", F.explode(F.arrays_zip("first", "starts", *CLASS)).alias("x")).select("row", "x.*")
     # written first, so that both sides of the join are plain exchanges, which AQE may split where a name stands very often
-    twice = stored(rows.select(F.explode("name").alias("_name")).groupBy("_name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_name"), "names")
+    twice = stored(found.select(F.explode("name").alias("_name")).groupBy("_name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_name"), "names")
     again = stored(every.join(twice, F.col("name") == F.col("_name")).drop("_name"), "again")
-    def grouped(contexts: DataFrame) -> DataFrame:
-        return stored(contexts.groupBy("name", "class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "starts")).alias("at")), "classes")
-
-    classes = grouped(again)
-    finer = _split_hot(again, classes, rows, docs, length, id_col, text_col)
-    if finer is not None:
-        again = stored(finer, "again")
-        classes = grouped(again)
-    many = classes.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("name").alias("_name"))
-    met = stored(classes.join(many, F.col("name") == F.col("_name"), "left_semi").select("name", "class", "at.*"), "met")
-    total = met.agg(F.sum(F.col("starts") + length)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    # texts that hold a context of a repeated name; of rows with one key, one stands for all
-    wanted = again.select("row").distinct().join(rows.select("row", "key"), "row").groupBy("key").agg(F.min("row").alias("row"))
-    texts = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
-    texts = stored(texts.join(wanted, F.col("_key") == F.col("key")).select("row", "key", "text"), "texts")
-    asked = met.join(rows.select("row", "key"), "row").groupBy("key").agg(F.collect_list(F.struct("name", "class", "first", "starts")).alias("asked"))
+    freed(found, twice)
+    classes = stored(again.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "starts")).alias("at")), "classes")
+    many = stored(classes.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("name").alias("_name")), "many")
+    met = classes.join(many, F.col("name") == F.col("_name"), "left_semi").select(*CLASS, "at.*")
+    asked = stored(met.join(rows, "row").groupBy("key").agg(F.collect_list(F.struct(*CLASS, "first", "starts")).alias("asked")), "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, wants in zip(texts_of(b.column(0)), b.column(1), strict=True):
-                wants = wants.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in wants], pa.int64()) for k in ("name", "class")] + [pa.array([text[w["first"] : w["first"] + w["starts"] - 1 + length] for w in wants], pa.binary())], ["name", "class", "context"])
-
-    parts = texts.join(asked, "key").select("text", "asked").mapInArrow(cut, "name long, class long, context binary").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
-    parts = parts.select("shard", "name", "class", "context").repartition(shards, "shard").sortWithinPartitions("shard")
-    solved = parts.mapInArrow(lambda it: _shard(it, length), "name long, class long, from array<int>, to array<int>").dropDuplicates(["name", "class"])
-    verdict = classes.select("name", "class", "copies", F.col("at.starts").alias("n")).join(solved, ["name", "class"], "left")
-    all_ = F.col("copies") > 1
-    verdict = verdict.select("name", "class", F.when(all_, F.array(F.lit(0))).otherwise(F.col("from")).alias("from"), F.when(all_, F.array("n")).otherwise(F.col("to")).alias("to")).where(F.size("from") > 0)
-    spans = again.join(verdict, ["name", "class"]).select("row", F.explode(F.arrays_zip(F.transform("from", lambda x: x + F.col("first")).alias("a"), F.transform("to", lambda x: x + F.col("first") + length - 1).alias("b"))).alias("s"))
-    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
+        alone()
+        for b in _lots(batches, 0):
+            at, wants = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(1)).to_numpy())]), b.column(1).flatten()
+            low, n = (wants.field(k).to_numpy() for k in ("first", "starts"))
+            contexts = [t[x : x + m - 1 + length] for i, t in enumerate(texts_of(b.column(0))) for x, m in zip(low[at[i] : at[i + 1]].tolist(), n[at[i] : at[i + 1]].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[wants.field(k) for k in CLASS], pa.array(contexts, pa.binary())], [*CLASS, "context"])
+
+    keyed = docs.withColumn("key", _key())
+    contexts = keyed.select("key", "text").join(asked.select(F.col("key").alias("_k"), "asked"), F.col("key") == F.col("_k")).select("text", "asked")
+    contexts = stored(contexts.mapInArrow(cut, "name long, class long, more long, context binary"), "contexts")
+    freed(asked, many)
+    solved = _repeats(contexts, length)
+    all_ = classes.where("copies > 1").select(*CLASS, F.array(F.lit(0)).alias("from"), F.array("at.starts").alias("to"))
+    # all starts of a class with copies are repeated, whatever else was found of it
+    verdict = stored(all_.unionByName(solved.join(classes.where("copies > 1").select(*[F.col(c).alias(f"_{c}") for c in CLASS]), _on(CLASS, [f"_{c}" for c in CLASS]), "left_anti")).toDF("_name", "_class", "_more", "from", "to"), "verdict")
+    shift = lambda name, by: F.transform(name, lambda x: x + by)
+    # a class may have very many copies, and one of a crowded name several rows here: both sides are plain exchanges
+    runs = again.join(verdict, _on(CLASS, ["_name", "_class", "_more"])).select("row", F.arrays_zip(shift("from", F.col("first")).alias("a"), shift("to", F.col("first") + length - 1).alias("b")).alias("s"))
+    one = rows.groupBy("key").agg(F.min("row").alias("row"))
+    spans = stored(runs.groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s")).join(one, "row").select(F.col("key").alias("_k"), "s"), "spans")
+    freed(contexts, solved, classes, verdict, again, rows)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lot in range(0, b.num_rows, 256):
-                part = b.slice(lot, 256)
-                removed, n, digest, low, high = [], [], [], [], []
-                for text, own in zip(texts_of(part.column(1)), part.column(2), strict=True):
-                    edges = np.array([[s["a"], s["b"]] for s in own.as_py()], np.int64).reshape(-1, 2)
-                    reach = np.maximum.accumulate(edges[:, 1])
-                    new = np.concatenate([[True], edges[1:, 0] > reach[:-1]])
-                    a, z = edges[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])
-                    kept = hashlib.sha256()
-                    for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True):
-                        kept.update(text[x:y])
-                    removed.append(int((z - a).sum()))
-                    n.append(len(a))
-                    digest.append(kept.hexdigest())
-                    low.append(a.tolist())
-                    high.append(z.tolist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(digest), pa.array(low, pa.list_(pa.int64())), pa.array(high, pa.list_(pa.int64()))], ["_key", "n_removed", "n_spans", "kept", "from", "to"])
-
-    done = texts.join(spans, "row").select("key", "text", "s").mapInArrow(drop, "_key binary, n_removed long, n_spans long, kept string, from array<long>, to array<long>").dropDuplicates(["_key"])
-    out = rows.select("id", "key", "n_bytes", "sha").join(done, F.col("key") == F.col("_key"), "left")
-    none = F.array().cast("array<long>")
-    return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), F.struct(F.coalesce("from", none).alias("from"), F.coalesce("to", none).alias("to")).alias("spans"))
+        alone()
+        for part in _lots(batches, 1):
+            size, removed, n, digest, low, high = [], [], [], [], [], []
+            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            flat = part.column(2).flatten()
+            edges = np.stack([flat.field(k).to_numpy().astype(np.int64) for k in ("a", "b")], 1)
+            for i, text in enumerate(texts_of(part.column(1))):
+                own = edges[at[i] : at[i + 1]]
+                own = own[np.argsort(own[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(own[:, 1])
+                new = np.flatnonzero(np.concatenate([[len(own) > 0], own[1:, 0] > reach[:-1]])[: len(own)])
+                a, z = own[new, 0], reach[np.append(new[1:] - 1, len(own) - 1)] if len(own) else own[:, 1]
+                kept = hashlib.sha256()
+                for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True):
+                    kept.update(text[x:y])
+                size.append(len(text))
+                removed.append(int((z - a).sum()))
+                n.append(len(a))
+                digest.append(kept.hexdigest())
+                low.append(a.tolist())
+                high.append(z.tolist())
+            both = pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in (low, high)], ["from", "to"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.int64()) for x in (size, removed, n)], pa.array(digest, pa.string()), both], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    out = keyed.join(spans, F.col("key") == F.col("_k"), "left").select("id", "text", "s")
+    out = out.mapInArrow(drop, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans struct<from:array<long>,to:array<long>>")
+    return out.toDF(id_col, *free_name(docs.select(F.col("id").alias(id_col)), *out.columns[1:]))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
