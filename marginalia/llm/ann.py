@@ -2,24 +2,27 @@
 
 Vectors are cut into subspaces of two or more dimensions, each coded by one of 16 codewords. Codes and codewords lower a loss
 that weighs the part of the residual parallel to the vector more than the rest, as that part shifts the large scores. A query
-turns into a table of 16 partial scores for each subspace; two subspaces are read as one byte of code. The best of every block
-of rows by table score are scored again with the original vectors in double precision."""
+turns into a table of 16 partial scores for each subspace; two subspaces are read as one byte of code. Rows are coded once, and
+only their codes meet the queries, block by block. The best by table score are then joined with their vectors and scored again in
+double precision."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import stored
+from marginalia.llm.words import slices
+from marginalia.storage import freed, stored
 
 CODES = 16
-#: Rows and queries of one block.
-ROW_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Rows of one block, at least and at most, and queries of one block: a task scans about two thousand million codes at most.
+ROW_BLOCK, QUERY_BLOCK = (4096, 65_536), 2048
 
 
 @dataclass
@@ -106,31 +109,28 @@ def scan(queries: np.ndarray, codes: np.ndarray, quantiser: Quantiser) -> np.nda
     return out
 
 
-def _best(queries: pd.DataFrame, rows: pd.DataFrame, quantiser: Quantiser, k: int, again: int) -> pd.DataFrame:
-    """Of a block of queries in a block of rows: the k best by exact score among the again + k best by table score."""
-    names = ["query_id", "vec_id", "score"]
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    rows = rows.sort_values("vec_id")
-    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    ids = rows["vec_id"].to_numpy(np.int64)
-    codes = quantiser.encode(x)
-    out = []
-    for at in range(0, len(queries), 64):
-        part = queries.iloc[at : at + 64]
-        q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        own = part["vec_id"].to_numpy(np.int64)
-        found = scan(q, codes, quantiser)
-        take = min(len(ids), again + k)
-        best = np.argpartition(-found, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), found.shape)
-        for i in range(len(q)):
-            near = np.sort(best[i])
-            exact = (x[near] * q[i]).sum(1)
-            mine = ids[near] != own[i]
-            near, exact = near[mine], exact[mine]
-            first = np.lexsort((ids[near], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[near[first]], "score": exact[first]}, columns=names))
-    return pd.concat(out, ignore_index=True)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """A column of lists of one length, as rows of doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _best(queries: pa.Table, rows: pa.Table, quantiser: Quantiser, take: int) -> pa.Table:
+    """(query_id, vec_id, near): of a block of rows the `take` best by table score for each query, its own id left out."""
+    queries, rows = queries.combine_chunks(), rows.combine_chunks()
+    parts = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})]
+    if len(rows):
+        ids = rows.column("vec_id").to_numpy()
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        for at in range(0, len(queries), 64):
+            part = queries.slice(at, 64).combine_chunks()
+            own = part.column("query_id").to_numpy()
+            found = scan(_matrix(part.column("embedding").chunk(0)), codes, quantiser)
+            found[ids[None, :] == own[:, None]] = -np.inf
+            best = np.argpartition(-found, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), found.shape)
+            near = np.take_along_axis(found, best, 1).reshape(-1)
+            keep = near > -np.inf
+            parts.append(pa.table({"query_id": np.repeat(own, best.shape[1])[keep], "vec_id": ids[best.reshape(-1)][keep], "near": near[keep]}))
+    return pa.concat_tables(parts)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -145,36 +145,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """(query_id, rank, vec_id, score): for each query the k rows with the largest inner products found, nearest first, ties to
     the smaller id; a row with the query's own id is left out. queries: as vectors, with the same columns.
 
-    The quantiser is fitted on at most about `sample` vectors, picked by a hash of the id; every row is coded and scanned. From
-    each block of rows the again + k best by table score are scored exactly. Of equal vectors only the k + 1 with the least ids
-    can be among the nearest, so the others are not scanned: a vector that very many rows hold costs little.
+    The quantiser is fitted on at most about `sample` vectors, picked by a hash of the id; every row is coded and scanned. The
+    again + k best rows by table score are scored exactly, times the square root of the rows over 50,000 where there are more, as
+    more rows then have nearly the same score. A block of rows, which is random, hands on its part of them and a margin of six
+    standard deviations. Of equal vectors only the k + 1 with the least ids can be among the nearest, so the others are not
+    scanned: a vector that very many rows hold costs little.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of other lengths
-    than the commonest one of the sample are an error. An empty table gives an empty result."""
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of another
+    length than the commonest one of the sample (the longest of several). Other columns play no part, whatever their names. An
+    empty table gives an empty result."""
     spark = vectors.sparkSession
-    rows = stored(usable(vectors, id_col, vector_col), "vectors")
-    asked = stored(usable(queries, id_col, vector_col), "queries")
+    every = stored(usable(vectors, id_col, vector_col), "vectors")
+    some = every.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_000)) < int(math.ceil(min(1.0, sample / max(every.count(), 1)) * 1_000_000))).orderBy("vec_id").limit(2 * sample)
+    found = some.select("embedding").toArrow().column("embedding").combine_chunks()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not len(found):
+        return empty
+    lengths = np.array([len(v) for v in found])
+    dims = int(max(np.unique(lengths), key=lambda n: ((lengths == n).sum(), n)))
+    x = _matrix(found.filter(pa.array(lengths == dims)))
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    rows = stored(rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth"), "rows")
+    rows = stored(every.where(F.size("embedding") == dims).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth"), "rows")
+    asked = stored(usable(queries, id_col, vector_col).where(F.size("embedding") == dims).withColumnRenamed("vec_id", "query_id"), "queries")
+    freed(every)
     n, q = rows.count(), asked.count()
-    schema = "query_id long, vec_id long, score double"
-    if not n or not q:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    some = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_000)) < int(math.ceil(min(1.0, sample / n) * 1_000_000))).orderBy("vec_id").limit(2 * sample)
-    x = np.stack(some.toPandas()["embedding"].to_numpy()) if n else np.zeros((0, 1))
+    if not q:
+        return empty
     quantiser = train(x, subspaces, seed=seed)
-    row_blocks, query_blocks = math.ceil(n / ROW_BLOCK), math.ceil(q / QUERY_BLOCK)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            codes = quantiser.encode(_matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "code"])
+
+    coded = stored(rows.mapInArrow(encode, "vec_id long, code binary"), "codes")
+    row_blocks = math.ceil(n / min(max(n // 16, ROW_BLOCK[0]), ROW_BLOCK[1]))
+    query_blocks = math.ceil(q / QUERY_BLOCK)
+    again = math.ceil((again + k) * max(1.0, math.sqrt(n / 50_000)))
+    share = again / row_blocks
+    take = min(again, math.ceil(share + 6 * math.sqrt(share) + k))
     block = lambda col, blocks: F.pmod(F.xxhash64(F.lit(seed + 1), col), F.lit(blocks)).cast("int")
     # the query set in blocks against the rows in blocks: a task holds one block of each
-    left = asked.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), block("vec_id", query_blocks).alias("qb"), "vec_id", "embedding")
-    right = rows.select(block("vec_id", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "embedding")
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best(a, b, quantiser, k, again)
-
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(best, schema)
+    left = asked.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), block("query_id", query_blocks).alias("qb"), "query_id", "embedding")
+    right = coded.select(block("vec_id", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "code")
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(lambda a, b: _best(a, b, quantiser, take), "query_id long, vec_id long, near float")
+    nearest = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
+    found = stored(found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= again).select("query_id", "vec_id"), "found")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((_matrix(b.column(2)) * _matrix(b.column(3))).sum(1))], ["query_id", "vec_id", "score"])
+
+    pairs = found.join(rows.withColumnRenamed("embedding", "x"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", "x", "embedding")
+    scored = pairs.mapInArrow(exact, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def recall(found: DataFrame, vectors: DataFrame, k: int = 20, queries: int = 100) -> float:
