@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,51 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """lcs() of each a with its b: the same steps for many pairs at once, in words of 64 bits. Pairs go in lots of like length."""
+    sizes = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(a), np.int64)
+    order = np.lexsort((sizes[1], (sizes[0] + 63) // 64))
+    order = order[(sizes[0][order] > 0) & (sizes[1][order] > 0)]
+    at = 0
+    while at < len(order):
+        words = int(sizes[0][order[at]] + 63) // 64
+        own = order[at : at + max(1, 8192 // words)]
+        own = own[(sizes[0][own] + 63) // 64 == words]
+        at += len(own)
+        out[own] = _lcs_lot([a[i] for i in own], [b[i] for i in own], sizes[0][own], sizes[1][own], words)
+    return out
+
+
+def _lcs_lot(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, words: int) -> np.ndarray:
+    codes = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, codes = np.unique(codes, return_inverse=True)
+    rows, half = np.arange(len(a)), int(n.sum())
+    where = np.zeros((len(a), len(kinds) + 1, words), np.uint64)
+    place = np.arange(half) - np.repeat(np.cumsum(n) - n, n)
+    np.bitwise_or.at(where, (np.repeat(rows, n), codes[:half], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    other = np.full((len(a), int(m.max())), len(kinds))
+    other[np.repeat(rows, m), np.arange(len(codes) - half) - np.repeat(np.cumsum(m) - m, m)] = codes[half:]
+    row = np.full((len(a), words), ~np.uint64(0))
+    for j in range(other.shape[1]):
+        hit = row & where[rows, other[:, j]]
+        total = row + hit
+        if words > 1:
+            over = total < row
+            for k in range(1, words):
+                total[:, k] += over[:, k - 1]
+                over[:, k] |= over[:, k - 1] & (total[:, k] == 0)
+        row = total | (row & ~hit)
+    bits = np.clip(n[:, None] - 64 * np.arange(words), 0, 64)
+    full = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+    return n - np.bitwise_count(row & full).sum(1).astype(np.int64)
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
+    return np.where(total == 0, 100.0, 200.0 * lcs_many(a, b) / np.maximum(total, 1))
+
+
 def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
 
@@ -57,6 +103,26 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """token_set_ratio() of each a with its b."""
+    ranked = {x: sorted(set(x.split())) for x in {*a, *b}}
+    known = {x: frozenset(words) for x, words in ranked.items()}
+    left, right, common = [], [], []
+    for x, y in zip(a, b, strict=True):
+        left.append(" ".join([w for w in ranked[x] if w not in known[y]]))
+        right.append(" ".join([w for w in ranked[y] if w not in known[x]]))
+        both = known[x] & known[y]
+        common.append(sum(map(len, both)) + len(both) - 1 if both else 0)
+    m, n, c = (np.array(x, np.float64) for x in ([len(x) for x in left], [len(x) for x in right], common))
+    gap, usable = (c > 0).astype(np.float64), np.array([bool(ranked[x]) and bool(ranked[y]) for x, y in zip(a, b, strict=True)], bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        best = 100.0 * (1 - (m + n - 2 * lcs_many(left, right)) / (2 * (c + gap) + m + n))
+        for side in (m, n):
+            best = np.where(c > 0, np.maximum(best, 100.0 * (1 - (gap + side) / (2 * c + gap + side))), best)
+    best = np.where((c > 0) & ((m == 0) | (n == 0)), 100.0, best)
+    return np.where(usable, best, 0.0)
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with a stretch of its length in the longer one, or a shorter one at its ends."""
     if len(a) > len(b):
@@ -82,24 +148,28 @@ def _windows(a: str, b: str) -> float:
     return best
 
 
-def _udf(function):
+def _each(function):
+    return lambda a, b: [function(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def _udf(name: str, many):
+    """A UDF of two strings; many takes the distinct pairs of a batch. Null for null."""
+
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if pair[0] is None or pair[1] is None:
-                out.append(None)
-                continue
-            if pair not in seen:
-                seen[pair] = function(*pair)
-            out.append(seen[pair])
-        return pd.Series(out, dtype="float64")
-
-    batch.__name__ = function.__name__
+        pairs = list(dict.fromkeys((x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None))
+        known = dict(zip(pairs, many([x for x, _ in pairs], [y for _, y in pairs]), strict=True)) if pairs else {}
+        return pd.Series([known.get((x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    batch.__name__ = name
     return F.pandas_udf(batch, T.DoubleType())
 
 
-ratio_udf, token_sort_udf, token_set_udf, partial_udf = map(_udf, (ratio, token_sort_ratio, token_set_ratio, partial_ratio))
+def _sorted_words(texts: list[str]) -> list[str]:
+    return [" ".join(sorted(x.split())) for x in texts]
+
+
+ratio_udf, token_set_udf = _udf("ratio", ratios), _udf("token_set_ratio", token_set_ratios)
+token_sort_udf, partial_udf = _udf("token_sort_ratio", lambda a, b: ratios(_sorted_words(a), _sorted_words(b))), _udf("partial_ratio", _each(partial_ratio))
 
 
 def similar(a: Column, b: Column, least: float = QUOTE_DUPLICATE) -> Column:
@@ -111,15 +181,44 @@ def similar(a: Column, b: Column, least: float = QUOTE_DUPLICATE) -> Column:
     return F.when(far > allowed, False).when(2 * far <= allowed, True).otherwise(F.coalesce(ratio_udf(F.when(unsure, a), F.when(unsure, b)) >= least, F.lit(False)))
 
 
-def pair_score(quote_a: Column, location_a: Column, description_a: Column, quote_b: Column, location_b: Column, description_b: Column) -> Column:
-    """How well two findings agree: the quote for the most part, then place and description."""
+#: Parts of the quote, the place and the description in a pair's score; of description and place where a quote is empty.
+PARTS, WITHOUT_QUOTE = (0.6, 0.15, 0.25), (0.65, 0.35)
+
+
+@F.pandas_udf(T.DoubleType())
+def _pair_udf(quote_a: pd.Series, location_a: pd.Series, description_a: pd.Series, quote_b: pd.Series, location_b: pd.Series, description_b: pd.Series, least: pd.Series) -> pd.Series:
+    n = len(quote_a)
+    out, least = np.zeros(n), float(least.iloc[0]) if n else 0.0
+    no_quote = np.array([not x or not y for x, y in zip(quote_a, quote_b, strict=True)], bool)
+
+    def scores(a: pd.Series, b: pd.Series, rows: np.ndarray, many) -> np.ndarray:
+        """Of the rows asked for; each distinct pair once."""
+        found, pairs = np.zeros(n), [(a.iat[i], b.iat[i]) for i in rows.tolist()]
+        own = list(dict.fromkeys(pairs))
+        known = dict(zip(own, many([x for x, _ in own], [y for _, y in own]), strict=True)) if own else {}
+        found[rows] = [known[p] for p in pairs]
+        return found
+
+    quote = scores(quote_a, quote_b, np.flatnonzero(~no_quote), token_set_ratios)
+    # what even a full score of the other parts can't lift is settled
+    open_ = no_quote | (PARTS[0] * quote + 100 * (PARTS[1] + PARTS[2]) >= least)
+    description = scores(description_a, description_b, np.flatnonzero(open_), token_set_ratios)
+    open_ &= no_quote | ~((quote < QUOTE_FLOOR) & (description < DESCRIPTION_FLOOR))
+    rest = np.where(no_quote, WITHOUT_QUOTE[0] * description + 100 * WITHOUT_QUOTE[1], PARTS[0] * quote + 100 * PARTS[1] + PARTS[2] * description)
+    open_ &= rest >= least
+    told = np.array([bool(x) and bool(y) for x, y in zip(location_a, location_b, strict=True)], bool)
+    place = np.where(told, scores(location_a, location_b, np.flatnonzero(open_ & told), _each(partial_ratio)), 50.0)
+    whole = np.where(no_quote, WITHOUT_QUOTE[0] * description + WITHOUT_QUOTE[1] * place, PARTS[0] * quote + PARTS[1] * place + PARTS[2] * description)
+    out[open_] = whole[open_]
+    return pd.Series(out)
+
+
+def pair_score(quote_a: Column, location_a: Column, description_a: Column, quote_b: Column, location_b: Column, description_b: Column, least: float = 0.0) -> Column:
+    """How well two findings agree: the quote for the most part, then place and description. A pair that can't reach `least`
+    may get 0."""
     clean = lambda c: F.lower(collapse(F.coalesce(c, F.lit(""))))
-    words = lambda a, b: F.when((clean(a) == "") | (clean(b) == ""), 0.0).otherwise(token_set_udf(clean(a), clean(b)))
-    quote, description = words(quote_a, quote_b), words(description_a, description_b)
-    la, lb = F.lower(F.coalesce(location_a, F.lit(""))), F.lower(F.coalesce(location_b, F.lit("")))
-    place = F.when((la == "") | (lb == ""), 50.0).otherwise(partial_udf(la, lb))
-    empty = (F.coalesce(quote_a, F.lit("")) == "") | (F.coalesce(quote_b, F.lit("")) == "")
-    return F.when(empty, 0.65 * description + 0.35 * place).when((quote < QUOTE_FLOOR) & (description < DESCRIPTION_FLOOR), 0.0).otherwise(0.6 * quote + 0.15 * place + 0.25 * description)
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return _pair_udf(clean(quote_a), low(location_a), clean(description_a), clean(quote_b), low(location_b), clean(description_b), F.lit(float(least)))
 
 
 def score_match(title: Column, other: Column, year: Column | None = None, other_year: Column | None = None) -> Column:

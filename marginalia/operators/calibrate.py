@@ -26,7 +26,7 @@ def pairs(truth: DataFrame, predicted: DataFrame, threshold: float = PAIR_THRESH
     t = t.withColumn("salt", F.pmod(F.xxhash64("t_ord"), F.lit(SALTS)).cast("int"))
     p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     both = t.join(p, ["paper_id", "salt"])
-    score = pair_score(F.col("t_quote"), F.col("t_location"), F.col("t_description"), F.col("p_quote"), F.col("p_location"), F.col("p_description"))
+    score = pair_score(F.col("t_quote"), F.col("t_location"), F.col("t_description"), F.col("p_quote"), F.col("p_location"), F.col("p_description"), threshold)
     return both.select("paper_id", F.col("t_ord").alias("t"), F.col("p_ord").alias("p"), score.alias("score")).where(F.col("score") >= threshold)
 
 
@@ -102,12 +102,9 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 def by_dimension(rows: DataFrame) -> DataFrame:
     """Counts and rates overall, by severity and by category, in one aggregation."""
-    rows.createOrReplaceTempView("tagged_findings")
-    out = rows.sparkSession.sql("""
-        SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' ELSE 'overall' END AS dimension,
-               coalesce(severity, category, '') AS value, count_if(tag = 'tp') AS tp, count_if(tag = 'fp') AS fp, count_if(tag = 'fn') AS fn
-        FROM tagged_findings GROUP BY GROUPING SETS ((), (severity), (category))""")
-    return with_rates(out)
+    named = F.when(F.grouping("severity") == 0, "severity").when(F.grouping("category") == 0, "category").otherwise("overall")
+    sets = rows.groupingSets([[], ["severity"], ["category"]], "severity", "category").agg(named.alias("dimension"), *_counts())
+    return with_rates(sets.select("dimension", F.coalesce("severity", "category", F.lit("")).alias("value"), "tp", "fp", "fn"))
 
 
 def by_pass(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ A reply row is one struct of marginalia.schemas.REPLIES with its place: (paper_i
 
 from __future__ import annotations
 
+import functools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions.fuzzy import QUOTE_DUPLICATE, partial_ratio, ratio, similar
 from marginalia.functions.text import collapse, strip
+from marginalia.storage import freed, stored
 
 COLUMNS = ["paper_id", "ord", "severity", "category", "location", "quote", "description", "correction", "source_pass", "verdict", "url", "stability"]
 
@@ -146,43 +149,113 @@ def dedupe_exact(found: DataFrame) -> DataFrame:
     return with_key(found).withColumn("nth", nth).where("nth = 1").select(found.columns)
 
 
-def _leaders(rows: list[tuple[str, int]]) -> list[int]:
-    """For rows (quote, any number) in order, the place of the first kept row that each matches, or its own if it is kept."""
-    kept: list[int] = []
-    by_quote: dict[str, int] = {}
+def _profile(quotes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each quote has letters of each of 32 kinds, and its length. Half the gap between two profiles' sums is what no
+    common subsequence can make up."""
+    counts = np.zeros((len(quotes), 32), np.int16)
+    for i, q in enumerate(quotes):
+        if q:
+            counts[i] = np.bincount(np.frombuffer(q.encode("utf-32-le"), np.uint32) & 31, minlength=32)
+    return counts, np.array([len(q or "") for q in quotes], np.int64)
+
+
+def _first_alike(quotes: list[str], leaders: list[str]) -> list[int]:
+    """For each quote the place of the first leader that it equals or is at least 88 alike, or -1."""
+    counts, sizes = _profile(quotes)
+    lead, lengths = _profile(leaders)
     out = []
-    for i, (quote, _) in enumerate(rows):
-        exact = by_quote.get(quote)
-        hit = next((k for k in kept if (exact is None or k < exact) and quote and rows[k][0] and ratio(rows[k][0], quote) >= QUOTE_DUPLICATE), exact)
-        if hit is None:
-            kept.append(i)
-            by_quote.setdefault(quote, i)
-            hit = i
+    for q, own, n in zip(quotes, counts, sizes, strict=True):
+        near = np.flatnonzero(np.abs(lead - own).sum(1) <= (1 - QUOTE_DUPLICATE / 100) * (lengths + n) + 1e-9)
+        out.append(next((int(k) for k in near if leaders[k] == q or q and leaders[k] and ratio(leaders[k], q) >= QUOTE_DUPLICATE), -1))
+    return out
+
+
+def _leaders(quotes: list[str]) -> list[int]:
+    """For quotes in order, the place of the first kept one that each matches, or its own if it is kept."""
+    counts, sizes = _profile(quotes)
+    kept, out = np.zeros(0, np.int64), []
+    for i, q in enumerate(quotes):
+        near = kept[np.abs(counts[kept] - counts[i]).sum(1) <= (1 - QUOTE_DUPLICATE / 100) * (sizes[kept] + sizes[i]) + 1e-9]
+        hit = next((int(k) for k in near if quotes[k] == q or q and quotes[k] and ratio(quotes[k], q) >= QUOTE_DUPLICATE), i)
+        if hit == i:
+            kept = np.append(kept, i)
         out.append(hit)
     return out
 
 
+#: Quotes of one block that a task takes in order, in the first round and at most; tasks over which the others are dealt.
+HEAD, MOST_HEAD, SALTS = 1024, 32_768, 32
+
+
+def with_leader(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """BLOCK, k_quote, leader: for each key of rows (with_key) the quote that stands for it. Keys are taken in order of their
+    first row; one that equals or is at least 88 alike an earlier one that stands for itself goes to the first such.
+
+    A round takes the first keys of each block in one task, and then meets all others of the block with the leaders found
+    there, dealt over tasks. What matches none goes to the next round, which takes twice as many: small blocks are done in one
+    round, a block of very many keys never lies in one task, and pairs are never written."""
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in a] + b)
+    left = stored(rows.groupBy(*BLOCK, "k_quote").agg(F.min(F.struct(*order)).alias("o")), "keys")
+    kind = ", ".join(f"{c} string" for c in [*BLOCK, "k_quote", "leader"])
+
+    def lead(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("nth").reset_index(drop=True)
+        own = _leaders(block["k_quote"].tolist())
+        return block.assign(leader=block["k_quote"].iloc[own].to_numpy())[[*BLOCK, "k_quote", "leader"]]
+
+    def meet(block: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values("nth")["k_quote"].tolist()
+        block = block.assign(leader=[leaders[k] if k >= 0 else None for k in _first_alike(block["k_quote"].tolist(), leaders)])
+        return block[[*BLOCK, "k_quote", "leader"]]
+
+    done, size = None, HEAD
+    while True:
+        nth = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("o", "k_quote"))
+        head = stored(left.withColumn("nth", nth).where(F.col("nth") <= size), "head")
+        found = stored(head.groupBy(*BLOCK).applyInPandas(lead, kind), "leaders")
+        done = found if done is None else done.unionByName(found)
+        names = [*BLOCK, "k_quote"]
+        taken = head.select(*[F.col(c).alias(f"_{c}") for c in names])
+        rest = stored(left.join(taken, same(names, []), "left_anti"), "keys")
+        freed(left)
+        if rest.isEmpty():
+            freed(head, rest)
+            return done
+        leaders = head.join(found.where("k_quote = leader").select(*[F.col(c).alias(f"_{c}") for c in names]), same(names, []), "left_semi")
+        hot = rest.select(*[F.col(c).alias(f"_{c}") for c in BLOCK]).distinct()
+        leaders = leaders.join(hot, same(BLOCK, []), "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rest.select(*names, F.pmod(F.xxhash64("k_quote"), F.lit(SALTS)).cast("int").alias("salt"))
+        met = stored(dealt.groupBy(*BLOCK, "salt").cogroup(leaders.select(*names, "nth", "salt").groupBy(*BLOCK, "salt")).applyInPandas(meet, kind), "met")
+        done = done.unionByName(met.where("leader is not null"))
+        open_ = met.where("leader is null").select(*[F.col(c).alias(f"_{c}") for c in names])
+        left = stored(rest.join(open_, same(names, []), "left_semi"), "keys")
+        freed(head, rest)
+        size = min(2 * size, MOST_HEAD)
+
+
 def dedupe(found: DataFrame) -> DataFrame:
     """Findings without those that repeat an earlier kept one: same pass, category and place, and quotes equal or at least 88
     alike. Only rows of one block can meet. Equal quotes are removed natively first, and blocks of one row never reach Python."""
     rows = with_key(dedupe_exact(found)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*BLOCK)))
-    names = found.columns
     alone, some = rows.where("_n = 1").select(found.columns), rows.where("_n > 1")
+    led = with_leader(some, _order()).where("k_quote = leader").drop("leader")
+    return alone.unionByName(_on_key(some, led, "left_semi").select(found.columns))
 
-    def keep(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["_rank", "category", "location", "ord"], kind="stable").reset_index(drop=True)
-        own = _leaders(list(zip(block["k_quote"], block["ord"], strict=True)))
-        return block.loc[[i for i, k in enumerate(own) if i == k], names]
 
-    kept = some.withColumn("_rank", severity_rank(F.col("severity"))).groupBy(*BLOCK).applyInPandas(keep, found.schema)
-    return alone.unionByName(kept)
+def _on_key(rows: DataFrame, led: DataFrame, how: str = "inner") -> DataFrame:
+    names = [*BLOCK, "k_quote"]
+    led = led.select(*[F.col(c).alias(f"_{c}") for c in names], *[c for c in led.columns if c not in names])
+    return rows.join(led, functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), how)
 
 
 def merge_runs_exact(found: DataFrame, runs: int) -> DataFrame:
     """found with run_no: the first finding of each equal key, stable if all runs have the key."""
-    rows = with_key(found)
-    per_key = rows.groupBy(*BLOCK, "k_quote").agg(F.count_distinct("run_no").alias("seen"), F.min_by(F.struct(*found.columns), F.struct("run_no", "ord")).alias("m"))
-    return per_key.select("m.*", "seen").withColumn("stability", F.lit("single_run") if runs == 1 else F.when(F.col("seen") >= runs, "stable").otherwise("unstable")).select(found.columns)
+    return _merged(with_key(found).withColumn("leader", F.col("k_quote")), found.columns, runs)
+
+
+def _merged(rows: DataFrame, names: list[str], runs: int) -> DataFrame:
+    per_key = rows.groupBy(*BLOCK, "leader").agg(F.count_distinct("run_no").alias("seen"), F.min_by(F.struct(*names), F.struct("run_no", "ord")).alias("m"))
+    return per_key.select("m.*", "seen").withColumn("stability", F.lit("single_run") if runs == 1 else F.when(F.col("seen") >= runs, "stable").otherwise("unstable")).select(names)
 
 
 def merge_runs(found: DataFrame, runs: int) -> DataFrame:
@@ -190,17 +263,8 @@ def merge_runs(found: DataFrame, runs: int) -> DataFrame:
     first kept one that they match. One run is returned as it is."""
     if runs == 1:
         return found.withColumn("stability", F.lit("single_run"))
-    names = found.columns
-
-    def merge(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["run_no", "ord"], kind="stable").reset_index(drop=True)
-        own = _leaders(list(zip(block["k_quote"], block["ord"], strict=True)))
-        seen = block["run_no"].groupby(own).nunique()
-        out = block.loc[sorted(seen.index)].copy()
-        out["stability"] = ["stable" if seen[i] >= runs else "unstable" for i in sorted(seen.index)]
-        return out[names]
-
-    return with_key(found).groupBy(*BLOCK).applyInPandas(merge, found.schema)
+    rows = with_key(found)
+    return _merged(_on_key(rows, with_leader(rows, [F.col("run_no"), F.col("ord")])), found.columns, runs)
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:
