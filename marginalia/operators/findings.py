@@ -198,15 +198,17 @@ def with_leader(rows: DataFrame, order: list[Column]) -> DataFrame:
     left = stored(rows.groupBy(*BLOCK, "k_quote").agg(F.min(F.struct(*order)).alias("o")), "keys")
     kind = ", ".join(f"{c} string" for c in [*BLOCK, "k_quote", "leader"])
 
+    def plain(block: pd.DataFrame, leader: list) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(block[c].tolist(), dtype=object) for c in [*BLOCK, "k_quote"]} | {"leader": pd.Series(leader, dtype=object)})
+
     def lead(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("nth").reset_index(drop=True)
         own = _leaders(block["k_quote"].tolist())
-        return block.assign(leader=block["k_quote"].iloc[own].to_numpy())[[*BLOCK, "k_quote", "leader"]]
+        return plain(block, block["k_quote"].iloc[own].tolist())
 
     def meet(block: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
         leaders = leaders.sort_values("nth")["k_quote"].tolist()
-        block = block.assign(leader=[leaders[k] if k >= 0 else None for k in _first_alike(block["k_quote"].tolist(), leaders)])
-        return block[[*BLOCK, "k_quote", "leader"]]
+        return plain(block, [leaders[k] if k >= 0 else None for k in _first_alike(block["k_quote"].tolist(), leaders)])
 
     done, size = None, HEAD
     while True:

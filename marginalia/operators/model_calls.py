@@ -132,3 +132,11 @@ def pick_model(models: DataFrame, wanted: str | None = None) -> DataFrame:
         return models.sparkSession.createDataFrame([(wanted,)], "id string")
     plain = models.where(~F.coalesce("type", F.lit("")).isin("embedding", "embeddings") & ~F.lower("id").rlike("embed|rerank"))
     return plain.agg(F.min_by("id", "ord").alias("id")).where("id is not null")
+
+
+def model_endpoints(endpoints: DataFrame) -> DataFrame:
+    """(model, quantization, providers) of endpoints(model, quantization, provider): the distinct quantisations in order, joined
+    by bars, null if there are none, and the distinct providers in order."""
+    some = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    names = endpoints.groupBy("model").agg(some("quantization").alias("q"), some("provider").alias("providers"))
+    return names.select("model", F.when(F.size("q") > 0, F.array_join("q", "|")).alias("quantization"), "providers")

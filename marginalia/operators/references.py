@@ -152,6 +152,8 @@ def cascade(refs: DataFrame, key: list[str], by_doi: DataFrame, by_text: DataFra
     """Each reference with the first record that a lookup by DOI, by text, or (if it has a title) by title gave. Each lookup sees
     only what the earlier ones left open."""
     one = by_doi.join(refs.where("doi is not null").select("doi").distinct(), "doi", "left_semi")
+    # of several records of one DOI the first by address stays, so that no reference is multiplied
+    one = one.withColumn("nth", F.row_number().over(Window.partitionBy("doi").orderBy("url", "title"))).where("nth = 1").drop("nth")
     first = refs.join(one.withColumnRenamed("doi", "_doi").select("_doi", F.struct("*").alias("r1")), F.col("doi") == F.col("_doi"), "left").drop("_doi")
     open_ = first.where("r1 is null").drop("r1")
     second = best_by_title(open_.select(*key, F.coalesce("title", "raw").alias("title"), "year"), by_text, key)

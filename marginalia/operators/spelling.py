@@ -15,12 +15,12 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def allowlist(papers: DataFrame, refs: DataFrame) -> DataFrame:
-    """(paper_id, word): common words, authors, capitalised words of references, acronyms that papers(paper_id, text) define."""
-    common = papers.select("paper_id", F.explode(F.array(*map(F.lit, COMMON_ACADEMIC))).alias("word"))
+    """(paper_id, word): authors, capitalised words of references, acronyms that papers(paper_id, text) define. Common words are
+    allowed everywhere, without a row here."""
     authors = refs.select("paper_id", F.explode("authors").alias("word"))
     names = refs.select("paper_id", F.explode(F.regexp_extract_all("raw", F.lit(WORD), 0)).alias("word")).where(F.col("word").rlike("^[A-Z]") & (F.length("word") > 2))
     acronyms = papers.select("paper_id", F.explode(F.regexp_extract_all("text", F.lit(ACRONYM), 1)).alias("word"))
-    return common.unionByName(authors).unionByName(names).unionByName(acronyms).select("paper_id", F.lower("word").alias("word")).distinct()
+    return authors.unionByName(names).unionByName(acronyms).select("paper_id", F.lower("word").alias("word")).distinct()
 
 
 def tokens(sections: DataFrame, least: int = 3) -> DataFrame:
@@ -32,20 +32,27 @@ def tokens(sections: DataFrame, least: int = 3) -> DataFrame:
 
 
 def candidates(sections: DataFrame, allow: DataFrame, lexicon: DataFrame, least: int = 3, most: int = 120) -> DataFrame:
-    """paper_id, section_idx, token, sentence, location, occurrences: of each section the most frequent unknown words. A word
+    """paper_id, section_idx, token, sentence, location, occurrences, suggestion: of each section the most frequent unknown words. A word
     with hyphens is unknown if one of its long enough parts that are not allowed is. lexicon(word): small letters; a dictionary
-    is of bounded size, which AQE reads from its statistics when it picks the join."""
+    is of bounded size, which AQE reads from its statistics when it picks the join. If it has a frequency, suggestion is the most
+    frequent word of it one edit away, else null."""
     word = F.lower("token")
-    seen = tokens(sections, least).withColumn("word", word).join(allow, ["paper_id", "word"], "left_anti")
+    common = F.col("word").isin(COMMON_ACADEMIC)
+    seen = tokens(sections, least).withColumn("word", word).where(~common).join(allow, ["paper_id", "word"], "left_anti")
     first = F.min(F.struct("s", "t", "token", "sentence", "location"))
     grouped = seen.groupBy("paper_id", "section_idx", "word").agg(first.alias("m"), F.count(F.lit(1)).alias("occurrences"))
     plain = grouped.where(~F.col("word").contains("-")).join(lexicon, "word", "left_anti")
-    parts = grouped.where(F.col("word").contains("-")).select("paper_id", F.col("word").alias("whole"), F.explode(F.split("word", "-")).alias("word")).where(F.length("word") >= least)
+    parts = grouped.where(F.col("word").contains("-")).select("paper_id", F.col("word").alias("whole"), F.explode(F.split("word", "-")).alias("word")).where((F.length("word") >= least) & ~common)
     odd = parts.join(allow, ["paper_id", "word"], "left_anti").join(lexicon, "word", "left_anti").select("paper_id", F.col("whole").alias("word")).distinct()
     joined = grouped.where(F.col("word").contains("-")).join(odd, ["paper_id", "word"], "left_semi")
     both = plain.select(grouped.columns).unionByName(joined.select(grouped.columns))
     rank = F.row_number().over(Window.partitionBy("paper_id", "section_idx").orderBy(F.desc("occurrences"), "word"))
-    return both.withColumn("nth", rank).where(F.col("nth") <= most).select("paper_id", "section_idx", F.col("m.token").alias("token"), clip(F.col("m.sentence"), 300).alias("sentence"), F.col("m.location").alias("location"), "occurrences")
+    found = both.withColumn("nth", rank).where(F.col("nth") <= most)
+    if "frequency" in lexicon.columns:
+        found = found.join(suggestions(found.select("word").distinct(), lexicon), "word", "left")
+    else:
+        found = found.withColumn("suggestion", F.lit(None).cast("string"))
+    return found.select("paper_id", "section_idx", F.col("m.token").alias("token"), clip(F.col("m.sentence"), 300).alias("sentence"), F.col("m.location").alias("location"), "occurrences", "suggestion")
 
 
 def one_edit(word: Column) -> Column:

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import replies, text
 from marginalia.functions.fuzzy import score_match
 from marginalia.operators import calibrate, captions, findings, model_calls, payloads, references, report, sections, spelling
+from marginalia.sources import files
+from marginalia.storage import stored
 from marginalia.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,15 +158,18 @@ TOKENS = r"""SELECT doc_id, source AS paper_id, regexp_replace(regexp_replace(re
 CHECKABLE = r"length(token) >= 3 AND regexp_full_match(token, '[A-Za-z][A-Za-z''’-]*') AND NOT regexp_matches(raw, '[0-9_]') AND upper(token) <> token"
 
 
-def _tokens(spark, d):
+def _tokens(spark, d, *by):
+    """Checkable tokens of English texts in small letters (w), with how often each stands (n) for each value of by. Equal raw tokens
+    are counted before any pattern is run on them."""
     docs = view(spark, d, "SELECT doc_id, source AS paper_id, text FROM {documents} WHERE lang = 'en'")
-    t = docs.select("doc_id", "paper_id", F.explode(text.raw_tokens(F.col("text"))).alias("raw")).withColumn("token", text.token_of(F.col("raw")))
-    return t.where(text.checkable(F.col("token"), F.col("raw")))
+    raw = docs.select(*by, F.explode(text.raw_tokens(F.col("text"))).alias("raw")).groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n"))
+    t = raw.withColumn("token", text.token_of(F.col("raw"))).where(text.checkable(F.col("token"), F.col("raw")))
+    return t.select(*by, F.lower("token").alias("w"), "n")
 
 
 @query(f"SELECT paper_id, lower(token) AS token, count(*) AS n FROM ({TOKENS}) WHERE {CHECKABLE} GROUP BY ALL")
 def token_counts(spark, d):
-    return _tokens(spark, d).groupBy("paper_id", F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return _tokens(spark, d, "paper_id").groupBy("paper_id", F.col("w").alias("token")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, paper_id, lower(token) AS w FROM ({TOKENS}) WHERE {CHECKABLE} AND NOT contains(token, '-')),
@@ -172,11 +177,10 @@ def token_counts(spark, d):
   n AS (SELECT paper_id, w, count(*) AS n FROM t ANTI JOIN lexicon USING (w) GROUP BY ALL)
   SELECT paper_id, w AS token, n AS occurrences FROM n QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, w) <= 20""")
 def spelling_candidates(spark, d):
-    t = _tokens(spark, d).where(~F.contains("token", F.lit("-"))).withColumn("w", F.lower("token"))
-    lexicon = t.groupBy("w").agg(F.count_distinct("doc_id").alias("df")).where("df >= 3").select("w")
-    from pyspark.sql import Window
-
-    n = t.join(lexicon, "w", "left_anti").groupBy("paper_id", "w").agg(F.count(F.lit(1)).alias("occurrences"))
+    t = _tokens(spark, d, "doc_id", "paper_id").where(~F.contains("w", F.lit("-"))).groupBy("doc_id", "paper_id", "w").agg(F.sum("n").alias("n"))
+    t = stored(t, "tokens")
+    lexicon = t.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df >= 3").select("w")
+    n = t.join(lexicon, "w", "left_anti").groupBy("paper_id", "w").agg(F.sum("n").alias("occurrences"))
     nth = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("occurrences"), "w"))
     return n.withColumn("nth", nth).where("nth <= 20").select("paper_id", F.col("w").alias("token"), "occurrences")
 
@@ -510,6 +514,84 @@ def greedy_matches(spark, d):
     return calibrate.assign(calibrate.pairs(t, p))
 
 
+# Planted likenesses ----------------------------------------------------------------------------------------------------------
+
+# Quotes of 64 hexadecimal digits in threes: the first, one with two digits replaced (97 alike), one with the first 28 replaced
+# (about 75 alike). Digits of different threes are some 40 alike, so that what the rules make of them follows.
+GROUP = "CAST(floor(doc_id / 3) AS BIGINT)"
+DIGITS = f"md5(CAST({GROUP} AS STRING)) || md5('b' || CAST({GROUP} AS STRING))"
+PLANTED = f"""SELECT 'p' || CAST({GROUP} % 20 AS STRING) AS paper_id, doc_id AS ord, {GROUP} AS g, doc_id % 3 AS k, {SEVERITY.format("(doc_id % 7)")} AS severity, 'c' || CAST({GROUP} % 4 AS STRING) AS category, 'Section ' || CAST({GROUP} % 2 AS STRING) AS location,
+  CASE doc_id % 3 WHEN 0 THEN {DIGITS} WHEN 1 THEN substr({DIGITS}, 1, 30) || 'zz' || substr({DIGITS}, 33) ELSE substr(md5('c' || CAST({GROUP} AS STRING)), 1, 28) || substr({DIGITS}, 29) END AS quote,
+  md5('d' || CAST({GROUP} AS STRING)) AS description, '' AS correction, 'pass' || CAST({GROUP} % 2 AS STRING) AS source_pass, '' AS verdict, '' AS url, 'single_run' AS stability FROM {{documents}}"""
+PLANTED_RUNS = f"SELECT f.*, 0 AS run_no FROM ({PLANTED}) f WHERE k <> 1 UNION ALL SELECT f.*, 1 AS run_no FROM ({PLANTED}) f WHERE k = 1 AND g % 2 = 0 OR k = 2 AND g % 3 = 0"
+PLANTED_TRUTH = f"SELECT * FROM ({PLANTED}) f WHERE k = 0"
+PLANTED_PREDICTED = f"SELECT * FROM ({PLANTED}) f WHERE k > 0 AND g % 5 <> 0"
+
+
+@query(f"SELECT paper_id, ord, severity, quote FROM (SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 2 ELSE 3 END AS rank FROM ({PLANTED}) x) f QUALIFY row_number() OVER (PARTITION BY g, k = 2 ORDER BY rank, ord) = 1")
+def findings_dedupe_planted(spark, d):
+    return findings.dedupe(view(spark, d, PLANTED).drop("g", "k")).select("paper_id", "ord", "severity", "quote")
+
+
+@query(f"SELECT paper_id, arg_min(ord, (run_no, ord)) AS ord, CASE WHEN count(DISTINCT run_no) >= 2 THEN 'stable' ELSE 'unstable' END AS stability FROM ({PLANTED_RUNS}) f GROUP BY paper_id, g, k = 2")
+def runs_merged_planted(spark, d):
+    return findings.merge_runs(view(spark, d, PLANTED_RUNS).drop("g", "k"), 2).select("paper_id", "ord", "stability")
+
+
+PLANTED_MATCHES = f"SELECT t.paper_id, t.ord AS t, p.ord AS p, CAST(98.125 AS DOUBLE) AS score FROM ({PLANTED_TRUTH}) t JOIN ({PLANTED_PREDICTED}) p ON t.g = p.g AND p.k = 1"
+
+
+@query(PLANTED_MATCHES)
+def matches_planted(spark, d):
+    return calibrate.assign(calibrate.pairs(view(spark, d, PLANTED_TRUTH), view(spark, d, PLANTED_PREDICTED)))
+
+
+PLANTED_TAGS = f"""WITH j AS (SELECT coalesce(t.paper_id, p.paper_id) AS paper_id, CASE WHEN t.ord IS NULL THEN 'fp' WHEN p.ord IS NULL THEN 'fn' ELSE 'tp' END AS tag, coalesce(t.severity, p.severity) AS severity, coalesce(t.category, p.category) AS category, p.source_pass, t.severity = p.severity AS agrees
+  FROM ({PLANTED_TRUTH}) t FULL JOIN ({PLANTED_PREDICTED}) p ON t.g = p.g AND p.k = 1), """
+
+
+def _planted_tags(spark, d):
+    t, p = view(spark, d, PLANTED_TRUTH), view(spark, d, PLANTED_PREDICTED)
+    return calibrate.tagged(t, p, stored(calibrate.assign(calibrate.pairs(t, p)), "matches"))
+
+
+@query(PLANTED_TAGS + f"a AS (SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' ELSE 'overall' END AS dimension, coalesce(severity, category, '') AS value, {COUNTS} FROM j GROUP BY GROUPING SETS ((), (severity), (category))) SELECT dimension, value, {RATES} FROM a")
+def calibration_by_dimension(spark, d):
+    return calibrate.by_dimension(_planted_tags(spark, d))
+
+
+@query(PLANTED_TAGS + f"a AS (SELECT source_pass, {COUNTS} FROM j WHERE tag <> 'fn' GROUP BY source_pass) SELECT source_pass, {RATES} FROM a")
+def calibration_by_pass(spark, d):
+    return calibrate.by_pass(_planted_tags(spark, d))
+
+
+@query(PLANTED_TAGS + f"a AS (SELECT paper_id, {COUNTS}, coalesce(count(*) FILTER (agrees) / nullif(count(*) FILTER (tag = 'tp'), 0), 0) AS severity_agreement FROM j GROUP BY paper_id) SELECT paper_id, severity_agreement, {RATES} FROM a")
+def calibration_by_paper(spark, d):
+    return calibrate.by_paper(_planted_tags(spark, d))
+
+
+TITLES = """SELECT item_id, regexp_replace(lower(text), '[^a-z ]', '') AS a, CASE item_id % 4 WHEN 3 THEN '' ELSE upper(regexp_replace(lower(text), '[^a-z ]', '')) || '!' END AS b, CASE item_id % 4 WHEN 1 THEN '1990' WHEN 2 THEN '2000' ELSE '2001' END AS y FROM {benchmark}"""
+
+
+@query("SELECT item_id, CAST(CASE WHEN trim(a) = '' OR item_id % 4 = 3 THEN 0 WHEN item_id % 4 = 1 THEN 75 ELSE 100 END AS DOUBLE) AS score FROM (" + TITLES.replace("'[^a-z ]', '')", "'[^a-z ]', '', 'g')") + ") t")
+def title_scores_planted(spark, d):
+    return view(spark, d, TITLES).select("item_id", score_match(F.col("a"), F.col("b"), F.lit("2001"), F.col("y")).alias("score"))
+
+
+@query("WITH t AS (SELECT 'd' || doc_id AS paper_id, doc_id FROM {documents}) SELECT paper_id, 'pass2' AS source_pass, count(*) AS n, count(*) FILTER (promoted) AS promoted FROM (SELECT paper_id, false AS promoted FROM t UNION ALL SELECT paper_id, true FROM t WHERE doc_id % 6 = 5) x GROUP BY paper_id")
+def covered_by_any_needle(spark, d):
+    """Of five values of over 25 letters, which are needles, one is nearly quoted by a finding (or none, in a sixth of the rows)."""
+    t = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 0 AS entry, doc_id FROM {documents}")
+    words = ["apples", "trains", "violet", "copper", "walnut"]
+    values = F.array(*[F.concat(F.lit(f"{w} {w[::-1]} {w} beside {w} and "), F.lit("quite unlike the others")) for w in words])
+    near = F.element_at(F.concat(F.transform(values, lambda v: F.regexp_replace(v, "quite", "quit")), F.array(F.lit("nothing of the kind"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    own = F.array(F.struct(F.lit("major").alias("severity"), F.lit("numbers").alias("category"), F.lit("p. 1").alias("location"), near.alias("quote"), F.lit("seen").alias("description"), F.lit("").alias("correction")))
+    numbers = F.array(F.struct(F.lit("a quantity of its own that is nowhere").alias("quantity"), F.array(F.lit("p. 1")).alias("locations"), values.alias("values"), F.lit("No.").alias("recomputation"), F.lit("verified_incorrect").alias("verdict")))
+    none = F.array().cast("array<struct<claim_quote:string,location:string,supporting_evidence:string,verdict:string,explanation:string>>")
+    found = findings.from_pass2(t.select("paper_id", "entry", F.struct(numbers.alias("number_checks"), none.alias("claim_checks"), own.alias("findings")).alias("reply")))
+    return found.groupBy("paper_id", "source_pass").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") != "").alias("promoted"))
+
+
 # Requests, runs, jobs -------------------------------------------------------------------------------------------------------
 
 
@@ -541,12 +623,43 @@ def latest_runs(spark, d):
     return latest(e, pointers)
 
 
-@query("SELECT CAST(event_id AS STRING) AS run_id, user_id % 2 = 0 AS available FROM {events} ORDER BY ts DESC, CAST(event_id AS STRING) DESC LIMIT 100")
+@query("SELECT CAST(event_id AS STRING) AS run_id, user_id % 2 = 0 AS available FROM {events} ORDER BY event_id DESC LIMIT 100")
 def run_history(spark, d):
-    from marginalia.sources.files import history
+    e = view(spark, d, "SELECT CAST(event_id AS STRING) AS run_id, CAST(user_id AS STRING) AS slug, event_id AS line, user_id FROM {events}")
+    return files.history(e, e.where("user_id % 2 = 0").select(F.col("slug").alias("paper_slug"), "run_id"), 100).select("run_id", "available")
+
+
+@query("""SELECT CAST(user_id AS STRING) AS model, string_agg(DISTINCT nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), '|' ORDER BY nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, '')) AS quantization,
+  coalesce(string_agg(DISTINCT CASE WHEN event_id % 5 <> 0 THEN 'p' || CAST(event_id % 5 AS STRING) END, ',' ORDER BY CASE WHEN event_id % 5 <> 0 THEN 'p' || CAST(event_id % 5 AS STRING) END), '') AS providers FROM {events} GROUP BY user_id""")
+def model_endpoints(spark, d):
+    e = view(spark, d, "SELECT CAST(user_id AS STRING) AS model, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS quantization, CASE WHEN event_id % 5 <> 0 THEN 'p' || CAST(event_id % 5 AS STRING) END AS provider FROM {events}")
+    return model_calls.model_endpoints(e).select("model", "quantization", F.array_join("providers", ",").alias("providers"))
+
+
+OUTPUTS = """SELECT source AS paper_id, doc_id, 'pass' || CAST(doc_id % 5 AS STRING) AS source_pass, translate(CASE doc_id % 5 WHEN 0 THEN '«"n": 0»' WHEN 1 THEN '[«"n": 0», [«"n": 1», 5]]' WHEN 2 THEN '«"runs": [«"n": 0», [«"n": 1», «"n": 2»]]»' WHEN 3 THEN '«"runs": [«"runs": [«"n": 0»]», «"runs": 3»]»' ELSE '7' END, '«»', chr(123) || chr(125)) AS json FROM {documents}"""
+
+
+@query("SELECT doc_id, CAST(unnest(CASE doc_id % 5 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1, 2] WHEN 3 THEN [0, -1] ELSE [] END) AS BIGINT) AS n FROM {documents}")
+def outputs_flattened(spark, d):
+    o = view(spark, d, OUTPUTS)
+    flat = files.flattened(o.select(F.col("doc_id").cast("string").alias("paper_id"), "source_pass", "json"))
+    return flat.select(F.col("paper_id").cast("bigint").alias("doc_id"), F.coalesce(F.get_json_object("json", "$.n").cast("bigint"), F.lit(-1).cast("bigint")).alias("n"))
+
+
+REVIEWS = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, translate(CASE doc_id % 3 WHEN 0 THEN '[«"severity": "minor", "category": " claims ", "quote": "q", "pass": "pass2", "source_pass": "x"»]'
+  WHEN 1 THEN '«"notes": "by hand", "findings": [«"quote": 5, "url": "https://e.org"», «"severity": "critical", "source_pass": "pass1"»]»' ELSE '«"notes": "nothing found"»' END, '«»', chr(123) || chr(125)) AS text FROM {documents}"""
+
+
+@query("""WITH r AS (SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id % 3 AS k FROM {documents})
+  SELECT paper_id, CAST(0 AS BIGINT) AS ord, CASE k WHEN 0 THEN 'minor' ELSE 'major' END AS severity, CASE k WHEN 0 THEN 'claims' ELSE '' END AS category, CASE k WHEN 0 THEN 'q' ELSE '5' END AS quote, CASE k WHEN 0 THEN 'pass2' ELSE '' END AS source_pass, CASE k WHEN 0 THEN '' ELSE 'https://e.org' END AS url FROM r WHERE k < 2
+  UNION ALL SELECT paper_id, 1, 'critical', '', '', 'pass1', '' FROM r WHERE k = 1""")
+def truth_loaded(spark, d):
+    return files.truth_findings(view(spark, d, REVIEWS)).select("paper_id", "ord", "severity", "category", "quote", "source_pass", "url")
+
 
-    e = view(spark, d, "SELECT CAST(event_id AS STRING) AS run_id, CAST(user_id AS STRING) AS slug, ts AS started_at, user_id FROM {events}")
-    return history(e, e.where("user_id % 2 = 0").select(F.col("slug").alias("paper_slug"), "run_id"), 100).select("run_id", "available")
+@query("SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'by hand' ELSE 'nothing found' END AS notes FROM {documents}")
+def truth_notes(spark, d):
+    return files.truth_notes(view(spark, d, REVIEWS))
 
 
 STATES = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END"

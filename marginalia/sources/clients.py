@@ -84,7 +84,7 @@ def search_all(queries: DataFrame, make: Callable[[], WebSearch], most: int = 5,
 
 def lookup_all(refs: DataFrame, transport: Transport, base: str, kind: str, pause_s: float = 0.15, rows: int = 5) -> DataFrame:
     """(asked, rank, item) with item a variant: what a bibliographic service says of distinct keys of refs. kind 'doi' asks for
-    one work by refs.doi, 'text' searches by refs.query."""
+    one work by refs.doi, 'text' searches by refs.query, and 'title' asks a service of open records for refs.query."""
     key = "doi" if kind == "doi" else "query"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,9 +96,11 @@ def lookup_all(refs: DataFrame, transport: Transport, base: str, kind: str, paus
                 try:
                     if kind == "doi":
                         found = [((transport("GET", f"{base}/{asked.strip().rstrip('.')}", {}, {}) or {}).get("message"))]
+                    elif kind == "title":
+                        found = (transport("GET", base, {"search": asked[:300], "per-page": 3}, {}) or {}).get("results") or []
                     else:
                         answer = transport("GET", base, {"query.bibliographic": asked[:400], "rows": rows}, {}) or {}
-                        found = (answer.get("message") or {}).get("items") or answer.get("results") or []
+                        found = (answer.get("message") or {}).get("items") or []
                 except Exception:  # noqa: BLE001  a lookup that fails finds nothing
                     found = []
                 out += [(asked, i, json.dumps(x)) for i, x in enumerate(found, 1) if x]

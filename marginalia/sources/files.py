@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import short_hash, slug
-from marginalia.schemas import LINES, RUNS
+from marginalia.functions.text import short_hash, slug, strip
+from marginalia.schemas import LINES, RUNS, SEVERITIES
 
 UPLOAD_BYTES = 64 * 1024 * 1024
 LEAST_TEXT = 200
@@ -55,18 +55,26 @@ def truth_pairs(files: DataFrame) -> DataFrame:
 
 
 def truth_findings(texts: DataFrame) -> DataFrame:
-    """Findings of reviews(paper_id, text): a JSON object with findings, or a bare list. An entry that is no object, or a text
-    that is neither, ends the query with an error that names the paper. Severity defaults to major, and 'pass' goes before
-    'source_pass'."""
+    """Findings of reviews(paper_id, text): a JSON object, whose findings may be absent, or a bare list. A text that is neither,
+    findings that are no list, an entry that is no object, or a severity that is none of the three ends the query with an error
+    that names the paper. Severity defaults to major, and 'pass' goes before 'source_pass'."""
     v = F.try_parse_json("text")
-    bare = F.schema_of_variant(v).startswith("ARRAY")
-    items = F.when(bare, F.try_variant_get(v, "$", "array<variant>")).otherwise(F.try_variant_get(v, "$.findings", "array<variant>"))
+    bare, whole = F.schema_of_variant(v).startswith("ARRAY"), F.schema_of_variant(v).startswith("OBJECT")
+    inner = F.try_variant_get(v, "$.findings", "variant")
+    none = F.array().cast("array<variant>")
+    items = F.when(bare, F.try_variant_get(v, "$", "array<variant>")).when(whole & inner.isNull(), none).when(whole, F.try_variant_get(v, "$.findings", "array<variant>"))
     checked = F.coalesce(items, F.raise_error(F.concat(F.lit("no findings in the review of "), "paper_id")).cast("array<variant>"))
     rows = texts.select("paper_id", F.posexplode(checked).alias("pos", "x"))
     text = lambda path, default="": F.coalesce(F.try_variant_get("x", path, "string"), F.lit(default))
-    severity = F.when(F.schema_of_variant("x").startswith("OBJECT"), text("$.severity", "major")).otherwise(F.raise_error(F.format_string("entry %d of the review of %s is no object", F.col("pos") + 1, "paper_id")).cast("string"))
+    told = F.when(F.schema_of_variant("x").startswith("OBJECT"), text("$.severity", "major")).otherwise(F.raise_error(F.format_string("entry %d of the review of %s is no object", F.col("pos") + 1, "paper_id")).cast("string"))
+    severity = F.when(told.isin(*SEVERITIES), told).otherwise(F.raise_error(F.format_string("entry %d of the review of %s has the severity '%s', which is none of critical, major, minor", F.col("pos") + 1, "paper_id", told)).cast("string"))
     source = F.coalesce(F.try_variant_get("x", "$.pass", "string"), F.try_variant_get("x", "$.source_pass", "string"), F.lit(""))
-    return rows.select("paper_id", F.col("pos").cast("bigint").alias("ord"), severity.alias("severity"), *[text(f"$.{c}").alias(c) for c in ("category", "location", "quote", "description", "correction")], source.alias("source_pass"), F.lit("").alias("verdict"), F.lit("").alias("url"), F.lit("single_run").alias("stability"))
+    return rows.select("paper_id", F.col("pos").cast("bigint").alias("ord"), severity.alias("severity"), strip(text("$.category")).alias("category"), *[text(f"$.{c}").alias(c) for c in ("location", "quote", "description", "correction")], source.alias("source_pass"), F.lit("").alias("verdict"), text("$.url").alias("url"), F.lit("single_run").alias("stability"))
+
+
+def truth_notes(texts: DataFrame) -> DataFrame:
+    """(paper_id, notes) of reviews(paper_id, text); empty where a review has none or is a bare list."""
+    return texts.select("paper_id", F.coalesce(F.try_variant_get(F.try_parse_json("text"), "$.notes", "string"), F.lit("")).alias("notes"))
 
 
 #: An example of a human review.
@@ -79,8 +87,10 @@ def write_template(spark: SparkSession, path: str, paper: str) -> None:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of a log of JSON lines; blank and broken lines are skipped."""
-    return spark.read.schema(RUNS).option("mode", "DROPMALFORMED").json(path).where("run_id is not null").withColumn("slug", slug(F.col("paper")))
+    """Runs of a log of JSON lines, with line, which sorts them as they stand there: by file, then by place in it. Blank and
+    broken lines are skipped."""
+    rows = spark.read.schema(RUNS).option("mode", "DROPMALFORMED").json(path).withColumn("line", F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")))
+    return rows.where("run_id is not null").withColumn("slug", slug(F.col("paper")))
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
@@ -88,9 +98,27 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def history(runs: DataFrame, stored_runs: DataFrame, limit: int) -> DataFrame:
-    """The newest runs first, each with whether stored_runs(paper_slug, run_id) holds its results."""
+    """The runs that stand last in the log (line) first, each with whether stored_runs(paper_slug, run_id) holds its results."""
     have = stored_runs.select(F.col("paper_slug").alias("slug"), "run_id").distinct().withColumn("available", F.lit(True))
-    return runs.join(have, ["slug", "run_id"], "left").fillna(False, ["available"]).orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+    return runs.join(have, ["slug", "run_id"], "left").fillna(False, ["available"]).orderBy(F.desc("line")).limit(limit)
+
+
+def flattened(outputs: DataFrame) -> DataFrame:
+    """(paper_id, source_pass, place, json) of stored outputs(paper_id, source_pass, json): an object alone, a list, or an object
+    with the list 'runs', each of which may hold the others. place is the way down as an array. What is neither an object nor a
+    list is left out."""
+    left = outputs.select("paper_id", "source_pass", F.array().cast("array<int>").alias("place"), F.try_parse_json("json").alias("v"))
+    done = None
+    while True:
+        listed, kind = F.try_variant_get("v", "$.runs", "array<variant>"), F.schema_of_variant("v")
+        inner = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(kind.startswith("OBJECT"), listed)
+        step = left.withColumn("inner", inner)
+        plain = step.where(F.col("inner").isNull() & kind.startswith("OBJECT")).select("paper_id", "source_pass", "place", F.to_json("v").alias("json"))
+        done = plain if done is None else done.unionByName(plain)
+        # each turn goes one level down, of which stored outputs have three or four
+        left = step.where("inner is not null").select("paper_id", "source_pass", "place", F.posexplode("inner").alias("pos", "v")).select("paper_id", "source_pass", F.concat("place", F.array("pos")).alias("place"), "v")
+        if left.isEmpty():
+            return done
 
 
 def latest_runs(found: DataFrame, pointers: DataFrame) -> DataFrame:

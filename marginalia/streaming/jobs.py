@@ -44,10 +44,11 @@ def follow(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
 
 
 def append_run_log(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Finished runs from files of JSON, appended to the log as they come."""
+    """Finished runs from files of JSON, added to the log as they come. Each batch has a folder of its own, so that one that is
+    played again takes its own place."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").json(target)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{target}/batch={number:09d}")
 
     return spark.readStream.schema(RUNS).json(source).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -114,3 +114,15 @@ def test_strict_schema():
 def test_registered_in_sql(spark):
     fuzzy.register(spark)
     assert spark.sql("SELECT ratio('ab', 'ab') AS r").first()["r"] == 100
+
+
+WIDE = st.text(alphabet="abc é\U0001f600", max_size=150)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(WIDE, WIDE), min_size=1, max_size=6))
+def test_many_pairs_at_once(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert fuzzy.lcs_many(a, b).tolist() == [plain_lcs(x, y) for x, y in pairs]
+    assert fuzzy.ratios(a, b).tolist() == pytest.approx([fuzzy.ratio(x, y) for x, y in pairs])
+    assert fuzzy.token_set_ratios(a, b).tolist() == pytest.approx([fuzzy.token_set_ratio(x, y) for x, y in pairs])
