@@ -23,21 +23,78 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-_OP8 = """
-WITH parts AS (
-  SELECT page_id,
-         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
-  FROM pages
-), rules(kind, own, start) AS (
+def _part(of: str, n: int) -> str:
+    return f"regexp_extract({of}, '{urls.REFERENCE}', {n})"
+
+
+def _host(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+
+
+def _node(url: str) -> str:
+    return f"translate(regexp_extract({url}, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || {_host(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+
+
+def _no_dots(path: str) -> str:
+    folded = f"list_reduce(list_prepend('', string_split({path}, '/')[2:]), lambda so_far, part: CASE WHEN part = '..' THEN regexp_replace(so_far, '/[^/]*$', '') WHEN part = '.' THEN so_far ELSE so_far || '/' || part END)"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN {folded} || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {path} END"
+
+
+_QUOTED = {name: getattr(urls, name).replace("'", "''") for name in ("CANONICAL_TAG", "REFRESH_TAG", "HREF", "GOES_TO")}
+
+_OP8 = f"""
+WITH RECURSIVE rules(kind, own, start) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), html AS (
+  SELECT url, regexp_replace(html, '{urls.COMMENT}', '', 'g') AS html FROM pages WHERE contains(url, '://')
+), tags AS (
+  SELECT url, regexp_extract(html, '{_QUOTED["CANONICAL_TAG"]}', 0) AS canonical, regexp_extract(html, '{_QUOTED["REFRESH_TAG"]}', 0) AS refresh FROM html
+), links AS (
+  SELECT url, regexp_extract(canonical, '{_QUOTED["HREF"]}', 1) || regexp_extract(canonical, '{_QUOTED["HREF"]}', 2) || regexp_extract(canonical, '{_QUOTED["HREF"]}', 3) AS link FROM tags
+  UNION ALL SELECT url, regexp_extract(refresh, '{_QUOTED["GOES_TO"]}', 1) FROM tags
+), clean AS (
+  SELECT url, replace(trim(regexp_replace(link, '[\t\r\n]', '', 'g')), '&amp;', '&') AS link FROM links
+), cut AS (
+  SELECT url, {_part("link", 1)} AS scheme, {_part("link", 2)} AS host, {_part("link", 3)} AS path, {_part("link", 4)} AS query,
+         {_part("url", 1)} || ':' AS here, {_part("url", 2)} AS base_host, {_part("url", 3)} AS base, {_part("url", 4)} AS base_query
+  FROM clean WHERE link <> ''
+), whole AS (
+  SELECT *, CASE WHEN starts_with(path, '/') THEN path ELSE regexp_extract(CASE WHEN base = '' THEN '/' ELSE base END, '(?s)^(.*/)', 1) || path END AS from_base FROM cut
+), targets AS (
+  SELECT url, CASE WHEN scheme <> '' AND starts_with(host, '//') THEN scheme || ':' || host || {_no_dots("path")} || query
+                   WHEN scheme <> '' THEN NULL
+                   WHEN host <> '' THEN here || host || {_no_dots("path")} || query
+                   WHEN path = '' THEN here || base_host || base || CASE WHEN query = '' THEN base_query ELSE query END
+                   ELSE here || base_host || {_no_dots("from_base")} || query END AS to_url
+  FROM whole
+), edges AS (
+  SELECT DISTINCT {_node("url")} AS a, {_node("to_url")} AS b FROM targets WHERE to_url IS NOT NULL
+), both_ways AS (
+  SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b
+), reach(node, r) AS (
+  SELECT a, a FROM both_ways UNION SELECT e.b, reach.r FROM reach JOIN both_ways e ON e.a = reach.node WHERE reach.r < e.b
+), classes AS (
+  SELECT node, min(r) AS root FROM reach GROUP BY node
+), nodes AS (
+  SELECT node, root, {_host("node")} AS host, {_path("node")} AS path FROM classes
+), judged AS (
+  SELECT node, root, (SELECT arg_max(kind, length(own || start)) FROM rules WHERE (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)) AS said FROM nodes
+), of_class AS (
+  SELECT root, min(said) AS said FROM judged GROUP BY root
+), of_node AS (
+  SELECT j.node, c.said FROM judged j JOIN of_class c ON c.root = j.root
+), parts AS (
+  SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, CASE WHEN contains(url, '://') THEN {_node("url")} END AS node FROM pages
 ), fits AS (
   SELECT page_id, own || start AS rule, kind, row_number() OVER (PARTITION BY page_id ORDER BY length(own || start) DESC) AS nth
   FROM parts JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)
 )
--- the test pages hold no canonical links or refreshes, so no class has a verdict of its own
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.kind, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS alias_verdict
-FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.nth = 1
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.kind, n.said, 'allow') AS verdict, n.said AS alias_verdict
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.nth = 1 LEFT JOIN of_node n ON n.node = p.node
 """
 
 _OP10 = r"""

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, free_name, stored
+from marginalia.llm.common import components, free_name
+from marginalia.storage import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,8 +18,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+COMMENT = r"(?s)<!--.*?-->"
+CANONICAL_TAG = r"(?is)<link\s(?:[^>]*\s)?rel\s*=\s*[\"']?(?:[a-z-]+\s+)*canonical\b[^>]*>"
+REFRESH_TAG = r"(?is)<meta\s(?:[^>]*\s)?http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+HREF = r"(?is)[\s\"']href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+GOES_TO = r"(?is)\burl\s*=\s*['\"]?([^\"'>]*)"
+#: scheme, authority with its slashes, path, query with its mark: the parts of a reference; a fragment is left out.
+REFERENCE = r"(?s)^(?:([^:/?#]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
 
 
 def host_of(url: Column) -> Column:
@@ -41,18 +47,31 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (none, none) if rule is None else (rule, verdict)
 
 
+def _without_dots(path: Column) -> Column:
+    """path with its segments . and .. resolved."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    last = F.element_at(parts, -1)
+    done = F.aggregate(parts, F.lit(""), lambda so_far, part: F.when(part == "..", F.regexp_replace(so_far, "/[^/]*$", "")).when(part == ".", so_far).otherwise(F.concat(so_far, F.lit("/"), part)))
+    done = F.when(last.isin(".", ".."), F.concat(done, F.lit("/"))).otherwise(done)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), done).otherwise(path)
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """link as seen from url; null where there is none."""
-    scheme, host = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, PARTS, 1)
-    folder = F.regexp_extract(F.regexp_extract(url, PARTS, 2), r"(?s)^(.*/)", 1)
-    folder = F.when(folder == "", "/").otherwise(folder)
-    link = F.trim(link)
+    """link as seen from url, by the rules for references; null where there is none or it leads to no host (mailto: and the
+    like)."""
+    link = F.regexp_replace(F.trim(F.regexp_replace(link, r"[\t\r\n]", "")), "&amp;", "&")
+    part = lambda of, n: F.regexp_extract(of, REFERENCE, n)
+    scheme, host, path, query = (part(link, n) for n in range(1, 5))
+    base_path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(base_path, r"(?s)^(.*/)", 1), path))
+    here = F.concat(part(url, 1), F.lit(":"))
     return (
         F.when(link == "", None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
-        .otherwise(F.concat(scheme, F.lit("://"), host, folder, link))
+        .when((scheme != "") & host.startswith("//"), F.concat(scheme, F.lit(":"), host, _without_dots(path), query))
+        .when(scheme != "", None)
+        .when(host != "", F.concat(here, host, _without_dots(path), query))
+        .when(path == "", F.concat(here, part(url, 2), part(url, 3), F.when(query == "", part(url, 4)).otherwise(query)))
+        .otherwise(F.concat(here, part(url, 2), _without_dots(full), query))
     )
 
 
@@ -62,13 +81,15 @@ def node_of(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's url and the target of its canonical link or refresh."""
+    """(a, b): a page's url and the target of its canonical link or refresh. The first such tag outside of comments counts."""
     url, html = F.col(url_col), F.col(html_col)
-    has = lambda word: F.when(F.lower(html).contains(word), html)  # noqa: E731  most pages have neither: no pattern is run
-    canonical = F.regexp_extract(F.regexp_extract(has("canonical"), CANONICAL_TAG, 0), r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0)
-    canonical = F.regexp_replace(F.regexp_replace(canonical, r"(?is)^href\s*=\s*", ""), "[\"']", "")
-    refresh = F.regexp_extract(F.regexp_extract(has("refresh"), REFRESH_TAG, 0), r"(?is)\burl\s*=\s*['\"]?([^\"'>]*)", 1)
-    both = pages.where(url.contains("://")).select(url.alias("url"), F.explode(F.array(_absolute(canonical, url), _absolute(refresh, url))).alias("to")).where("to is not null")
+    # most pages have neither: no other pattern is run there
+    has = lambda word: F.when(F.lower(html).contains(word), F.regexp_replace(html, COMMENT, ""))
+    tag = F.regexp_extract(has("canonical"), CANONICAL_TAG, 0)
+    canonical = F.concat(*[F.regexp_extract(tag, HREF, n) for n in (1, 2, 3)])
+    refresh = F.regexp_extract(F.regexp_extract(has("refresh"), REFRESH_TAG, 0), GOES_TO, 1)
+    both = pages.where(url.contains("://")).select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
+    both = both.select("url", _absolute(F.col("link"), F.col("url")).alias("to")).where("to is not null")
     return both.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b")).where("a <> b")
 
 
@@ -76,7 +97,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataF
     """pages with five more columns: host, path, rule, verdict, and alias_verdict (what its class says, null if nothing).
 
     edges(a, b) are further alias pairs of urls, such as a crawler's redirects. Null urls and urls without '://' have an empty
-    host and path, no rule and no aliases: they get the default. Repeated rows are judged alike. Names that pages already has
+    host and path, no rule and no aliases: they get the default. Very long html is read whole. Repeated rows are judged alike. Names that pages already has
     are kept; the new columns then begin with an underscore."""
     url = F.col(url_col)
     host, path, rule, verdict, alias, node = free_name(pages, "host", "path", "rule", "verdict", "alias_verdict", "node")
