@@ -7,29 +7,36 @@ pseudonym."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from bisect import bisect_right
+from calendar import monthrange
 from collections.abc import Callable, Iterator
 from datetime import date
+from itertools import accumulate
 from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.words import Cache, slices
+from marginalia.llm.common import free_name
+from marginalia.llm.words import Cache, alone, slices
 
-ROUNDS = 8
+def rounds_of(size: int) -> int:
+    """Rounds of the network: small sets need more of them before the permutation looks like any other."""
+    return 10 if size >= 10**9 else 18 if size >= 10**6 else 36
 
 
 def permute(x: int, size: int, key: bytes, kind: bytes, back: bool = False) -> int:
     """x of 0..size-1 to another number there, one to one."""
     if size < 2:
         return x
-    side = isqrt(size - 1) + 1
+    side, rounds = isqrt(size - 1) + 1, rounds_of(size)
     while True:
         left, right = divmod(x, side)
-        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        for i in reversed(range(rounds)) if back else range(rounds):
             if back:
                 left, right = (right - _round(left, i, size, key, kind)) % side, left
             else:
@@ -127,19 +134,35 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-_FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+_FIRST_YEAR, _LAST_YEAR = 1900, 2099
+
+
+@functools.cache
+def _late_days() -> list[int]:
+    """How many days after the 12th lie before each month of the calendar's range, and in all of it."""
+    return list(accumulate([monthrange(_FIRST_YEAR + m // 12, m % 12 + 1)[1] - 12 for m in range(12 * (_LAST_YEAR - _FIRST_YEAR + 1))], initial=0))
 
 
 def _date(value: str, go) -> str | None:
+    """Year first, or day first where that is a date, or else month first. A date that only reads month first has a day after
+    the 12th, and so has its pseudonym."""
     a, sep, b, c = re.match(r"(\d+)(\D)(\d+)\D(\d+)", value).groups()
     try:
-        found = date(int(a), int(b), int(c)) if len(a) == 4 else date(int(c), int(b), int(a))
+        found, form = (date(int(a), int(b), int(c)), "ymd") if len(a) == 4 else (date(int(c), int(b), int(a)), "dmy") if int(b) <= 12 else (date(int(c), int(a), int(b)), "mdy")
     except ValueError:
         return None
-    if not _FIRST <= found.toordinal() <= _LAST:
+    if not _FIRST_YEAR <= found.year <= _LAST_YEAR:
         return None
-    new = date.fromordinal(go(found.toordinal() - _FIRST, _LAST - _FIRST + 1, b"date") + _FIRST)
-    return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if len(a) == 4 else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+    if form == "mdy":
+        month = 12 * (found.year - _FIRST_YEAR) + found.month - 1
+        x = go(_late_days()[month] + found.day - 13, _late_days()[-1], b"late")
+        month = bisect_right(_late_days(), x) - 1
+        found = date(_FIRST_YEAR + month // 12, month % 12 + 1, x - _late_days()[month] + 13)
+    else:
+        first = date(_FIRST_YEAR, 1, 1).toordinal()
+        found = date.fromordinal(go(found.toordinal() - first, date(_LAST_YEAR, 12, 31).toordinal() - first + 1, b"date") + first)
+    year, month, day = f"{found.year:04d}", f"{found.month:02d}", f"{found.day:02d}"
+    return sep.join({"ymd": (year, month, day), "dmy": (day, month, year), "mdy": (month, day, year)}[form])
 
 
 def _email(value: str, go) -> str | None:
@@ -207,15 +230,16 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
 
     A null text stays null with no kinds, an empty one empty. Texts without a value come back as they were. Rows are treated
     one by one, so ids may be null or repeat, and very long texts are read whole. The key (1 to 64 bytes) is the caller's
-    secret: it decides the pseudonyms."""
+    secret: it decides the pseudonyms. If docs has a column of kinds_col's name, the new one begins with an underscore. An empty
+    table gives an empty result."""
     if not 1 <= len(key) <= 64:
         raise ValueError("the key must have 1 to 64 bytes")
-    if kinds_col and kinds_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs has a column {kinds_col} already; name another")
+    kinds_col = free_name(docs, kinds_col)[0] if kinds_col else None
     names, place = docs.columns, docs.columns.index(text_col)
     types = [f.dataType.simpleString() for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         seen = Cache(None, 100_000)
         for b in slices(batches):
             seen.trim()
@@ -228,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
     return out.toDF(*names, kinds_col) if kinds_col else out.drop("found").toDF(*names)
 
 
-#: The key of the registered query and of the pipeline's example; a real run passes its own.
+#: The key of the registered query, and of a pipeline that is given none; a real run passes its own, as this one is public.
 EXAMPLE_KEY = b"example key, to be replaced"
 
 
