@@ -11,7 +11,6 @@ from marginalia.functions.text import checkable, clip, raw_tokens, sentences, to
 COMMON_ACADEMIC = "et al etal vs cf ibid eg ie arxiv doi isbn issn http https www pdf url dataset datasets preprint supplementary".split()
 ACRONYM = r"\(([A-Z][A-Za-z0-9]{1,9})s?\)"
 WORD = r"[A-Za-z][A-Za-z'’\-]*"
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def allowlist(papers: DataFrame, refs: DataFrame) -> DataFrame:
@@ -55,21 +54,27 @@ def candidates(sections: DataFrame, allow: DataFrame, lexicon: DataFrame, least:
     return found.select("paper_id", "section_idx", F.col("m.token").alias("token"), clip(F.col("m.sentence"), 300).alias("sentence"), F.col("m.location").alias("location"), "occurrences", "suggestion")
 
 
-def one_edit(word: Column) -> Column:
-    """All strings of small letters one deletion, swap, replacement or insertion away."""
-    n, letters = F.length(word), F.array(*map(F.lit, LETTERS))
-    head, tail = lambda i: F.substring(word, F.lit(1), i), lambda i: F.substring(word, i + 1, n)
-    spots, ends = F.sequence(F.lit(0), n - 1), F.sequence(F.lit(0), n)
-    delete = F.transform(spots, lambda i: F.concat(head(i), tail(i + 1)))
-    swap = F.transform(F.filter(spots, lambda i: i < n - 1), lambda i: F.concat(head(i), F.substring(word, i + 2, F.lit(1)), F.substring(word, i + 1, F.lit(1)), tail(i + 2)))
-    replace = F.flatten(F.transform(spots, lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i + 1)))))
-    insert = F.flatten(F.transform(ends, lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i)))))
-    return F.array_distinct(F.concat(delete, swap, replace, insert))
+def lean(word: Column) -> Column:
+    """The word and what is left of it without one letter. Words one deletion, swap, replacement or insertion apart have one of
+    these in common."""
+    spots = F.sequence(F.lit(1), F.length(word))
+    return F.array_distinct(F.concat(F.array(word), F.transform(spots, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+
+
+def one_edit_apart(word: Column, other: Column) -> Column:
+    """Whether one deletion, swap of neighbours, replacement or insertion of a small letter leads from word to other."""
+    spots = F.sequence(F.lit(1), F.length(word) - 1)
+    swapped = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.length(word)))
+    swap = (F.length(word) == F.length(other)) & (F.length(word) > 1) & (F.levenshtein(word, other) == 2) & F.exists(F.when(F.length(word) > 1, spots), lambda i: swapped(i) == other)
+    mine, theirs = (F.regexp_replace(w, "[a-z]", "") for w in (word, other))
+    return swap | (F.levenshtein(word, other) == 1) & ((F.length(theirs) < F.length(mine)) | (theirs == mine))
 
 
 def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, suggestion): of lexicon(word, frequency) the most frequent word one edit away, ties to the first in the alphabet.
-    The edits are generated and met in an equi-join; words(word) are distinct."""
-    near = words.where(F.length("word") > 0).select(F.col("word").alias("typed"), F.explode(one_edit(F.col("word"))).alias("word")).join(lexicon, "word")
-    nth = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("frequency"), "word"))
-    return near.where("typed <> word").withColumn("nth", nth).where("nth = 1").select(F.col("typed").alias("word"), F.col("word").alias("suggestion"))
+    Words meet in an equi-join of what is left of them without one letter; words(word) are distinct."""
+    typed = words.where(F.length("word") > 0).select(F.col("word").alias("typed"), F.explode(lean(F.col("word"))).alias("lean"))
+    known = lexicon.select(F.col("word").alias("known"), "frequency", F.explode(lean(F.col("word"))).alias("lean"))
+    near = typed.join(known, "lean").where(F.col("typed") != F.col("known")).where(one_edit_apart(F.col("typed"), F.col("known")))
+    nth = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("frequency"), "known"))
+    return near.withColumn("nth", nth).where("nth = 1").select(F.col("typed").alias("word"), F.col("known").alias("suggestion"))

@@ -44,26 +44,23 @@ def view(spark: SparkSession, d: str, sql: str) -> DataFrame:
 
 SEVERITY = "CASE WHEN {0} % 3 = 0 THEN 'critical' WHEN {0} % 3 = 1 THEN 'major' ELSE 'minor' END"
 FINDING = "SELECT source AS paper_id, doc_id AS ord, " + SEVERITY.format("doc_id") + """ AS severity, lang AS category,
-  'Section ' || CAST(doc_id % 2 AS STRING) AS location, substr(text, 1, 140) AS quote, substr(text, 30, 60) AS description, '' AS correction,
+  'Section ' || CAST(doc_id % 2 AS STRING) AS location, text AS quote, text AS description, '' AS correction,
   'pass' || CAST(1 + doc_id % 2 AS STRING) AS source_pass, '' AS verdict, '' AS url, 'single_run' AS stability FROM {documents}"""
 PREDICTED = FINDING + " WHERE doc_id % 5 <> 0"
 TRUTH = """SELECT d.source AS paper_id, d.doc_id AS ord, CASE WHEN l.toxic = 1 THEN 'critical' WHEN l.quality = 0 THEN 'major' ELSE 'minor' END AS severity,
-  d.lang AS category, 'Section ' || CAST(d.doc_id % 2 AS STRING) AS location, substr(d.text, 1, 140) AS quote, substr(d.text, 30, 60) AS description, 'pass1' AS source_pass
+  d.lang AS category, 'Section ' || CAST(d.doc_id % 2 AS STRING) AS location, d.text AS quote, d.text AS description, 'pass1' AS source_pass
   FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
 RUNS = "SELECT f.*, r.run_no FROM (" + FINDING + ") f CROSS JOIN (SELECT 0 AS run_no UNION ALL SELECT 1 AS run_no) r WHERE r.run_no = 0 OR f.ord % 5 <> 0"
 NL = "chr(10)"
-PAPER_TEXT = f"""'Abstract' || {NL} || substr(text, 1, 300) || {NL} || '1 Introduction' || {NL} || substr(text, 301, 200) || ' [' || CAST(doc_id % 20 + 1 AS STRING) || ', ' || CAST(doc_id % 7 + 1 AS STRING) || '-' || CAST(doc_id % 7 + 3 AS STRING) || ']. As Table 1 shows, more.'
-  || {NL} || 'Table 1. Means of all measures' || {NL} || 'a b c' || {NL} || '2.1 Results and Discussion' || {NL} || substr(text, 501, 300) || {NL} || 'Figure 2: Development over time' || {NL} || 'References' || {NL} || '[1] Belady, L. (1966). A study of replacement algorithms. Systems Journal.' || {NL} || '[2] Mattson, R. (1970). Evaluation techniques for storage hierarchies. doi:10.1000/ab.12.'"""
-PAPERS = f"SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, {PAPER_TEXT} AS text FROM {{documents}}"
-
-# The same papers of whole documents: a third of the text in each place
+# A third of a document in each of three places
 THIRD = "CAST(floor(length(text) / 3) AS INT)"
-WHOLE_TEXT = PAPER_TEXT.replace("substr(text, 1, 300)", f"substr(text, 1, {THIRD})").replace("substr(text, 301, 200)", f"substr(text, {THIRD} + 1, {THIRD})").replace("substr(text, 501, 300)", f"substr(text, 2 * {THIRD} + 1)")
-WHOLE_PAPERS = PAPERS.replace(PAPER_TEXT, WHOLE_TEXT)
+PAPER_TEXT = f"""'Abstract' || {NL} || substr(text, 1, {THIRD}) || {NL} || '1 Introduction' || {NL} || substr(text, {THIRD} + 1, {THIRD}) || ' [' || CAST(doc_id % 20 + 1 AS STRING) || ', ' || CAST(doc_id % 7 + 1 AS STRING) || '-' || CAST(doc_id % 7 + 3 AS STRING) || ']. As Table 1 shows, more.'
+  || {NL} || 'Table 1. Means of all measures' || {NL} || 'a b c' || {NL} || '2.1 Results and Discussion' || {NL} || substr(text, 2 * {THIRD} + 1) || {NL} || 'Figure 2: Development over time' || {NL} || 'References' || {NL} || '[1] Belady, L. (1966). A study of replacement algorithms. Systems Journal.' || {NL} || '[2] Mattson, R. (1970). Evaluation techniques for storage hierarchies. doi:10.1000/ab.12.'"""
+PAPERS = f"SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, {PAPER_TEXT} AS text FROM {{documents}}"
 
 
-def lines(spark: SparkSession, d: str, papers: str = WHOLE_PAPERS) -> DataFrame:
-    p = view(spark, d, papers)
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    p = view(spark, d, PAPERS)
     rows = p.select("paper_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return rows.withColumn("page", (F.floor(F.col("line_no") / 5) + 1).cast("int"))
 
@@ -188,27 +185,27 @@ def spelling_candidates(spark, d):
 LEXICON = "SELECT lower(regexp_replace(word, '[^A-Za-z]', '', 'g')) AS word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM {documents} WHERE lang = 'en')"
 
 
-@query(f"""WITH l AS (SELECT word, count(*) AS frequency FROM ({LEXICON}) WHERE length(word) BETWEEN 4 AND 7 GROUP BY word), typed AS (SELECT word FROM l WHERE frequency = 1),
-  known AS (SELECT * FROM l WHERE frequency >= 5)
-  SELECT t.word, k.word AS suggestion FROM typed t JOIN known k ON damerau_levenshtein(t.word, k.word) = 1
-  QUALIFY row_number() OVER (PARTITION BY t.word ORDER BY k.frequency DESC, k.word) = 1""")
-def spelling_suggestions(spark, d, least=4, most=7):
-    docs = view(spark, d, "SELECT text FROM {documents} WHERE lang = 'en'")
-    w = docs.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("word")).where(F.length("word") >= least)
-    n = w.where(F.length("word") <= most if most else F.lit(True)).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
-    return spelling.suggestions(n.where("frequency = 1").select("word"), n.where("frequency >= 5"))
+#: A word and what is left of it without one letter: words one edit apart have one of these in common.
+LEAN = "SELECT word, unnest(list_concat([word], [substr(word, 1, i - 1) || substr(word, i + 1) FOR i IN range(1, length(word) + 1)])) AS lean FROM "
 
 
-@query()
-def spelling_suggestions_any_length(spark, d):
-    return spelling_suggestions(spark, d, 1, None)
+@query(f"""WITH l AS (SELECT word, count(*) AS frequency FROM ({LEXICON}) WHERE word <> '' GROUP BY word), typed AS (SELECT word FROM l WHERE frequency = 1),
+  known AS (SELECT * FROM l WHERE frequency >= 5), near AS (SELECT DISTINCT t.word, k.word AS suggestion FROM ({LEAN} typed) t JOIN ({LEAN} known) k USING (lean))
+  SELECT n.word, n.suggestion FROM near n JOIN known k ON k.word = n.suggestion WHERE damerau_levenshtein(n.word, n.suggestion) = 1
+  QUALIFY row_number() OVER (PARTITION BY n.word ORDER BY k.frequency DESC, n.suggestion) = 1""")
+def spelling_suggestions(spark, d):
+    docs = view(spark, d, "SELECT text FROM {documents} WHERE lang = 'en'")
+    w = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    w = w.select(F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("word"), "n").where("word <> ''")
+    n = stored(w.groupBy("word").agg(F.sum("n").alias("frequency")), "words")
+    return spelling.suggestions(n.where("frequency = 1").select("word"), n.where("frequency >= 5"))
 
 
 @query()
 def section_spelling(spark, d):
     s = sections.sections(lines(spark, d))
     refs = references.references(s)
-    allow = spelling.allowlist(view(spark, d, WHOLE_PAPERS), refs)
+    allow = spelling.allowlist(view(spark, d, PAPERS), refs)
     t = spelling.tokens(s).groupBy(F.lower("token").alias("word")).agg(F.count_distinct("paper_id").alias("n")).where("n >= 3").select("word")
     return spelling.candidates(s, allow, t)
 
@@ -230,14 +227,14 @@ HEADINGS_SQL = rf"""h0 AS (SELECT paper_id, line_no, trim(text) AS t FROM lines
 
 
 @query(f"WITH {LINES_SQL}, {HEADINGS_SQL} SELECT paper_id, CAST(section_idx AS BIGINT) AS section_idx, number, title, label, kind, text, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page FROM sections")
-def paper_sections(spark, d, papers=PAPERS):
-    s = sections.sections(lines(spark, d, papers))
+def paper_sections(spark, d):
+    s = sections.sections(lines(spark, d))
     return s.withColumns({c: F.col(c).cast("bigint") for c in ("section_idx", "start_page", "end_page")})
 
 
 @query(f"WITH {LINES_SQL}, {HEADINGS_SQL} SELECT paper_id, label FROM sections WHERE kind NOT IN ('references', 'back_matter') AND length(trim(text)) > 200")
-def reviewable_sections(spark, d, papers=PAPERS):
-    return sections.reviewable(sections.sections(lines(spark, d, papers))).select("paper_id", "label")
+def reviewable_sections(spark, d):
+    return sections.reviewable(sections.sections(lines(spark, d))).select("paper_id", "label")
 
 
 INVENTORY = "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, n.ord, n.number, n.title FROM {documents} CROSS JOIN (SELECT 1 AS ord, '' AS number, 'abstract' AS title UNION ALL SELECT 2 AS ord, '1' AS number, 'Introduction' AS title UNION ALL SELECT 3 AS ord, '' AS number, 'References' AS title UNION ALL SELECT 4 AS ord, '' AS number, 'No such' AS title) n"
@@ -254,34 +251,25 @@ def sections_from_inventory(spark, d):
   named AS (SELECT DISTINCT s.paper_id, m.k || ' ' || m.n AS id FROM (SELECT paper_id, unnest(string_split(text, {NL})) AS line FROM sections WHERE kind <> 'references') s, LATERAL (SELECT regexp_extract(line, '\b(Figure|Table)s?\.?\s*(\d+)\b', ['k', 'n']) AS m) x
             WHERE m.k <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.paper_id = s.paper_id AND c.text = s.line))
   SELECT paper_id, lower(m.k) AS kind, m.k || ' ' || m.n AS id, trim(m.c) AS caption, CAST(page AS BIGINT) AS page, (paper_id, m.k || ' ' || m.n) IN (SELECT (paper_id, id) FROM named) AS referenced_in_text FROM c""")
-def paper_captions(spark, d, papers=PAPERS):
-    own = lines(spark, d, papers)
+def paper_captions(spark, d):
+    own = lines(spark, d)
     found = captions.with_mentions(captions.captions(own), captions.mentions(own, sections.sections(own)))
     return found.withColumn("page", F.col("page").cast("bigint"))
 
 
 @query(f"""WITH {LINES_SQL}, spot AS (SELECT paper_id, min(line_no) AS spot FROM lines WHERE text LIKE 'Table 1%' OR contains(text, 'Means of all measures') GROUP BY paper_id)
   SELECT l.paper_id, 'Table 1' AS id, string_agg(text, {NL} ORDER BY line_no) AS text FROM lines l JOIN spot USING (paper_id) WHERE line_no BETWEEN greatest(0, spot - 2) AND spot + 39 GROUP BY l.paper_id""")
-def table_windows(spark, d, papers=PAPERS):
-    own = lines(spark, d, papers)
+def table_windows(spark, d):
+    own = lines(spark, d)
     return captions.table_windows(own, captions.captions(own))
 
 
 @query(f"WITH {LINES_SQL}, {HEADINGS_SQL}, c AS (SELECT paper_id, page, regexp_extract(text, '^((Figure|Table) \\d+)[.:] ', 1) AS id FROM lines WHERE regexp_matches(text, '^(Figure|Table) \\d+[.:] ')) SELECT s.paper_id, CAST(section_idx AS BIGINT) AS section_idx, c.id FROM sections s JOIN c ON s.paper_id = c.paper_id AND c.page BETWEEN s.start_page AND s.end_page")
-def captions_by_section(spark, d, papers=PAPERS):
-    own = lines(spark, d, papers)
+def captions_by_section(spark, d):
+    own = lines(spark, d)
     return captions.per_section(captions.captions(own), sections.sections(own)).select("paper_id", F.col("section_idx").cast("bigint").alias("section_idx"), "id")
 
 
-def _on_whole_papers(name: str) -> None:
-    QUERIES[f"whole_{name}"] = lambda spark, d: QUERIES[name](spark, d, WHOLE_PAPERS)
-    ORACLES[f"whole_{name}"] = ORACLES[name].replace(PAPER_TEXT, WHOLE_TEXT)
-
-
-for _name in ("paper_sections", "reviewable_sections", "paper_captions", "table_windows", "captions_by_section"):
-    _on_whole_papers(_name)
-
-
 # References -----------------------------------------------------------------------------------------------------------------
 
 ENTRIES = """SELECT 'p' || CAST(item_id % 4 AS STRING) AS paper_id, CAST(item_id AS INT) AS pos, CASE WHEN item_id % 2 = 0 THEN '[' || CAST(item_id + 1 AS STRING) || '] ' ELSE '' END
@@ -421,7 +409,7 @@ def findings_export(spark, d):
     return report.export(view(spark, d, FINDING)).select("paper_id", "pass", "severity", "quote", "description")
 
 
-TRIAGE = """SELECT source AS paper_id, doc_id AS entry, 'Section ' || CAST(doc_id % 4 AS STRING) AS section, substr(text, 1, 40) AS quote, CASE doc_id % 3 WHEN 0 THEN 'typo' WHEN 1 THEN 'inconsistent' ELSE 'domain_term' END AS classification FROM {documents}"""
+TRIAGE = """SELECT source AS paper_id, doc_id AS entry, 'Section ' || CAST(doc_id % 4 AS STRING) AS section, text AS quote, CASE doc_id % 3 WHEN 0 THEN 'typo' WHEN 1 THEN 'inconsistent' ELSE 'domain_term' END AS classification FROM {documents}"""
 
 
 @query("""WITH t AS (""" + TRIAGE + """) SELECT paper_id, 'major' AS severity, 'grammar' AS category, section AS location, quote, 'd' AS description FROM t
@@ -508,9 +496,13 @@ def confusion_by_paper(spark, d):
     return calibrate.by_paper(rows)
 
 
+PASSAGE = "substr(text, 1 + CAST(doc_id % 3 AS INT) * 140, 140) AS quote, substr(text, 30, 60) AS description"
+
+
 @query()
 def greedy_matches(spark, d):
-    t, p = view(spark, d, TRUTH), view(spark, d, FINDING)
+    """A reviewer quotes a passage, not a document: these findings quote 140 letters from one of three places."""
+    t, p = (view(spark, d, x.replace("d.text", "text").replace("text AS quote, text AS description", PASSAGE.replace("doc_id", "d.doc_id") if "d.doc_id" in x else PASSAGE)) for x in (TRUTH, FINDING))
     return calibrate.assign(calibrate.pairs(t, p))
 
 
@@ -600,7 +592,7 @@ def requests_pass1(spark, d):
     own = lines(spark, d)
     s = sections.sections(own)
     caps = captions.per_section(captions.captions(own), s)
-    words = spelling.candidates(s, spelling.allowlist(view(spark, d, WHOLE_PAPERS), references.references(s)), spelling.tokens(s).select(F.lower("token").alias("word")).groupBy("word").count().where("count >= 5").select("word"))
+    words = spelling.candidates(s, spelling.allowlist(view(spark, d, PAPERS), references.references(s)), spelling.tokens(s).select(F.lower("token").alias("word")).groupBy("word").count().where("count >= 5").select("word"))
     return payloads.pass1(s, caps, words, spark.createDataFrame([], "paper_id string, json string"))
 
 

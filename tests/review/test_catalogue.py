@@ -34,14 +34,14 @@ def test_query(spark, name):
 
 def test_papers_hold_whole_documents(spark):
     documents = spark.read.parquet(f"{D}/documents.parquet")
-    papers = {r["doc_id"]: r["text"] for r in catalogue.view(spark, D, catalogue.WHOLE_PAPERS).collect()}
+    papers = {r["doc_id"]: r["text"] for r in catalogue.view(spark, D, catalogue.PAPERS).collect()}
     for r in documents.select("doc_id", "text").collect():
         n = len(r["text"]) // 3
         for part in (r["text"][:n], r["text"][n : 2 * n], r["text"][2 * n :]):
             assert part in papers[r["doc_id"]]
     longest = max(len(r["text"]) for r in documents.collect())
     assert longest > 10_000
-    text = catalogue.QUERIES["whole_paper_sections"](spark, D).selectExpr("max(length(text)) AS n").first()["n"]
+    text = catalogue.QUERIES["paper_sections"](spark, D).selectExpr("max(length(text)) AS n").first()["n"]
     assert text >= longest // 4
 
 
@@ -64,5 +64,5 @@ def test_suggestions_for_words_of_any_length(spark, tmp_path):
     for t in typed:
         if found := [(-n, k) for k, n in known.items() if near(t, k)]:
             want[t] = min(found)[1]
-    got = {r["word"]: r["suggestion"] for r in catalogue.QUERIES["spelling_suggestions_any_length"](spark, str(tmp_path)).collect()}
+    got = {r["word"]: r["suggestion"] for r in catalogue.QUERIES["spelling_suggestions"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 8
