@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -57,11 +56,6 @@ def alone(cache: Cache | None = None) -> None:
     pa.default_memory_pool().release_unused()
 
 
-def hashes() -> Cache:
-    """Of words to 64-bit hashes."""
-    return Cache(xxhash.xxh3_64_intdigest)
-
-
 def numbers(words: list[bytes], cache: Cache, dtype=np.uint64) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype, len(words))
 
