@@ -126,7 +126,9 @@ def plain_rake(cells, dims, aims, most, steps):
     return w
 
 
-def test_raking_equals_a_plain_loop(spark):
+@pytest.mark.parametrize("most", [mixing.CELLS_IN_ONE_TASK, 0])
+def test_raking_equals_a_plain_loop(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "CELLS_IN_ONE_TASK", most)
     cells = {("a", "x"): 50, ("a", "y"): 10, ("b", "x"): 5, ("b", "y"): 35}
     df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "s string, l string, tokens long")
     got = {(r["s"], r["l"]): r["share"] for r in mixing.rake(df, ["s", "l"], {"s": {"a": 1.0, "b": 3.0}, "l": {"x": 1.0, "y": 1.0}}, 0.5, 0.3).collect()}
@@ -134,6 +136,32 @@ def test_raking_equals_a_plain_loop(spark):
     assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_raking_says_what_it_cannot_meet(spark):
+    df = spark.createDataFrame([("a", "x", 50), ("b", "y", 50)], "s string, l string, tokens long")
+    with pytest.warns(UserWarning, match="settled"):
+        mixing.rake(df, ["s", "l"], {"s": {"a": 0.9, None: 0.1}, "l": {"x": 0.1, "y": 0.9}}, 0.5, 0.1, batches=1)
+
+
+def test_topics(spark):
+    texts = ["plain prose", "a License", "mail a@b or c@d, license", "*** $$$ @", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.topic_of(F.col("text"))).collect()]
+    assert got == ["prose", "licence", "contact", "markup", "prose", "prose"]
+    assert spark.createDataFrame([("one two two",)], "text string").select(mixing.topic_of(F.col("text"), {"b": ["one"], "a": ["two"]}, "none")).first()[0] == "a"
+
+
+def test_mixing_query_meets_its_targets(spark):
+    got = mixing.op6(spark, "/root/testdata/sf0.01").toPandas()
+    weight, total = got["probability"] * got["tokens"], 0.5 * got["tokens"].sum()
+    assert weight.sum() == pytest.approx(total, rel=1e-3)
+    for d in ("lang", "topic"):
+        wanted, held = mixing.TARGETS[d], got.groupby(d)["tokens"].sum() / total
+        level, full = 0.0, set()
+        for _ in held:
+            level = (1 - held[list(full)].sum()) / sum(wanted[v] for v in held.index if v not in full)
+            full |= {v for v in held.index if wanted[v] * level >= held[v]}
+        assert dict(weight.groupby(got[d]).sum() / total) == pytest.approx({v: min(held[v], level * wanted[v]) for v in held.index}, abs=3e-3)
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, 5.0), (None, "", "s", None, 1.0), (3, "a b", "s", "en", 2.0), (3, "a b", "s", "en", 2.0)], "doc_id long, text string, source string, lang string, probability double")
     out = mixing.mix(docs, budget=1.0)
@@ -211,10 +239,72 @@ def test_allow_goes_before_block_in_a_class(spark):
     assert {r["verdict"] for r in urls.judge_urls(pages, []).collect()} == {"allow"}
 
 
+PAGES = [
+    ("http://a.net/x/1", link("../2")), ("http://a.net/2", link("http://bad.org/1")), ("http://a.net/x/3", link("#top")), ("http://a.net/x/4", link("mailto:me@bad.org")), ("http://a.net/x/5", link("javascript:go()")),
+    ("http://a.net/x/6", "<!-- " + link("http://bad.org/6") + " -->"), ("http://a.net/x/7", '<link rel="canonical" data-href="http://bad.org/7" href="http://good.com/7">'), ("http://a.net/x/8?a=1", link("?a=1&amp;b=2")),
+    ("http://a.net/x/8?a=1&b=2", link("//BAD.org")), ("http://a.net", link("y/./z/..")), ("http://a.net/y/", '<META content="5; URL=/x/../x/9" http-equiv=refresh>'), ("http://a.net/x/9", link("http://bad.org/9")),
+    ("http://a.net/x/10", "<a title='rel=canonical' href='http://bad.org'>" + "long " * 50_000), ("http://a.net/es/1", link("http://good.com/")), (None, link("http://bad.org")), ("http://a.net/x/1", None),
+]
+
+
+def test_links_are_resolved(spark):
+    got = {(r["a"], r["b"]) for r in urls.alias_edges(spark.createDataFrame(PAGES, "url string, html string")).collect()}
+    a = "http://a.net"
+    assert got == {
+        (f"{a}/x/1", f"{a}/2"), (f"{a}/2", "http://bad.org/1"), (f"{a}/x/7", "http://good.com/7"), (f"{a}/x/8?a=1", f"{a}/x/8?a=1&b=2"), (f"{a}/x/8?a=1&b=2", "http://bad.org"), (a, f"{a}/y/"), (f"{a}/y/", f"{a}/x/9"), (f"{a}/x/9", "http://bad.org/9"),
+        (f"{a}/es/1", "http://good.com/"),
+    }
+
+
+def test_the_sql_of_url_classes(spark, tmp_path):
+    import duckdb
+
+    from marginalia.llm import queries
+
+    pages = [(i, u.replace("bad.org", "bad.net/fr").replace("good.com", "www.example.com/en") if u else u, h.replace("bad.org", "bad.net/fr").replace("good.com", "www.example.com/en") if h else h) for i, (u, h) in enumerate(PAGES)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    out = urls.op8(spark, str(tmp_path))
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = sorted(db.sql(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLES['op8_redirect_classes']})").fetchall(), key=str)
+    assert got == want and {g[-1] for g in got} == {None, "allow", "block"}
+
+
+def _components(edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in list(up)}
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(5, 5), (None, 3)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame([*edges, (5, 5), (None, 3)], "a long, b long")).collect()}
+    assert got == _components(edges)
+
+
+@pytest.mark.parametrize("n", [120, 5000])
+def test_components_of_shuffled_chains_and_bands(spark, n):
+    names = random.Random(n).sample(range(10 * n), n)
+    third = n // 3
+    edges = list(zip(names[:third], names[1:third])) + [(names[third + i], names[third + i + k]) for i in range(third - 4) for k in range(1, 5)] + [(names[2 * third], x) for x in names[2 * third + 1 :]]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)}
+    assert got == _components(edges)
+
+
+def test_a_long_chain_of_redirects(spark):
+    names = [f"http://h{i}.net/p" for i in random.Random(3).sample(range(10_000), 200)]
+    pages = [(i, a, f'<meta http-equiv="refresh" content="0; url={b}">') for i, (a, b) in enumerate(zip(names, [*names[1:], "http://bad.org/"]))]
+    assert {r["verdict"] for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()} == {"block"}
 
 
 # Repeats --------------------------------------------------------------------------------------------------------------------
@@ -282,8 +372,8 @@ def test_repeats_across_tiles(spark, monkeypatch):
     texts = [(t or "").encode() for _, t in repeat_rows()]
     found = defaultdict(list)
     for lot in suffix._tiles(texts, 200):
-        part, first, starts, name, own = suffix.contexts_of([t for _, _, t in lot], 200)
-        for p, f, n, h, c in zip(part, first, starts, name, own, strict=True):
+        part, first, starts, name, *_ = suffix.contexts_of([t for _, _, t in lot], 200)
+        for p, f, n, h in zip(part, first, starts, name, strict=True):
             i, base, _ = lot[p]
             found[i].append((base + f, n, h))
             t = texts[i]

@@ -1,9 +1,12 @@
 """Quality rules, toxicity, pseudonyms and packing against plain versions on small inputs."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from datetime import date
 
 import numpy as np
 import pytest
@@ -85,8 +88,34 @@ def test_quality_without_rows_labels_or_free_names(spark):
     assert quality.judge(none, model, ["doc_id"]).count() == 0
     odd = spark.createDataFrame([(1, "a " * 20 + " ".join(map(str, range(60))), 5, True)], "doc_id long, text string, n_words int, kept boolean")
     assert quality.keep_good(odd, labels).columns == odd.columns
-    with pytest.raises(ValueError, match="n_words"):
-        quality.judge(odd, model, ["doc_id", "n_words"])
+    assert quality.judge(odd, model, ["doc_id", "n_words"]).columns[:3] == ["doc_id", "n_words", "_n_words"]
+
+
+def plain_threshold(scores, good, lost):
+    best, cut = 0.0, math.inf
+    for c in sorted(set(scores)):
+        caught, wrong = (sum(s > c for s, g in zip(scores, good) if g == kind) / sum(g == kind for g in good) for kind in (False, True))
+        if wrong <= lost and caught - wrong > best:
+            best, cut = caught - wrong, c
+    return cut
+
+
+def test_threshold_equals_a_plain_search():
+    random_ = np.random.default_rng(8)
+    for lost in (0.0, 0.02, 0.3):
+        good = random_.random(300) < 0.7
+        scores = np.round(random_.normal(np.where(good, 0.4, 0.55), 0.08), 2)
+        cut, want = quality.calibrate(scores, good, lost), plain_threshold(scores.tolist(), good.tolist(), lost)
+        assert [s > cut for s in scores] == [s > want for s in scores]
+    assert quality.calibrate(scores, np.ones(300, bool), 0.1) == math.inf
+
+
+def test_quality_takes_the_worse_of_two_labels(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(60 + i % 9)) + " #$%" * (40 * (i % 5 == 0))) for i in range(200)], DOCS)
+    labels = [(i, int(i % 5 != 0)) for i in range(200)]
+    one = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    two = quality.fit(docs, spark.createDataFrame(labels + [(i, 1) for i in range(200)], "doc_id long, quality int"))
+    assert one.threshold == two.threshold
 
 
 # Toxicity -------------------------------------------------------------------------------------------------------------------
@@ -123,6 +152,39 @@ def test_toxicity_without_positives(spark):
     assert 0 <= model.score(b"anything at all") < 0.6
 
 
+def plain_risk(w, x, positive, prior):
+    """Both parts of the risk, document by document."""
+    loss = lambda z, sign: math.log1p(math.exp(-sign * z))
+    z = [w @ row for row in x]
+    n, m = positive.sum(), (~positive).sum()
+    first = prior * sum(loss(v, 1) for v, p in zip(z, positive) if p) / n
+    return first, sum(loss(v, -1) for v, p in zip(z, positive) if not p) / m - prior * sum(loss(v, -1) for v, p in zip(z, positive) if p) / n
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_risk_and_its_step_equal_plain_ones(prior):
+    random_ = np.random.default_rng(6)
+    x, positive = random_.normal(size=(40, 3)), np.arange(40) < 15
+    x[positive] += 1.5
+    w = np.array([0.8, 0.7, 0.9])
+    first, rest = plain_risk(w, x, positive, prior)
+    got, grad = toxicity.risk(x @ w, positive, prior)
+    assert got == pytest.approx(rest) and (rest < 0) == (prior == 0.9)
+    for k in range(3):
+        up, down = (plain_risk(w + e * np.eye(3)[k], x, positive, prior) for e in (1e-5, -1e-5))
+        slope = (sum(up) - sum(down)) / 2e-5 if rest >= 0 else -(up[1] - down[1]) / 2e-5
+        assert x[:, k] @ grad == pytest.approx(slope, rel=1e-4)
+
+
+def test_toxicity_of_several_labels_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} " + "vile " * (i % 2) + "long " * (20_000 * (i == 3)), 0.0) for i in range(80)], "doc_id long, text string, score double")
+    labels = [(i, i % 2) for i in range(80)]
+    one = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    two = toxicity.fit(docs, spark.createDataFrame([(i, 0) for i in range(80)] + labels, "doc_id long, toxic int"))
+    assert one == two
+    assert toxicity.score(docs, one, ["doc_id", "score"]).columns == ["doc_id", "score", "_score", "predicted"]
+
+
 def test_non_negative_risk_falls():
     random_ = np.random.default_rng(2)
     rows = [np.unique(random_.integers(0, 50, 10)) for _ in range(400)]
@@ -136,7 +198,7 @@ def test_non_negative_risk_falls():
 # Pseudonyms -----------------------------------------------------------------------------------------------------------------
 
 KEY = b"test key"
-VALUES = ["4041894974608795", "4041 8949 7460 8795", "+1 (988) 555-2485", "+1 (017) 555-7713", "212-555-0123", "70.123.182.155", "2024-02-29", "29/02/2024", "123-45-6789", "DE89 3704 0044 0532 0130 00", "bosbt.42@mail8.example.com"]
+VALUES = ["4041894974608795", "4041 8949 7460 8795", "+1 (988) 555-2485", "+1 (017) 555-7713", "212-555-0123", "70.123.182.155", "2024-02-29", "29/02/2024", "12/31/2024", "02-29-2000", "123-45-6789", "DE89 3704 0044 0532 0130 00", "bosbt.42@mail8.example.com"]
 
 
 @pytest.mark.parametrize("value", VALUES)
@@ -151,7 +213,7 @@ def test_pseudonym_keeps_format_and_can_be_undone(value):
     assert len(pii.pseudonyms(new, KEY)[1]) == 2  # what validated the value validates its pseudonym
 
 
-@pytest.mark.parametrize("text", ["4041894974608796", "2023-02-29", "300.1.1.1", "000-12-3456", "version 1.2.3.4.5", "abc 12345", "a@b", "GB00 1234 5678 9012"])
+@pytest.mark.parametrize("text", ["4041894974608796", "2023-02-29", "300.1.1.1", "000-12-3456", "13/32/2024", "31/04/2024", "02/30/2024", "version 1.2.3.4.5", "abc 12345", "a@b", "GB00 1234 5678 9012"])
 def test_invalid_values_stay(text):
     assert pii.pseudonyms(text, KEY) == (text, [])
 
@@ -164,6 +226,31 @@ def test_permutation(size, data):
     assert 0 <= y < size and pii.permute(y, size, KEY, b"k", back=True) == x
 
 
+def plain_permutation(x, size, key, kind):
+    """The network written out: two halves of a square, a keyed hash of one added to the other, again while outside the set."""
+    side = next(n for n in range(1, size + 1) if n * n >= size)
+    while True:
+        a, b = x // side, x % side
+        for i in range(10 if size >= 10**9 else 18 if size >= 10**6 else 36):
+            number = int(hashlib.blake2b(kind + b"|" + str(size).encode() + b"|" + str(i).encode() + b"|" + str(b).encode(), key=key, digest_size=16).hexdigest(), 16)
+            a, b = b, (a + number) % side
+        x = a * side + b
+        if x < size:
+            return x
+
+
+@pytest.mark.parametrize("size", [2, 30, 997, 73_049])
+def test_permutation_equals_a_plain_one(size):
+    assert all(pii.permute(x, size, KEY, b"k") == plain_permutation(x, size, KEY, b"k") for x in range(0, size, max(1, size // 60)))
+
+
+def test_dates_that_only_read_month_first():
+    days = [d for d in range(date(1999, 1, 1).toordinal(), date(2001, 1, 1).toordinal()) if date.fromordinal(d).day > 12]
+    new = [pii.pseudonyms(f"{date.fromordinal(d):%m/%d/%Y}", KEY)[0] for d in days]
+    assert len(set(new)) == len(days) and all(int(x[3:5]) > 12 for x in new)
+    assert [pii.pseudonyms(x, KEY, back=True)[0] for x in new] == [f"{date.fromordinal(d):%m/%d/%Y}" for d in days]
+
+
 def test_permutation_is_one_to_one():
     assert sorted(pii.permute(x, 997, KEY, b"k") for x in range(997)) == list(range(997))
 
@@ -178,8 +265,9 @@ def test_pseudonymise_table(spark):
     back = {r["found"]: r["text"] for r in pii.pseudonymise(pii.pseudonymise(docs, KEY, kinds_col=None), KEY, back=True).collect()}
     assert back["e"] == long and back["c"] == "at 70.123.182.155"
     assert pii.pseudonymise(docs.where("false"), KEY).count() == 0
+    assert pii.pseudonymise(docs, KEY, kinds_col="FOUND").columns == ["doc_id", "text", "found", "_FOUND"]
     with pytest.raises(ValueError):
-        pii.pseudonymise(docs, KEY, kinds_col="FOUND")
+        pii.pseudonymise(docs, b"")
 
 
 # Packing --------------------------------------------------------------------------------------------------------------------
