@@ -596,6 +596,75 @@ def requests_pass1(spark, d):
     return payloads.pass1(s, caps, words, spark.createDataFrame([], "paper_id string, json string"))
 
 
+def _asked(requests: DataFrame) -> DataFrame:
+    return requests.select("paper_id", "label", "payload", "request_hash")
+
+
+def _asked_sql(pass_: str, label: str, rows: str) -> str:
+    """rows gives paper_id and payload."""
+    return f"SELECT paper_id, '{label}' AS label, payload, sha256('{pass_}' || chr(1) || '{label}' || chr(1) || payload) AS request_hash FROM ({rows}) asked"
+
+
+def _cut_sql(text: str, most: int) -> str:
+    return f"CASE WHEN length({text}) <= {most} THEN {text} ELSE substr({text}, 1, {most}) || {NL} || '[... truncated ...]' END"
+
+
+PARTS = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 0 AS section_idx, '' AS number, '3 Results' AS label, CASE WHEN doc_id % 2 = 0 THEN 'results' ELSE 'other' END AS kind, text, 1 AS start_page, 2 AS end_page FROM {documents}
+  UNION ALL SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 1 AS section_idx, '' AS number, '1 Introduction' AS label, CASE WHEN doc_id % 3 = 0 THEN 'introduction' ELSE 'method' END AS kind, text || text AS text, 2 AS start_page, 3 AS end_page FROM {documents}"""
+PART_SQL = f"'=== ' || label || ' (pages ' || start_page || '-' || end_page || ') ===' || {NL} || " + _cut_sql("text", 24_000)
+
+
+@query(_asked_sql("pass2", "pass2:consistency", f"""WITH parts AS ({PARTS}), own AS (SELECT paper_id, string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS body FROM parts WHERE kind = 'results' GROUP BY paper_id),
+  half AS (SELECT 'd' || doc_id AS paper_id, doc_id, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS h FROM {{documents}})
+  SELECT half.paper_id, CASE WHEN body IS NULL THEN 'NOTE: the abstract/results/discussion/conclusion sections could not be identified. Record this in `limitations`.' || {NL} || {NL} ELSE '' END || '=== PASS 0 INVENTORY ===' || {NL} || CASE WHEN doc_id % 5 = 0 THEN '{{"note": "Pass 0 output unavailable"}}' ELSE '{{"n": 1}}' END || {NL} || {NL}
+    || coalesce(body, '=== PAPER TEXT (second half; section split unavailable) ===' || {NL} || {_cut_sql("h", 48_000)}) || {NL} || {NL} || '=== TABLE CONTENTS (text around each table caption) ===' || {NL} || CASE WHEN doc_id % 4 = 0 THEN 'a' || {NL} || {NL} || 'b' ELSE '' END AS payload FROM half LEFT JOIN own USING (paper_id)"""))
+def requests_pass2(spark, d):
+    papers = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, text FROM {documents}")
+    tables = papers.where("doc_id % 4 = 0").select("paper_id", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("text")).withColumn("id", F.col("text"))
+    known = papers.where("doc_id % 5 <> 0").select("paper_id", F.lit('{"n": 1}').alias("json"))
+    return _asked(payloads.pass2(papers.select("paper_id", "text"), view(spark, d, PARTS), tables, known))
+
+
+@query(f"""WITH e AS ({ENTRIES}), n AS (SELECT paper_id, pos, CASE WHEN entry LIKE '[%' THEN CAST(regexp_extract(entry, '^\\[(\\d+)\\]', 1) AS INT) ELSE pos + 1 END AS ref_index, regexp_replace(entry, '^\\[\\d+\\]\\s+', '') AS raw, row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1 AS k FROM e),
+  b AS (SELECT paper_id, 'pass3:references ' || (k // 3 + 1) AS label, '=== BIBLIOGRAPHY ENTRIES WITH LOOKUP RESULTS ===' || {NL} || '[' || string_agg('{{"ord":' || (pos + 1) || ',"ref_index":' || ref_index || ',"raw":"' || raw || '"}}', ',' ORDER BY pos) || ']' AS payload FROM n GROUP BY paper_id, k // 3)
+  SELECT paper_id, label, payload, sha256('pass3' || chr(1) || label || chr(1) || payload) AS request_hash FROM b""")
+def requests_pass3(spark, d):
+    return _asked(payloads.pass3(references.batches(references.numbered_entries(view(spark, d, SPARK_ENTRIES)), 3)))
+
+
+@query(_asked_sql("pass4", "pass4:claims", f"""WITH parts AS ({PARTS}), wanted AS (SELECT * FROM parts WHERE kind = 'introduction' UNION ALL SELECT * FROM parts p WHERE length(trim(text)) > 200 AND NOT EXISTS (SELECT 1 FROM parts q WHERE q.paper_id = p.paper_id AND q.kind = 'introduction'))
+  SELECT paper_id, '=== RESEARCH QUESTIONS (from Pass 0) ===' || {NL} || CASE WHEN CAST(substr(paper_id, 2) AS BIGINT) % 2 = 0 THEN '["why?"]' ELSE '[]' END || {NL} || {NL} || '=== TEXT ===' || {NL} || string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS payload FROM wanted GROUP BY paper_id"""))
+def requests_pass4(spark, d):
+    asked = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, '[\"why?\"]' AS json FROM {documents} WHERE doc_id % 2 = 0")
+    return _asked(payloads.pass4_claims(view(spark, d, PARTS), asked))
+
+
+CLAIMS = "SELECT 'p' || CAST(doc_id % 8 AS STRING) AS paper_id, doc_id AS ord, 'claim ' || CAST(doc_id % 7 AS STRING) AS claim_quote, 'p. 1' AS location, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'q' || CAST(doc_id % 5 AS STRING) END AS search_query FROM {documents}"
+RESULTS = "SELECT DISTINCT 'q' || CAST(doc_id % 4 AS STRING) AS query, CAST(doc_id % 9 AS INT) AS rank, 't' || CAST(doc_id % 9 AS STRING) AS title, 'u' AS url, 's' AS snippet FROM {documents}"
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN search_query = '' THEN claim_quote ELSE search_query END AS query FROM ({CLAIMS}) x QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ord) <= 25),
+  r AS (SELECT query, string_agg(title, ',' ORDER BY rank) AS titles FROM ({RESULTS}) y WHERE rank <= 5 GROUP BY query) SELECT paper_id, ord, c.query, coalesce(titles, '') AS titles FROM c LEFT JOIN r ON r.query = c.query""")
+def claims_searched(spark, d):
+    c = payloads.searched_claims(view(spark, d, CLAIMS), view(spark, d, RESULTS))
+    return c.select("paper_id", "ord", "query", F.coalesce(F.array_join(F.col("results.title"), ","), F.lit("")).alias("titles"))
+
+
+@query(f"SELECT paper_id, ord, '' AS source_url, 'no_search_tool - suggested query: ' || search_query AS source_says, 'could_not_verify' AS verdict FROM ({CLAIMS}) c")
+def claims_without_search(spark, d):
+    return payloads.without_search(view(spark, d, CLAIMS)).select("paper_id", "ord", "source_url", "source_says", "verdict")
+
+
+@query(_asked_sql("synthesis", "synthesis", f"""WITH f AS (SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 2 ELSE 3 END AS rank FROM ({PLANTED}) x),
+  j AS (SELECT paper_id, '[' || string_agg('{{"severity":"' || severity || '","category":"' || category || '","location":"' || location || '","quote":"' || quote || '","description":"' || description || '"}}', ',' ORDER BY rank, source_pass, category, location, ord) || ']' AS found FROM f GROUP BY paper_id),
+  a AS (SELECT paper_id, string_agg('- ' || ord, {NL} ORDER BY ord) AS audit FROM f WHERE k = 2 AND g % 20 < 10 GROUP BY paper_id)
+  SELECT j.paper_id, '=== MERGED FINDINGS (deduplicated across repeated runs) ===' || {NL} || {_cut_sql("found", 40_000)} || {NL} || {NL} || '=== REFERENCE AUDIT ===' || {NL} || coalesce(audit, '- No bibliography entries were checked.') || {NL} || {NL} || '=== PASS OUTPUTS ===' || {NL} || '{{}}' AS payload FROM j LEFT JOIN a USING (paper_id)"""))
+def requests_synthesis(spark, d):
+    f = view(spark, d, PLANTED)
+    audit = f.where("k = 2 AND g % 20 < 10").select("paper_id", F.col("ord").alias("ref_index"), F.concat(F.lit("- "), F.col("ord").cast("string")).alias("line"))
+    return _asked(payloads.synthesis(findings.ordered(f.drop("g", "k")), audit, f.select("paper_id", F.lit("{}").alias("json")).distinct()))
+
+
 CALLS = "SELECT CAST(user_id AS STRING) AS run_id, event_type, value, event_id FROM {events}"
 
 
