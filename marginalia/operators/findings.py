@@ -24,7 +24,8 @@ def _or(a: Column, b: Column) -> Column:
 
 
 def _rows(df: DataFrame, source: str, order: list[Column], **values: Column | str) -> DataFrame:
-    """df to findings; order gives the place of each row within the source, as three numbers below a million."""
+    """df to findings; order gives the place of each row within the source: entry, part of the reply, item, the last two of them
+    below a million."""
     keys = [*order, F.lit(0), F.lit(0), F.lit(0)][:3]
     place = (keys[0].cast("bigint") * 1_000_000 + keys[1]) * 1_000_000 + keys[2]
     own = {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()} | {"source_pass": F.lit(source), "ord": place}
@@ -35,11 +36,11 @@ def from_pass1(replies: DataFrame) -> DataFrame:
     """The reply's findings, then its misspellings and inconsistent spellings; domain terms give none."""
     base = replies.select("paper_id", "entry", F.col("reply.section").alias("section"), F.col("reply.findings").alias("f"), F.col("reply.spellcheck_triage").alias("t"))
     own = base.select("paper_id", "entry", "section", F.posexplode("f").alias("pos", "x"))
-    own = _rows(own, "pass1", [F.col("entry"), F.col("pos")], severity=F.col("x.severity"), category=F.col("x.category"), location=_or(F.col("x.location"), F.col("section")), quote=F.col("x.quote"), description=F.col("x.description"), correction=F.col("x.correction"))
+    own = _rows(own, "pass1", [F.col("entry"), F.lit(0), F.col("pos")], severity=F.col("x.severity"), category=F.col("x.category"), location=_or(F.col("x.location"), F.col("section")), quote=F.col("x.quote"), description=F.col("x.description"), correction=F.col("x.correction"))
     t = base.select("paper_id", "entry", "section", F.posexplode("t").alias("pos", "x")).where(F.col("x.classification").isin("typo", "inconsistent"))
     typo = F.col("x.classification") == "typo"
     said = F.when(typo, F.concat(F.lit("Misspelling: '"), F.col("x.token"), F.lit("'."))).otherwise(F.concat(F.lit("Inconsistent spelling of '"), F.col("x.token"), F.lit("' across the paper.")))
-    words = _rows(t, "pass1", [F.col("entry"), F.lit(500_000) + F.col("pos")], severity="minor", category=F.when(typo, "spelling").otherwise("language"), location=_or(F.col("x.location"), F.col("section")), quote=_or(F.col("x.quote"), F.col("x.token")), description=said, correction=F.col("x.correction"))
+    words = _rows(t, "pass1", [F.col("entry"), F.lit(1), F.col("pos")], severity="minor", category=F.when(typo, "spelling").otherwise("language"), location=_or(F.col("x.location"), F.col("section")), quote=_or(F.col("x.quote"), F.col("x.token")), description=said, correction=F.col("x.correction"))
     return own.unionByName(words)
 
 
@@ -70,17 +71,17 @@ def from_pass2(replies: DataFrame) -> DataFrame:
     claims look at promoted number checks too."""
     place = lambda df: df.withColumn("entry", F.floor(F.col("ord") / F.lit(10**12)))
     own = replies.select("paper_id", "entry", F.posexplode("reply.findings").alias("pos", "x"))
-    own = _rows(own, "pass2", [F.col("entry"), F.col("pos")], severity=F.col("x.severity"), category=F.col("x.category"), location=F.col("x.location"), quote=F.col("x.quote"), description=F.col("x.description"))
+    own = _rows(own, "pass2", [F.col("entry"), F.lit(0), F.col("pos")], severity=F.col("x.severity"), category=F.col("x.category"), location=F.col("x.location"), quote=F.col("x.quote"), description=F.col("x.description"))
     hay = replies.select("paper_id", "entry").join(_haystack(place(own)), ["paper_id", "entry"], "left").fillna("", ["hay"])
     n = replies.select("paper_id", "entry", F.posexplode("reply.number_checks").alias("pos", "x")).where("x.verdict = 'verified_incorrect'").join(hay, ["paper_id", "entry"])
     n = n.withColumn("values", F.filter("x.values", lambda v: strip(v) != "")).where(~covered(F.concat("values", F.array("x.quantity")), F.col("hay")))
-    numbers = _rows(n, "pass2", [F.col("entry"), F.lit(300_000) + F.col("pos")], severity="major", category="numbers", location=F.array_join("x.locations", "; "), quote=_or(F.array_join("values", " vs "), F.col("x.quantity")), description=F.trim(F.concat("x.quantity", F.lit(": the values disagree across locations. "), "x.recomputation")), verdict=F.col("x.verdict"))
+    numbers = _rows(n, "pass2", [F.col("entry"), F.lit(1), F.col("pos")], severity="major", category="numbers", location=F.array_join("x.locations", "; "), quote=_or(F.array_join("values", " vs "), F.col("x.quantity")), description=F.trim(F.concat("x.quantity", F.lit(": the values disagree across locations. "), "x.recomputation")), verdict=F.col("x.verdict"))
     both = own.unionByName(numbers)
     hay2 = replies.select("paper_id", "entry").join(_haystack(place(both)), ["paper_id", "entry"], "left").fillna("", ["hay"])
     c = replies.select("paper_id", "entry", F.posexplode("reply.claim_checks").alias("pos", "x")).where((F.col("x.verdict") != "supported") & (strip(F.col("x.claim_quote")) != "")).join(hay2, ["paper_id", "entry"])
     c = c.where(~covered(F.array("x.claim_quote"), F.col("hay")))
     said = F.trim(F.concat(F.lit("Claim is "), "x.verdict", F.lit(". "), "x.explanation", F.lit(" Supporting evidence found: "), _or(F.col("x.supporting_evidence"), F.lit("none")), F.lit(".")))
-    claims = _rows(c, "pass2", [F.col("entry"), F.lit(600_000) + F.col("pos")], severity="major", category="claims", location=F.col("x.location"), quote=F.col("x.claim_quote"), description=said, verdict=F.col("x.verdict"))
+    claims = _rows(c, "pass2", [F.col("entry"), F.lit(2), F.col("pos")], severity="major", category="claims", location=F.col("x.location"), quote=F.col("x.claim_quote"), description=said, verdict=F.col("x.verdict"))
     return both.unionByName(claims)
 
 
