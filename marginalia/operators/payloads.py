@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import clip
 from marginalia.operators.sections import reviewable
 
+#: The mark of a cut, the limits of a payload's parts; so are the headings of the parts below.
 CUT = "\n[... truncated ...]"
 LIMITS = {"pass0": 120_000, "section": 24_000, "digest": 12_000, "tables": 20_000, "inventory": 30_000, "references": 60_000, "findings": 40_000, "outputs": 90_000}
 SEARCHED_CLAIMS = 25

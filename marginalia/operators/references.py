@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.fuzzy import TITLE_PLAUSIBLE, score_match
 from marginalia.functions.text import citation_numbers, clip, sentences, strip, strip_tags
 
+#: Patterns of identifiers, years, entries and citations.
 DOI = r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
 YEAR = r"\b(?:19|20)\d{2}[a-z]?\b"
 NUMBERED_ENTRY = r"^\s*(?:\[(\d{1,3})\]|(\d{1,3})[.)])\s+(?=\S)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import cell, collapse
 from marginalia.operators.findings import severity_rank
 
+#: Columns of exported files.
 EXPORT = ["pass", "severity", "category", "location", "quote", "description", "correction", "verdict", "url", "stability"]
 PAPER_EXPORT = ["paper", "run_id", "truth_findings", "model_findings", "matched", "missed", "spurious", "precision", "recall", "f1", "severity_agreement", "error"]
 #: How a reference's status is shown.

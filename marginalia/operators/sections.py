@@ -26,6 +26,7 @@ KINDS = [
     ("back_matter", ["acknowledg", "funding", "declaration", "availability", "conflict"]),
 ]
 
+#: Patterns of headings with a number.
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+(\S.{0,110})$"
 ROMAN = r"^([IVXLC]+)\.\s+(\S.{0,110})$"
 APPENDIX = r"^((?i:Appendix)\s+[A-Za-z0-9]*)\.?\s*(.{0,110})$"
