@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from marginalia.llm import ann, minhash, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
+from marginalia.llm import ann, lexical, minhash, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_bin_slack_packing": packing.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_redirect_classes": urls.op8,
     "op9_induced_sorting_dedup": suffix.op9,
     "op10_lsh_forest": minhash.op10,
+    "op13_windowed_ranking": lexical.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -116,6 +117,29 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 FROM sets s JOIN least l ON l.doc_id = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op8_redirect_classes": _OP8, "op10_lsh_forest": _OP10}
+_OP13 = rf"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), '{lexical._UPPER}', '{lexical._LOWER}') AS text FROM documents
+), words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(text, '{lexical.TERM}')) AS term FROM numbered
+), tfs AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), lengths AS (
+  SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY row
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{lexical._UPPER}', '{lexical._LOWER}'), '{lexical.TERM}')) AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, whole GROUP BY term, docs
+), scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (row), whole GROUP BY item_id, row, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op8_redirect_classes": _OP8, "op10_lsh_forest": _OP10, "op13_windowed_ranking": _OP13}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
