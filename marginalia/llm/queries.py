@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from marginalia.llm import alignment, ann, lexical, minhash, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
+from marginalia.llm import alignment, ann, html, lexical, minhash, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_bin_slack_packing": packing.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_induced_sorting_dedup": suffix.op9,
     "op10_lsh_forest": minhash.op10,
     "op11_token_alignment": alignment.op11,
+    "op12_host_suffix_extraction": html.op12,
     "op13_windowed_ranking": lexical.op13,
     "pipeline": corpus_pipeline.run,
 }
