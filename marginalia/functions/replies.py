@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.schemas import ALLOWED, REPLIES, struct
+from marginalia.schemas import REPLIES, allowed, struct
 
 _THINK = re.compile(r"(?is)<think>.*?</think>")
 _FENCE = re.compile(r"(?s)```(?:json)?\s*(.*?)```")
@@ -32,30 +32,33 @@ def recover(text: str) -> str:
         return clean[at : end + 1] if end > at else clean
 
 
-def problems(value: Any, kind: T.DataType, at: str = "", name: str = "") -> list[str]:
+def problems(value: Any, kind: T.DataType, at: str = "", parent: str = "", values: tuple[str, ...] = ()) -> list[str]:
     """Where a decoded value differs from its type. Absent fields take defaults and unknown ones are ignored; a field that has
-    another type, or a string outside its set, is a problem."""
+    another type, or a string outside its set, is a problem. parent: the list or field that value stands in."""
     if isinstance(kind, T.StructType):
         if not isinstance(value, dict):
             return [f"{at}: expected an object"]
-        return [p for f in kind if f.name in value for p in problems(value[f.name], f.dataType, f"{at}.{f.name}".lstrip("."), f.name)]
+        sets = {f.name: (allowed(parent, f.name, kind.names) or ((), ""))[0] for f in kind}
+        return [p for f in kind if f.name in value for p in problems(value[f.name], f.dataType, f"{at}.{f.name}".lstrip("."), f.name, sets[f.name])]
     if isinstance(kind, T.ArrayType):
         if not isinstance(value, list):
             return [f"{at}: expected a list"]
-        return [p for i, x in enumerate(value) for p in problems(x, kind.elementType, f"{at}.{i}", name)]
+        return [p for i, x in enumerate(value) for p in problems(x, kind.elementType, f"{at}.{i}", parent)]
     want = {T.StringType: str, T.BooleanType: bool, T.IntegerType: int}[type(kind)]
     if not isinstance(value, want) or want is int and isinstance(value, bool):
         return [f"{at}: expected {want.__name__}"]
-    return [f"{at}: expected one of {', '.join(ALLOWED[name])}"] if name in ALLOWED and value not in ALLOWED[name] else []
+    return [f"{at}: expected one of {', '.join(values)}"] if values and value not in values else []
 
 
-def filled(value: Any, kind: T.DataType) -> Any:
-    """value with defaults for what is absent: empty strings and lists, 0, false."""
+def filled(value: Any, kind: T.DataType, parent: str = "", default: Any = None) -> Any:
+    """value with defaults for what is absent: the field's own, or else an empty string or list, 0, false. A figure or table of
+    which nothing is said is referenced in the text."""
     if isinstance(kind, T.StructType):
-        return {f.name: filled((value or {}).get(f.name), f.dataType) for f in kind}
+        own = {f.name: True if f.name == "referenced_in_text" else (allowed(parent, f.name, kind.names) or ((), None))[1] for f in kind}
+        return {f.name: filled((value or {}).get(f.name), f.dataType, f.name, own[f.name]) for f in kind}
     if isinstance(kind, T.ArrayType):
-        return [filled(x, kind.elementType) for x in value or []]
-    return value if value is not None else {T.StringType: "", T.BooleanType: False, T.IntegerType: 0}[type(kind)]
+        return [filled(x, kind.elementType, parent) for x in value or []]
+    return value if value is not None else default if default is not None else {T.StringType: "", T.BooleanType: False, T.IntegerType: 0}[type(kind)]
 
 
 def parse(text: str, kind: T.StructType, most: int = 8) -> tuple[str | None, str]:
@@ -92,14 +95,15 @@ def parsed(text: Column, schema: str) -> Column:
     return F.struct(found["json"].isNotNull().alias("ok"), found["error"].alias("error"), F.from_json(found["json"], ddl).alias("value"))
 
 
-def strict_schema(kind: T.DataType, name: str = "") -> dict[str, Any]:
+def strict_schema(kind: T.DataType, parent: str = "", values: tuple[str, ...] = ()) -> dict[str, Any]:
     """JSON Schema in which every property is required and no other is permitted."""
     if isinstance(kind, T.StructType):
-        return {"type": "object", "properties": {f.name: strict_schema(f.dataType, f.name) for f in kind}, "required": kind.names, "additionalProperties": False}
+        sets = {f.name: (allowed(parent, f.name, kind.names) or ((), ""))[0] for f in kind}
+        return {"type": "object", "properties": {f.name: strict_schema(f.dataType, f.name, sets[f.name]) for f in kind}, "required": kind.names, "additionalProperties": False}
     if isinstance(kind, T.ArrayType):
-        return {"type": "array", "items": strict_schema(kind.elementType, name)}
+        return {"type": "array", "items": strict_schema(kind.elementType, parent)}
     plain = {T.StringType: "string", T.BooleanType: "boolean"}.get(type(kind), "integer")
-    return {"type": plain, "enum": list(ALLOWED[name])} if name in ALLOWED else {"type": plain}
+    return {"type": plain, "enum": list(values)} if values else {"type": plain}
 
 
 def response_format(schema: str, kind: T.StructType | None = None) -> dict[str, Any]:

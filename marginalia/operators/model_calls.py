@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.replies import parse, response_format
 from marginalia.functions.text import CONTEXT_MARKERS, FORMAT_MARKERS
+from marginalia.operators.payloads import STAGES
 from marginalia.schemas import REPLIES, struct
+from marginalia.storage import stored
 
 
 class ModelError(RuntimeError):
@@ -85,31 +87,43 @@ def exchange(client: ModelClient, schema: str, model: str, system: str, user: st
     return out
 
 
-RESULT = "paper_id string, pass string, label string, request_hash string, json string, model string, mode string, ok boolean, attempts int, duration_s double, usage map<string,bigint>, error string"
+def text_exchange(client: ModelClient, model: str, system: str, user: str) -> tuple[str, Outcome]:
+    """One turn whose reply is text, not JSON."""
+    reply = client.chat([{"role": "system", "content": system}, {"role": "user", "content": user}], model=model, response_format=None)
+    return reply.text, Outcome(None, "text", 1, reply.model or model, dict(reply.usage), reply.duration_s, "" if reply.text.strip() else "empty response")
 
 
-def run(requests: DataFrame, make_client: Callable[[], ModelClient], model: str, system: str = "", prompts: dict[str, str] | None = None) -> DataFrame:
-    """Every request's outcome, as a reply and a call record in one row. A call never raises: its error is in its row. Store the
-    result before using it, as a task that is run again asks again."""
+RESULT = "request_hash string, stage string, label string, json string, text string, model string, mode string, ok boolean, attempts int, duration_s double, usage map<string,bigint>, error string"
+
+
+def run(requests: DataFrame, make_client: Callable[[], ModelClient], model: str | dict[str, str], system: str = "", prompts: dict[str, str] | None = None) -> DataFrame:
+    """Every request's outcome, as a reply and a call record in one row. model: one for all calls, or by pass with a 'default';
+    prompts: texts by name. A call never raises: its error is in its row. Store the result before using it, as a task that is run
+    again asks again."""
 
     kinds = {k: struct(v) for k, v in REPLIES.items()}
+    models = {"default": model} if isinstance(model, str) else model
 
     def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                pass_ = b.columns.get_loc("pass")
-                user = f"{(prompts or {}).get(r[pass_], '')}\n\n=== INPUT ===\n{r.payload}"
+                pass_, prompt, more, schema = STAGES[r.stage]
+                own, text = models.get(pass_) or models["default"], None
+                user = f"{(prompts or {}).get(prompt, '')}{more}\n\n=== INPUT ===\n{r.payload}"
                 began = time.time()
                 try:
-                    o = exchange(client, r[pass_], model, system, user, kinds[r[pass_]])
+                    if schema is None:
+                        text, o = text_exchange(client, own, system, user)
+                    else:
+                        o = exchange(client, schema, own, system, user, kinds[schema])
                 except Exception as e:  # noqa: BLE001  a client may raise anything; one call must not end the others
-                    o = Outcome(None, "failed", 1, model, {}, time.time() - began, f"{type(e).__name__}: {e}")
-                rows.append((r.paper_id, r[pass_], r.label, r.request_hash, o.json, o.model, o.mode, o.json is not None, o.attempts, o.duration_s, o.usage, o.error))
+                    o = Outcome(None, "failed", 1, own, {}, time.time() - began, f"{type(e).__name__}: {e}")
+                rows.append((r.request_hash, r.stage, r.label, o.json, text, o.model, o.mode, o.json is not None or bool((text or "").strip()), o.attempts, o.duration_s, o.usage, o.error))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return requests.select("paper_id", "pass", "label", "payload", "request_hash").mapInPandas(calls, RESULT)
+    return requests.select("request_hash", "stage", "label", "payload").mapInPandas(calls, RESULT)
 
 
 def answered(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +132,34 @@ def answered(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFr
     return requests.join(kept, "request_hash"), requests.join(kept, "request_hash", "left_anti")
 
 
+class Replies:
+    """Replies kept in a folder that the driver and all executors share, by request hash.
+
+    Requests are asked in waves, each added to the folder when it is done: a run that was ended asks only what is still open when
+    it is run again, and what failed. Requests with one hash are asked once."""
+
+    def __init__(self, spark: SparkSession, path: str, ask: Callable[[DataFrame], DataFrame], wave: int = 2_000):
+        self.spark, self.path, self.put, self.wave = spark, path, ask, wave
+        spark.createDataFrame([], RESULT).write.mode("append").parquet(path)
+
+    def kept(self) -> DataFrame:
+        """Of each hash the reply that came out well, if one did."""
+        rows = self.spark.read.schema(RESULT).parquet(self.path)
+        best = rows.groupBy("request_hash").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "request_hash"]), F.struct("ok", "attempts")).alias("r"))
+        return best.select("request_hash", "r.*")
+
+    def ask(self, requests: DataFrame) -> DataFrame:
+        """requests with the columns of their replies."""
+        requests = stored(requests, "requests")
+        open_ = requests.dropDuplicates(["request_hash"]).join(self.kept().where("ok").select("request_hash"), "request_hash", "left_anti")
+        open_ = stored(open_, "open")
+        waves = max(1, -(-open_.count() // self.wave))
+        for w in range(waves):
+            own = open_.where(F.pmod(F.xxhash64("request_hash"), F.lit(waves)) == w)
+            self.put(own).write.mode("append").parquet(self.path)
+        return stored(requests.join(self.kept().drop("stage", "label"), "request_hash"), "replies")
+
+
 def usage_of_runs(calls: DataFrame) -> DataFrame:
     """(run_id, total_usage, calls, duration_s, errors): tokens summed by key."""
     keys = calls.select("run_id", F.explode("usage").alias("k", "n")).groupBy("run_id", "k").agg(F.sum("n").alias("n"))

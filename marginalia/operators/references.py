@@ -192,6 +192,15 @@ def unverified(refs: DataFrame) -> DataFrame:
 
 
 def batches(refs: DataFrame, size: int = 10) -> DataFrame:
-    """paper_id, batch (from 0) and its references in order."""
+    """paper_id, batch (from 0) and its references in order, with all their columns."""
     nth = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord")) - 1
-    return refs.withColumn("batch", F.floor(nth / size).cast("int")).groupBy("paper_id", "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ref_index", "raw"))).alias("refs"))
+    own = ["ord", *[c for c in refs.columns if c not in ("paper_id", "ord")]]
+    rows = refs.withColumn("batch", F.floor(nth / size).cast("int")).groupBy("paper_id", "batch").agg(F.collect_list(F.struct(*own)).alias("refs"))
+    return rows.withColumn("refs", F.array_sort("refs", lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)))
+
+
+def with_records(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """refs with record: the struct of records(paper_id, ref_index, ...) for their number, null where there is none."""
+    names = [c for c in records.columns if c not in ("paper_id", "ref_index")]
+    r = records.select(F.col("paper_id").alias("_paper"), F.col("ref_index").alias("_index"), F.struct(*names).alias("record"))
+    return refs.join(r, (F.col("paper_id") == F.col("_paper")) & (F.col("ref_index") == F.col("_index")), "left").select(*refs.columns, "record")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import cell, collapse
-from marginalia.operators.findings import severity_rank
+from marginalia.operators.findings import ordered
 
 #: Columns of exported files.
 EXPORT = ["pass", "severity", "category", "location", "quote", "description", "correction", "verdict", "url", "stability"]
@@ -65,21 +65,24 @@ def _joined(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n").alias(name))
 
 
-def fallback_report(found: DataFrame, checks: DataFrame, open_items: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(paper_id, report): the Markdown report built from data alone. coverage(paper_id, place, line) is the last part."""
+def fallback_report(papers: DataFrame, found: DataFrame, checks: DataFrame, open_items: DataFrame, coverage: DataFrame, languages: DataFrame) -> DataFrame:
+    """(paper_id, report): for each of papers(paper_id) the Markdown report built from data alone. coverage(paper_id, place, line) is
+    the last part; languages(paper_id, language) is what pass 0 reported."""
+    placed = ordered(found).withColumn("ord", F.col("place"))
     sev = F.concat("severity", F.when(F.col("stability") == "unstable", " (unstable)").otherwise(""))
-    table = found.select("paper_id", severity_rank(F.col("severity")).alias("rank"), "ord", F.concat(F.lit("| "), sev, F.lit(" | "), cell(F.col("location")), F.lit(" | "), cell(F.col("description")), F.lit(" | "), F.when(F.col("url") != "", F.col("url")).otherwise(cell(F.col("quote"))), F.lit(" |")).alias("line"))
+    table = placed.select("paper_id", "place", F.concat(F.lit("| "), sev, F.lit(" | "), cell(F.col("location")), F.lit(" | "), cell(F.col("description")), F.lit(" | "), F.when(F.col("url") != "", F.col("url")).otherwise(cell(F.col("quote"))), F.lit(" |")).alias("line"))
     detail = F.when(F.coalesce("mismatch_details", F.lit("")) == "", F.coalesce("notes", F.lit(""))).otherwise(F.col("mismatch_details"))
     refs = checks.select("paper_id", "ref_index", F.rtrim(F.concat(F.lit("- ["), F.col("ref_index").cast("string"), F.lit("] "), _shown(MARKS, "?"), F.lit(" - "), F.substring("raw", 1, 180), F.lit(" "), detail)).alias("line"))
     words = found.groupBy("paper_id").agg(F.count_if(F.col("category") == "spelling").alias("typos"), F.count_if(F.col("category") == "language").alias("lang"))
-    parts = verdict_lines(found).withColumnRenamed("line", "verdict").join(_joined(table, ["rank", "ord"], "table"), "paper_id", "left").join(_joined(refs, ["ref_index"], "refs"), "paper_id", "left").join(words, "paper_id", "left")
+    parts = papers.select("paper_id").join(verdict_lines(placed).withColumnRenamed("line", "verdict"), "paper_id", "left").join(_joined(table, ["place"], "table"), "paper_id", "left").join(_joined(refs, ["ref_index"], "refs"), "paper_id", "left").join(words, "paper_id", "left")
     items = open_items.select("paper_id", "place", F.concat(F.lit("- "), "line").alias("line"))
-    parts = parts.join(_joined(items, ["place"], "open"), "paper_id", "left").join(_joined(coverage, ["place"], "coverage"), "paper_id", "left")
+    parts = parts.join(_joined(items, ["place"], "open"), "paper_id", "left").join(_joined(coverage, ["place"], "coverage"), "paper_id", "left").join(languages.select("paper_id", "language"), "paper_id", "left")
     head = "# Review report\n\n> The synthesis call did not return a report. This is the deterministic fallback, built from the pass outputs.\n\n## 1. Verdict\n\n"
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("string")
     text = F.concat(
-        F.lit(head), "verdict", F.lit("\n\n## 2. Findings\n\n| Severity | Location | Description | Evidence |\n| --- | --- | --- | --- |\n"), F.coalesce("table", F.lit("| - | - | No findings were reported. | - |")),
+        F.lit(head), F.coalesce("verdict", F.lit("No critical or major findings. 0 findings in total, all minor.")), F.lit("\n\n## 2. Findings\n\n| Severity | Location | Description | Evidence |\n| --- | --- | --- | --- |\n"), F.coalesce("table", F.lit("| - | - | No findings were reported. | - |")),
         F.lit("\n\n## 3. Reference audit\n\n"), F.coalesce("refs", F.lit("- No bibliography entries were checked.")),
-        F.lit("\n\n## 4. Spelling and language\n\n"), F.format_string("- Confirmed typos: %d\n- Language and consistency findings: %d", F.coalesce("typos", F.lit(0)), F.coalesce("lang", F.lit(0))),
+        F.lit("\n\n## 4. Spelling and language\n\n- Confirmed typos: "), count("typos"), F.lit("\n- Language and consistency findings: "), count("lang"), F.lit("\n- Language variant reported by Pass 0: "), F.coalesce("language", F.lit("unknown")),
         F.lit("\n\n## 5. Unverifiable items\n\n"), F.coalesce("open", F.lit("- None recorded.")), F.lit("\n\n## 6. Pass coverage\n\n"), F.coalesce("coverage", F.lit("- Passes run: none")),
     )
     return parts.select("paper_id", text.alias("report"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import checkable, clip, raw_tokens, sentences, token_of, without_markup
+from marginalia.functions.text import checkable, clip, language, raw_tokens, sentences, token_of, without_markup
+from marginalia.storage import stored
 
 #: Words that papers use and dictionaries reject.
 COMMON_ACADEMIC = "et al etal vs cf ibid eg ie arxiv doi isbn issn http https www pdf url dataset datasets preprint supplementary".split()
@@ -22,36 +23,59 @@ def allowlist(papers: DataFrame, refs: DataFrame) -> DataFrame:
     return authors.unionByName(names).unionByName(acronyms).select("paper_id", F.lower("word").alias("word")).distinct()
 
 
-def tokens(sections: DataFrame, least: int = 3) -> DataFrame:
-    """Every checkable token with its sentence and place. The cheap tests come before any join."""
+def word_counts(texts: DataFrame, *by: str, least: int = 3) -> DataFrame:
+    """(by, word, n): checkable tokens of texts(by, text) in small letters, with how often each stands for each value of by. Equal raw
+    tokens are counted before any pattern is run on them."""
+    raw = texts.select(*by, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n"))
+    t = raw.withColumn("token", token_of(F.col("raw"))).where(checkable(F.col("token"), F.col("raw"), least))
+    return t.groupBy(*by, F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
+
+
+def ranked(words: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Of each by the `most` words(by, word, occurrences) that stand most often, ties by the alphabet."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("occurrences"), "word"))
+    return words.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def unknown(words: DataFrame, allow: DataFrame, lexicon: DataFrame, least: int = 3) -> DataFrame:
+    """The rows of words(paper_id, word, language, ...) that neither allow(paper_id, word) nor lexicon(word, language) has, nor the list
+    of common words. A word with hyphens is unknown if one of its parts of `least` letters or more is, and is itself not allowed."""
+    open_ = words.where(~F.col("word").isin(COMMON_ACADEMIC)).join(allow, ["paper_id", "word"], "left_anti")
+    known = lexicon.select("word", "language")
+    plain = open_.where(~F.col("word").contains("-")).join(known, ["word", "language"], "left_anti")
+    joined = open_.where(F.col("word").contains("-"))
+    parts = joined.select("paper_id", "language", F.col("word").alias("whole"), F.explode(F.split("word", "-")).alias("word")).distinct()
+    odd = parts.where((F.length("word") >= least) & ~F.col("word").isin(COMMON_ACADEMIC)).join(allow, ["paper_id", "word"], "left_anti").join(known, ["word", "language"], "left_anti")
+    odd = odd.select("paper_id", F.col("whole").alias("word")).distinct()
+    return plain.select(words.columns).unionByName(joined.join(odd, ["paper_id", "word"], "left_semi").select(words.columns))
+
+
+def candidates(sections: DataFrame, allow: DataFrame, lexicon: DataFrame, least: int = 3, most: int = 120, languages: DataFrame | None = None) -> DataFrame:
+    """paper_id, section_idx, token, sentence, location, occurrences, suggestion: of each section the unknown() words that stand most
+    often, as they stand first, with the sentence of that place.
+
+    lexicon(word): small letters, of bounded size, which AQE reads from its statistics when it picks the join. Where it has a
+    language, languages(paper_id, language) tells which words count for a paper, English for those it lacks. suggestion is the word
+    one edit away that the lexicon has with the highest frequency (one alike where it has none), the first in the alphabet of
+    equals; null if there is none."""
+    several = "language" in lexicon.columns
+    lexicon = lexicon.withColumns({"language": language(F.col("language")) if several else F.lit(""), "frequency": F.col("frequency") if "frequency" in lexicon.columns else F.lit(1)})
+    said = sections.select("paper_id", "section_idx", sentences(without_markup(F.col("text"))).alias("said"))
     place = F.concat("label", F.lit(" (p. "), F.col("start_page").cast("string"), F.lit(")"))
-    s = sections.select("paper_id", "section_idx", place.alias("location"), F.posexplode(sentences(without_markup(F.col("text")))).alias("s", "sentence"))
-    t = s.select("paper_id", "section_idx", "location", "s", "sentence", F.posexplode(raw_tokens(F.col("sentence"))).alias("t", "raw"))
-    return t.withColumn("token", token_of(F.col("raw"))).where(checkable(F.col("token"), F.col("raw"), least))
-
-
-def candidates(sections: DataFrame, allow: DataFrame, lexicon: DataFrame, least: int = 3, most: int = 120) -> DataFrame:
-    """paper_id, section_idx, token, sentence, location, occurrences, suggestion: of each section the most frequent unknown words. A word
-    with hyphens is unknown if one of its long enough parts that are not allowed is. lexicon(word): small letters; a dictionary
-    is of bounded size, which AQE reads from its statistics when it picks the join. If it has a frequency, suggestion is the most
-    frequent word of it one edit away, else null."""
-    word = F.lower("token")
-    common = F.col("word").isin(COMMON_ACADEMIC)
-    seen = tokens(sections, least).withColumn("word", word).where(~common).join(allow, ["paper_id", "word"], "left_anti")
-    first = F.min(F.struct("s", "t", "token", "sentence", "location"))
-    grouped = seen.groupBy("paper_id", "section_idx", "word").agg(first.alias("m"), F.count(F.lit(1)).alias("occurrences"))
-    plain = grouped.where(~F.col("word").contains("-")).join(lexicon, "word", "left_anti")
-    parts = grouped.where(F.col("word").contains("-")).select("paper_id", F.col("word").alias("whole"), F.explode(F.split("word", "-")).alias("word")).where((F.length("word") >= least) & ~common)
-    odd = parts.join(allow, ["paper_id", "word"], "left_anti").join(lexicon, "word", "left_anti").select("paper_id", F.col("whole").alias("word")).distinct()
-    joined = grouped.where(F.col("word").contains("-")).join(odd, ["paper_id", "word"], "left_semi")
-    both = plain.select(grouped.columns).unionByName(joined.select(grouped.columns))
-    rank = F.row_number().over(Window.partitionBy("paper_id", "section_idx").orderBy(F.desc("occurrences"), "word"))
-    found = both.withColumn("nth", rank).where(F.col("nth") <= most)
-    if "frequency" in lexicon.columns:
-        found = found.join(suggestions(found.select("word").distinct(), lexicon), "word", "left")
+    spots = said.select("paper_id", "section_idx", F.posexplode("said").alias("s", "sentence")).select("paper_id", "section_idx", "s", F.posexplode(raw_tokens(F.col("sentence"))).alias("t", "raw"))
+    # equal raw tokens of a section meet before any pattern is run on them; their sentences are looked up once they are chosen
+    raw = spots.groupBy("paper_id", "section_idx", "raw").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "t")).alias("at"))
+    raw = raw.withColumn("token", token_of(F.col("raw"))).where(checkable(F.col("token"), F.col("raw"), least))
+    words = raw.groupBy("paper_id", "section_idx", F.lower("token").alias("word")).agg(F.sum("n").alias("occurrences"), F.min(F.struct("at", "token")).alias("m"))
+    if several and languages is not None:
+        words = words.join(languages.select("paper_id", F.nullif(language(F.col("language")), F.lit("")).alias("_spoken")), "paper_id", "left")
+        words = words.withColumn("language", F.coalesce("_spoken", F.lit("en"))).drop("_spoken")
     else:
-        found = found.withColumn("suggestion", F.lit(None).cast("string"))
-    return found.select("paper_id", "section_idx", F.col("m.token").alias("token"), clip(F.col("m.sentence"), 300).alias("sentence"), F.col("m.location").alias("location"), "occurrences", "suggestion")
+        words = words.withColumn("language", F.lit("en" if several else ""))
+    found = stored(ranked(unknown(words, allow, lexicon, least), ["paper_id", "section_idx"], most), "unknown")
+    better = suggestions(found.select("word", "language").distinct(), lexicon, "language")
+    found = found.join(better, ["word", "language"], "left").join(said, ["paper_id", "section_idx"]).join(sections.select("paper_id", "section_idx", place.alias("location")), ["paper_id", "section_idx"])
+    return found.select("paper_id", "section_idx", F.col("m.token").alias("token"), clip(F.get("said", F.col("m.at.s")), 300).alias("sentence"), "location", "occurrences", "suggestion")
 
 
 def lean(word: Column) -> Column:
@@ -70,11 +94,11 @@ def one_edit_apart(word: Column, other: Column) -> Column:
     return swap | (F.levenshtein(word, other) == 1) & ((F.length(theirs) < F.length(mine)) | (theirs == mine))
 
 
-def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, suggestion): of lexicon(word, frequency) the most frequent word one edit away, ties to the first in the alphabet.
-    Words meet in an equi-join of what is left of them without one letter; words(word) are distinct."""
-    typed = words.where(F.length("word") > 0).select(F.col("word").alias("typed"), F.explode(lean(F.col("word"))).alias("lean"))
-    known = lexicon.select(F.col("word").alias("known"), "frequency", F.explode(lean(F.col("word"))).alias("lean"))
-    near = typed.join(known, "lean").where(F.col("typed") != F.col("known")).where(one_edit_apart(F.col("typed"), F.col("known")))
-    nth = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("frequency"), "known"))
-    return near.withColumn("nth", nth).where("nth = 1").select(F.col("typed").alias("word"), F.col("known").alias("suggestion"))
+def suggestions(words: DataFrame, lexicon: DataFrame, *by: str) -> DataFrame:
+    """(word, by, suggestion): of lexicon(word, by, frequency) the most frequent word one edit away, ties to the first in the alphabet.
+    Words meet in an equi-join of what is left of them without one letter; words(word, by) are distinct."""
+    typed = words.where(F.length("word") > 0).select(F.col("word").alias("typed"), *by, F.explode(lean(F.col("word"))).alias("lean"))
+    known = lexicon.select(F.col("word").alias("known"), *by, "frequency", F.explode(lean(F.col("word"))).alias("lean"))
+    near = typed.join(known, ["lean", *by]).where(F.col("typed") != F.col("known")).where(one_edit_apart(F.col("typed"), F.col("known")))
+    nth = F.row_number().over(Window.partitionBy("typed", *by).orderBy(F.desc("frequency"), "known"))
+    return near.withColumn("nth", nth).where("nth = 1").select(F.col("typed").alias("word"), *by, F.col("known").alias("suggestion"))

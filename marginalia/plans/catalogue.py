@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import replies, text
 from marginalia.functions.fuzzy import score_match
 from marginalia.operators import calibrate, captions, findings, model_calls, payloads, references, report, sections, spelling
+from marginalia.schemas import REPLIES
 from marginalia.sources import files
 from marginalia.storage import stored
 from marginalia.streaming import jobs
@@ -155,38 +156,35 @@ TOKENS = r"""SELECT doc_id, source AS paper_id, regexp_replace(regexp_replace(re
 CHECKABLE = r"length(token) >= 3 AND regexp_full_match(token, '[A-Za-z][A-Za-z''’-]*') AND NOT regexp_matches(raw, '[0-9_]') AND upper(token) <> token"
 
 
-def _tokens(spark, d, *by):
-    """Checkable tokens of English texts in small letters (w), with how often each stands (n) for each value of by. Equal raw tokens
-    are counted before any pattern is run on them."""
-    docs = view(spark, d, "SELECT doc_id, source AS paper_id, text FROM {documents} WHERE lang = 'en'")
-    raw = docs.select(*by, F.explode(text.raw_tokens(F.col("text"))).alias("raw")).groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n"))
-    t = raw.withColumn("token", text.token_of(F.col("raw"))).where(text.checkable(F.col("token"), F.col("raw")))
-    return t.select(*by, F.lower("token").alias("w"), "n")
+def _english(spark, d):
+    return view(spark, d, "SELECT doc_id, source AS paper_id, text FROM {documents} WHERE lang = 'en'")
 
 
 @query(f"SELECT paper_id, lower(token) AS token, count(*) AS n FROM ({TOKENS}) WHERE {CHECKABLE} GROUP BY ALL")
 def token_counts(spark, d):
-    return _tokens(spark, d, "paper_id").groupBy("paper_id", F.col("w").alias("token")).agg(F.sum("n").alias("n"))
+    return spelling.word_counts(_english(spark, d), "paper_id").withColumnRenamed("word", "token")
+
+
+COMMON_SQL = ", ".join(f"'{w}'" for w in spelling.COMMON_ACADEMIC)
 
 
 @query(f"""WITH t AS (SELECT doc_id, paper_id, lower(token) AS w FROM ({TOKENS}) WHERE {CHECKABLE} AND NOT contains(token, '-')),
   lexicon AS (SELECT w FROM t GROUP BY w HAVING count(DISTINCT doc_id) >= 3),
-  n AS (SELECT paper_id, w, count(*) AS n FROM t ANTI JOIN lexicon USING (w) GROUP BY ALL)
+  n AS (SELECT paper_id, w, count(*) AS n FROM t ANTI JOIN lexicon USING (w) WHERE w NOT IN ({COMMON_SQL}) GROUP BY ALL)
   SELECT paper_id, w AS token, n AS occurrences FROM n QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, w) <= 20""")
 def spelling_candidates(spark, d):
-    t = _tokens(spark, d, "doc_id", "paper_id").where(~F.contains("w", F.lit("-"))).groupBy("doc_id", "paper_id", "w").agg(F.sum("n").alias("n"))
-    t = stored(t, "tokens")
-    lexicon = t.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df >= 3").select("w")
-    n = t.join(lexicon, "w", "left_anti").groupBy("paper_id", "w").agg(F.sum("n").alias("occurrences"))
-    nth = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("occurrences"), "w"))
-    return n.withColumn("nth", nth).where("nth <= 20").select("paper_id", F.col("w").alias("token"), "occurrences")
+    t = stored(spelling.word_counts(_english(spark, d), "doc_id", "paper_id").where(~F.contains("word", F.lit("-"))), "tokens")
+    lexicon = t.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df >= 3").select("word", F.lit("").alias("language"))
+    words = t.groupBy("paper_id", "word").agg(F.sum("n").alias("occurrences")).withColumn("language", F.lit(""))
+    found = spelling.unknown(words, spark.createDataFrame([], "paper_id string, word string"), lexicon)
+    return spelling.ranked(found, ["paper_id"], 20).select("paper_id", F.col("word").alias("token"), "occurrences")
 
 
 LEXICON = "SELECT lower(regexp_replace(word, '[^A-Za-z]', '', 'g')) AS word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM {documents} WHERE lang = 'en')"
 
 
 #: A word and what is left of it without one letter: words one edit apart have one of these in common.
-LEAN = "SELECT word, unnest(list_concat([word], [substr(word, 1, i - 1) || substr(word, i + 1) FOR i IN range(1, length(word) + 1)])) AS lean FROM "
+LEAN_SQL = LEAN = "SELECT word, unnest(list_concat([word], [substr(word, 1, i - 1) || substr(word, i + 1) FOR i IN range(1, length(word) + 1)])) AS lean FROM "
 
 
 @query(f"""WITH l AS (SELECT word, count(*) AS frequency FROM ({LEXICON}) WHERE word <> '' GROUP BY word), typed AS (SELECT word FROM l WHERE frequency = 1),
@@ -201,15 +199,6 @@ def spelling_suggestions(spark, d):
     return spelling.suggestions(n.where("frequency = 1").select("word"), n.where("frequency >= 5"))
 
 
-@query()
-def section_spelling(spark, d):
-    s = sections.sections(lines(spark, d))
-    refs = references.references(s)
-    allow = spelling.allowlist(view(spark, d, PAPERS), refs)
-    t = spelling.tokens(s).groupBy(F.lower("token").alias("word")).agg(F.count_distinct("paper_id").alias("n")).where("n >= 3").select("word")
-    return spelling.candidates(s, allow, t)
-
-
 # Structure ------------------------------------------------------------------------------------------------------------------
 
 KIND_SQL = "CASE " + " ".join("WHEN regexp_matches(lower(title), '{}') THEN '{}'".format("|".join(w), k) for k, w in sections.KINDS) + " ELSE 'other' END"
@@ -237,6 +226,37 @@ def reviewable_sections(spark, d):
     return sections.reviewable(sections.sections(lines(spark, d))).select("paper_id", "label")
 
 
+BETWEEN_SQL = r"""string_split(array_to_string([CASE WHEN {goes_on} THEN p || ' ' ELSE p || chr(1) END FOR p IN {pieces}], ''), chr(1))""".format(goes_on=GOES_ON, pieces=PIECES)
+SAID_SQL = rf"""body AS (SELECT paper_id, section_idx, label, start_page, regexp_replace(regexp_replace(text, '\\[A-Za-z]+|\$[^$]*\$', ' ', 'g'), 'https?://\S+|www\.\S+|\b10\.\d{{4,9}}/\S+', ' ', 'g') AS text FROM sections),
+  said AS (SELECT paper_id, section_idx, label, start_page, i, trim(s[i]) AS sentence FROM (SELECT *, {BETWEEN_SQL} AS s FROM body) m, range(1, len(s) + 1) t(i) WHERE trim(s[i]) <> '')"""
+ENDS_SQL = r"""regexp_replace({0}, '^[.,;:()\[\]{{}}"]+|[.,;:()\[\]{{}}"]+$', '', 'g')"""
+TOKEN_SQL = r"""regexp_replace(regexp_replace({0}, '^[''’-]+|[''’-]+$', '', 'g'), '[''’]s$', '')"""
+
+
+@query(rf"""WITH {LINES_SQL}, {HEADINGS_SQL}, {SAID_SQL},
+  raw AS (SELECT paper_id, section_idx, label, start_page, i, j, sentence, {ENDS_SQL.format("chunks[j]")} AS raw FROM (SELECT *, regexp_split_to_array(sentence, '\s+') AS chunks FROM said) c, range(1, len(chunks) + 1) u(j)),
+  tok AS (SELECT *, lower(token) AS w FROM (SELECT *, {TOKEN_SQL.format("raw")} AS token FROM raw) t WHERE {CHECKABLE}),
+  allow AS (SELECT paper_id, lower(unnest(regexp_extract_all(text, '\(([A-Z][A-Za-z0-9]{{1,9}})s?\)', 1))) AS w FROM papers UNION SELECT paper_id, unnest(['belady', 'systems', 'journal', 'mattson', 'evaluation']) FROM papers),
+  seen AS (SELECT paper_id, section_idx, label, start_page, w, count(*) AS n, arg_min(token, (i, j)) AS token, arg_min(sentence, (i, j)) AS sentence FROM tok WHERE w NOT IN ({COMMON_SQL}) GROUP BY ALL),
+  open_words AS (SELECT * FROM seen ANTI JOIN allow USING (paper_id, w)),
+  every AS (SELECT paper_id, lower({TOKEN_SQL.format("raw")}) AS w FROM (SELECT paper_id, {ENDS_SQL.format("c")} AS raw, {TOKEN_SQL.format(ENDS_SQL.format("c"))} AS token FROM (SELECT paper_id, unnest(regexp_split_to_array(text, '\s+')) AS c FROM sections) x) y WHERE {CHECKABLE}),
+  lexicon AS (SELECT w FROM every GROUP BY w HAVING count(DISTINCT paper_id) >= 3),
+  parts AS (SELECT DISTINCT paper_id, whole, w FROM (SELECT paper_id, w AS whole, unnest(string_split(w, '-')) AS w FROM open_words WHERE contains(w, '-')) p WHERE length(w) >= 3 AND w NOT IN ({COMMON_SQL})),
+  odd AS (SELECT DISTINCT paper_id, whole AS w FROM parts ANTI JOIN allow USING (paper_id, w) ANTI JOIN lexicon USING (w)),
+  unknown_words AS (SELECT * FROM open_words ANTI JOIN lexicon USING (w) WHERE NOT contains(w, '-') UNION ALL SELECT * FROM open_words SEMI JOIN odd USING (paper_id, w) WHERE contains(w, '-')),
+  top AS (SELECT * FROM unknown_words QUALIFY row_number() OVER (PARTITION BY paper_id, section_idx ORDER BY n DESC, w) <= 120),
+  typed AS (SELECT DISTINCT w AS word FROM top), known AS (SELECT w AS word FROM lexicon),
+  near AS (SELECT DISTINCT t.word, k.word AS suggestion FROM ({LEAN_SQL} typed) t JOIN ({LEAN_SQL} known) k USING (lean)),
+  better AS (SELECT word, min(suggestion) AS suggestion FROM near WHERE damerau_levenshtein(word, suggestion) = 1 AND (levenshtein(word, suggestion) = 2 OR regexp_replace(word, '[a-z]', '', 'g') = regexp_replace(suggestion, '[a-z]', '', 'g')
+    OR length(regexp_replace(word, '[a-z]', '', 'g')) > length(regexp_replace(suggestion, '[a-z]', '', 'g'))) GROUP BY word)
+  SELECT paper_id, CAST(section_idx AS BIGINT) AS section_idx, token, CASE WHEN length(sentence) <= 300 THEN sentence ELSE substr(sentence, 1, 297) || '...' END AS sentence, label || ' (p. ' || start_page || ')' AS location, n AS occurrences, suggestion FROM top LEFT JOIN better ON better.word = top.w""")
+def section_spelling(spark, d):
+    s = stored(sections.sections(lines(spark, d)), "sections")
+    t = spelling.word_counts(s, "paper_id").groupBy("word").agg(F.count_distinct("paper_id").alias("n")).where("n >= 3").select("word")
+    found = spelling.candidates(s, spelling.allowlist(view(spark, d, PAPERS), references.references(s)), stored(t, "lexicon"))
+    return found.withColumn("section_idx", F.col("section_idx").cast("bigint"))
+
+
 INVENTORY = "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, n.ord, n.number, n.title FROM {documents} CROSS JOIN (SELECT 1 AS ord, '' AS number, 'abstract' AS title UNION ALL SELECT 2 AS ord, '1' AS number, 'Introduction' AS title UNION ALL SELECT 3 AS ord, '' AS number, 'References' AS title UNION ALL SELECT 4 AS ord, '' AS number, 'No such' AS title) n"
 
 
@@ -587,82 +607,235 @@ def covered_by_any_needle(spark, d):
 # Requests, runs, jobs -------------------------------------------------------------------------------------------------------
 
 
-@query()
-def requests_pass1(spark, d):
-    own = lines(spark, d)
-    s = sections.sections(own)
-    caps = captions.per_section(captions.captions(own), s)
-    words = spelling.candidates(s, spelling.allowlist(view(spark, d, PAPERS), references.references(s)), spelling.tokens(s).select(F.lower("token").alias("word")).groupBy("word").count().where("count >= 5").select("word"))
-    return payloads.pass1(s, caps, words, spark.createDataFrame([], "paper_id string, json string"))
-
-
 def _asked(requests: DataFrame) -> DataFrame:
     return requests.select("paper_id", "label", "payload", "request_hash")
 
 
-def _asked_sql(pass_: str, label: str, rows: str) -> str:
-    """rows gives paper_id and payload."""
-    return f"SELECT paper_id, '{label}' AS label, payload, sha256('{pass_}' || chr(1) || '{label}' || chr(1) || payload) AS request_hash FROM ({rows}) asked"
+def _asked_sql(stage: str, label: str, rows: str) -> str:
+    """rows gives paper_id and payload; label is SQL."""
+    return f"SELECT paper_id, {label} AS label, payload, sha256('{stage}' || chr(1) || {label} || chr(1) || payload) AS request_hash FROM ({rows}) asked"
 
 
-def _cut_sql(text: str, most: int) -> str:
-    return f"CASE WHEN length({text}) <= {most} THEN {text} ELSE substr({text}, 1, {most}) || {NL} || '[... truncated ...]' END"
+def _cut_sql(text: str, most: int | str, mark: str = "[TRUNCATED: section longer than the configured limit]") -> str:
+    return f"CASE WHEN length({text}) <= {most} THEN {text} ELSE substr({text}, 1, {most}) || {NL} || '... {mark}' END"
 
 
-PARTS = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 0 AS section_idx, '' AS number, '3 Results' AS label, CASE WHEN doc_id % 2 = 0 THEN 'results' ELSE 'other' END AS kind, text, 1 AS start_page, 2 AS end_page FROM {documents}
-  UNION ALL SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 1 AS section_idx, '' AS number, '1 Introduction' AS label, CASE WHEN doc_id % 3 = 0 THEN 'introduction' ELSE 'method' END AS kind, text || text AS text, 2 AS start_page, 3 AS end_page FROM {documents}"""
-PART_SQL = f"'=== ' || label || ' (pages ' || start_page || '-' || end_page || ') ===' || {NL} || " + _cut_sql("text", 24_000)
+def _str(text: str) -> str:
+    """SQL for a text as JSON; null is null."""
+    return f"coalesce(CAST(to_json({text}) AS VARCHAR), 'null')"
 
 
-@query(_asked_sql("pass2", "pass2:consistency", f"""WITH parts AS ({PARTS}), own AS (SELECT paper_id, string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS body FROM parts WHERE kind = 'results' GROUP BY paper_id),
-  half AS (SELECT 'd' || doc_id AS paper_id, doc_id, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS h FROM {{documents}})
-  SELECT half.paper_id, CASE WHEN body IS NULL THEN 'NOTE: the abstract/results/discussion/conclusion sections could not be identified. Record this in `limitations`.' || {NL} || {NL} ELSE '' END || '=== PASS 0 INVENTORY ===' || {NL} || CASE WHEN doc_id % 5 = 0 THEN '{{"note": "Pass 0 output unavailable"}}' ELSE '{{"n": 1}}' END || {NL} || {NL}
-    || coalesce(body, '=== PAPER TEXT (second half; section split unavailable) ===' || {NL} || {_cut_sql("h", 48_000)}) || {NL} || {NL} || '=== TABLE CONTENTS (text around each table caption) ===' || {NL} || CASE WHEN doc_id % 4 = 0 THEN 'a' || {NL} || {NL} || 'b' ELSE '' END AS payload FROM half LEFT JOIN own USING (paper_id)"""))
-def requests_pass2(spark, d):
-    papers = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, text FROM {documents}")
-    tables = papers.where("doc_id % 4 = 0").select("paper_id", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("text")).withColumn("id", F.col("text"))
-    known = papers.where("doc_id % 5 <> 0").select("paper_id", F.lit('{"n": 1}').alias("json"))
-    return _asked(payloads.pass2(papers.select("paper_id", "text"), view(spark, d, PARTS), tables, known))
+def _pad(depth: int) -> str:
+    return f"{NL} || '{' ' * depth}'"
 
 
-@query(f"""WITH e AS ({ENTRIES}), n AS (SELECT paper_id, pos, CASE WHEN entry LIKE '[%' THEN CAST(regexp_extract(entry, '^\\[(\\d+)\\]', 1) AS INT) ELSE pos + 1 END AS ref_index, regexp_replace(entry, '^\\[\\d+\\]\\s+', '') AS raw, row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1 AS k FROM e),
-  b AS (SELECT paper_id, 'pass3:references ' || (k // 3 + 1) AS label, '=== BIBLIOGRAPHY ENTRIES WITH LOOKUP RESULTS ===' || {NL} || '[' || string_agg('{{"ord":' || (pos + 1) || ',"ref_index":' || ref_index || ',"raw":"' || raw || '"}}', ',' ORDER BY pos) || ']' AS payload FROM n GROUP BY paper_id, k // 3)
-  SELECT paper_id, label, payload, sha256('pass3' || chr(1) || label || chr(1) || payload) AS request_hash FROM b""")
-def requests_pass3(spark, d):
-    return _asked(payloads.pass3(references.batches(references.numbered_entries(view(spark, d, SPARK_ENTRIES)), 3)))
+def _object(depth: int, **fields: str) -> str:
+    """SQL for an object at a depth, whose fields are SQL for JSON. Requests show JSON as Python's json.dumps(indent=1) does."""
+    return "'{' || " + " || ',' || ".join(f"{_pad(depth + 1)} || '\"{k}\": ' || {v}" for k, v in fields.items()) + f" || {_pad(depth)} || '}}'"
+
+
+def _list(depth: int, joined: str) -> str:
+    """SQL for a list at a depth; joined: its elements with _between(depth) between them, null for none."""
+    return f"coalesce('[' || {_pad(depth + 1)} || ({joined}) || {_pad(depth)} || ']', '[]')"
 
 
-@query(_asked_sql("pass4", "pass4:claims", f"""WITH parts AS ({PARTS}), wanted AS (SELECT * FROM parts WHERE kind = 'introduction' UNION ALL SELECT * FROM parts p WHERE length(trim(text)) > 200 AND NOT EXISTS (SELECT 1 FROM parts q WHERE q.paper_id = p.paper_id AND q.kind = 'introduction'))
-  SELECT paper_id, '=== RESEARCH QUESTIONS (from Pass 0) ===' || {NL} || CASE WHEN CAST(substr(paper_id, 2) AS BIGINT) % 2 = 0 THEN '["why?"]' ELSE '[]' END || {NL} || {NL} || '=== TEXT ===' || {NL} || string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS payload FROM wanted GROUP BY paper_id"""))
+def _between(depth: int) -> str:
+    return f"',' || {_pad(depth + 1)}"
+
+
+def _literal(depth: int, *values: str) -> str:
+    """SQL for a list of a few elements."""
+    return _list(depth, f" || {_between(depth)} || ".join(values)) if values else "'[]'"
+
+
+PARTS = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 0 AS section_idx, '3' AS number, 'Results' AS title, '3 Results' AS label, CASE WHEN doc_id % 2 = 0 THEN 'results' ELSE 'other' END AS kind, text, 1 AS start_page, 2 AS end_page FROM {documents}
+  UNION ALL SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 1 AS section_idx, '' AS number, 'Introduction' AS title, 'Introduction' AS label, CASE WHEN doc_id % 3 = 0 THEN 'introduction' ELSE 'method' END AS kind, text || text AS text, 2 AS start_page, 3 AS end_page FROM {documents}"""
+PART_SQL = f"'=== ' || label || ' (pages ' || start_page || '-' || end_page || ') ===' || {NL} || " + _cut_sql("text", 24_000)
+DOC = "CAST(substr(paper_id, 2) AS BIGINT)"
+FIGURES = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, n.kind, n.id, 'Rate of "hits" in paper ' || CAST(doc_id AS STRING) || ' by ' || lang AS caption, n.page, doc_id % 2 = 0 AS referenced_in_text FROM {documents}
+  JOIN (SELECT 'table' AS kind, 'Table 2' AS id, 3 AS page, 1 AS k UNION ALL SELECT 'figure' AS kind, 'Figure 10' AS id, 2 AS page, 1 AS k UNION ALL SELECT 'figure' AS kind, 'Figure 9' AS id, 2 AS page, 0 AS k UNION ALL SELECT 'figure' AS kind, 'Figure IV' AS id, 1 AS page, 2 AS k) n ON doc_id % 3 >= n.k"""
+FIGURE_PLACE = "kind, CASE id WHEN 'Figure 9' THEN 9 WHEN 'Figure 10' THEN 10 WHEN 'Figure IV' THEN 1000000 ELSE 2 END"
+CITED = """SELECT 'd' || CAST(d.doc_id AS STRING) AS paper_id, CAST(n.k AS INT) AS ord, CAST(n.k + d.doc_id % 2 AS INT) AS ref_index, CASE n.k WHEN 2 THEN d.text ELSE 'Entry ' || CAST(d.doc_id AS STRING) END AS raw FROM {documents} d JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) n ON d.doc_id % 4 >= n.k"""
+
+
+def _inventories(spark, d):
+    """Of two papers in three the inventory that pass 0 gives; INVENTORY_SQL shows parts of it."""
+    i = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, lang, text FROM {documents} WHERE doc_id % 3 <> 1")
+    figure = lambda k: F.struct(F.lit(k).alias("id"), F.lit('A "caption"').alias("caption"), (F.col("doc_id") % 2 == 0).alias("referenced_in_text"))
+    none = F.array().cast("array<struct<id:string,caption:string,referenced_in_text:boolean>>")
+    parts = F.array(F.struct(F.lit("1").alias("number"), F.lit("Introduction").alias("title"), F.lit("1-2").alias("pages")))
+    numbers = F.array(F.struct(F.lit("31.4%").alias("value"), F.lit("rate").alias("meaning"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("p. 1"), F.lit("p. 4"))).otherwise(F.array().cast("array<string>")).alias("locations")))
+    reply = F.struct(
+        F.array().cast("array<string>").alias("limitations"), F.col("lang").alias("language"), F.col("text").alias("title"), parts.alias("sections"), F.array(F.lit("why?"), F.col("lang")).alias("research_questions_or_hypotheses"),
+        F.array(figure("Figure 1"), figure("Figure 2")).alias("figures"), none.alias("tables"), numbers.alias("key_numbers"), F.array().cast("array<struct<index:int,raw:string>>").alias("bibliography"),
+    )
+    return i.select("paper_id", reply.alias("reply"))
+
+
+KNOWN_FIGURES = _literal(1, *[_object(2, id=f"'\"{k}\"'", caption="'\"A \\\"caption\\\"\"'", referenced_in_text="CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END") for k in ("Figure 1", "Figure 2")])
+KNOWN_NUMBERS = _literal(1, _object(2, value="'\"31.4%\"'", meaning="'\"rate\"'", locations=f"CASE WHEN doc_id % 2 = 0 THEN {_literal(3, chr(39) + chr(34) + 'p. 1' + chr(34) + chr(39), chr(39) + chr(34) + 'p. 4' + chr(34) + chr(39))} ELSE '[]' END"))
+DATA_CUT = "[TRUNCATED]"
+FOUND_SQL = _object(2, index="section_idx", number=_str("number"), title=_str("title"), kind=_str("kind"), pages="'\"' || start_page || '-' || end_page || '\"'", chars="length(text)")
+CAPTION_SQL = lambda depth: _object(depth, id=_str("id"), caption=_str("caption"), page="page", referenced_in_text="CASE WHEN referenced_in_text THEN 'true' ELSE 'false' END")
+HINT_SQL = _object(
+    0, pdf_metadata=f"CASE WHEN doc_id % 2 = 0 THEN {_object(1, title=_str('lang'), author=_str(chr(39) + 'A ' + chr(34) + 'B' + chr(34) + chr(39)))} ELSE '{{}}' END", page_count="(3 + doc_id % 4)", detected_sections=_list(1, "heads"), detected_captions=_list(1, "caps"),
+    detected_reference_count="coalesce(n_refs, 0)", detected_bibliography=_list(1, "bib"),
+)
+
+
+@query(_asked_sql("pass0", "'pass0:inventory'", f"""WITH h AS (SELECT paper_id, string_agg({FOUND_SQL}, {_between(1)} ORDER BY section_idx) AS heads, string_agg(trim(number || ' ' || title || ' (pages ' || start_page || '-' || end_page || ')'), {NL} ORDER BY section_idx) AS headings FROM ({PARTS}) p GROUP BY paper_id),
+  c AS (SELECT paper_id, string_agg({CAPTION_SQL(2)}, {_between(1)} ORDER BY {FIGURE_PLACE}) AS caps, string_agg(id || ': ' || caption, {NL} ORDER BY {FIGURE_PLACE}) AS captions FROM ({FIGURES}) f GROUP BY paper_id),
+  b AS (SELECT paper_id, count(*) AS n_refs, string_agg({_object(2, index="ref_index", raw=_str("substr(raw, 1, 400)"))}, {_between(1)} ORDER BY ord) AS bib, string_agg('[' || ref_index || '] ' || raw, {NL} ORDER BY ord) AS bibliography FROM ({CITED}) r GROUP BY paper_id),
+  j AS (SELECT *, 'd' || doc_id AS paper FROM {{documents}} LEFT JOIN h ON h.paper_id = 'd' || doc_id LEFT JOIN c ON c.paper_id = 'd' || doc_id LEFT JOIN b ON b.paper_id = 'd' || doc_id),
+  t AS (SELECT *, {HINT_SQL} AS hint FROM j),
+  u AS (SELECT *, '=== EXTRACTION HINTS (from the PDF, deterministic) ===' || {NL} || {_cut_sql("hint", 2000, DATA_CUT)} || {NL} || 'These hints come from layout heuristics and may be wrong or incomplete. Correct them from the text where they disagree.' AS hints FROM t),
+  v AS (SELECT *, greatest(8000 - length(hints), 2000) AS room, '=== FRONT MATTER ===' || {NL} || substr(text, 1, 20000) || {NL} || {NL} || '=== SECTION HEADINGS ===' || {NL} || headings || {NL} || {NL} || '=== CAPTIONS ===' || {NL} || coalesce(captions, '') || {NL} || {NL} || '=== BIBLIOGRAPHY ===' || {NL} || coalesce(bibliography, '') AS short FROM u)
+  SELECT paper AS paper_id, CASE WHEN length(text) <= room THEN hints || {NL} || {NL} || '=== FULL PAPER TEXT ===' || {NL} || text
+    ELSE 'NOTE: the paper exceeded the input budget, so you are given the front matter, the section headings, all captions and the bibliography instead of the full text. Record this in `limitations`.' || {NL} || {NL} || hints || {NL} || {NL} || {_cut_sql("short", "room")} END AS payload FROM v"""))
+def requests_pass0(spark, d):
+    papers = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, lang, text FROM {documents}")
+    about = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("title"), F.col("lang"), F.lit("author"), F.lit('A "B"')))
+    papers = papers.select("paper_id", "text", (3 + F.col("doc_id") % 4).cast("int").alias("page_count"), about.alias("metadata"))
+    return _asked(payloads.pass0(papers, view(spark, d, PARTS), view(spark, d, FIGURES), view(spark, d, CITED), 8_000))
+
+
+WORDS = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, CAST(n.k % 2 AS INT) AS section_idx, 'Word' || CAST(n.k AS STRING) AS token, text AS sentence, 'p. "1"' AS location, CASE WHEN n.k < 2 THEN 'better' WHEN n.k = 2 THEN '' END AS suggestion, CAST(doc_id % 3 * n.k AS BIGINT) AS occurrences FROM {documents}
+  JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) n ON doc_id % 5 > n.k"""
+DIGEST_SQL = _cut_sql("digest", 12_000, DATA_CUT)
+WORD_SQL = (
+    f"'{{' || {_pad(2)} || '\"token\": ' || {_str('token')} || ',' || {_pad(2)} || '\"sentence\": ' || {_str('sentence')} || ',' || {_pad(2)} || '\"location\": ' || {_str('location')} || ',' || {_pad(2)} || '\"occurrences\": ' || occurrences"
+    f" || CASE WHEN coalesce(suggestion, '') <> '' THEN ',' || {_pad(2)} || '\"checker_suggestion\": ' || {_str('suggestion')} ELSE '' END || {_pad(1)} || '}}'"
+)
+
+
+@query(f"""WITH s AS (SELECT *, {DOC} AS doc_id FROM ({PARTS}) p WHERE length(trim(text)) > 200),
+  i AS (SELECT 'd' || doc_id AS paper_id, {_object(0, language=_str("lang"), title=_str("text"), sections=_literal(1, _object(2, number="'\"1\"'", title="'\"Introduction\"'", pages="'\"1-2\"'")), figures=KNOWN_FIGURES, tables="'[]'")} AS digest FROM {{documents}} WHERE doc_id % 3 <> 1),
+  c AS (SELECT s.paper_id, s.section_idx, string_agg({CAPTION_SQL(1)}, {_between(0)} ORDER BY {FIGURE_PLACE.replace("kind", "f.kind")}) AS caps FROM s JOIN ({FIGURES}) f ON f.paper_id = s.paper_id AND f.page BETWEEN s.start_page AND s.end_page GROUP BY s.paper_id, s.section_idx),
+  w AS (SELECT paper_id, section_idx, count(*) AS n, string_agg({WORD_SQL}, {_between(0)} ORDER BY occurrences DESC, lower(token)) AS words FROM ({WORDS}) x GROUP BY paper_id, section_idx),
+  r AS (SELECT s.paper_id, 'pass1:' || label AS label, '=== PASS 0 INVENTORY (condensed) ===' || {NL} || coalesce({DIGEST_SQL}, {_object(0, language="'\"en\"'", note="'\"Pass 0 output unavailable\"'")}) || {NL} || {NL} || '=== SECTION UNDER REVIEW ===' || {NL} || 'title: ' || label || {NL} || 'pages: ' || start_page || '-' || end_page || {NL} || {NL} || {_cut_sql("text", 24_000)}
+    || {NL} || {NL} || '=== FIGURES AND TABLES ON THESE PAGES ===' || {NL} || {_list(0, "caps")} || {NL} || {NL} || '=== SPELLCHECKER CANDIDATES FOR THIS SECTION ===' || {NL} || {_list(0, "words")} || {NL} || '(' || coalesce(n, 0) || ' candidates; classify every one of them.)' AS payload
+    FROM s LEFT JOIN i ON i.paper_id = s.paper_id LEFT JOIN c ON c.paper_id = s.paper_id AND c.section_idx = s.section_idx LEFT JOIN w ON w.paper_id = s.paper_id AND w.section_idx = s.section_idx)
+  SELECT paper_id, label, payload, sha256('pass1' || chr(1) || label || chr(1) || payload) AS request_hash FROM r""")
+def requests_pass1(spark, d):
+    return _asked(payloads.pass1(view(spark, d, PARTS), view(spark, d, FIGURES), view(spark, d, WORDS), _inventories(spark, d)))
+
+
+@query(_asked_sql("pass2", "'pass2:consistency'", f"""WITH parts AS ({PARTS}), own AS (SELECT paper_id, string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS body FROM parts WHERE kind = 'results' GROUP BY paper_id),
+  half AS (SELECT 'd' || doc_id AS paper_id, doc_id, lang, text, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS h FROM {{documents}}),
+  i AS (SELECT paper_id, {_object(0, title=_str("text"), language=_str("lang"), research_questions_or_hypotheses=_literal(1, "'\"why?\"'", _str("lang")), key_numbers=KNOWN_NUMBERS, figures=KNOWN_FIGURES, tables="'[]'")} AS inventory FROM half WHERE doc_id % 3 <> 1)
+  SELECT half.paper_id, CASE WHEN body IS NULL THEN 'NOTE: the abstract/results/discussion/conclusion sections could not be identified. Record this in `limitations`.' || {NL} || {NL} ELSE '' END || '=== PASS 0 INVENTORY ===' || {NL} || coalesce({_cut_sql("inventory", 30_000, DATA_CUT)}, {_object(0, note="'\"Pass 0 output unavailable\"'")}) || {NL} || {NL}
+    || coalesce(body, '=== PAPER TEXT (second half; section split unavailable) ===' || {NL} || {_cut_sql("h", 48_000)}) || {NL} || {NL} || '=== TABLE CONTENTS (text around each table caption) ===' || {NL} || CASE WHEN doc_id % 4 = 0 THEN {_cut_sql(f"'b' || {NL} || {NL} || text", 20_000)} ELSE '' END AS payload FROM half LEFT JOIN own USING (paper_id) LEFT JOIN i USING (paper_id)"""))
+def requests_pass2(spark, d):
+    papers = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, doc_id, text FROM {documents}")
+    near = F.explode(F.array(F.struct(F.lit("Table 10").alias("id"), F.col("text")), F.struct(F.lit("Table 9").alias("id"), F.lit("b").alias("text"))))
+    tables = papers.where("doc_id % 4 = 0").select("paper_id", near.alias("t")).select("paper_id", "t.*")
+    return _asked(payloads.pass2(papers.select("paper_id", "text"), view(spark, d, PARTS), tables, _inventories(spark, d)))
+
+
+LOOKED_UP = """SELECT 'p' || CAST(item_id % 4 AS STRING) AS paper_id, CAST(item_id AS INT) AS ord, CAST(item_id + 1 AS INT) AS ref_index, item_id, text AS raw, CASE WHEN item_id % 3 > 0 THEN '10.1000/x.' || CAST(item_id AS STRING) END AS doi,
+  CASE WHEN item_id % 5 > 0 THEN 'On "' || substr(text, 1, 20) || '"' END AS title, CASE WHEN item_id % 2 = 0 THEN '1999' END AS year FROM {benchmark}"""
+RECORD_SQL = _object(
+    2, found="CASE WHEN item_id % 7 = 1 THEN 'false' ELSE 'true' END", url=_str("'https://r.org/' || item_id"), title=_str("title"), authors=_literal(3, _str("'X. Surname'")), year="'\"1999\"'", venue="'\"\"'", doi=_str("doi"), type="'\"article\"'",
+    is_retracted="CASE WHEN item_id % 7 = 2 THEN 'true' ELSE 'false' END", retraction_notes="'\"\"'", is_preprint="'false'", abstract=_str("substr(raw || raw || raw || raw, 1, 1200)"), match_score="CASE WHEN item_id % 2 = 0 THEN '98.125' ELSE '100.0' END", source="'\"stub\"'",
+)
+ENTRY_SQL = _object(
+    1, index="ref_index", raw=_str("raw"), parsed=_object(2, title=_str("title"), year=_str("year"), authors=f"CASE item_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN {_literal(3, _str(chr(39) + 'Surname' + chr(39)))} ELSE {_literal(3, _str(chr(39) + 'Surname' + chr(39)), _str(chr(39) + 'Other' + chr(39)))} END", doi=_str("doi")),
+    citing_sentences=f"CASE WHEN item_id % 2 = 0 THEN {_literal(2, _object(3, quote=_str('raw'), location=_str(chr(39) + '1 Introduction (p. 1)' + chr(39))), _object(3, quote=_str(chr(39) + 'So [1].' + chr(39)), location=_str(chr(39) + '2 Methods (p. 2)' + chr(39))))} ELSE '[]' END",
+    lookup_result=f"CASE WHEN item_id % 6 = 5 THEN {_object(2, found=chr(39) + 'false' + chr(39))} ELSE {RECORD_SQL} END",
+)
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ord) - 1 AS k FROM ({LOOKED_UP}) e),
+  b AS (SELECT paper_id, 'pass3:refs ' || min(ref_index) || '-' || max(ref_index) AS label, {_list(0, f"string_agg({ENTRY_SQL}, {_between(0)} ORDER BY ord)")} AS listed FROM n GROUP BY paper_id, k // 10),
+  r AS (SELECT paper_id, label, '=== BIBLIOGRAPHY ENTRIES WITH LOOKUP RESULTS ===' || {NL} || {_cut_sql("listed", 60_000, DATA_CUT)} || {NL} || {NL}
+    || 'The `lookup_result` block is what a bibliographic database returned for that entry. Compare it with `raw`. Use only the URL in `lookup_result.url`; never invent one. Return one object in `references` for every index listed above.' AS payload FROM b)
+  SELECT paper_id, label, payload, sha256('pass3:refs' || chr(1) || label || chr(1) || payload) AS request_hash FROM r""")
+def requests_pass3(spark, d):
+    r = view(spark, d, LOOKED_UP)
+    people = F.array(F.lit("Surname"), F.lit("Other"))
+    cite = lambda quote, place: F.struct(quote.alias("quote"), F.lit(place).alias("location"))
+    cited = F.when(F.col("item_id") % 2 == 0, F.array(cite(F.col("raw"), "1 Introduction (p. 1)"), cite(F.lit("So [1]."), "2 Methods (p. 2)"))).otherwise(F.array().cast("array<struct<quote:string,location:string>>"))
+    refs = r.select("paper_id", "ord", "ref_index", "raw", "doi", "title", "year", F.slice(people, F.lit(1), (F.col("item_id") % 3).cast("int")).alias("authors"), cited.alias("citing_sentences"))
+    records = r.where("item_id % 6 <> 5").selectExpr(
+        "paper_id", "ref_index", "item_id % 7 <> 1 AS found", "'https://r.org/' || item_id AS url", "title", "array('X. Surname') AS authors", "'1999' AS year", "'' AS venue", "doi", "'article' AS type", "item_id % 7 = 2 AS is_retracted", "'' AS retraction_notes", "false AS is_preprint",
+        "raw || raw || raw || raw AS abstract", "CAST(CASE WHEN item_id % 2 = 0 THEN 98.125 ELSE 100 END AS DOUBLE) AS match_score", "'stub' AS source",
+    )
+    return _asked(payloads.pass3(references.batches(references.with_records(refs, records))))
+
+
+@query(_asked_sql("pass3:missing", "'pass3:missing_citations'", f"SELECT paper_id, 'search_tool_available: True' || {NL} || {NL} || string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS payload FROM ({PARTS}) p WHERE kind = 'introduction' GROUP BY paper_id"))
+def requests_pass3_missing(spark, d):
+    return _asked(payloads.pass3_missing(view(spark, d, PARTS), True))
+
+
+@query(_asked_sql("pass4:claims", "'pass4:claims'", f"""WITH parts AS ({PARTS}), wanted AS (SELECT * FROM parts WHERE kind = 'introduction' UNION ALL SELECT * FROM parts p WHERE length(trim(text)) > 200 AND NOT EXISTS (SELECT 1 FROM parts q WHERE q.paper_id = p.paper_id AND q.kind = 'introduction')),
+  bodies AS (SELECT paper_id, string_agg({PART_SQL}, {NL} || {NL} ORDER BY section_idx) AS body FROM wanted GROUP BY paper_id)
+  SELECT 'd' || doc_id AS paper_id, '=== RESEARCH QUESTIONS (from Pass 0) ===' || {NL} || CASE WHEN doc_id % 3 <> 1 THEN {_literal(0, "'\"why?\"'", _str("lang"))} ELSE '[]' END || {NL} || {NL} || '=== TEXT ===' || {NL} || coalesce(body, '') AS payload FROM {{documents}} LEFT JOIN bodies ON bodies.paper_id = 'd' || doc_id"""))
 def requests_pass4(spark, d):
-    asked = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, '[\"why?\"]' AS json FROM {documents} WHERE doc_id % 2 = 0")
-    return _asked(payloads.pass4_claims(view(spark, d, PARTS), asked))
+    papers = view(spark, d, "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id FROM {documents}")
+    return _asked(payloads.pass4_claims(papers, view(spark, d, PARTS), _inventories(spark, d)))
 
 
-CLAIMS = "SELECT 'p' || CAST(doc_id % 8 AS STRING) AS paper_id, doc_id AS ord, 'claim ' || CAST(doc_id % 7 AS STRING) AS claim_quote, 'p. 1' AS location, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'q' || CAST(doc_id % 5 AS STRING) END AS search_query FROM {documents}"
-RESULTS = "SELECT DISTINCT 'q' || CAST(doc_id % 4 AS STRING) AS query, CAST(doc_id % 9 AS INT) AS rank, 't' || CAST(doc_id % 9 AS STRING) AS title, 'u' AS url, 's' AS snippet FROM {documents}"
+CLAIMS = "SELECT 'p' || CAST(doc_id % 8 AS STRING) AS paper_id, doc_id AS ord, CASE WHEN doc_id % 11 = 0 THEN text ELSE 'claim ' || CAST(doc_id % 7 AS STRING) END AS claim_quote, 'p. 1' AS location, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'q' || CAST(doc_id % 5 AS STRING) END AS search_query FROM {documents}"
+RESULTS = "SELECT DISTINCT 'q' || CAST(doc_id % 4 AS STRING) AS query, CAST(doc_id % 9 AS INT) AS rank, 't' || CAST(doc_id % 9 AS STRING) AS title, 'https://u.org/' || CAST(doc_id % 9 AS STRING) AS url, 'a \"b\"' AS snippet FROM {documents}"
+MAIN = "SELECT DISTINCT 'p' || CAST(doc_id % 10 AS STRING) AS paper_id, CASE doc_id % 10 WHEN 9 THEN '' ELSE 'q' || CAST(doc_id % 5 AS STRING) END AS main_result_query FROM {documents}"
+FIRST_CLAIMS = f"SELECT *, CASE WHEN search_query = '' THEN claim_quote ELSE search_query END AS query FROM ({CLAIMS}) x QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ord) <= 25"
 
 
-@query(f"""WITH c AS (SELECT *, CASE WHEN search_query = '' THEN claim_quote ELSE search_query END AS query FROM ({CLAIMS}) x QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ord) <= 25),
-  r AS (SELECT query, string_agg(title, ',' ORDER BY rank) AS titles FROM ({RESULTS}) y WHERE rank <= 5 GROUP BY query) SELECT paper_id, ord, c.query, coalesce(titles, '') AS titles FROM c LEFT JOIN r ON r.query = c.query""")
+@query(f"""WITH c AS ({FIRST_CLAIMS}), r AS (SELECT query, string_agg(title, ',' ORDER BY rank) AS titles FROM ({RESULTS}) y WHERE rank <= 5 GROUP BY query) SELECT paper_id, ord, c.query, coalesce(titles, '') AS titles FROM c LEFT JOIN r ON r.query = c.query""")
 def claims_searched(spark, d):
     c = payloads.searched_claims(view(spark, d, CLAIMS), view(spark, d, RESULTS))
     return c.select("paper_id", "ord", "query", F.coalesce(F.array_join(F.col("results.title"), ","), F.lit("")).alias("titles"))
 
 
+RESULT_SQL = lambda depth: f"(SELECT string_agg({_object(depth, title=_str('title'), url=_str('url'), snippet=_str('snippet'))}, {_between(depth - 1)} ORDER BY rank) FROM ({RESULTS}) y WHERE rank <= 5 AND y.query = c.query)"
+
+
+@query(_asked_sql("pass4:verify", "'pass4:verify'", f"""WITH c AS ({FIRST_CLAIMS}), found AS (SELECT paper_id, {_list(0, f"string_agg({_object(1, claim_quote=_str('claim_quote'), location=_str('location'), query=_str('c.query'), results=_list(2, RESULT_SQL(3)))}, {_between(0)} ORDER BY ord)")} AS claims FROM c GROUP BY paper_id),
+  m AS (SELECT paper_id, {_object(0, query=_str("query"), results=_list(1, RESULT_SQL(2)))} AS main FROM (SELECT paper_id, main_result_query AS query FROM ({MAIN}) x) c)
+  SELECT m.paper_id, 'search_tool_available: true' || {NL} || {NL} || '=== CLAIMS WITH SEARCH RESULTS ===' || {NL} || coalesce({_cut_sql("claims", 60_000, DATA_CUT)}, '[]') || {NL} || {NL} || '=== SEARCH RESULTS FOR THE PAPER''S MAIN RESEARCH QUESTION ===' || {NL} || {_cut_sql("main", 20_000, DATA_CUT)} AS payload FROM m LEFT JOIN found USING (paper_id)"""))
+def requests_pass4_verify(spark, d):
+    results = view(spark, d, RESULTS)
+    return _asked(payloads.pass4_verify(payloads.searched_claims(view(spark, d, CLAIMS), results), view(spark, d, MAIN), results))
+
+
+@query(f"SELECT paper_id, (count(*) - 15) || ' extracted claims beyond the first 15 were not searched and remain unchecked.' AS limitation FROM ({CLAIMS}) c GROUP BY paper_id HAVING count(*) > 15")
+def claims_dropped(spark, d):
+    return payloads.dropped_claims(view(spark, d, CLAIMS), 15)
+
+
+@query(f"SELECT DISTINCT query FROM (SELECT query FROM ({FIRST_CLAIMS}) c UNION ALL SELECT main_result_query FROM ({MAIN}) m) q WHERE query <> ''")
+def searches_wanted(spark, d):
+    return payloads.wanted_searches(view(spark, d, CLAIMS), view(spark, d, MAIN))
+
+
 @query(f"SELECT paper_id, ord, '' AS source_url, 'no_search_tool - suggested query: ' || search_query AS source_says, 'could_not_verify' AS verdict FROM ({CLAIMS}) c")
 def claims_without_search(spark, d):
     return payloads.without_search(view(spark, d, CLAIMS)).select("paper_id", "ord", "source_url", "source_says", "verdict")
 
 
-@query(_asked_sql("synthesis", "synthesis", f"""WITH f AS (SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 2 ELSE 3 END AS rank FROM ({PLANTED}) x),
-  j AS (SELECT paper_id, '[' || string_agg('{{"severity":"' || severity || '","category":"' || category || '","location":"' || location || '","quote":"' || quote || '","description":"' || description || '"}}', ',' ORDER BY rank, source_pass, category, location, ord) || ']' AS found FROM f GROUP BY paper_id),
+FINDING_SQL = _object(1, **{c: _str(c) for c in payloads.FINDING})
+# Of every paper the outputs of passes 1 and 3; of those with an even number that of pass 0 as well.
+ONE_SQL = _literal(1, _object(2, limitations=_literal(3, _str("'cut \"short\"'")), section=_str("paper_id"), spellcheck_triage="'[]'", findings="'[]'"))
+THREE_SQL = _object(1, limitations="'[]'", search_tool_available="'true'", references=_literal(2, _object(3, index="1", raw=_str("'Raw'"), status=_str("'verified'"), found_at="'\"\"'", mismatch_details="'\"\"'", citing_sentences=_literal(4, _object(5, quote=_str("'So [1].'"), location="'\"\"'")), supports_claim=_str("'yes'"), notes="'\"\"'")), missing_citations="'[]'")
+ZERO_SQL = _object(1, limitations="'[]'", language=_str("'en'"), title="'\"\"'", sections="'[]'", research_questions_or_hypotheses="'[]'", figures="'[]'", tables="'[]'", key_numbers="'[]'", bibliography="'[]'")
+OUTPUTS_SQL = f"CASE WHEN {DOC} % 2 = 0 THEN {_object(0, pass0=ZERO_SQL, pass1=ONE_SQL, pass3=THREE_SQL)} ELSE {_object(0, pass1=ONE_SQL, pass3=THREE_SQL)} END"
+
+
+@query(_asked_sql("synthesis", "'synthesis'", f"""WITH f AS (SELECT *, CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 2 ELSE 3 END AS rank FROM ({PLANTED}) x),
+  j AS (SELECT paper_id, {_list(0, f"string_agg({FINDING_SQL}, {_between(0)} ORDER BY rank, source_pass, category, location, ord)")} AS found FROM f GROUP BY paper_id),
   a AS (SELECT paper_id, string_agg('- ' || ord, {NL} ORDER BY ord) AS audit FROM f WHERE k = 2 AND g % 20 < 10 GROUP BY paper_id)
-  SELECT j.paper_id, '=== MERGED FINDINGS (deduplicated across repeated runs) ===' || {NL} || {_cut_sql("found", 40_000)} || {NL} || {NL} || '=== REFERENCE AUDIT ===' || {NL} || coalesce(audit, '- No bibliography entries were checked.') || {NL} || {NL} || '=== PASS OUTPUTS ===' || {NL} || '{{}}' AS payload FROM j LEFT JOIN a USING (paper_id)"""))
+  SELECT j.paper_id, '=== MERGED FINDINGS (deduplicated across repeated runs) ===' || {NL} || {_cut_sql("found", 40_000, DATA_CUT)} || {NL} || {NL} || '=== REFERENCE AUDIT (already resolved; reproduce these lines verbatim in section 3, do not re-judge any status) ===' || {NL} || coalesce(audit, '- No bibliography entries were checked.') || {NL} || {NL} || '=== PASS OUTPUTS ===' || {NL} || {OUTPUTS_SQL} AS payload FROM j LEFT JOIN a USING (paper_id)"""))
 def requests_synthesis(spark, d):
     f = view(spark, d, PLANTED)
     audit = f.where("k = 2 AND g % 20 < 10").select("paper_id", F.col("ord").alias("ref_index"), F.concat(F.lit("- "), F.col("ord").cast("string")).alias("line"))
-    return _asked(payloads.synthesis(findings.ordered(f.drop("g", "k")), audit, f.select("paper_id", F.lit("{}").alias("json")).distinct()))
+    kinds = {k: t for k, t in zip(["pass0", "pass1", "pass3"], [REPLIES["pass0"], f"array<{REPLIES['pass1']}>", REPLIES["pass3"]], strict=True)}
+    papers = f.select("paper_id").distinct()
+    zero = F.when(F.substring("paper_id", 2, 9).cast("int") % 2 == 0, F.lit('{"language": "en", "limitations": [], "title": "", "sections": [], "research_questions_or_hypotheses": [], "figures": [], "tables": [], "key_numbers": [], "bibliography": []}'))
+    one = F.concat(F.lit('[{"limitations": ["cut \\"short\\""], "section": "'), "paper_id", F.lit('", "spellcheck_triage": [], "findings": []}]'))
+    three = F.lit('{"limitations": [], "search_tool_available": true, "references": [{"index": 1, "raw": "Raw", "status": "verified", "found_at": "", "mismatch_details": "", "citing_sentences": [{"quote": "So [1].", "location": ""}], "supports_claim": "yes", "notes": ""}], "missing_citations": []}')
+    said = papers.select("paper_id", F.struct(*[F.from_json(c, kinds[k]).alias(k) for k, c in (("pass0", zero), ("pass1", one), ("pass3", three))]).alias("outputs"))
+    return _asked(payloads.synthesis(findings.ordered(f.drop("g", "k")), audit, said))
 
 
 CALLS = "SELECT CAST(user_id AS STRING) AS run_id, event_type, value, event_id FROM {events}"

@@ -29,17 +29,34 @@ STABILITIES = ("stable", "unstable", "single_run")
 MECHANICAL_CATEGORIES = ("language", "grammar", "terminology", "notation", "figure_table")
 CONSISTENCY_CATEGORIES = ("numbers", "claims", "alignment", "statistics", "reproducibility")
 
-_FINDING = "array<struct<severity:string,category:string,location:string,quote:string,description:string,correction:string>>"
-#: Reply schemas of the passes, as nested Spark types.
+#: Reply schemas of the calls, as nested Spark types, in the order of their fields.
 REPLIES = {
-    "pass0": "struct<language:string,title:string,sections:array<struct<number:string,title:string,pages:string>>,research_questions_or_hypotheses:array<string>,figures:array<struct<id:string,caption:string,referenced_in_text:boolean>>,tables:array<struct<id:string,caption:string,referenced_in_text:boolean>>,key_numbers:array<struct<value:string,meaning:string,locations:array<string>>>,bibliography:array<struct<index:int,raw:string>>,limitations:array<string>>",
-    "pass1": f"struct<section:string,spellcheck_triage:array<struct<token:string,classification:string,correction:string,quote:string,location:string>>,findings:{_FINDING},limitations:array<string>>",
-    "pass2": f"struct<number_checks:array<struct<quantity:string,locations:array<string>,values:array<string>,recomputation:string,verdict:string>>,claim_checks:array<struct<claim_quote:string,location:string,supporting_evidence:string,verdict:string,explanation:string>>,research_question_alignment:array<struct<question:string,answered:string,location:string,notes:string>>,findings:{_FINDING},limitations:array<string>>",
-    "pass3": "struct<search_tool_available:boolean,references:array<struct<index:int,raw:string,status:string,found_at:string,mismatch_details:string,citing_sentences:array<struct<quote:string,location:string>>,supports_claim:string,notes:string>>,missing_citations:array<struct<quote:string,location:string,why_needed:string>>,limitations:array<string>>",
-    "pass4": "struct<search_tool_available:boolean,fact_checks:array<struct<claim_quote:string,location:string,source_url:string,source_says:string,verdict:string>>,missing_engagement:array<struct<work:string,url:string,why_relevant:string>>,limitations:array<string>>",
+    "pass0": "struct<limitations:array<string>,language:string,title:string,sections:array<struct<number:string,title:string,pages:string>>,research_questions_or_hypotheses:array<string>,figures:array<struct<id:string,caption:string,referenced_in_text:boolean>>,tables:array<struct<id:string,caption:string,referenced_in_text:boolean>>,key_numbers:array<struct<value:string,meaning:string,locations:array<string>>>,bibliography:array<struct<index:int,raw:string>>>",
+    "pass1": "struct<limitations:array<string>,section:string,spellcheck_triage:array<struct<token:string,classification:string,correction:string,quote:string,location:string>>,findings:array<struct<severity:string,category:string,location:string,quote:string,description:string,correction:string>>>",
+    "pass2": "struct<limitations:array<string>,number_checks:array<struct<quantity:string,locations:array<string>,values:array<string>,recomputation:string,verdict:string>>,claim_checks:array<struct<claim_quote:string,location:string,supporting_evidence:string,verdict:string,explanation:string>>,research_question_alignment:array<struct<question:string,what_was_actually_tested:string,gap:string>>,findings:array<struct<severity:string,category:string,location:string,quote:string,description:string>>>",
+    "pass3": "struct<limitations:array<string>,search_tool_available:boolean,references:array<struct<index:int,raw:string,status:string,found_at:string,mismatch_details:string,citing_sentences:array<struct<quote:string,location:string>>,supports_claim:string,notes:string>>,missing_citations:array<struct<quote:string,location:string,why_needed:string>>>",
+    "pass4_claims": "struct<limitations:array<string>,claims:array<struct<claim_quote:string,location:string,search_query:string>>,main_result_query:string>",
+    "pass4": "struct<limitations:array<string>,search_tool_available:boolean,fact_checks:array<struct<claim_quote:string,location:string,source_url:string,source_says:string,verdict:string>>,missing_engagement:array<struct<work:string,url:string,why_relevant:string>>>",
 }
-#: Which string fields of a reply take only certain values.
-ALLOWED = {"severity": SEVERITIES, "classification": TRIAGE, "status": REFERENCE_STATUSES, "supports_claim": SUPPORTS}
+#: The list in a reply whose objects a field stands in, and the field: the values that it takes, of which the second part is the one
+#: that an absent field has. Findings of pass 1 alone have a correction.
+ALLOWED = {
+    ("spellcheck_triage", "classification"): (TRIAGE, "domain_term"),
+    ("number_checks", "verdict"): (VERDICTS, "could_not_verify"),
+    ("claim_checks", "verdict"): (CLAIM_VERDICTS, "supported"),
+    ("references", "status"): (REFERENCE_STATUSES, "could_not_verify"),
+    ("references", "supports_claim"): (SUPPORTS, "could_not_check"),
+    ("fact_checks", "verdict"): (VERDICTS, "could_not_verify"),
+    ("findings", "severity"): (SEVERITIES, "major"),
+    ("findings", "category"): (CONSISTENCY_CATEGORIES, "numbers"),
+    ("corrected", "severity"): (SEVERITIES[1:], "minor"),
+    ("corrected", "category"): (MECHANICAL_CATEGORIES, "language"),
+}
+
+
+def allowed(parent: str, name: str, siblings: list[str]) -> tuple[tuple[str, ...], str] | None:
+    """Which values a string field of a reply takes, and its default; None if it takes any."""
+    return ALLOWED.get(("corrected" if parent == "findings" and "correction" in siblings else parent, name))
 
 
 def struct(ddl: str) -> T.StructType:

@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import fuzzy
+from marginalia.functions import fuzzy, json_text
+from marginalia.functions import replies as replies_
 from marginalia.operators import calibrate, captions, findings, model_calls, payloads, references, report, sections, spelling
 from marginalia.plans import catalogue
-from marginalia.schemas import FINDINGS
+from marginalia.schemas import BIB_RECORDS, FINDINGS, REPLIES, struct
 from marginalia.sources import clients, config, files
 from marginalia.streaming import jobs
 
@@ -235,30 +236,88 @@ def test_exchange(replies, mode, attempts, ok):
     assert (out.attempts, out.json is not None) == (attempts, ok) and (out.mode == mode or not ok and out.mode.startswith(mode.split("+")[0]) or len(replies) == 6)
 
 
+INVENTORY = f"paper_id string, reply {REPLIES['pass0']}"
+
+
 def test_requests_and_calls(spark, found, lines):
-    none = spark.createDataFrame([], "paper_id string, json string")
+    none = spark.createDataFrame([], INVENTORY)
     s = found.withColumn("text", F.repeat("text", 5))
-    words = spark.createDataFrame([("p", 2, "allready", "s", "l", 2)], "paper_id string, section_idx int, token string, sentence string, location string, occurrences bigint")
-    req = payloads.pass1(s, captions.per_section(captions.captions(lines), s), words, none)
+    words = spark.createDataFrame([("p", 2, "allready", "s", "l", 2, "already")], "paper_id string, section_idx int, token string, sentence string, location string, occurrences bigint, suggestion string")
+    caps = captions.with_mentions(captions.captions(lines), captions.mentions(lines, found))
+    req = payloads.pass1(s, caps, words, none)
     rows = {r["label"]: r for r in req.collect()}
-    assert "allready" in rows["pass1:1 Introduction"]["payload"] and "References" not in " ".join(rows)
+    assert '"checker_suggestion": "already"' in rows["pass1:1 Introduction"]["payload"] and "References" not in " ".join(rows)
 
     class Fixed:  # local, so that it travels to the workers by value
         def chat(self, messages, *, model, response_format):
-            return model_calls.Reply('{"section": "x"}', usage={"tokens": 2})
+            if response_format is None:
+                return model_calls.Reply("# Report", usage={"tokens": 1})
+            return model_calls.Reply('{"section": "' + messages[1]["content"].split()[0] + model + '"}', usage={"tokens": 2})
 
-    out = model_calls.run(req, Fixed, "m").collect()
-    assert len(out) == len(rows) and all(r["ok"] and r["usage"] == {"tokens": 2} for r in out)
+    out = model_calls.run(req, Fixed, {"default": "m", "pass1": "n"}, "s", {"pass1_mechanical": "Check."}).collect()
+    assert len(out) == len(rows) and all(r["ok"] and r["usage"] == {"tokens": 2} and '"Check.n"' in r["json"] for r in out)
     kept, open_ = model_calls.answered(req, spark.createDataFrame([(out[0]["request_hash"], "{}")], "request_hash string, json string"))
     assert kept.count() == 1 and open_.count() == len(rows) - 1
-    papers = spark.createDataFrame([("p", PAPER * 3, 3)], "paper_id string, text string, page_count int")
-    refs = references.references(found)
-    short = payloads.pass0(papers, found, captions.captions(lines), refs, 2000).first()["payload"]
-    assert short.startswith("NOTE") and "=== FULL PAPER TEXT" in payloads.pass0(papers, found, captions.captions(lines), refs).first()["payload"]
-    assert "Related Work" in payloads.pass4_claims(found, none).first()["payload"]
+    twice = payloads.repeated(req, 2)
+    assert twice.count() == 2 * len(rows) and {r["request_hash"] for r in req.collect()} == {r["request_hash"] for r in twice.where("attempt = 1").collect()} and twice.select("request_hash").distinct().count() == 2 * len(rows)
+    papers = spark.createDataFrame([("p", PAPER * 3, 3, {"title": 'A "b"'})], "paper_id string, text string, page_count int, metadata map<string,string>")
+    refs = references.citing_sentences(references.references(found), found)
+    short = payloads.pass0(papers, found, caps, refs, 2000).first()["payload"]
+    assert short.startswith("NOTE") and "... [TRUNCATED" in short
+    whole = payloads.pass0(papers, found, caps, refs).first()["payload"]
+    hints = json.loads(whole.split("===\n")[1].split("\nThese hints")[0])
+    assert "=== FULL PAPER TEXT" in whole and hints["pdf_metadata"] == {"title": 'A "b"'} and hints["detected_reference_count"] == refs.count() == len(hints["detected_bibliography"]) and hints["detected_captions"][0]["id"].startswith(("Figure", "Table"))
+    assert "Related Work" in payloads.pass4_claims(papers, found, none).first()["payload"]
     two = payloads.pass2(papers, found, captions.table_windows(lines, captions.captions(lines)), none).first()["payload"]
     assert "31.4%" in two and "LRU 3 ms" in two
-    assert payloads.pass3(references.batches(refs, 2)).count() == 2
+    empty = spark.createDataFrame([], f"paper_id string, ref_index int, {BIB_RECORDS}")
+    batch = payloads.pass3(references.batches(references.with_records(refs, empty), 2))
+    entries = json.loads(batch.where("batch = 0").first()["payload"].split("===\n")[1].split("\n\nThe `lookup")[0])
+    assert batch.count() == 2 and entries[0]["lookup_result"] == {"found": False} and entries[0]["citing_sentences"] and set(entries[0]["parsed"]) == {"title", "year", "authors", "doi"}
+    assert payloads.pass3_missing(found, False).first()["payload"].startswith("search_tool_available: False\n\n=== 1 Introduction (pages ")
+    report_ = payloads.synthesis(findings.ordered(spark.createDataFrame([], FINDINGS)), spark.createDataFrame([], "paper_id string, ref_index int, line string"), papers.select("paper_id", F.lit(None).cast(struct(payloads.OUTPUTS)).alias("outputs")))
+    assert "- No bibliography entries were checked." in report_.first()["payload"]
+    text = model_calls.run(report_, Fixed, "m").first()
+    assert text["text"] == "# Report" and text["json"] is None and text["ok"] and text["mode"] == "text"
+
+
+def test_replies_are_asked_once(spark, tmp_path):
+    """A run that ends between two waves asks only what is open, and what failed, when it goes on."""
+    asked = []
+
+    def outcome(requests, fails):
+        rows = requests.collect()
+        asked.extend(r["label"] for r in rows)
+        return spark.createDataFrame([(r["request_hash"], r["stage"], r["label"], None if r["label"] in fails else "{}", None, "m", "json", r["label"] not in fails, 1, 0.0, {}, "") for r in rows], model_calls.RESULT)
+
+    rows = spark.createDataFrame([(f"p{i}", f"l{i % 6}", "payload") for i in range(12)], "paper_id string, label string, payload string")
+    req = rows.select(*payloads.request("pass1", F.col("label"), F.col("payload")))
+    waves = []
+
+    def broken(own):
+        waves.append(1)
+        if len(waves) == 2:
+            raise RuntimeError("the run was ended")
+        return outcome(own, {"l3"})
+
+    with pytest.raises(RuntimeError):
+        model_calls.Replies(spark, str(tmp_path), broken, wave=2).ask(req)
+    first = list(asked)
+    assert 0 < len(first) < 6
+    done = model_calls.Replies(spark, str(tmp_path), lambda own: outcome(own, set()), wave=2).ask(req)
+    assert done.count() == 12 and sorted(asked) == sorted(["l0", "l1", "l2", "l3", "l4", "l5"] + ["l3"] * ("l3" in first)) and done.where("ok").count() == 12
+    assert model_calls.Replies(spark, str(tmp_path), lambda own: outcome(own, set())).ask(req).count() == 12 and len(asked) == 6 + ("l3" in first)
+
+
+@pytest.mark.parametrize("value", [{}, {"limitations": ["a\u00e9\n\"b\""], "language": "en", "figures": [{"id": "x", "caption": "", "referenced_in_text": True}, {}], "key_numbers": [{"value": "1", "locations": ["p. 1", "p. 2"]}]}])
+def test_json_text_is_what_python_writes(spark, value):
+    kind = struct(REPLIES["pass0"])
+    full = replies_.filled(value, kind)
+    df = spark.createDataFrame([(json.dumps(full),)], "j string").select(F.from_json("j", kind).alias("x"))
+    assert df.select(json_text.as_json(df.schema, "x")).first()[0] == json.dumps(full, ensure_ascii=False, indent=1)
+    assert df.select(json_text.as_json(df.schema, "x", 50)).first()[0] == json.dumps(full, ensure_ascii=False, indent=1)[:50] + "\n... [TRUNCATED]"
+    maps = spark.createDataFrame([({"a": [1, None], "b": []},), ({},), (None,)], "m map<string,array<int>>")
+    assert [r[0] for r in maps.select(json_text.as_json(maps.schema, "m")).collect()] == [json.dumps(m, indent=1) for m in ({"a": [1, None], "b": []}, {}, {})]
 
 
 def test_search_and_degradation(spark):
@@ -281,7 +340,12 @@ def test_reports(spark):
     f = table(spark, finding(1, "critical", description="Worst | of all"), finding(2, stability="unstable"))
     checks = spark.createDataFrame([("p", 1, "Raw", "not_found", "", "", "yes", "Nothing.")], "paper_id string, ref_index int, raw string, status string, found_at string, mismatch_details string, supports_claim string, notes string")
     items = spark.createDataFrame([("p", 1, "Pass 4: 1 external claims could not be verified.")], "paper_id string, place bigint, line string")
-    text = report.fallback_report(f, checks, items, spark.createDataFrame([("p", 1, "- Passes run: pass1")], "paper_id string, place bigint, line string")).first()["report"]
+    papers = spark.createDataFrame([("p",), ("q",)], "paper_id string")
+    reports = report.fallback_report(papers, f, checks, items, spark.createDataFrame([("p", 1, "- Passes run: pass1")], "paper_id string, place bigint, line string"), spark.createDataFrame([("p", "en-GB")], "paper_id string, language string"))
+    reports = {r["paper_id"]: r["report"] for r in reports.collect()}
+    assert "No critical or major findings. 0 findings in total, all minor." in reports["q"] and "| - | - | No findings were reported. | - |" in reports["q"] and "Pass 0: unknown" in reports["q"]
+    text = reports["p"]
+    assert "- Language variant reported by Pass 0: en-GB" in text
     for part in ("1 critical and 0 major findings were reported. The most serious: Worst | of all", "| minor (unstable) |", "Worst \\| of all", "- [1] NOT FOUND - Raw Nothing.", "- Confirmed typos: 2", "Pass 4: 1", "- Passes run: pass1"):
         assert part in text
 
