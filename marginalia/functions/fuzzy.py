@@ -185,40 +185,86 @@ def similar(a: Column, b: Column, least: float = QUOTE_DUPLICATE) -> Column:
 PARTS, WITHOUT_QUOTE = (0.6, 0.15, 0.25), (0.65, 0.35)
 
 
-@F.pandas_udf(T.DoubleType())
-def _pair_udf(quote_a: pd.Series, location_a: pd.Series, description_a: pd.Series, quote_b: pd.Series, location_b: pd.Series, description_b: pd.Series, least: pd.Series) -> pd.Series:
-    n = len(quote_a)
-    out, least = np.zeros(n), float(least.iloc[0]) if n else 0.0
-    no_quote = np.array([not x or not y for x, y in zip(quote_a, quote_b, strict=True)], bool)
-
-    def scores(a: pd.Series, b: pd.Series, rows: np.ndarray, many) -> np.ndarray:
-        """Of the rows asked for; each distinct pair once."""
-        found, pairs = np.zeros(n), [(a.iat[i], b.iat[i]) for i in rows.tolist()]
-        own = list(dict.fromkeys(pairs))
+def _bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """For each a with each b at least their token_set_ratio(). How long the words are that both have is counted exactly; of what is
+    left of each, in order, the longest common subsequence has no letter more often than both have it."""
+    distinct = [sorted(set(x.split())) for x in (*a, *b)]
+    names = {w: i for i, w in enumerate({w for words in distinct for w in words})}
+    size = np.array([len(w) for w in names], np.float32)
+    count = np.array([len(words) for words in distinct])
+    at = np.repeat(np.arange(len(distinct)), count), np.array([names[w] for words in distinct for w in words], np.int64)
+    n = len(a)
+    # words that only one side has meet nothing; the others are looked at some thousand at a time
+    both = np.isin(np.arange(len(names)), at[1][at[0] < n]) & np.isin(np.arange(len(names)), at[1][at[0] >= n])
+    number, keep = np.cumsum(both) - 1, both[at[1]]
+    row, word, size = at[0][keep], number[at[1][keep]], size[both]
+    length, shared = np.zeros((n, len(b)), np.float32), np.zeros((n, len(b)), np.float32)
+    for low in range(0, len(size), 4096):
+        own = (word >= low) & (word < low + 4096)
+        has = np.zeros((len(distinct), min(4096, len(size) - low)), np.float32)
+        has[row[own], word[own] - low] = 1
+        length += has[:n] * size[low : low + 4096] @ has[n:].T
+        shared += has[:n] @ has[n:].T
+    letters = np.zeros((len(distinct), 64), np.float32)
+    for i, words in enumerate(distinct):
+        if words:
+            letters[i] = np.bincount(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+    total = np.array([sum(map(len, words)) for words in distinct], np.float32)
+    # c: the common words joined by blanks; m, n: what is left of each
+    c = length + np.maximum(shared - 1, 0)
+    own = lambda t, k: np.maximum(t - length, 0) + np.maximum(k - shared - 1, 0)
+    left, right = own(total[:n, None], count[:n, None]), own(total[None, n:], count[None, n:])
+    common = np.zeros_like(c)
+    for k in range(64):
+        common += np.minimum.outer(letters[:n, k], letters[n:, k])
+    # letters of common words are common; blanks between what is left may be as well
+    rest = np.minimum(np.maximum(common - length, 0) + np.minimum(np.maximum(count[:n, None] - shared - 1, 0), np.maximum(count[None, n:] - shared - 1, 0)), np.minimum(left, right))
+    gap = (shared > 0).astype(np.float32)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        best = 100 * (1 - (left + right - 2 * rest) / (2 * (c + gap) + left + right))
+        for side in (left, right):
+            best = np.where(shared > 0, np.maximum(best, 100 * (1 - (gap + side) / (2 * c + gap + side))), best)
+    best = np.where((shared > 0) & ((left == 0) | (right == 0)), 100, best)
+    return np.where((count[:n, None] > 0) & (count[None, n:] > 0), np.nan_to_num(best, nan=100.0) + 1e-3, 0)
+
+
+def scored_blocks(left: list[list[str]], right: list[list[str]], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, score) of all pairs of two lists of findings, each as quotes, places and descriptions in small letters, that reach
+    least: the quote counts for the most part, then place and description. Strings are compared only where the bounds of what
+    they can come to leave it open."""
+    (quote_a, place_a, said_a), (quote_b, place_b, said_b) = left, right
+    if not quote_a or not quote_b:
+        return []
+    no_quote = np.array([not x for x in quote_a])[:, None] | np.array([not x for x in quote_b])[None, :]
+    quote, said = _bounds(quote_a, quote_b), _bounds(said_a, said_b)
+    most = np.where(no_quote, WITHOUT_QUOTE[0] * said + 100 * WITHOUT_QUOTE[1], PARTS[0] * quote + 100 * PARTS[1] + PARTS[2] * said)
+    open_ = (most >= least) & (no_quote | (quote >= QUOTE_FLOOR) | (said >= DESCRIPTION_FLOOR))
+    i, j = np.nonzero(open_)
+
+    def exact(a: list[str], b: list[str], rows: np.ndarray, many) -> np.ndarray:
+        found = [(a[x], b[y]) for x, y in zip(i[rows].tolist(), j[rows].tolist(), strict=True)]
+        own = list(dict.fromkeys(found))
         known = dict(zip(own, many([x for x, _ in own], [y for _, y in own]), strict=True)) if own else {}
-        found[rows] = [known[p] for p in pairs]
-        return found
-
-    quote = scores(quote_a, quote_b, np.flatnonzero(~no_quote), token_set_ratios)
-    # what even a full score of the other parts can't lift is settled
-    open_ = no_quote | (PARTS[0] * quote + 100 * (PARTS[1] + PARTS[2]) >= least)
-    description = scores(description_a, description_b, np.flatnonzero(open_), token_set_ratios)
-    open_ &= no_quote | ~((quote < QUOTE_FLOOR) & (description < DESCRIPTION_FLOOR))
-    rest = np.where(no_quote, WITHOUT_QUOTE[0] * description + 100 * WITHOUT_QUOTE[1], PARTS[0] * quote + 100 * PARTS[1] + PARTS[2] * description)
-    open_ &= rest >= least
-    told = np.array([bool(x) and bool(y) for x, y in zip(location_a, location_b, strict=True)], bool)
-    place = np.where(told, scores(location_a, location_b, np.flatnonzero(open_ & told), _each(partial_ratio)), 50.0)
-    whole = np.where(no_quote, WITHOUT_QUOTE[0] * description + WITHOUT_QUOTE[1] * place, PARTS[0] * quote + PARTS[1] * place + PARTS[2] * description)
-    out[open_] = whole[open_]
-    return pd.Series(out)
-
-
-def pair_score(quote_a: Column, location_a: Column, description_a: Column, quote_b: Column, location_b: Column, description_b: Column, least: float = 0.0) -> Column:
-    """How well two findings agree: the quote for the most part, then place and description. A pair that can't reach `least`
-    may get 0."""
-    clean = lambda c: F.lower(collapse(F.coalesce(c, F.lit(""))))
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    return _pair_udf(clean(quote_a), low(location_a), clean(description_a), clean(quote_b), low(location_b), clean(description_b), F.lit(float(least)))
+        return np.array([known[x] for x in found], np.float64)
+
+    plain, q, d, w = no_quote[i, j], np.zeros(len(i)), said[i, j].astype(np.float64), np.full(len(i), 100.0)
+
+    def keep() -> np.ndarray:
+        whole = np.where(plain, WITHOUT_QUOTE[0] * d + WITHOUT_QUOTE[1] * w, PARTS[0] * q + PARTS[1] * w + PARTS[2] * d)
+        return (whole >= least) & (plain | ~((q < QUOTE_FLOOR) & (d < DESCRIPTION_FLOOR)))
+
+    rows = np.flatnonzero(~plain)
+    q[rows] = exact(quote_a, quote_b, rows, token_set_ratios)
+    rows = np.flatnonzero(keep())
+    i, j, plain, q = i[rows], j[rows], plain[rows], q[rows]
+    d, w = exact(said_a, said_b, np.arange(len(i)), token_set_ratios), np.full(len(i), 100.0)
+    rows = np.flatnonzero(keep())
+    i, j, plain, q, d = i[rows], j[rows], plain[rows], q[rows], d[rows]
+    told = np.array([bool(place_a[x]) and bool(place_b[y]) for x, y in zip(i, j, strict=True)], bool)
+    w = np.full(len(i), 50.0)
+    w[told] = exact(place_a, place_b, np.flatnonzero(told), _each(partial_ratio))
+    whole = np.where(plain, WITHOUT_QUOTE[0] * d + WITHOUT_QUOTE[1] * w, PARTS[0] * q + PARTS[1] * w + PARTS[2] * d)
+    return [(int(x), int(y), float(s)) for x, y, s, k in zip(i, j, whole, keep(), strict=True) if k and s >= least]
 
 
 def score_match(title: Column, other: Column, year: Column | None = None, other_year: Column | None = None) -> Column:

@@ -1,80 +1,165 @@
-"""Agreement of predicted with human findings: pair scores, one-to-one matches, precision and recall by dimension."""
+"""Agreement of predicted with human findings: pair scores, one-to-one matches, precision and recall by dimension.
+
+Findings of a paper that read alike are one text with several members; texts are scored and matched, members only counted off."""
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.fuzzy import PAIR_THRESHOLD, pair_score
-from marginalia.storage import stored
+from marginalia.functions.fuzzy import PAIR_THRESHOLD, scored_blocks
+from marginalia.functions.text import collapse
+from marginalia.storage import freed, stored
 
-SIDE = ["paper_id", "ord", "severity", "category", "location", "quote", "description", "source_pass"]
+#: Texts of one side of a paper that meet in one task, at most about.
+BLOCK = 1_000
+#: What may be matched in one task: as many pairs of members, whatever paper they are of.
+LAST_PAIRS = 200_000
 
 
-#: Tasks over which the pairs of one paper are dealt.
-SALTS = 32
-#: Rounds of assign() in which whole tables are matched; what is left then is matched paper by paper.
-ROUNDS = 12
+def texts(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (paper_id, name, quote, location, description, n) of findings and their members (paper_id, name, nth, ord), nth
+    from 0 in order of ord. A text is named by its first member."""
+    clean = lambda c: F.lower(collapse(F.coalesce(c, F.lit(""))))
+    rows = found.select("paper_id", F.col("ord").cast("bigint").alias("ord"), clean("quote").alias("quote"), F.lower(F.coalesce("location", F.lit(""))).alias("location"), clean("description").alias("description"))
+    same = ["paper_id", "quote", "location", "description"]
+    each = stored(rows.groupBy(*same).agg(F.array_sort(F.collect_list("ord")).alias("own")).withColumn(name, F.get("own", 0)), f"texts-{name}")
+    return each.select(*same, name, F.size("own").alias("n")), each.select("paper_id", name, F.posexplode("own").alias("nth", "ord"))
 
 
 def pairs(truth: DataFrame, predicted: DataFrame, threshold: float = PAIR_THRESHOLD) -> DataFrame:
-    """(paper_id, t, p, score) of the pairs of a paper that reach the threshold. All pairs are scored: a token set ratio can be
-    high for texts without a common word, so no key would meet all matches. A paper's pairs are dealt to SALTS tasks."""
-    t = truth.select("paper_id", *[F.col(c).alias(f"t_{c}") for c in SIDE[1:]])
-    p = predicted.select("paper_id", *[F.col(c).alias(f"p_{c}") for c in SIDE[1:]])
-    t = t.withColumn("salt", F.pmod(F.xxhash64("t_ord"), F.lit(SALTS)).cast("int"))
-    p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = t.join(p, ["paper_id", "salt"])
-    score = pair_score(F.col("t_quote"), F.col("t_location"), F.col("t_description"), F.col("p_quote"), F.col("p_location"), F.col("p_description"), threshold)
-    return both.select("paper_id", F.col("t_ord").alias("t"), F.col("p_ord").alias("p"), score.alias("score")).where(F.col("score") >= threshold)
+    """(paper_id, t, p, score) of the texts(paper_id, t or p, quote, location, description) of a paper that reach the threshold.
 
+    A paper's texts meet in blocks of bounded size, in which bounds from common words, lengths and letters settle all but a few
+    pairs before any string is compared. No pair is written that does not reach the threshold."""
 
-def assign(scored: DataFrame) -> DataFrame:
-    """Of the scored pairs of each paper the best, then the best of what is left; ties by t, then p.
-
-    A pair that is the best one of both its findings is taken whatever else there is. Rounds take all such pairs at once and
-    drop what they rule out, so that no task holds a paper; only long chains of ties outlast the rounds."""
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "t", "p"], ascending=[False, True, True])
-        used_t, used_p, keep = set(), set(), []
-        for i, t, p in zip(rows.index, rows["t"], rows["p"], strict=True):
-            if t not in used_t and p not in used_p:
-                used_t.add(t)
-                used_p.add(p)
-                keep.append(i)
-        return rows.loc[keep]
-
-    kind = "paper_id string, t bigint, p bigint, score double"
-    left = scored.select("paper_id", F.col("t").cast("bigint").alias("t"), F.col("p").cast("bigint").alias("p"), "score")
-    left = stored(left, "pairs")
-    taken = []
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        best = F.min(F.struct((-F.col("score")).alias("s"), "t", "p"))
-        of_t = left.groupBy("paper_id", "t").agg(best.alias("m")).select("paper_id", "t", F.col("m.p").alias("p"))
-        of_p = left.groupBy("paper_id", "p").agg(best.alias("m")).select("paper_id", F.col("m.t").alias("t"), "p")
-        now = stored(left.join(of_t, ["paper_id", "t", "p"]).join(of_p, ["paper_id", "t", "p"]).select("paper_id", "t", "p", "score"), "matches")
-        taken.append(now)
-        left = stored(left.join(now.select("paper_id", "t"), ["paper_id", "t"], "left_anti").join(now.select("paper_id", "p"), ["paper_id", "p"], "left_anti").select("paper_id", "t", "p", "score"), "pairs")
-    out = left.groupBy("paper_id").applyInPandas(greedy, kind)
-    for now in taken:
-        out = out.unionByName(now)
-    return out
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        size = df.groupBy("paper_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias(f"{name}_blocks"))
+        return df.select("paper_id", name, "quote", "location", "description").join(size, "paper_id").withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.col(f"{name}_blocks")).cast("int")), size
+
+    (t, t_size), (p, p_size) = dealt(truth, "t"), dealt(predicted, "p")
+    t = t.drop("t_blocks").join(p_size, "paper_id").withColumn("p_block", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1))).drop("p_blocks")
+    p = p.drop("p_blocks").join(t_size, "paper_id").withColumn("t_block", F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1))).drop("t_blocks")
 
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = scored_blocks(*[[df[c].tolist() for c in ("quote", "location", "description")] for df in (left, right)], threshold)
+        rows = [(left["paper_id"].iat[i], int(left["t"].iat[i]), int(right["p"].iat[j]), s) for i, j, s in found]
+        return pd.DataFrame(rows, columns=["paper_id", "t", "p", "score"])
 
-def exact_matches(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Matches of findings with equal category and quote, without Python: the first of the one side with the first of the other,
-    the second with the second, and so on."""
-    from pyspark.sql import Window
+    key = ["paper_id", "t_block", "p_block"]
+    return t.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(meet, "paper_id string, t bigint, p bigint, score double")
 
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        key = [F.lower(F.trim("category")).alias("c"), F.substring(F.lower(F.trim(F.regexp_replace("quote", r"\s+", " "))), 1, 120).alias("q")]
-        return df.select("paper_id", F.col("ord").alias(name), *key).withColumn("nth", F.row_number().over(Window.partitionBy("paper_id", "c", "q").orderBy(name)))
 
-    return numbered(truth, "t").join(numbered(predicted, "p"), ["paper_id", "c", "q", "nth"]).select("paper_id", "t", "p", F.lit(100.0).alias("score"))
+def match(truth: DataFrame, predicted: DataFrame, threshold: float = PAIR_THRESHOLD) -> DataFrame:
+    """(paper_id, t, p, score): of all pairs of findings of a paper that reach the threshold the best, then the best of what is
+    left; ties by t, then p. t and p are the findings' ord."""
+    (t, t_members), (p, p_members) = texts(truth, "t"), texts(predicted, "p")
+    return assigned(stored(pairs(t, p, threshold), "pairs"), t_members, p_members)
+
+
+def assign(scored: DataFrame) -> DataFrame:
+    """Of the scored pairs(paper_id, t, p, score) of each paper the best, then the best of what is left; ties by t, then p."""
+    own = stored(scored.select("paper_id", F.col("t").cast("bigint").alias("t"), F.col("p").cast("bigint").alias("p"), "score"), "pairs")
+    members = lambda name: own.select("paper_id", name, F.lit(0).alias("nth"), F.col(name).alias("ord")).distinct()
+    return assigned(own, members("t"), members("p"))
+
+
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["score", "t", "p"], ascending=[False, True, True])
+    used_t, used_p, keep = set(), set(), []
+    for i, t, p in zip(rows.index, rows["t"], rows["p"], strict=True):
+        if t not in used_t and p not in used_p:
+            used_t.add(t)
+            used_p.add(p)
+            keep.append(i)
+    return rows.loc[keep]
+
+
+_EDGE = ["paper_id", "t", "p"]
+
+
+def _chained(edges: DataFrame, best: DataFrame, sure: DataFrame) -> DataFrame:
+    """The pairs that follow from sure ones along chains: a pair with one better neighbour alone is matched just if that one is not.
+    Such pairs point at that neighbour; jumping doubles the reach of the pointers, and counts whether they went an odd number of
+    steps, until they show pairs that point nowhere. Only texts with one member left take part, and edges has best_t and best_p."""
+    alone = (F.col("t_left") == 1) & (F.col("p_left") == 1)
+    second = lambda k, order: best.where(F.col(f"best_{k}") != F.col("p" if k == "t" else "t")).groupBy("paper_id", k).agg(F.min(F.struct(*order)).alias("m"))
+    s_t = second("t", [(-F.col("score")).alias("s"), "p_head", "p"]).select("paper_id", "t", F.col("m.p").alias("second_t"))
+    s_p = second("p", [(-F.col("score")).alias("s"), "t_head", "t"]).select("paper_id", "p", F.col("m.t").alias("second_p"))
+    rows = best.where(alone).join(s_t, ["paper_id", "t"], "left").join(s_p, ["paper_id", "p"], "left")
+    by_t = (F.col("best_p") == F.col("t")) & (F.col("second_t") == F.col("p"))
+    by_p = (F.col("best_t") == F.col("p")) & (F.col("second_p") == F.col("t"))
+    chain = rows.where(by_t | by_p).select(*_EDGE, F.when(by_t, F.struct("t", F.col("best_t").alias("p"))).otherwise(F.struct(F.col("best_p").alias("t"), "p")).alias("to"), F.lit(True).alias("odd"))
+    # the better neighbour must have one member of each side left as well
+    single = best.where(alone).select("paper_id", F.struct("t", "p").alias("to"))
+    chain = stored(chain.join(single, ["paper_id", "to"], "left_semi").select(*_EDGE, "to", "odd"), "chain")
+    while True:
+        on = chain.select("paper_id", F.struct("t", "p").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        jump = stored(chain.join(on, ["paper_id", "to"], "left").select(*_EDGE, F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved")), "chain")
+        freed(chain)
+        chain = jump
+        if chain.where("moved").isEmpty():
+            break
+    ends = sure.where(alone).select("paper_id", F.struct("t", "p").alias("to"))
+    return chain.where("not odd").join(ends, ["paper_id", "to"], "left_semi").select(*_EDGE)
+
+
+def assigned(scored: DataFrame, t_members: DataFrame, p_members: DataFrame) -> DataFrame:
+    """assign() for texts with members(paper_id, t or p, nth, ord): scored pairs of texts stand for all pairs of their members, which
+    are never written.
+
+    A pair of texts that is the best one of both, by score and then by the first members left, is matched whatever else there is:
+    as many members as both have left, if no other pair of either scores the same, else the first of each. Rounds take all such
+    pairs at once; where they get on slowly, chains of pairs in which each waits for the one before are settled together. What
+    has no more than LAST_PAIRS pairs of members is matched in one task for each paper."""
+    side = lambda members, k: members.groupBy("paper_id", k).agg(F.count(F.lit(1)).alias(f"{k}_left"), F.min("ord").alias(f"{k}_head")).withColumn(f"{k}_used", F.lit(0))
+    edges = scored.select(*_EDGE, "score").join(side(t_members, "t"), ["paper_id", "t"]).join(side(p_members, "p"), ["paper_id", "p"])
+    edges = stored(edges, "edges")
+    names, done, slow = edges.columns, [], False
+    for _ in itertools.count():
+        size = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("t_left") * F.col("p_left")), F.lit(0))).first()
+        if size[1] <= LAST_PAIRS:
+            break
+        of_t = edges.groupBy("paper_id", "t").agg(F.min(F.struct((-F.col("score")).alias("s"), "p_head", "p")).alias("m")).select("paper_id", "t", F.col("m.p").alias("best_t"))
+        of_p = edges.groupBy("paper_id", "p").agg(F.min(F.struct((-F.col("score")).alias("s"), "t_head", "t")).alias("m")).select("paper_id", "p", F.col("m.t").alias("best_p"))
+        best = stored(edges.join(of_t, ["paper_id", "t"]).join(of_p, ["paper_id", "p"]), "best")
+        sure = best.where("best_t = p and best_p = t")
+        # where both have several members left, all of them go together only if no other pair has this score
+        many = sure.where("t_left > 1 and p_left > 1")
+        ties = lambda k: edges.join(many.select("paper_id", k, F.col("score").alias("_s")), ["paper_id", k]).where("score = _s").groupBy("paper_id", k).agg(F.count(F.lit(1)).alias(f"ties_{k}"))
+        k = F.when((F.coalesce("ties_t", F.lit(2)) == 1) & (F.coalesce("ties_p", F.lit(2)) == 1), F.least("t_left", "p_left")).otherwise(1)
+        now = sure.join(ties("t"), ["paper_id", "t"], "left").join(ties("p"), ["paper_id", "p"], "left").select(*_EDGE, "score", "t_used", "p_used", k.cast("bigint").alias("k"))
+        if slow:
+            more = _chained(edges, best, sure)
+            now = now.unionByName(best.join(more, _EDGE, "left_semi").select(*_EDGE, "score", "t_used", "p_used", F.lit(1).cast("bigint").alias("k")))
+        now = stored(now, "matches")
+        done.append(now)
+
+        def left(df: DataFrame, taken: DataFrame, k: str, members: DataFrame) -> DataFrame:
+            spent = taken.select("paper_id", k, F.col("k").alias("_k"))
+            df = df.join(spent, ["paper_id", k], "left").withColumn("_k", F.coalesce("_k", F.lit(0))).where(F.col(f"{k}_left") > F.col("_k"))
+            df = df.withColumns({f"{k}_left": F.col(f"{k}_left") - F.col("_k"), f"{k}_used": (F.col(f"{k}_used") + F.col("_k")).cast("int")})
+            used = taken.select("paper_id", k, (F.col(f"{k}_used") + F.col("k")).alias("nth"))
+            heads = used.join(members, ["paper_id", k, "nth"]).select("paper_id", k, F.col("ord").alias("_head"))
+            df = df.join(heads, ["paper_id", k], "left")
+            return df.withColumn(f"{k}_head", F.coalesce("_head", f"{k}_head")).drop("_k", "_head")
+
+        rest = stored(left(left(edges, now, "t", t_members), now, "p", p_members).select(names), "edges")
+        slow = rest.count() > 0.75 * size[0]
+        freed(best, edges)
+        edges = rest
+    own = lambda members, k: members.select("paper_id", k, "nth", F.col("ord").alias(f"{k}_ord"))
+    last = edges.join(own(t_members, "t"), ["paper_id", "t"]).where("nth >= t_used").drop("nth").join(own(p_members, "p"), ["paper_id", "p"]).where("nth >= p_used")
+    out = last.select("paper_id", F.col("t_ord").alias("t"), F.col("p_ord").alias("p"), "score").groupBy("paper_id").applyInPandas(_greedy, "paper_id string, t bigint, p bigint, score double")
+    for now in done:
+        each = now.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+        each = each.withColumns({"t_nth": (F.col("t_used") + F.col("i")).cast("int"), "p_nth": (F.col("p_used") + F.col("i")).cast("int")})
+        each = each.join(own(t_members, "t").withColumnRenamed("nth", "t_nth"), ["paper_id", "t", "t_nth"]).join(own(p_members, "p").withColumnRenamed("nth", "p_nth"), ["paper_id", "p", "p_nth"])
+        out = out.unionByName(each.select("paper_id", F.col("t_ord").alias("t"), F.col("p_ord").alias("p"), "score"))
+    return out
 
 
 def tagged(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:

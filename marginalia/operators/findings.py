@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.functions.fuzzy import QUOTE_DUPLICATE, partial_ratio, ratio, similar
+from marginalia.functions.fuzzy import QUOTE_DUPLICATE, partial_ratio, ratio
 from marginalia.functions.text import collapse, strip
 from marginalia.storage import freed, stored
 
@@ -144,10 +144,17 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.partitionBy("paper_id").orderBy(*_order())).cast("bigint"))
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """paper_id, ord, what orders a finding, and a hash of its key of 128 bits, without any text."""
+    key = F.md5(F.to_json(F.struct("source_pass", "k_category", "k_location", "k_quote")))
+    return with_key(rows).select(*[c for c in rows.columns if c in ("paper_id", "ord", "run_no", "severity", "source_pass", "category", "location")], key.alias("key"))
+
+
 def dedupe_exact(found: DataFrame) -> DataFrame:
-    """The first finding, in order, of each equal key."""
-    nth = F.row_number().over(Window.partitionBy(*BLOCK, "k_quote").orderBy(*_order()))
-    return with_key(found).withColumn("nth", nth).where("nth = 1").select(found.columns)
+    """The first finding, in order, of each equal key. ord tells the findings of a paper apart. Keys are hashed, so that texts are
+    read, but neither sorted nor moved before it is known which stay."""
+    first = _hashed(found).groupBy("paper_id", "key").agg(F.min(F.struct(*_order())).alias("m"))
+    return found.join(first.select("paper_id", F.col(f"m.{first.schema['m'].dataType.names[-1]}").alias("ord")), ["paper_id", "ord"], "left_semi").select(found.columns)
 
 
 def _profile(quotes: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,8 +259,12 @@ def _on_key(rows: DataFrame, led: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def merge_runs_exact(found: DataFrame, runs: int) -> DataFrame:
-    """found with run_no: the first finding of each equal key, stable if all runs have the key."""
-    return _merged(with_key(found).withColumn("leader", F.col("k_quote")), found.columns, runs)
+    """found with run_no: the first finding of each equal key, stable if all runs have the key. ord tells the findings of a run and
+    paper apart."""
+    per_key = _hashed(found).groupBy("paper_id", "key").agg(F.count_distinct("run_no").alias("seen"), F.min(F.struct("run_no", "ord")).alias("m"))
+    kept = per_key.select("paper_id", "m.run_no", "m.ord", "seen")
+    both = found.join(kept, ["paper_id", "run_no", "ord"])
+    return both.withColumn("stability", F.lit("single_run") if runs == 1 else F.when(F.col("seen") >= runs, "stable").otherwise("unstable")).select(found.columns)
 
 
 def _merged(rows: DataFrame, names: list[str], runs: int) -> DataFrame:
@@ -270,13 +281,6 @@ def merge_runs(found: DataFrame, runs: int) -> DataFrame:
     return _merged(_on_key(rows, with_leader(rows, [F.col("run_no"), F.col("ord")])), found.columns, runs)
 
 
-def similar_pairs(found: DataFrame) -> DataFrame:
-    """Pairs of neighbours in a block whose quotes are alike, by key order: a quick look at what dedupe() would meet."""
-    w = Window.partitionBy(*BLOCK).orderBy("k_quote", "ord")
-    rows = with_key(found).withColumns({"next_ord": F.lead("ord").over(w), "next_quote": F.lead("k_quote").over(w)}).where("next_ord is not null")
-    return rows.where(similar(F.col("k_quote"), F.col("next_quote"))).select("paper_id", "ord", "next_ord")
-
-
 # Counts ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -496,8 +496,18 @@ COUNTS = "count(*) FILTER (tag = 'tp') AS tp, count(*) FILTER (tag = 'fp') AS fp
 
 
 def _tagged(spark, d):
+    """Findings of equal category and quote are matched one by one, in order: what the counts are held against without kernels."""
     t, p = view(spark, d, TRUTH), view(spark, d, PREDICTED)
-    return calibrate.tagged(t, p, calibrate.exact_matches(t, p))
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        key = [F.lower(F.trim("category")).alias("c"), F.substring(F.lower(F.trim(F.regexp_replace("quote", r"\s+", " "))), 1, 120).alias("q")]
+        return df.select("paper_id", F.col("ord").alias(name), *key).withColumn("nth", F.row_number().over(Window.partitionBy("paper_id", "c", "q").orderBy(name)))
+
+    # only what is counted goes on
+    t, p = (df.drop("quote", "description") for df in (t.join(numbered(t, "ord"), ["paper_id", "ord"]), p.join(numbered(p, "ord"), ["paper_id", "ord"])))
+    own = lambda df, name: df.select("paper_id", "c", "q", "nth", F.col("ord").alias(name))
+    matches = own(t, "t").join(own(p, "p"), ["paper_id", "c", "q", "nth"]).select("paper_id", "t", "p", F.lit(100.0).alias("score"))
+    return calibrate.tagged(t, p, matches)
 
 
 @query(TAGGED + f"a AS (SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' ELSE 'overall' END AS dimension, coalesce(severity, category, '') AS value, {COUNTS} FROM j GROUP BY GROUPING SETS ((), (severity), (category))) SELECT dimension, value, {RATES} FROM a")
@@ -523,7 +533,7 @@ PASSAGE = "substr(text, 1 + CAST(doc_id % 3 AS INT) * 140, 140) AS quote, substr
 def greedy_matches(spark, d):
     """A reviewer quotes a passage, not a document: these findings quote 140 letters from one of three places."""
     t, p = (view(spark, d, x.replace("d.text", "text").replace("text AS quote, text AS description", PASSAGE.replace("doc_id", "d.doc_id") if "d.doc_id" in x else PASSAGE)) for x in (TRUTH, FINDING))
-    return calibrate.assign(calibrate.pairs(t, p))
+    return calibrate.match(t, p)
 
 
 # Planted likenesses ----------------------------------------------------------------------------------------------------------
@@ -555,7 +565,7 @@ PLANTED_MATCHES = f"SELECT t.paper_id, t.ord AS t, p.ord AS p, CAST(98.125 AS DO
 
 @query(PLANTED_MATCHES)
 def matches_planted(spark, d):
-    return calibrate.assign(calibrate.pairs(view(spark, d, PLANTED_TRUTH), view(spark, d, PLANTED_PREDICTED)))
+    return calibrate.match(view(spark, d, PLANTED_TRUTH), view(spark, d, PLANTED_PREDICTED))
 
 
 PLANTED_TAGS = f"""WITH j AS (SELECT coalesce(t.paper_id, p.paper_id) AS paper_id, CASE WHEN t.ord IS NULL THEN 'fp' WHEN p.ord IS NULL THEN 'fn' ELSE 'tp' END AS tag, coalesce(t.severity, p.severity) AS severity, coalesce(t.category, p.category) AS category, p.source_pass, t.severity = p.severity AS agrees
@@ -564,7 +574,7 @@ PLANTED_TAGS = f"""WITH j AS (SELECT coalesce(t.paper_id, p.paper_id) AS paper_i
 
 def _planted_tags(spark, d):
     t, p = view(spark, d, PLANTED_TRUTH), view(spark, d, PLANTED_PREDICTED)
-    return calibrate.tagged(t, p, stored(calibrate.assign(calibrate.pairs(t, p)), "matches"))
+    return calibrate.tagged(t, p, stored(calibrate.match(t, p), "matches"))
 
 
 @query(PLANTED_TAGS + f"a AS (SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' ELSE 'overall' END AS dimension, coalesce(severity, category, '') AS value, {COUNTS} FROM j GROUP BY GROUPING SETS ((), (severity), (category))) SELECT dimension, value, {RATES} FROM a")

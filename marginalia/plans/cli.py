@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import calibrate, captions, references, report, sections
 from marginalia.sources import config, files
+from marginalia.storage import stored
 
 
 def _session(name: str) -> SparkSession:
@@ -30,7 +31,7 @@ def calibrate_(spark: SparkSession, args: argparse.Namespace) -> None:
     """Scores of a table of findings against a folder of human reviews, and a report."""
     texts = spark.read.option("wholetext", True).text(args.reviews).select(files.stem(F.col("_metadata.file_path")).alias("paper_id"), F.col("value").alias("text"))
     truth, predicted = files.truth_findings(texts), spark.read.parquet(args.findings)
-    rows = calibrate.tagged(truth, predicted, calibrate.assign(calibrate.pairs(truth, predicted)))
+    rows = calibrate.tagged(truth, predicted, stored(calibrate.match(truth, predicted), "matches"))
     calibrate.by_paper(rows).write.mode("overwrite").option("header", True).csv(f"{args.out}/papers")
     overall = calibrate.by_dimension(rows)
     listed = spark.createDataFrame([], "tag string, paper_id string, ord bigint, description string")

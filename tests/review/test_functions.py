@@ -54,10 +54,10 @@ def test_similar_agrees_with_the_kernel(spark):
 
 
 def test_pair_and_title_scores(spark):
-    s = lambda *v: one(spark, fuzzy.pair_score(*map(F.lit, v)))
-    assert s("same words", "p. 1", "x y", "words same", "p. 1", "x y") == 100
-    assert s("alpha", "", "beta", "gamma", "", "delta") == 0
-    assert s("", "", "same thing", "", "", "same thing") == pytest.approx(0.65 * 100 + 0.35 * 50)
+    s = lambda *v: [x[2] for x in fuzzy.scored_blocks([[v[0]], [v[1]], [v[2]]], [[v[3]], [v[4]], [v[5]]], 1.0)]
+    assert s("same words", "p. 1", "x y", "words same", "p. 1", "x y") == [100]
+    assert s("alpha", "", "beta", "gamma", "", "delta") == []
+    assert s("", "", "same thing", "", "", "same thing") == [pytest.approx(0.65 * 100 + 0.35 * 50)]
     t = lambda a, b, y, z: one(spark, fuzzy.score_match(F.lit(a), F.lit(b), F.lit(y), F.lit(z)))
     assert t("A Title: of things", "a title of THINGS", "2018", "2003") == 75 and t("A", "A", "2018", "2019a") == 100 and t("", "A", None, None) == 0
 

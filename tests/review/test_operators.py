@@ -150,7 +150,7 @@ def test_calibration(spark):
     schema = FINDINGS
     truth = table(spark, finding(1, "major", quote="quote one is here", description="same"), finding(2, "minor", quote="quote two is there", description="else"))
     predicted = table(spark, finding(7, "minor", quote="quote one is here", description="same"), finding(8, quote="unrelated words entirely", description="nothing", category="claims"))
-    m = calibrate.assign(calibrate.pairs(truth, predicted))
+    m = calibrate.match(truth, predicted)
     assert [(r["t"], r["p"]) for r in m.collect()] == [(1, 7)]
     rows = calibrate.tagged(truth, predicted, m)
     by = {(r["dimension"], r["value"]): (r["tp"], r["fp"], r["fn"]) for r in calibrate.by_dimension(rows).collect()}
@@ -183,7 +183,7 @@ def test_all_findings_are_matched_as_by_brute_force(spark):
         if t not in used and p not in used:
             used |= {t, p}
             want.add((t, p))
-    assert {(r["t"], r["p"]) for r in calibrate.assign(calibrate.pairs(truth, predicted)).collect()} == want and len(want) > 20
+    assert {(r["t"], r["p"]) for r in calibrate.match(truth, predicted).collect()} == want and len(want) > 20
 
 
 def test_greedy_matches_reads_all_findings(spark):
@@ -191,13 +191,87 @@ def test_greedy_matches_reads_all_findings(spark):
     assert (got["p"] % 10 != 1).any() and (got["t"] % 10 != 1).any()
 
 
-def test_rounds_and_rest_agree(spark, monkeypatch):
-    scored = spark.createDataFrame([("p", t, p, 90.0 - abs(t - p) // 3) for t in range(20) for p in range(20)], "paper_id string, t bigint, p bigint, score double")
-    found = []
-    for n in (0, 3, 100):
-        monkeypatch.setattr(calibrate, "ROUNDS", n)
-        found.append({(r["t"], r["p"]) for r in calibrate.assign(scored).collect()})
-    assert found[0] == found[1] == found[2] and len(found[0]) == 20
+def plain_matches(rows):
+    """(paper, t, p) of rows of (paper, t, p, score), the best first, ties by t, then p."""
+    used, out = set(), set()
+    for paper, t, p, _ in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if (paper, "t", t) not in used and (paper, "p", p) not in used:
+            used |= {(paper, "t", t), (paper, "p", p)}
+            out.add((paper, t, p))
+    return out
+
+
+@pytest.mark.parametrize("last", [0, 100_000])
+def test_rounds_and_last_step_agree(spark, monkeypatch, last):
+    monkeypatch.setattr(calibrate, "LAST_PAIRS", last)
+    random.seed(8)
+    rows = [("p", t, p, 90.0 - abs(t - p) // 3) for t in range(8) for p in range(8)]
+    rows += [("q", t, p, 70.0 + random.randrange(30)) for t in range(40) for p in random.sample(range(40), 5)]
+    scored = spark.createDataFrame(rows, "paper_id string, t bigint, p bigint, score double")
+    assert {tuple(r)[:3] for r in calibrate.assign(scored).collect()} == plain_matches(rows)
+
+
+def test_a_falling_chain_settles_in_few_rounds(spark, monkeypatch):
+    """Each pair waits for the one before: t0-p0 is better than p0-t1, that than t1-p1, and so on. A side chain is longer by one."""
+    monkeypatch.setattr(calibrate, "LAST_PAIRS", 0)
+    n = 10_000
+    rows = [("p", i, i, 100.0 - 2 * i / 1e4) for i in range(n)] + [("p", i + 1, i, 100.0 - (2 * i + 1) / 1e4) for i in range(n)]
+    stored, rounds = calibrate.stored, []
+
+    def counted(df, tag):
+        rounds.append(tag)
+        return stored(df, tag)
+
+    monkeypatch.setattr(calibrate, "stored", counted)
+    got = {tuple(r)[:3] for r in calibrate.assign(spark.createDataFrame(rows, "paper_id string, t bigint, p bigint, score double")).collect()}
+    assert got == plain_matches(rows) and len(got) == n
+    assert rounds.count("matches") <= 4 and rounds.count("chain") <= 3 * 17
+
+
+@pytest.mark.parametrize("last", [0, 100_000])
+def test_members_of_equal_texts_are_counted_off(spark, monkeypatch, last):
+    """Copies of a text are matched as many as there are, without a row for each pair; with ties between texts as one by one."""
+    monkeypatch.setattr(calibrate, "LAST_PAIRS", last)
+    random.seed(3)
+    said = ["the mean falls over time", "the mean falls", "noise is added to long runs", "noise is added to very long runs", "a b c"]
+    make = lambda first, n: table(spark, *[finding(first + i, quote=random.choice(said), description="same", location="p. 1") for i in random.sample(range(1000), n)])
+    truth, predicted = (make(1, 60), make(2001, 50)) if last else (make(1, 16), make(2001, 12))
+    clean = lambda r: (r["quote"], r["location"], r["description"])
+    rows = []
+    for a in truth.collect():
+        for b in predicted.collect():
+            (q, w, e), (q2, w2, e2) = clean(a), clean(b)
+            score = 0.6 * fuzzy.token_set_ratio(q, q2) + 0.15 * fuzzy.partial_ratio(w, w2) + 0.25 * fuzzy.token_set_ratio(e, e2)
+            if score >= 70 and (fuzzy.token_set_ratio(q, q2) >= 55 or fuzzy.token_set_ratio(e, e2) >= 70):
+                rows.append(("p", a["ord"], b["ord"], score))
+    got = calibrate.match(truth, predicted).collect()
+    assert {tuple(r)[:3] for r in got} == plain_matches(rows) and len(got) > 8
+    many = table(spark, *[finding(i, quote="one text", description="same") for i in range(3000)])
+    assert calibrate.match(many, many.withColumn("ord", F.col("ord") + 5000)).where("p = t + 5000").count() == 3000
+
+
+def test_bounds_are_never_below_the_score():
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdé", k=random.randrange(1, 6)))
+    pool = [word() for _ in range(30)]
+    text = lambda: " ".join(random.choices(pool, k=random.randrange(0, 9)))
+    a, b = [text() for _ in range(40)], [text() for _ in range(50)]
+    most = fuzzy._bounds(a, b)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            assert most[i, j] >= fuzzy.token_set_ratio(x, y) - 1e-6
+    places = ["", "p. 1", "p. 12", "section 2"]
+    left, right = ([x, [random.choice(places) for _ in x], [text() for _ in x]] for x in (a, b))
+    want = {}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            (q, w, e), (q2, w2, e2) = ([side[k][n] for k in range(3)] for side, n in ((left, i), (right, j)))
+            quote, said = fuzzy.token_set_ratio(q, q2), fuzzy.token_set_ratio(e, e2)
+            place = fuzzy.partial_ratio(w, w2) if w and w2 else 50.0
+            score = 0.65 * said + 0.35 * place if not q or not q2 else 0.0 if quote < 55 and said < 70 else 0.6 * quote + 0.15 * place + 0.25 * said
+            if score >= 70:
+                want[i, j] = score
+    assert {(i, j): pytest.approx(s) for i, j, s in fuzzy.scored_blocks(left, right, 70.0)} == want and len(want) > 20
 
 
 def test_greedy_takes_the_best_first(spark):
