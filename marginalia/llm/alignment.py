@@ -28,13 +28,13 @@ from marginalia.llm.words import Cache, alone
 from marginalia.storage import stored
 
 #: Letters and rows of one block at most, but for one long text.
-BLOCK_LETTERS, BLOCK_ROWS = 1_000_000, 5_000
+BLOCK_LETTERS, BLOCK_ROWS = 500_000, 5_000
 #: Letters encoded in one call.
 CALL_LETTERS = 50_000
 #: Blocks for one task where blocks meet the sums of their pairs.
-TASK_BLOCKS = 16
+TASK_BLOCKS = 32
 #: Chunks that a worker keeps aligned, and as many that it has laid aside.
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 80_000
 
 #: A chunk begins with a blank or a line end behind something that is no white space, and goes on to the next such place.
 _CHUNK = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
