@@ -105,7 +105,7 @@ def best(posted: DataFrame, queries: list[list[int]], weights: list[int], n_docs
         term, slot, adds = term[order], slot[order], adds[order]
         edge = np.flatnonzero(np.diff(term, prepend=-1))
         out = {}
-        for t, a, z in zip(term[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(term)], strict=True):
+        for t, a, z in zip(term[edge].tolist(), edge.tolist(), np.append(edge, len(term))[1:].tolist(), strict=True):
             met = np.zeros(len(size), bool)
             met[slot[a:z]] = True
             if 4 * (z - a) > len(size):

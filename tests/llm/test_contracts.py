@@ -22,6 +22,9 @@ SCHEMAS = {
     "op8_redirect_classes": "page_id bigint, host string, path string, rule string, verdict string, alias_verdict string",
     "op9_induced_sorting_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op10_lsh_forest": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op11_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12_host_suffix_extraction": "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint",
+    "op13_windowed_ranking": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 

@@ -9,7 +9,7 @@ D = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in (*range(1, 11), 11, 12, 13)] + ["pipeline"]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "pseudonyms", "mixture", "packing"]
 
