@@ -257,13 +257,23 @@ def section_spelling(spark, d):
     return found.withColumn("section_idx", F.col("section_idx").cast("bigint"))
 
 
-INVENTORY = "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, n.ord, n.number, n.title FROM {documents} CROSS JOIN (SELECT 1 AS ord, '' AS number, 'abstract' AS title UNION ALL SELECT 2 AS ord, '1' AS number, 'Introduction' AS title UNION ALL SELECT 3 AS ord, '' AS number, 'References' AS title UNION ALL SELECT 4 AS ord, '' AS number, 'No such' AS title) n"
+INVENTORY = "SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, n.ord, n.number, n.title FROM {documents} JOIN (SELECT 1 AS ord, '' AS number, 'abstract!' AS title, 0 AS k UNION ALL SELECT 2 AS ord, '1' AS number, ' Introduction' AS title, 0 AS k UNION ALL SELECT 3 AS ord, '2.1' AS number, 'Results, and discussion' AS title, 1 AS k UNION ALL SELECT 4 AS ord, '' AS number, 'REFERENCES' AS title, 0 AS k UNION ALL SELECT 5 AS ord, '' AS number, 'No such' AS title, 0 AS k) n ON doc_id % 3 >= n.k"
+TITLE_KEY_SQL = "trim(regexp_replace(lower({0}), '[^a-z0-9 ]+', '', 'g'))"
 
 
-@query()
+@query(rf"""WITH {LINES_SQL}, {HEADINGS_SQL},
+  wanted AS (SELECT paper_id, ord, trim(number) AS number, trim(title) AS title FROM ({INVENTORY}) i),
+  mark AS (SELECT l.paper_id, w.ord, w.number, w.title, min(l.line_no) AS line_no FROM lines l JOIN wanted w ON w.paper_id = l.paper_id AND length(l.text) <= 120 AND {TITLE_KEY_SQL.format("l.text")} IN ({TITLE_KEY_SQL.format("w.title")}, {TITLE_KEY_SQL.format("trim(w.number || ' ' || w.title)")}) GROUP BY ALL),
+  s2 AS (SELECT l.*, m.number, m.title, count(m.number) OVER (PARTITION BY l.paper_id ORDER BY l.line_no) AS nth FROM lines l LEFT JOIN mark m USING (paper_id, line_no)),
+  sec2 AS (SELECT paper_id, nth, max(number) AS number, coalesce(max(title), 'Front matter') AS title, min(page) FILTER (number IS NULL) AS start_page, max(page) FILTER (number IS NULL) AS end_page, coalesce(string_agg(text, {NL} ORDER BY line_no) FILTER (number IS NULL), '') AS text FROM s2 GROUP BY paper_id, nth),
+  fresh AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY nth) - 1 AS section_idx, coalesce(number, '') AS number, title, trim(coalesce(number, '') || ' ' || title) AS label, {KIND_SQL} AS kind, text, start_page, end_page FROM sec2),
+  better AS (SELECT f.paper_id FROM (SELECT paper_id, count(*) AS n FROM fresh GROUP BY paper_id) f JOIN (SELECT paper_id, count(*) AS n FROM sections GROUP BY paper_id) o ON o.paper_id = f.paper_id AND f.n >= o.n),
+  taken AS (SELECT * FROM fresh SEMI JOIN better USING (paper_id) UNION ALL SELECT * FROM sections ANTI JOIN better USING (paper_id))
+  SELECT paper_id, CAST(section_idx AS BIGINT) AS section_idx, number, title, label, kind, text, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page FROM taken""")
 def sections_from_inventory(spark, d):
     own = lines(spark, d)
-    return sections.accept_resplit(sections.sections(own), sections.resplit(own, view(spark, d, INVENTORY)))
+    found = sections.accept_resplit(sections.sections(own), sections.resplit(own, view(spark, d, INVENTORY)))
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("section_idx", "start_page", "end_page")})
 
 
 @query(rf"""WITH {LINES_SQL}, {HEADINGS_SQL},
@@ -304,14 +314,33 @@ def reference_fields(spark, d):
     return r.select("paper_id", F.col("ref_index").cast("bigint").alias("ref_index"), "raw", "doi", "year", F.element_at("authors", 1).alias("author"))
 
 
-@query()
+TITLED = """SELECT 'p' || CAST(item_id % 4 AS STRING) AS paper_id, CAST(item_id AS INT) AS pos, '[' || CAST(item_id + 1 AS STRING) || '] ' || CASE item_id % 5
+  WHEN 0 THEN 'Surname, X., Other, Y. and Third, Z. (1999). ' || text || ' Venue of venues, 12(3). doi:10.1000/x.y/12.' WHEN 1 THEN 'Surname, A. B. C. D. Of initials E. many. ' || text || '? Proceedings of Things.' WHEN 2 THEN 'Short. Tiny.'
+  WHEN 3 THEN 'Surname, X. and Otherlong, Y. and Third, Z. 1234567890 12345678. Then ' || upper(text) ELSE text END AS entry FROM {benchmark}"""
+DOI_SQL = r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
+TITLE_SQL = rf"""list_extract(list_concat([p FOR p IN long IF length(regexp_extract_all(p, '\b[A-Z]\.')) <= 2 AND length(regexp_extract_all(regexp_replace(p, '[^A-Za-z ]', '', 'g'), '[A-Za-z]+')) >= 3], long), 1)"""
+LONG_SQL = rf"""[p FOR p IN [regexp_replace(c, '^[ .,]+|[ .,]+$', '', 'g') FOR c IN string_split(regexp_replace(regexp_replace(raw, '{DOI_SQL}', '', 'g'), '([.?])\s+', '\1' || chr(1), 'g'), chr(1))] IF length(p) > 15 AND NOT regexp_full_match(p, '[A-Z][A-Za-z''\-]+(,? (and |& )?[A-Z]\.)+')]"""
+
+
+@query(rf"SELECT paper_id, CAST(pos + 1 AS BIGINT) AS ord, {TITLE_SQL} AS title FROM (SELECT *, {LONG_SQL} AS long FROM (SELECT paper_id, pos, regexp_replace(entry, '^\[\d+\]\s+', '') AS raw FROM ({TITLED}) e) r) l")
 def reference_titles(spark, d):
-    return references.numbered_entries(view(spark, d, SPARK_ENTRIES)).select("paper_id", F.col("ord").cast("bigint").alias("ord"), "title")
+    return references.numbered_entries(view(spark, d, TITLED)).select("paper_id", F.col("ord").cast("bigint").alias("ord"), "title")
 
 
-@query()
+CITES_SQL = rf"""body AS (SELECT paper_id, section_idx, label, start_page, kind, text FROM sections WHERE kind NOT IN ('references', 'back_matter')),
+  said AS (SELECT paper_id, section_idx, label, start_page, i, trim(s[i]) AS sentence FROM (SELECT *, {BETWEEN_SQL} AS s FROM body) m, range(1, len(s) + 1) t(i) WHERE trim(s[i]) <> ''),
+  grouped AS (SELECT paper_id, section_idx, label, start_page, i, sentence, unnest(regexp_extract_all(sentence, '\[(\d{{1,3}}(?:\s*[-,;]\s*\d{{1,3}})*)\]', 1)) AS g FROM said),
+  part AS (SELECT paper_id, section_idx, label, start_page, i, sentence, trim(unnest(string_split(replace(g, ';', ','), ','))) AS p FROM grouped),
+  bound AS (SELECT *, TRY_CAST(regexp_extract(p, '^(\d+)\s*-\s*(\d+)$', 1) AS INT) AS lo, TRY_CAST(regexp_extract(p, '^(\d+)\s*-\s*(\d+)$', 2) AS INT) AS hi FROM part),
+  number AS (SELECT paper_id, section_idx, label, start_page, i, CASE WHEN length(sentence) <= 400 THEN sentence ELSE substr(sentence, 1, 397) || '...' END AS quote, unnest(CASE WHEN lo IS NOT NULL THEN CASE WHEN hi - lo > 0 AND hi - lo < 60 THEN range(lo, hi + 1) ELSE [] END WHEN regexp_full_match(p, '\d+') THEN [CAST(p AS BIGINT)] ELSE [] END) AS ref_index FROM bound),
+  quoted AS (SELECT paper_id, ref_index, quote, min((section_idx, i, label || ' (p. ' || start_page || ')')) AS m FROM number WHERE ref_index IN (1, 2) GROUP BY ALL),
+  cited AS (SELECT paper_id, ref_index, quote, m[3] AS location, row_number() OVER (PARTITION BY paper_id, ref_index ORDER BY m) AS nth FROM quoted QUALIFY nth <= 4)"""
+
+
+@query(rf"""WITH {LINES_SQL}, {HEADINGS_SQL}, {CITES_SQL}, refs AS (SELECT paper_id, unnest([1, 2]) AS ref_index FROM papers)
+  SELECT paper_id, CAST(ref_index AS BIGINT) AS ref_index, count(quote) AS n, '[' || coalesce(string_agg('{{"quote":' || CAST(to_json(quote) AS VARCHAR) || ',"location":' || CAST(to_json(location) AS VARCHAR) || '}}', ',' ORDER BY nth), '') || ']' AS sentences FROM refs LEFT JOIN cited USING (paper_id, ref_index) GROUP BY paper_id, ref_index""")
 def citing_sentences(spark, d):
-    s = sections.sections(lines(spark, d))
+    s = stored(sections.sections(lines(spark, d)), "sections")
     refs = references.citing_sentences(references.references(s), s)
     return refs.select("paper_id", F.col("ref_index").cast("bigint").alias("ref_index"), F.size("citing_sentences").cast("bigint").alias("n"), F.to_json("citing_sentences").alias("sentences"))
 
@@ -322,10 +351,19 @@ def reference_batches(spark, d):
     return b.select("paper_id", F.col("batch").cast("bigint").alias("batch"), F.size("refs").cast("bigint").alias("refs"), F.array_min(F.col("refs.ord")).cast("bigint").alias("first"))
 
 
-@query()
+# Titles that a lookup gives have a last word in the alphabet's order, of several lengths, put behind: how alike they are follows from lengths.
+WORDS_SQL = "array_to_string(list_sort([w FOR w IN string_split(trim(regexp_replace(lower(title), '[^a-z0-9 ]+', ' ', 'g')), ' ') IF w <> '']), ' ')"
+
+
+@query(rf"""WITH e AS ({ENTRIES}), r AS (SELECT paper_id, pos + 1 AS ord, regexp_replace(entry, '^\[\d+\]\s+', '') AS raw FROM e), l AS (SELECT *, {LONG_SQL} AS long FROM r), t AS (SELECT paper_id, ord, raw, {TITLE_SQL} AS title FROM l),
+  n AS (SELECT *, length({WORDS_SQL}) AS n, CASE ord % 3 WHEN 0 THEN 41 WHEN 1 THEN 5 ELSE 0 END AS more FROM t), s AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE 200.0::DOUBLE * n / (n + n + more) END AS plain FROM n),
+  p AS (SELECT *, CASE WHEN ord % 5 = 0 THEN greatest(0, plain - 25) ELSE plain END AS dated FROM s)
+  SELECT paper_id, CAST(ord AS BIGINT) AS ord, ord % 4 = 0 OR dated >= 78 OR plain >= 78 AS found, CASE WHEN ord % 4 = 0 THEN 'doi' WHEN dated >= 78 THEN 'text' WHEN plain >= 78 THEN 'title' END AS step,
+    CASE WHEN ord % 4 = 0 THEN 'https://doi.org/10.1000/x.' || (ord - 1) WHEN dated >= 78 OR plain >= 78 THEN 'https://example.org/' || ord END AS found_url, CASE WHEN ord % 4 = 0 THEN 100 WHEN dated >= 78 THEN dated WHEN plain >= 78 THEN plain END AS match_score FROM p""")
 def lookup_cascade(spark, d):
     refs = references.numbered_entries(view(spark, d, SPARK_ENTRIES))
-    found = refs.select("paper_id", "ord", F.lit(1).alias("rank"), F.when(F.col("ord") % 3 == 0, F.concat("title", F.lit(": a survey of everything"))).otherwise(F.col("title")).alias("title"), F.when(F.col("ord") % 5 == 0, "1800").otherwise(F.col("year")).alias("year"), F.concat(F.lit("https://example.org/"), F.col("ord").cast("string")).alias("url"))
+    more = F.when(F.col("ord") % 3 == 0, " " + "z" * 40).when(F.col("ord") % 3 == 1, " zzzz").otherwise("")
+    found = refs.select("paper_id", "ord", F.lit(1).alias("rank"), F.concat("title", more).alias("title"), F.when(F.col("ord") % 5 == 0, "1905").otherwise(F.col("year")).alias("year"), F.concat(F.lit("https://example.org/"), F.col("ord").cast("string")).alias("url"))
     by_doi = refs.where("ord % 4 = 0").select("doi", F.concat(F.lit("https://doi.org/"), "doi").alias("url"), "title").dropDuplicates(["doi"])
     return references.cascade(refs, ["paper_id", "ord"], by_doi, found, found).select("paper_id", F.col("ord").cast("bigint").alias("ord"), "found", "step", "found_url", "match_score")
 
