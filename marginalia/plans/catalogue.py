@@ -5,6 +5,7 @@ constants below, with {documents} and the like in place of the tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from marginalia.functions import replies, text
 from marginalia.functions.fuzzy import score_match
 from marginalia.operators import calibrate, captions, findings, model_calls, payloads, references, report, sections, spelling
-from marginalia.schemas import REPLIES
+from marginalia.plans import review
+from marginalia.schemas import REPLIES, struct
 from marginalia.sources import files
-from marginalia.storage import stored
+from marginalia.storage import shared_dir, stored
 from marginalia.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -956,3 +958,58 @@ def job_states(spark, d):
 def job_events_since(spark, d):
     e = view(spark, d, "SELECT CAST(user_id AS STRING) AS job_id, ts, event_id, lpad(CAST(event_id AS STRING), 12, '0') AS message, 'running' AS status FROM {events}")
     return jobs.since(jobs.numbered(e), 3).select("job_id", "event_id")
+
+
+# A whole review -------------------------------------------------------------------------------------------------------------
+
+# What a model is made to answer to each request, the same in all papers, but that every third paper has no inventory.
+CANNED = {
+    "pass0": '{"language": "en", "title": "T", "limitations": ["Read  in parts."]}',
+    "pass1": '{"findings": [{"severity": "major", "category": "grammar", "quote": "it say", "description": "Agreement."}], "spellcheck_triage": [{"token": "teh", "classification": "typo", "correction": "the"}, {"token": "GPU", "classification": "domain_term"}]}',
+    "pass2": '{"number_checks": [{"quantity": "rate", "values": ["1.5%", "2.5%"], "locations": ["p. 1", "p. 2"], "recomputation": "No.", "verdict": "verified_incorrect"}], "claim_checks": [{"claim_quote": "it always wins", "location": "p. 3", "verdict": "overreach", "explanation": "Too far."}]}',
+    "pass3:refs": '{"references": [{"index": 1, "status": "verified", "supports_claim": "weaker", "notes": "Seen."}, {"index": 2, "status": "verified", "supports_claim": "yes", "notes": "Seen."}]}',
+    "pass3:missing": '{"missing_citations": [{"quote": "Stores fail.", "location": "1", "why_needed": "A fact."}, {"quote": "Shown in [1].", "location": "1"}]}',
+    "pass4:claims": '{"claims": [{"claim_quote": "Stores are old.", "location": "1", "search_query": "stores"}, {"claim_quote": "Disks spin.", "location": "1", "search_query": ""}], "main_result_query": "main"}',
+    "pass4:verify": '{"fact_checks": [{"claim_quote": "Stores are old.", "source_url": "https://s.org/stores", "source_says": "New.", "verdict": "verified_incorrect"}, {"claim_quote": "Disks spin.", "source_url": "https://made.up/", "source_says": "No.", "verdict": "verified_incorrect"}], "missing_engagement": [{"work": "W", "url": "https://s.org/main", "why_relevant": "Near."}, {"work": "V", "url": "https://made.up/"}]}',
+}
+
+
+def canned_means(spark: SparkSession) -> review.Means:
+    """Means of a review whose model, lookup and search always answer the same."""
+
+    def ask(requests: DataFrame) -> DataFrame:
+        said = F.create_map(*[F.lit(x) for k, text in CANNED.items() for x in (k, replies.parse(text, struct(REPLIES[payloads.STAGES[k][3]]))[0])])
+        third = (F.col("stage") == "pass0") & (F.crc32(F.col("payload").cast("binary")) % 3 == 0)
+        rows = requests.withColumn("json", F.when(~third, said[F.col("stage")]))
+        return rows.select("request_hash", "stage", "label", "json", F.lit(None).cast("string").alias("text"), F.lit("m").alias("model"), F.lit("json_schema").alias("mode"), F.col("json").isNotNull().alias("ok"), F.lit(1).alias("attempts"), F.lit(0.5).cast("double").alias("duration_s"), F.lit(None).cast("map<string,bigint>").alias("usage"), F.lit("").alias("error"))
+
+    def lookup(refs: DataFrame) -> DataFrame:
+        """Finds references of uneven numbers."""
+        return refs.selectExpr("paper_id", "ref_index", "ref_index % 2 = 1 AS found", "'https://r.org/' || ref_index AS url", "coalesce(title, '') AS title", "authors", "coalesce(year, '') AS year", "'' AS venue", "coalesce(doi, '') AS doi", "'article' AS type", "false AS is_retracted", "'' AS retraction_notes", "true AS is_preprint", "'' AS abstract", "CAST(100 AS DOUBLE) AS match_score", "'canned' AS source")
+
+    def search(queries: DataFrame) -> DataFrame:
+        return queries.selectExpr("query", "1 AS rank", "query AS title", "'https://s.org/' || query AS url", "'said' AS snippet")
+
+    lexicon = spark.createDataFrame([("the", 9)], "word string, frequency int")
+    return review.Means(ask=ask, replies=f"{shared_dir(spark).rstrip('/')}/marginalia/replies-{uuid.uuid4().hex}", lexicon=lexicon, lookup=lookup, search=search)
+
+
+def _reviewed(spark, d) -> review.Review:
+    papers = view(spark, d, PAPERS).select("paper_id", "text", F.lit(1).alias("page_count"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return review.review(spark, lines(spark, d), papers, canned_means(spark))
+
+
+@query(rf"""WITH {LINES_SQL}, {HEADINGS_SQL}, {CITES_SQL}, own AS (SELECT paper_id, label FROM sections WHERE kind NOT IN ('references', 'back_matter') AND length(trim(text)) > 200),
+  cited_in AS (SELECT paper_id FROM sections WHERE kind IN ('introduction', 'background', 'methods', 'discussion') GROUP BY paper_id), first_cite AS (SELECT paper_id, ref_index, location FROM cited WHERE nth = 1), r AS (SELECT paper_id, unnest([1, 2]) AS ref_index FROM papers)
+  SELECT paper_id, 'pass1' AS source_pass, 'major' AS severity, 'grammar' AS category, label AS location, 'it say' AS quote, 'Agreement.' AS description, '' AS verdict, '' AS url FROM own
+  UNION ALL SELECT paper_id, 'pass1', 'minor', 'spelling', label, 'teh', 'Misspelling: ''teh''.', '', '' FROM own
+  UNION ALL SELECT paper_id, 'pass2', 'major', 'numbers', 'p. 1; p. 2', '1.5% vs 2.5%', 'rate: the values disagree across locations. No.', 'verified_incorrect', '' FROM papers
+  UNION ALL SELECT paper_id, 'pass2', 'major', 'claims', 'p. 3', 'it always wins', 'Claim is overreach. Too far. Supporting evidence found: none.', 'overreach', '' FROM papers
+  UNION ALL SELECT r.paper_id, 'pass3', CASE r.ref_index WHEN 1 THEN 'minor' ELSE 'major' END, 'reference', coalesce(location, 'Reference [' || r.ref_index || ']'), CASE r.ref_index WHEN 1 THEN 'Belady, L. (1966). A study of replacement algorithms. Systems Journal.' ELSE 'Mattson, R. (1970). Evaluation techniques for storage hierarchies. doi:10.1000/ab.12.' END,
+    'Reference [' || r.ref_index || ']' || CASE r.ref_index WHEN 1 THEN ' supports a weaker claim than the one it is cited for. ' ELSE ' could not be found in a bibliographic database. ' END || 'Seen. Indexed as a preprint.', CASE r.ref_index WHEN 1 THEN 'verified' ELSE 'not_found' END, CASE r.ref_index WHEN 1 THEN 'https://r.org/1' ELSE '' END FROM r LEFT JOIN first_cite c ON c.paper_id = r.paper_id AND c.ref_index = r.ref_index
+  UNION ALL SELECT paper_id, 'pass3', 'major', 'citation', '1', 'Stores fail.', 'Claim needs a citation and has none. A fact.', '', '' FROM cited_in
+  UNION ALL SELECT paper_id, 'pass4', 'major', 'external_fact', '', 'Stores are old.', 'Contradicted by an external source: New.', 'verified_incorrect', 'https://s.org/stores' FROM papers
+  UNION ALL SELECT paper_id, 'pass4', 'minor', 'missing_engagement', '', 'W', 'Relevant work the paper does not engage with. Near.', '', 'https://s.org/main' FROM papers""")
+def review_run(spark, d):
+    """The findings of a whole review of all papers, from lines over eight kinds of requests and their replies to merged rows."""
+    return _reviewed(spark, d).findings.select("paper_id", "source_pass", "severity", "category", "location", "quote", "description", "verdict", "url")
