@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -66,20 +67,18 @@ class Aligner(Cache):
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
         super().__init__(None, KEPT_CHUNKS)
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
+        self.a_path, self.b = a_path, SentencePieceProcessor(model_file=b_path)
         letter = {code: byte for byte, code in _AS_LETTERS.items()}
-        entries = {i: t for t, i in self.a.get_vocab().items()}
+        form = json.loads(Path(a_path).read_text())
+        entries = {i: t for t, i in form["model"]["vocab"].items()} | {t["id"]: t["content"] for t in form["added_tokens"]}
         self.a_bytes = [bytes(letter.get(ord(c), ord(c) & 255) for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
         # each id with what follows it: of A "," or at a group's end "|", of B "," or ";"
         self.written = [f"{i}{mark}" for own, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(own))]
-        form = json.loads(self.a.to_str())
         cut = form["pre_tokenizer"] or {}
         #: whether no token of either can hold the end of one chunk and the begin of the next
         self.cuts = (
@@ -103,6 +102,15 @@ class Aligner(Cache):
     def _a_ids(self, text: str) -> list[int]:
         return self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids
 
+    @functools.cached_property
+    def a(self):
+        """The tokenizer itself, which is loaded only where ranks do not do."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.a_path)
+        out.encode_special_tokens = True
+        return out
+
     def chunks(self, text: str) -> list[str | bytes]:
         """The keys of a text's chunks, in order; of an empty text none."""
         if not text:
@@ -270,6 +278,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
