@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -57,9 +59,15 @@ def _lcs_lot(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, words: in
     np.bitwise_or.at(where, (np.repeat(rows, n), codes[:half], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
     other = np.full((len(a), int(m.max())), len(kinds))
     other[np.repeat(rows, m), np.arange(len(codes) - half) - np.repeat(np.cumsum(m) - m, m)] = codes[half:]
-    row = np.full((len(a), words), ~np.uint64(0))
-    for j in range(other.shape[1]):
-        hit = row & where[rows, other[:, j]]
+    return n - _left_over(n, words, (where[rows, other[:, j]] for j in range(other.shape[1])), len(a))
+
+
+def _left_over(n: np.ndarray, words: int, hits: Iterable[np.ndarray], lanes: int) -> np.ndarray:
+    """How many letters of the first string of each lane are in no longest common subsequence. hits: for each letter of the second
+    strings, where it stands in the first."""
+    row = np.full((lanes, words), ~np.uint64(0))
+    for where in hits:
+        hit = row & where
         total = row + hit
         if words > 1:
             over = total < row
@@ -69,7 +77,7 @@ def _lcs_lot(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, words: in
         row = total | (row & ~hit)
     bits = np.clip(n[:, None] - 64 * np.arange(words), 0, 64)
     full = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
-    return n - np.bitwise_count(row & full).sum(1).astype(np.int64)
+    return np.bitwise_count(row & full).sum(1).astype(np.int64)
 
 
 def ratios(a: list[str], b: list[str]) -> np.ndarray:
@@ -133,18 +141,30 @@ def partial_ratio(a: str, b: str) -> float:
     return max(best, _windows(b, a)) if len(a) == len(b) and best < 100 else best
 
 
+#: Windows compared at once.
+LANES = 65_536
+
+
 def _windows(a: str, b: str) -> float:
-    n, best = len(a), 0.0
+    """The best ratio of a with any stretch of its length in b, or a shorter one at an end of b: all stretches side by side, one
+    letter of each at a time."""
     if a in b:
         return 100.0
-    letters = set(a)
-    for start in range(1 - n, len(b)):
-        low, high = max(start, 0), min(start + n, len(b))
-        # a stretch that begins (at the right end) or ends (elsewhere) with a letter that a lacks is not the best one
-        if (b[low] if start + n > len(b) else b[high - 1]) not in letters:
-            continue
-        if 200.0 * min(n, high - low) / (n + high - low) > best:
-            best = max(best, ratio(a, b[low:high]))
+    n, m, words, best = len(a), len(b), (len(a) + 63) // 64, 0.0
+    kinds = {c: i for i, c in enumerate(dict.fromkeys(a))}
+    where = np.zeros((len(kinds) + 1, words), np.uint64)
+    for i, c in enumerate(a):
+        where[kinds[c], i // 64] |= np.uint64(1 << i % 64)
+    # letters that a lacks, as those beyond the ends of b, match nothing
+    none = np.full(n - 1, len(kinds))
+    codes = np.concatenate([none, np.array([kinds.get(c, len(kinds)) for c in b]), none])
+    start = np.arange(1 - n, m)
+    size = np.minimum(start + n, m) - np.maximum(start, 0)
+    for at in range(0, len(start), LANES):
+        own = codes[at : at + min(LANES, len(start) - at) + n - 1]
+        lanes = len(own) - n + 1
+        common = n - _left_over(np.full(lanes, n), words, (where[own[j : j + lanes]] for j in range(n)), lanes)
+        best = max(best, float((200.0 * common / (n + size[at : at + lanes])).max()))
     return best
 
 

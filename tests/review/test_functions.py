@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +128,19 @@ def test_many_pairs_at_once(pairs):
     assert fuzzy.lcs_many(a, b).tolist() == [plain_lcs(x, y) for x, y in pairs]
     assert fuzzy.ratios(a, b).tolist() == pytest.approx([fuzzy.ratio(x, y) for x, y in pairs])
     assert fuzzy.token_set_ratios(a, b).tolist() == pytest.approx([fuzzy.token_set_ratio(x, y) for x, y in pairs])
+
+
+def test_partial_ratio_looks_at_every_stretch():
+    rng = random.Random(1)
+    text = lambda most: "".join(rng.choices("abcd é", k=rng.randrange(0, most)))
+    best = lambda a, b: max(fuzzy.ratio(a, b[max(s, 0) : s + len(a)]) for s in range(1 - len(a), len(b)))
+    for _ in range(300):
+        a, b = sorted((text(140), text(200)), key=len)
+        want = (100.0 if not b else 0.0) if not a else max(best(a, b), best(b, a)) if len(a) == len(b) else best(a, b)
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(want) == fuzzy.partial_ratio(b, a)
+
+
+def test_partial_ratio_of_long_texts_in_lots(monkeypatch):
+    monkeypatch.setattr(fuzzy, "LANES", 100)
+    text = "ab cd " * 300 + "needle of threads" + " ef gh" * 300
+    assert fuzzy.partial_ratio("needle at threads", text) == pytest.approx(200 * 15 / 34)

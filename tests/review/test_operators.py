@@ -473,8 +473,19 @@ def test_job_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"job_id": "j", "offset": i, "status": s, "message": s, "ts": f"2024-01-01T00:00:0{i}Z"} for i, s in enumerate(["queued", "running", "done"])] + [{"job_id": "k", "offset": 0, "status": "queued", "message": "", "ts": "2024-01-02T00:00:00Z"}]
     (tmp_path / "in/e.json").write_text("\n".join(map(json.dumps, rows)))
-    jobs.follow(jobs.read_events(spark, str(tmp_path / "in")), "job_state", str(tmp_path / "c")).awaitTermination(60)
-    assert {(r["job_id"], r["status"], r["event_count"], r["finished"]) for r in spark.table("job_state").collect()} == {("j", "done", 3, True), ("k", "queued", 1, False)}
+    for _ in range(2):  # a second run finds nothing new
+        jobs.follow(jobs.read_events(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "c")).awaitTermination(60)
+    assert {(r["job_id"], r["status"], r["event_count"], r["finished"]) for r in jobs.latest(spark, str(tmp_path / "state")).collect()} == {("j", "done", 3, True), ("k", "queued", 1, False)}
+    # a stream of one job goes on where it was, from any offset
+    batches = []
+    progress = lambda start, name: jobs.progress(spark, str(tmp_path / "in"), "j", start).writeStream.foreachBatch(lambda b, n: batches.append([r["offset"] for r in b.collect()])).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="0 seconds").start()
+    for start, name, want in ((1, "p1", [1, 2]), (0, "p2", [0, 1, 2]), (0, "p2", [])):
+        batches.clear()
+        stream = progress(start, name)
+        stream.processAllAvailable()
+        stream.stop()
+        assert sum(batches, []) == want
+    assert [r["offset"] for r in spark.read.format("job_progress").option("path", str(tmp_path / "in")).option("job", "j").option("from", "2").load().collect()] == [2]
     events = spark.read.schema("job_id string, offset bigint, status string, message string, ts timestamp").json(str(tmp_path / "in"))
     assert [r["job_id"] for r in jobs.addressable(events, 1).collect()] == ["k"] and jobs.since(events, 1).count() == 2
     (tmp_path / "runs").mkdir()
@@ -521,3 +532,28 @@ def test_leaders_of_large_blocks(spark, monkeypatch, head):
         seen.setdefault(k, set()).add(i % 3)
         first.setdefault(k, i)
     assert {(r["ord"], r["stability"]) for r in findings.merge_runs(rows, 3).collect()} == {(first[k], "stable" if len(seen[k]) == 3 else "unstable") for k in seen}
+
+
+def test_job_registry_keeps_legal_steps_and_recent_jobs(spark, tmp_path):
+    """Illegal steps are rejected, replayed events change nothing, the oldest jobs give way, and a silent running job fails."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda s: f"2024-01-01T{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}Z"
+    event = lambda registry, job, offset, status, s: {"registry": registry, "job_id": job, "offset": offset, "status": status, "message": "", "ts": at(s)}
+    lots = [
+        [event("a", "j1", 0, "queued", 0), event("a", "j1", 1, "running", 1), event("a", "j1", 2, "running", 2), event("a", "j1", 3, "done", 3), event("a", "j1", 4, "running", 4), event("a", "j2", 0, "running", 5), event("b", "j1", 0, "queued", 1)],
+        [event("a", "j1", 1, "running", 1), event("a", "j3", 0, "queued", 6), event("a", "j4", 0, "queued", 7), event("a", "j4", 1, "running", 8), event("a", "j4", 3, "done", 9)],
+        [event("b", "j9", 0, "queued", 4000)],
+        [event("b", "j8", 0, "queued", 8000)],
+    ]
+    (tmp_path / "in").mkdir()
+    got = []
+    for n, lot in enumerate(lots):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(map(json.dumps, lot)))
+        events = spark.readStream.schema("registry string, " + jobs.PROGRESS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        stream = jobs.registered(events, kept=2, idle_s=3600, delay="10 seconds").writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+        stream.processAllAvailable()
+        stream.stop()
+    outcome = {(r[0], r[1], r[2], r[5]) for r in got}
+    assert {("a", "j1", 3, "accepted"), ("a", "j1", 4, "rejected"), ("a", "j2", 0, "rejected"), ("a", "j1", 1, "repeated"), ("a", "j4", 1, "accepted"), ("a", "j4", 3, "rejected"), ("b", "j1", 0, "accepted")} <= outcome
+    assert [r[1] for r in got if r[5] == "evicted"] == ["j1", "j1"] and [(r[1], r[3]) for r in got if r[5] == "expired"] == [("j4", "failed")]
+    assert len([r for r in got if r[5] == "accepted"]) == 4 + 1 + 3 + 2
