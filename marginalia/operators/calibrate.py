@@ -175,6 +175,12 @@ def tagged(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFr
     return out.withColumns({"category": F.when(F.coalesce("category", F.lit("")) == "", "uncategorised").otherwise(F.lower("category")), "source_pass": F.when(F.col("tag") == "fn", None).otherwise(F.when(F.coalesce("source_pass", F.lit("")) == "", "unknown").otherwise(F.col("source_pass")))})
 
 
+def listed(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:
+    """(tag, paper_id, ord, description): missed findings of the truth (fn), and predicted ones that are none of its (fp)."""
+    side = lambda df, k, tag: df.select("paper_id", F.col("ord").alias(k), "description").join(matches, ["paper_id", k], "left_anti").select(F.lit(tag).alias("tag"), "paper_id", F.col(k).alias("ord"), "description")
+    return side(truth, "t", "fn").unionByName(side(predicted, "p", "fp"))
+
+
 def _counts() -> list[Column]:
     return [F.count_if(F.col("tag") == k).alias(k) for k in ("tp", "fp", "fn")]
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions import replies, text
+from marginalia.functions import affixes, replies, text
 from marginalia.functions.fuzzy import score_match
 from marginalia.operators import calibrate, captions, findings, model_calls, payloads, references, report, sections, spelling
 from marginalia.plans import review
@@ -110,6 +110,18 @@ def dehyphenated_lines(spark, d):
     return docs.select("doc_id", text.join_lines(F.split("text", "\n")).alias("joined"))
 
 
+SPANS = """SELECT 'd' || CAST(doc_id AS STRING) AS paper_id, 1 + CAST(floor(n.k / 2) AS INT) AS page, CAST(doc_id % 3 AS INT) AS block, n.k AS line, n.s AS span, CASE WHEN n.k = 1 THEN ' ' WHEN n.k = 3 AND n.s = 1 THEN NULL WHEN n.s = 0 THEN replace(text, 'fi', 'ﬁ') ELSE ' –  ' || lang || chr(9) END AS text,
+  CAST(CASE WHEN n.s = 0 THEN 10.126 ELSE 9 + doc_id % 4 END AS DOUBLE) AS size, CASE WHEN n.s = 0 THEN 4 ELSE CAST(doc_id % 2 * 16 AS INT) END AS flags, CAST(72.04 AS DOUBLE) AS x0, CAST(100.26 + n.k AS DOUBLE) AS y0 FROM {documents}
+  JOIN (SELECT 0 AS k, 0 AS s UNION ALL SELECT 0 AS k, 1 AS s UNION ALL SELECT 1 AS k, 0 AS s UNION ALL SELECT 2 AS k, 1 AS s UNION ALL SELECT 3 AS k, 0 AS s UNION ALL SELECT 3 AS k, 1 AS s) n ON doc_id % 7 > 0 OR n.k = 2"""
+
+
+@query(rf"""WITH l AS (SELECT paper_id, page, block, line, trim(regexp_replace(replace(replace(string_agg(coalesce(text, ''), '' ORDER BY span), 'ﬁ', 'fi'), '–', '-'), '[ \t]+', ' ', 'g'), ' ' || {NL} || chr(13)) AS text, round(max(size), 2) AS size, max(flags) AS flags, round(min(x0), 1) AS x0, round(min(y0), 1) AS y0 FROM ({SPANS}) s GROUP BY ALL),
+  k AS (SELECT *, sum(length(text)) OVER (PARTITION BY paper_id) AS total, row_number() OVER (PARTITION BY paper_id ORDER BY page, block, line) - 1 AS line_no FROM l WHERE text <> '')
+  SELECT paper_id, CAST(line_no AS INTEGER) AS line_no, text, CAST(page AS INTEGER) AS page, size, flags & 16 > 0 AS bold, x0, y0 FROM k WHERE total >= 200""")
+def lines_from_spans(spark, d):
+    return files.lines_of_spans(view(spark, d, SPANS))
+
+
 @query(r"SELECT page_id, trim(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), ' ' || chr(10) || chr(9) || chr(13)) AS plain FROM {pages}")
 def html_stripped(spark, d):
     return view(spark, d, "SELECT page_id, html FROM {pages}").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
@@ -228,6 +240,20 @@ def reviewable_sections(spark, d):
     return sections.reviewable(sections.sections(lines(spark, d))).select("paper_id", "label")
 
 
+AFFIXES = "SFX S Y 2\nSFX S y ies [^aeiou]y\nSFX S 0 s [^y]\nPFX U Y 1\nPFX U 0 un .\nSFX N N 1\nSFX N e ing e\n"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT word, length(word) % 3 AS k FROM ({LEXICON}) l WHERE word <> ''),
+  s AS (SELECT word, CASE WHEN regexp_matches(word, '[^aeiou]y$') THEN substr(word, 1, length(word) - 1) || 'ies' WHEN regexp_matches(word, '[^y]$') THEN word || 's' END AS form FROM w WHERE k < 2)
+  SELECT DISTINCT form AS word FROM (SELECT word AS form FROM w UNION ALL SELECT form FROM s UNION ALL SELECT 'un' || word FROM w WHERE k = 1 UNION ALL SELECT 'un' || s.form FROM s JOIN w ON w.word = s.word AND w.k = 1 UNION ALL SELECT substr(word, 1, length(word) - 1) || 'ing' FROM w WHERE k = 2 AND word LIKE '_%e') f WHERE form IS NOT NULL""")
+def affix_forms(spark, d):
+    docs = view(spark, d, "SELECT text FROM {documents} WHERE lang = 'en'")
+    w = docs.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("word")).where("word <> ''").distinct()
+    k = F.length("word") % 3
+    flags = F.when(k == 0, F.array(F.lit("S"))).when(k == 1, F.array(F.lit("U"), F.lit("S"))).otherwise(F.array(F.lit("N")))
+    return affixes.forms(w.withColumn("flags", flags), affixes.rules(spark, AFFIXES))
+
+
 BETWEEN_SQL = r"""string_split(array_to_string([CASE WHEN {goes_on} THEN p || ' ' ELSE p || chr(1) END FOR p IN {pieces}], ''), chr(1))""".format(goes_on=GOES_ON, pieces=PIECES)
 SAID_SQL = rf"""body AS (SELECT paper_id, section_idx, label, start_page, regexp_replace(regexp_replace(text, '\\[A-Za-z]+|\$[^$]*\$', ' ', 'g'), 'https?://\S+|www\.\S+|\b10\.\d{{4,9}}/\S+', ' ', 'g') AS text FROM sections),
   said AS (SELECT paper_id, section_idx, label, start_page, i, trim(s[i]) AS sentence FROM (SELECT *, {BETWEEN_SQL} AS s FROM body) m, range(1, len(s) + 1) t(i) WHERE trim(s[i]) <> '')"""
@@ -622,6 +648,12 @@ def calibration_by_dimension(spark, d):
     return calibrate.by_dimension(_planted_tags(spark, d))
 
 
+@query(f"SELECT 'fn' AS tag, t.paper_id, t.ord, t.description FROM ({PLANTED_TRUTH}) t ANTI JOIN ({PLANTED_MATCHES}) m ON m.t = t.ord UNION ALL SELECT 'fp', p.paper_id, p.ord, p.description FROM ({PLANTED_PREDICTED}) p ANTI JOIN ({PLANTED_MATCHES}) m ON m.p = p.ord")
+def missed_and_spurious(spark, d):
+    t, p = view(spark, d, PLANTED_TRUTH), view(spark, d, PLANTED_PREDICTED)
+    return calibrate.listed(t, p, stored(calibrate.match(t, p), "matches"))
+
+
 @query(PLANTED_TAGS + f"a AS (SELECT source_pass, {COUNTS} FROM j WHERE tag <> 'fn' GROUP BY source_pass) SELECT source_pass, {RATES} FROM a")
 def calibration_by_pass(spark, d):
     return calibrate.by_pass(_planted_tags(spark, d))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import short_hash, slug, strip
+from marginalia.functions.text import normalise, short_hash, slug, strip
 from marginalia.schemas import LINES, RUNS, SEVERITIES
 
 UPLOAD_BYTES = 64 * 1024 * 1024
@@ -41,6 +41,25 @@ def lines_of(files: DataFrame, parse: Callable[[bytes], list[tuple[str, int, flo
     return files.select("stem", "content").mapInPandas(run, LINES)
 
 
+def lines_of_spans(spans: DataFrame, least: int = LEAST_TEXT) -> DataFrame:
+    """Lines from spans(paper_id, page, block, line, span, text, size, flags, x0, y0), x0 and y0 being the line's: the texts of a line's
+    spans joined and normalised, the largest size, bold by the largest flags. Lines without text are left out and do not count in
+    line_no, and so are papers with less than `least` characters, which textless() lists."""
+    key = ["paper_id", "page", "block", "line"]
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "")
+    rows = spans.groupBy(*key).agg(joined.alias("text"), F.round(F.max("size"), 2).alias("size"), F.coalesce(F.max("flags"), F.lit(0)).alias("flags"), F.round(F.min("x0"), 1).alias("x0"), F.round(F.min("y0"), 1).alias("y0"))
+    rows = rows.withColumn("text", normalise(F.col("text"))).where("text <> ''")
+    total = F.sum(F.length("text")).over(Window.partitionBy("paper_id"))
+    nth = F.row_number().over(Window.partitionBy("paper_id").orderBy("page", "block", "line")) - 1
+    rows = rows.withColumns({"total": total, "line_no": nth}).where(F.col("total") >= least)
+    return rows.select("paper_id", F.col("line_no").cast("int").alias("line_no"), "text", F.col("page").cast("int").alias("page"), F.col("size").cast("double").alias("size"), (F.col("flags").bitwiseAND(F.lit(16)) > 0).alias("bold"), F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"))
+
+
+def textless(papers_: DataFrame, lines: DataFrame) -> DataFrame:
+    """(paper_id, error) of papers(paper_id) that gave no line."""
+    return papers_.join(lines, "paper_id", "left_anti").select("paper_id", F.lit("almost no extractable text: probably a scan, which needs character recognition first").alias("error"))
+
+
 def body_size(lines: DataFrame) -> DataFrame:
     """(paper_id, body_size): the median of type sizes, each as often as its line has characters; 10 for a paper without any."""
     return lines.groupBy("paper_id").agg(F.coalesce(F.percentile("size", 0.5, F.length("text").cast("int")), F.lit(10.0)).alias("body_size"))
@@ -152,7 +171,14 @@ def extraction(papers_: DataFrame, sections: DataFrame, captions: DataFrame, ref
     return all_.select("paper_id", F.to_json(F.struct("page_count", "sections", "captions", "references", "candidates")).alias("json"))
 
 
-def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text, hash) of the Markdown files of a folder; the hash has 16 digits."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).withColumn("path", F.col("_metadata.file_path"))
-    return files.select(F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("name"), F.col("value").alias("text"), short_hash(F.col("value")).alias("hash"))
+def prompts(spark: SparkSession, path: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """(name, text, hash) of the Markdown files of a folder but those named in leave_out; the hash has 16 digits."""
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    rows = files.select(F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("name"), strip(F.col("value")).alias("text"), short_hash(F.col("value")).alias("hash"))
+    return rows.where(~F.col("name").isin(*leave_out)) if leave_out else rows
+
+
+def prompt_version(spark: SparkSession, path: str) -> DataFrame:
+    """(version): what the file VERSION of a folder of prompts says, or unknown."""
+    found = spark.read.option("pathGlobFilter", "VERSION").text(path, wholetext=True).select(strip(F.col("value")).alias("version"))
+    return found.agg(F.coalesce(F.first("version"), F.lit("unknown")).alias("version"))

@@ -6,9 +6,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import affixes
 from marginalia.operators import model_calls
 from marginalia.plans import review
 from marginalia.schemas import BIB_RECORDS, SEARCH_RESULTS
+from marginalia.sources import files
 
 BODY = "The store keeps ninety percent of all keys in memory and it writes the rest to a log on disk, which is read again when the process begins anew. "
 PAPER = f"""A Study of Stores
@@ -155,3 +157,42 @@ def test_failed_calls(spark, tmp_path, silent):
         assert review.NO_VERIFY in notes
         (text, by_model), = by_paper(got.reports, "report", "by_model")
         assert not by_model and f"- pass4 limitation: {review.NO_VERIFY}" in text and "27 external claims could not be verified" in text
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    """extract, review and init-review over tables and folders; a client that refuses leaves the report of the rules."""
+    from marginalia.plans import cli
+
+    bench = Bench(spark, tmp_path / "none")
+    bench.lines.where("paper_id = 'a'").write.parquet(f"{tmp_path}/lines")
+    bench.means.lexicon.write.parquet(f"{tmp_path}/lexicon")
+    (tmp_path / "prompts").mkdir()
+    (tmp_path / "prompts/pass2_consistency.md").write_text("Compare.\n\nAll values.\n")
+    (tmp_path / "prompts/whole.md").write_text("all of them")
+    (tmp_path / "prompts/VERSION").write_text("1.2\n")
+    assert [(r["name"], r["text"]) for r in files.prompts(spark, f"{tmp_path}/prompts", ("whole",)).collect()] == [("pass2_consistency", "Compare.\n\nAll values.")]
+    assert files.prompt_version(spark, f"{tmp_path}/prompts").first()["version"] == "1.2"
+
+    class Refuses:  # local, so that it travels to the workers by value
+        def chat(self, messages, *, model, response_format):
+            raise ConnectionError(messages[1]["content"].split("\n")[0])
+
+    monkeypatch.setattr(cli, "_named", lambda place: Refuses)
+    cli.main(["extract", f"{tmp_path}/lines", f"{tmp_path}/lexicon", f"{tmp_path}/extracted"])
+    found = json.loads(spark.read.json(f"{tmp_path}/extracted").first()["json"])
+    assert len(found["references"]) == 3 and any(c["token"] == "allready" for own in found["candidates"].values() for c in own)
+    cli.main(["review", f"{tmp_path}/lines", f"{tmp_path}/lexicon", f"{tmp_path}/out", "--client", "x:y", "--only", "pass2", "--prompts", f"{tmp_path}/prompts"])
+    assert "- Passes run: pass2" in spark.read.json(f"{tmp_path}/out/reports").first()["report"]
+    assert spark.read.parquet(f"{tmp_path}/out/replies").first()["error"] == "ConnectionError: Compare."
+    cli.main(["init-review", "a.pdf", f"{tmp_path}/template"])
+    assert json.loads(spark.read.text(f"{tmp_path}/template").first()[0])["paper"] == "a.pdf"
+    spark.createDataFrame([(0, "text-embedding", ""), (1, "chat", "llm")], "ord int, id string, type string").write.json(f"{tmp_path}/models")
+    cli.main(["models", f"{tmp_path}/models"])
+    assert "|chat" in capsys.readouterr().out
+
+
+def test_dictionaries_with_affixes(spark, tmp_path):
+    (tmp_path / "x.aff").write_text("SET UTF-8\nPFX A Y 1\nPFX A   0     re         .\n\nSFX B Y 2\nSFX B   y     ied        [^aeiou]y\nSFX B   0     ed/X       [^ey]\nSFX C N 1\nSFX C 0 ly .\n")
+    (tmp_path / "x.dic").write_text("5\nhello\ntry/B\nWork/AB po:verb\nquick/CA\ny/B\n")
+    got = {r["word"] for r in affixes.lexicon(spark, f"{tmp_path}/x.aff", f"{tmp_path}/x.dic").collect()}
+    assert got == {"hello", "try", "tried", "work", "rework", "worked", "reworked", "quick", "quickly", "requick", "y"}
