@@ -20,6 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +30,11 @@ from marginalia.llm.words import Cache, alone
 from marginalia.storage import stored
 
 #: Letters and rows of one block at most, but for one long text.
-BLOCK_LETTERS, BLOCK_ROWS = 500_000, 5_000
+BLOCK_LETTERS, BLOCK_ROWS = 1_000_000, 5_000
 #: Letters encoded in one call.
 CALL_LETTERS = 50_000
 #: Blocks for one task where blocks meet the sums of their pairs.
-TASK_BLOCKS = 32
+TASK_BLOCKS = 16
 #: Chunks that a worker keeps aligned, and as many that it has laid aside.
 KEPT_CHUNKS = 80_000
 
@@ -213,10 +214,21 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.array([r.tolist() if len(r) < 8 else r for r in rows], pa.list_(kind))
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of small numbers as compressed bytes, behind their lengths."""
+    sizes = np.array([len(x) for x in arrays])
+    return zstandard.compress(np.concatenate([sizes, *arrays]).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(body: bytes, arrays: int) -> list[np.ndarray]:
+    whole = np.frombuffer(zstandard.decompress(body), "<i4")
+    return np.split(whole[arrays:], np.cumsum(whole[: arrays - 1]))
+
+
 def aligned(docs: DataFrame, a_path: str, b_path: str, block_letters: int = BLOCK_LETTERS) -> DataFrame:
-    """A row for each block of rows of docs(id, text): block, of each document its id, counts, groups_sha256 and chunks (numbers of
-    the block's chunks, `sizes` of them for each document), of each chunk `own` places in pairs (pair_at, one after the other), and
-    the block's distinct pairs in order with how often they are linked (times)."""
+    """A row for each block of rows of docs(id, text): block, of each document its id, counts and groups_sha256, the block's distinct
+    pairs in order with how often they are linked (times), and a body of four arrays, compressed: how many chunks each document has,
+    their numbers, how many links each chunk has, their places in pairs."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +255,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, block_letters: int = BLOC
             to = np.cumsum(sizes)
             per = [s[to] - s[to - sizes] for s in sums]
             columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[_lists([x], pa.int64()) for x in per], pa.array([digests], pa.list_(pa.string()))]
-            columns += [_lists([x.astype(np.int32)], pa.int32()) for x in (sizes, flat, own, pair_at)] + [_lists([x], pa.int64()) for x in (pairs, often)]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", *_LONGS, "digests", "sizes", "chunks", "own", "pair_at", "pairs", "times"])
+            columns += [pa.array([_packed(sizes, flat, own, pair_at)], pa.binary()), *[_lists([x], pa.int64()) for x in (pairs, often)]]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", *_LONGS, "digests", "body", "pairs", "times"])
             number += 1
 
     longs = ", ".join(f"{c} array<long>" for c in _LONGS)
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, {longs}, digests array<string>, sizes array<int>, chunks array<int>, own array<int>, pair_at array<int>, pairs array<long>, times array<long>")
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, {longs}, digests array<string>, body binary, pairs array<long>, times array<long>")
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -283,7 +295,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
                 flat = lambda name, row=row: row.column(name).flatten()
-                sizes, chunks, own, pair_at = (flat(c).to_numpy() for c in ("sizes", "chunks", "own", "pair_at"))
+                sizes, chunks, own, pair_at = _unpacked(row.column("body")[0].as_py(), 4)
                 to, chunk_to, out = np.cumsum(sizes), np.cumsum(own), []
                 for value in (flat("best"), flat("n")):
                     value = value.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -292,7 +304,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                     out.append(pa.array(total[to] - total[to - sizes], pa.int64()))
                 yield pa.RecordBatch.from_arrays([flat("ids"), *[flat(c) for c in _LONGS], *out, flat("digests")], ["id", *_LONGS, "n_best", "count_sum", "groups_sha256"])
 
-    out = both.select("ids", *_LONGS, "digests", "sizes", "chunks", "own", "pair_at", "n", "best").mapInArrow(run, f"id {kind}, {', '.join(f'{c} long' for c in _LONGS)}, n_best long, count_sum long, groups_sha256 string")
+    out = both.select("ids", *_LONGS, "digests", "body", "n", "best").mapInArrow(run, f"id {kind}, {', '.join(f'{c} long' for c in _LONGS)}, n_best long, count_sum long, groups_sha256 string")
     return out.toDF(id_col, *free_name(docs.select(F.col("id").alias(id_col)), *out.columns[1:]))
 
 
