@@ -79,6 +79,15 @@ def test_every_document_has_one_score(spark, results, texts):
     assert sum(t == p for t, p in held) >= 0.9 * len(held)
 
 
+def test_toxic_documents_are_found_and_others_left_alone(spark):
+    """On rows held out: a model that says 0 always, or 1, would fail."""
+    d = "/root/testdata/sf0.01"
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [(toxic[r["doc_id"]], r["predicted"]) for r in queries.QUERIES["op2_nnpu_toxicity"](spark, d).collect() if r["held_out"] and r["doc_id"] in toxic]
+    hits, said, there = sum(t and p for t, p in held), sum(p for _, p in held), sum(t for t, _ in held)
+    assert there >= 10 and hits >= 0.6 * there and hits >= 0.8 * said
+
+
 def test_base_rules_decide_first(results, texts):
     got = rows_of(results, "op3_isolation_forest_quality")
     assert Counter(r["doc_id"] for r in got) == Counter(list(texts))
