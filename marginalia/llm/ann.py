@@ -3,8 +3,8 @@
 Vectors are cut into subspaces of two or more dimensions, each coded by one of 16 codewords. Codes and codewords lower a loss
 that weighs the part of the residual parallel to the vector more than the rest, as that part shifts the large scores. A query
 turns into a table of 16 partial scores for each subspace; two subspaces are read as one byte of code. Rows are coded once, and
-only their codes meet the queries, block by block. The best by table score are then joined with their vectors and scored again in
-double precision."""
+meet the queries block by block. What a table score can be off by follows from the row's residuals: each row of a block that may
+so be among the nearest is scored again in double precision, be they few or, where rows lie close together, very many."""
 
 from __future__ import annotations
 
@@ -21,8 +21,10 @@ from marginalia.llm.words import slices
 from marginalia.storage import freed, stored
 
 CODES = 16
-#: Rows of one block, at least and at most, and queries of one block: a task scans about two thousand million codes at most.
-ROW_BLOCK, QUERY_BLOCK = (4096, 65_536), 2048
+#: Rows of one block, at least and at most, numbers in its vectors at most, and queries of one block.
+ROW_BLOCK, BLOCK_NUMBERS, QUERY_BLOCK = (4096, 65_536), 1 << 22, 4096
+#: Standard deviations by which a table score may be off, taken from twice the variance that residuals of random directions have.
+SIGMAS = 3.0
 
 
 @dataclass
@@ -55,6 +57,10 @@ class Quantiser:
                 along[:, s] = own[np.arange(len(x)), codes[:, s]]
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """[row, subspace, dimension]: the codewords."""
+        return self.books[np.arange(codes.shape[1]), codes]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """[query, subspace, code]: inner products with the codewords."""
         return np.einsum("qsd,scd->qsc", self.split(queries), self.books).astype(np.float32)
@@ -114,23 +120,52 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def _best(queries: pa.Table, rows: pa.Table, quantiser: Quantiser, take: int) -> pa.Table:
-    """(query_id, vec_id, near): of a block of rows the `take` best by table score for each query, its own id left out."""
+def _best(queries: pa.Table, rows: pa.Table, quantiser: Quantiser, k: int, scale: float) -> pa.Table:
+    """(query_id, vec_id, score): of a block of rows the k nearest of each query, its own id left out, ties to the smaller id.
+
+    Scores of the 2 k best by table give what a row must reach. Rows whose table score is below that by more than it can be off are
+    let go, all others are scored. An error is the sum over subspaces of the residual times the query's part: it is at most the sum
+    of their lengths' products, and beyond SIGMAS times the root of the sum of squares in a few of a hundred thousand pairs."""
     queries, rows = queries.combine_chunks(), rows.combine_chunks()
-    parts = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})]
-    if len(rows):
-        ids = rows.column("vec_id").to_numpy()
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        for at in range(0, len(queries), 64):
-            part = queries.slice(at, 64).combine_chunks()
-            own = part.column("query_id").to_numpy()
-            found = scan(_matrix(part.column("embedding").chunk(0)), codes, quantiser)
-            found[ids[None, :] == own[:, None]] = -np.inf
-            best = np.argpartition(-found, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), found.shape)
-            near = np.take_along_axis(found, best, 1).reshape(-1)
-            keep = near > -np.inf
-            parts.append(pa.table({"query_id": np.repeat(own, best.shape[1])[keep], "vec_id": ids[best.reshape(-1)][keep], "near": near[keep]}))
-    return pa.concat_tables(parts)
+    parts = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+    if not len(rows) or not len(queries):
+        return parts[0]
+    ids = rows.column("vec_id").to_numpy()
+    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+    x = _matrix(rows.column("embedding").chunk(0))
+    own, coded = quantiser.split(x * scale), quantiser.decode(codes)
+    # a codeword that is too short or too long along its vector is stretched, so that no error is left along the vector
+    length = (own**2).sum((1, 2))
+    stretch = np.clip(length / np.maximum((own * coded).sum((1, 2)), 1e-30 * length + 1e-300), 0.5, 2.0)
+    gaps = (own - coded * stretch[:, None, None]).astype(np.float32)
+    gaps = np.sqrt((gaps**2).sum(2)).T
+    rough = (1e-5 * np.sqrt(length)).astype(np.float32)  # of sums in single precision
+    stretch = stretch.astype(np.float32)
+    spread = np.float32(SIGMAS**2 * 2 / quantiser.books.shape[2])
+    for at in range(0, len(queries), 64):
+        part = queries.slice(at, 64).combine_chunks()
+        names, asked = part.column("query_id").to_numpy(), _matrix(part.column("embedding").chunk(0))
+        unit = asked / np.abs(asked).max(1)[:, None]
+        near = scan(unit, codes, quantiser) * stretch
+        near[ids[None, :] == names[:, None]] = -np.inf
+        sizes = np.sqrt((quantiser.split(unit) ** 2).sum(2)).astype(np.float32)
+        most = np.minimum(np.sqrt(spread * (sizes**2 @ gaps**2)), sizes @ gaps)
+        most += np.linalg.norm(unit, axis=1).astype(np.float32)[:, None] * rough
+        most += near
+        head = np.argpartition(-near, 2 * k - 1, axis=1)[:, : 2 * k] if 2 * k < len(ids) else None
+        for i, name in enumerate(names.tolist()):
+            open_ = near[i] > -np.inf
+            if head is not None:
+                first = head[i][open_[head[i]]]
+                open_ &= most[i] >= np.partition((x[first] * scale) @ unit[i], -k)[-k] * (1 - 1e-9)
+            row = np.flatnonzero(open_)
+            score = (x[row] * asked[i]).sum(1)
+            if len(row) > k:
+                best = score >= np.partition(score, -k)[-k]
+                row, score = row[best], score[best]
+            order = np.lexsort((ids[row], -score))[:k]
+            parts.append(pa.table({"query_id": np.full(len(order), name), "vec_id": ids[row[order]], "score": score[order]}))
+    return pa.concat_tables(parts).combine_chunks()
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -145,11 +180,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """(query_id, rank, vec_id, score): for each query the k rows with the largest inner products found, nearest first, ties to
     the smaller id; a row with the query's own id is left out. queries: as vectors, with the same columns.
 
-    The quantiser is fitted on at most about `sample` vectors, picked by a hash of the id; every row is coded and scanned. The
-    again + k best rows by table score are scored exactly, times the square root of the rows over 50,000 where there are more, as
-    more rows then have nearly the same score. A block of rows, which is random, hands on its part of them and a margin of six
-    standard deviations. Of equal vectors only the k + 1 with the least ids can be among the nearest, so the others are not
-    scanned: a vector that very many rows hold costs little.
+    The quantiser is fitted on at most about `sample` vectors, picked by a hash of the id; every row is coded and scanned. In each
+    block of rows all are scored exactly whose table score leaves open whether they are among the block's nearest, and its k
+    nearest are handed on. again has no effect: how many rows are scored again follows from their residuals. Of equal vectors only
+    the k + 1 with the least ids can be among the nearest, so the others are not scanned: a vector that very many rows hold costs
+    little.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of another
     length than the commonest one of the sample (the longest of several). Other columns play no part, whatever their names. An
@@ -171,35 +206,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     n, q = rows.count(), asked.count()
     if not q:
         return empty
-    quantiser = train(x, subspaces, seed=seed)
+    # codes are made of vectors of middling size, so that no square of theirs leaves the range of doubles
+    longest = rows.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0] or 1.0
+    scale = 2.0 ** min(1000, -math.frexp(longest)[1])
+    quantiser = train(x * scale, subspaces, seed=seed)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
-            codes = quantiser.encode(_matrix(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "code"])
+            codes = quantiser.encode(_matrix(b.column(1)) * scale)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "code"])
 
-    coded = stored(rows.mapInArrow(encode, "vec_id long, code binary"), "codes")
-    row_blocks = math.ceil(n / min(max(n // 16, ROW_BLOCK[0]), ROW_BLOCK[1]))
+    coded = stored(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "codes")
+    freed(rows)
+    row_blocks = math.ceil(n / min(max(n // 16, ROW_BLOCK[0]), ROW_BLOCK[1], max(1, BLOCK_NUMBERS // dims)))
     query_blocks = math.ceil(q / QUERY_BLOCK)
-    again = math.ceil((again + k) * max(1.0, math.sqrt(n / 50_000)))
-    share = again / row_blocks
-    take = min(again, math.ceil(share + 6 * math.sqrt(share) + k))
     block = lambda col, blocks: F.pmod(F.xxhash64(F.lit(seed + 1), col), F.lit(blocks)).cast("int")
     # the query set in blocks against the rows in blocks: a task holds one block of each
     left = asked.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), block("query_id", query_blocks).alias("qb"), "query_id", "embedding")
-    right = coded.select(block("vec_id", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "code")
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(lambda a, b: _best(a, b, quantiser, take), "query_id long, vec_id long, near float")
-    nearest = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
-    found = stored(found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= again).select("query_id", "vec_id"), "found")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((_matrix(b.column(2)) * _matrix(b.column(3))).sum(1))], ["query_id", "vec_id", "score"])
-
-    pairs = found.join(rows.withColumnRenamed("embedding", "x"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", "x", "embedding")
-    scored = pairs.mapInArrow(exact, "query_id long, vec_id long, score double")
+    right = coded.select(block("vec_id", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "code", "embedding")
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(lambda a, b: _best(a, b, quantiser, k, scale), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def recall(found: DataFrame, vectors: DataFrame, k: int = 20, queries: int = 100) -> float:

@@ -53,6 +53,19 @@ def test_search(spark):
     assert few.count() == 6
 
 
+def test_search_among_rows_that_share_their_codes(spark):
+    random_ = np.random.default_rng(5)
+    tight = random_.normal(size=(2, 16))[np.arange(2400) % 2] + 1e-3 * random_.normal(size=(2400, 16))
+    tight[2000:] = random_.normal(size=(400, 16)) * np.exp(random_.normal(size=(400, 1)))
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(tight)]
+    for scale in (1.0, 1e120):
+        scaled = [(i, [a * scale for a in v]) for i, v in rows]
+        table = spark.createDataFrame(scaled, "vec_id long, embedding array<double>")
+        found = ann.search(table, table.where("vec_id % 40 = 0"), k=10)
+        got = {(r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()}
+        assert got == exact(scaled, [r for r in scaled if r[0] % 40 == 0], 10)
+
+
 def test_anisotropic_codes_lower_the_loss():
     x = np.random.default_rng(1).normal(size=(500, 16))
     q = ann.train(x, 4)
