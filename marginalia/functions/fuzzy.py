@@ -80,6 +80,49 @@ def _left_over(n: np.ndarray, words: int, hits: Iterable[np.ndarray], lanes: int
     return np.bitwise_count(row & full).sum(1).astype(np.int64)
 
 
+#: Pairs whose bits are held side by side.
+LOT = 16_384
+
+
+def lcs_pairs(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """lcs() of a[i] with b[j] for pairs of places of two lists: where the letters of each a stand is written once, not for each pair.
+    Pairs go fastest in order of i."""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    codes = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, codes = np.unique(codes, return_inverse=True)
+    half, size = int(n.sum()), len(kinds) + 1
+    where = np.zeros((int(n.max(initial=0) + 63) // 64, len(a) * size), np.uint64)
+    place = np.arange(half) - np.repeat(np.cumsum(n) - n, n)
+    np.bitwise_or.at(where, (place // 64, np.repeat(np.arange(len(a)), n) * size + codes[:half]), np.uint64(1) << (place % 64).astype(np.uint64))
+    letters = np.full((int(m.max(initial=0)), len(b)), len(kinds))
+    letters[np.arange(len(codes) - half) - np.repeat(np.cumsum(m) - m, m), np.repeat(np.arange(len(b)), m)] = codes[half:]
+    out = np.zeros(len(i), np.int64)
+    for at in range(0, len(i), LOT):
+        own, other = i[at : at + LOT], j[at : at + LOT]
+        base, words = own * size, int(n[own].max() + 63) // 64
+        rows = [np.full(len(own), ~np.uint64(0)) for _ in range(words)]
+        for step in range(int(m[other].max())):
+            spot = letters[step].take(other)
+            spot += base
+            for k, row in enumerate(rows):
+                hit = where[k].take(spot)
+                hit &= row
+                total = row + hit
+                if words > 1:
+                    more = total < row
+                    if k:
+                        total += over
+                        more |= over & (total == 0)
+                    over = more
+                row ^= hit
+                row |= total
+        for k, row in enumerate(rows):
+            bits = np.clip(n[own] - 64 * k, 0, 64)
+            full = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+            out[at : at + LOT] += bits - np.bitwise_count(row & full)
+    return out
+
+
 def ratios(a: list[str], b: list[str]) -> np.ndarray:
     total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
     return np.where(total == 0, 100.0, 200.0 * lcs_many(a, b) / np.maximum(total, 1))
@@ -206,12 +249,18 @@ PARTS, WITHOUT_QUOTE = (0.6, 0.15, 0.25), (0.65, 0.35)
 
 
 def _bounds(a: list[str], b: list[str]) -> np.ndarray:
-    """For each a with each b at least their token_set_ratio(). How long the words are that both have is counted exactly; of what is
-    left of each, in order, the longest common subsequence has no letter more often than both have it."""
+    """For each a with each b at least their token_set_ratio()."""
+    return _bounded(a, b)[0]
+
+
+def _bounded(a: list[str], b: list[str]) -> tuple[np.ndarray, ...]:
+    """_bounds(), and how long what is left of each a and b is, and the words that both have, joined by blanks. How long these words
+    are is counted exactly; of what is left of each, in order, the longest common subsequence has no letter more often than both
+    have it."""
     distinct = [sorted(set(x.split())) for x in (*a, *b)]
     names = {w: i for i, w in enumerate({w for words in distinct for w in words})}
     size = np.array([len(w) for w in names], np.float32)
-    count = np.array([len(words) for words in distinct])
+    count = np.array([len(words) for words in distinct], np.int32)
     at = np.repeat(np.arange(len(distinct)), count), np.array([names[w] for words in distinct for w in words], np.int64)
     n = len(a)
     # words that only one side has meet nothing; the others are looked at some thousand at a time
@@ -225,27 +274,65 @@ def _bounds(a: list[str], b: list[str]) -> np.ndarray:
         has[row[own], word[own] - low] = 1
         length += has[:n] * size[low : low + 4096] @ has[n:].T
         shared += has[:n] @ has[n:].T
-    letters = np.zeros((len(distinct), 64), np.float32)
+    letters = np.zeros((len(distinct), 64), np.float32 if max(map(len, (*a, *b)), default=0) > 30_000 else np.int16)
     for i, words in enumerate(distinct):
         if words:
             letters[i] = np.bincount(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
     total = np.array([sum(map(len, words)) for words in distinct], np.float32)
-    # c: the common words joined by blanks; m, n: what is left of each
+    letters = letters[:, letters[:n].any(0) & letters[n:].any(0)]
+    out = tuple(np.empty((n, len(b)), np.float32) for _ in range(4))
+    for low in range(0, n, 64):  # a slab at a time, which fits a core's cache
+        rows = slice(low, min(low + 64, n))
+        common = np.zeros((rows.stop - low, len(b)), letters.dtype)
+        for own, other in zip(letters[rows].T, letters[n:].T, strict=True):
+            common += np.minimum.outer(own, other)
+        slab = _slab(length[rows], shared[rows], common, total[rows, None], total[None, n:], count[rows, None], count[None, n:])
+        for whole, part in zip(out, slab, strict=True):
+            whole[rows] = part
+    return out
+
+
+def _slab(length: np.ndarray, shared: np.ndarray, common: np.ndarray, m: np.ndarray, n: np.ndarray, m_words: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What _bounded() gives, from the letters and number of the words both have, the letters in common, and letters and words of each."""
+    # c: the common words joined by blanks; left, right: what is left of each
     c = length + np.maximum(shared - 1, 0)
     own = lambda t, k: np.maximum(t - length, 0) + np.maximum(k - shared - 1, 0)
-    left, right = own(total[:n, None], count[:n, None]), own(total[None, n:], count[None, n:])
-    common = np.zeros_like(c)
-    for k in range(64):
-        common += np.minimum.outer(letters[:n, k], letters[n:, k])
+    left, right = own(m, m_words.astype(np.float32)), own(n, n_words.astype(np.float32))
     # letters of common words are common; blanks between what is left may be as well
-    rest = np.minimum(np.maximum(common - length, 0) + np.minimum(np.maximum(count[:n, None] - shared - 1, 0), np.maximum(count[None, n:] - shared - 1, 0)), np.minimum(left, right))
+    blanks = np.minimum(np.maximum(m_words - shared - 1, 0), np.maximum(n_words - shared - 1, 0))
+    rest = np.minimum(np.maximum(common - length, 0) + blanks, np.minimum(left, right))
     gap = (shared > 0).astype(np.float32)
     with np.errstate(divide="ignore", invalid="ignore"):
         best = 100 * (1 - (left + right - 2 * rest) / (2 * (c + gap) + left + right))
-        for side in (left, right):
-            best = np.where(shared > 0, np.maximum(best, 100 * (1 - (gap + side) / (2 * c + gap + side))), best)
-    best = np.where((shared > 0) & ((left == 0) | (right == 0)), 100, best)
-    return np.where((count[:n, None] > 0) & (count[None, n:] > 0), np.nan_to_num(best, nan=100.0) + 1e-3, 0)
+        if shared.any():
+            for side in (left, right):
+                best = np.where(shared > 0, np.maximum(best, 100 * (1 - (gap + side) / (2 * c + gap + side))), best)
+            best = np.where((shared > 0) & ((left == 0) | (right == 0)), 100, best)
+    return np.where((m_words > 0) & (n_words > 0), np.nan_to_num(best, nan=100.0) + 1e-3, 0), left, right, c
+
+
+#: Letters of the longest strings whose common subsequence is looked for before the words that both have are taken out.
+SHORT = 512
+
+
+def _closer(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, bounded: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of places at least their token_set_ratio(), and for which pairs it is that: those that have no word in common. What
+    is left of a text is a subsequence of its words in order, so that of two has no longer one in common than these."""
+    best, left, right, both = (x[i, j].astype(np.float64) for x in bounded)
+    words = [[" ".join(sorted(set(x.split()))) for x in side] for side in (a, b)]
+    m, n = (np.array([len(x) for x in own], np.int64)[k] for own, k in zip(words, (i, j), strict=True))
+    exact = both == 0
+    rows = np.flatnonzero(exact | (np.maximum(m, n) <= SHORT))
+    common = lcs_pairs(*words, i[rows], j[rows])
+    x, y, c, none = left[rows], right[rows], both[rows], exact[rows]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = np.where((m[rows] > 0) & (n[rows] > 0), 100.0 * (1 - (m[rows] + n[rows] - 2 * common) / (m[rows] + n[rows])), 0.0)
+        some = 100.0 * (1 - (x + y - 2 * np.minimum(common, np.minimum(x, y))) / (2 * (c + 1) + x + y))
+        for side in (x, y):
+            some = np.maximum(some, 100.0 * (1 - (1 + side) / (2 * c + 1 + side)))
+    some = np.where((x == 0) | (y == 0), 100.0, some) + 1e-3
+    best[rows] = np.where(none, apart, np.minimum(best[rows], some))
+    return best, exact
 
 
 def scored_blocks(left: list[list[str]], right: list[list[str]], least: float) -> list[tuple[int, int, float]]:
@@ -256,10 +343,16 @@ def scored_blocks(left: list[list[str]], right: list[list[str]], least: float) -
     if not quote_a or not quote_b:
         return []
     no_quote = np.array([not x for x in quote_a])[:, None] | np.array([not x for x in quote_b])[None, :]
-    quote, said = _bounds(quote_a, quote_b), _bounds(said_a, said_b)
+    of_quotes, of_said = _bounded(quote_a, quote_b), _bounded(said_a, said_b)
+    quote, said = of_quotes[0], of_said[0]
     most = np.where(no_quote, WITHOUT_QUOTE[0] * said + 100 * WITHOUT_QUOTE[1], PARTS[0] * quote + 100 * PARTS[1] + PARTS[2] * said)
     open_ = (most >= least) & (no_quote | (quote >= QUOTE_FLOOR) | (said >= DESCRIPTION_FLOOR))
     i, j = np.nonzero(open_)
+    plain, q, d, w = no_quote[i, j], quote[i, j].astype(np.float64), said[i, j].astype(np.float64), np.full(len(i), 100.0)
+
+    def keep() -> np.ndarray:
+        whole = np.where(plain, WITHOUT_QUOTE[0] * d + WITHOUT_QUOTE[1] * w, PARTS[0] * q + PARTS[1] * w + PARTS[2] * d)
+        return (whole >= least) & (plain | ~((q < QUOTE_FLOOR) & (d < DESCRIPTION_FLOOR)))
 
     def exact(a: list[str], b: list[str], rows: np.ndarray, many) -> np.ndarray:
         found = [(a[x], b[y]) for x, y in zip(i[rows].tolist(), j[rows].tolist(), strict=True)]
@@ -267,19 +360,24 @@ def scored_blocks(left: list[list[str]], right: list[list[str]], least: float) -
         known = dict(zip(own, many([x for x, _ in own], [y for _, y in own]), strict=True)) if own else {}
         return np.array([known[x] for x in found], np.float64)
 
-    plain, q, d, w = no_quote[i, j], np.zeros(len(i)), said[i, j].astype(np.float64), np.full(len(i), 100.0)
-
-    def keep() -> np.ndarray:
-        whole = np.where(plain, WITHOUT_QUOTE[0] * d + WITHOUT_QUOTE[1] * w, PARTS[0] * q + PARTS[1] * w + PARTS[2] * d)
-        return (whole >= least) & (plain | ~((q < QUOTE_FLOOR) & (d < DESCRIPTION_FLOOR)))
-
-    rows = np.flatnonzero(~plain)
+    def narrow() -> None:
+        nonlocal i, j, plain, q, d, w, q_known, d_known
+        rows = np.flatnonzero(keep())
+        i, j, plain, q, d, w, q_known, d_known = (x[rows] for x in (i, j, plain, q, d, w, q_known, d_known))
+
+    # pairs without a common word are settled for all their texts at once, the others pair by pair
+    q, q_known = _closer(quote_a, quote_b, i, j, of_quotes)
+    q_known |= plain
+    d_known = np.zeros(len(i), bool)
+    narrow()
+    d, d_known = _closer(said_a, said_b, i, j, of_said)
+    narrow()
+    rows = np.flatnonzero(~q_known)
     q[rows] = exact(quote_a, quote_b, rows, token_set_ratios)
-    rows = np.flatnonzero(keep())
-    i, j, plain, q = i[rows], j[rows], plain[rows], q[rows]
-    d, w = exact(said_a, said_b, np.arange(len(i)), token_set_ratios), np.full(len(i), 100.0)
-    rows = np.flatnonzero(keep())
-    i, j, plain, q, d = i[rows], j[rows], plain[rows], q[rows], d[rows]
+    narrow()
+    rows = np.flatnonzero(~d_known)
+    d[rows] = exact(said_a, said_b, rows, token_set_ratios)
+    narrow()
     told = np.array([bool(place_a[x]) and bool(place_b[y]) for x, y in zip(i, j, strict=True)], bool)
     w = np.full(len(i), 50.0)
     w[told] = exact(place_a, place_b, np.flatnonzero(told), _each(partial_ratio))

@@ -4,6 +4,7 @@ import json
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,3 +145,22 @@ def test_partial_ratio_of_long_texts_in_lots(monkeypatch):
     monkeypatch.setattr(fuzzy, "LANES", 100)
     text = "ab cd " * 300 + "needle of threads" + " ef gh" * 300
     assert fuzzy.partial_ratio("needle at threads", text) == pytest.approx(200 * 15 / 34)
+
+
+def test_common_subsequences_of_pairs_of_places():
+    random_ = np.random.default_rng(3)
+    a = ["", "ab", *["".join(random_.choice(list("abcñ "), n)) for n in (5, 63, 64, 65, 128, 200)]]
+    b = ["a", "", *["".join(random_.choice(list("abcd "), n)) for n in (3, 64, 130, 250)]]
+    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
+    assert fuzzy.lcs_pairs(a, b, i, j).tolist() == [fuzzy.lcs(a[x], b[y]) for x, y in zip(i, j, strict=True)]
+
+
+def test_no_strings_are_built_for_pairs_that_bounds_settle(monkeypatch):
+    """Pairs without common words, and short ones whose words in order are unlike, are never compared pair by pair."""
+    random_ = np.random.default_rng(4)
+    side = lambda k: [f"{random_.integers(16**12):012x}{random_.integers(16**12):012x}" + k for _ in range(60)]
+    left, right = [side(" the"), ["p. 1"] * 60, side("")], [side(" the"), ["p. 1"] * 60, side("")]
+    right[0][7], right[2][7] = left[0][3], left[2][3]
+    seen, many = [], fuzzy.token_set_ratios
+    monkeypatch.setattr(fuzzy, "token_set_ratios", lambda a, b: seen.extend(a) or many(a, b))
+    assert fuzzy.scored_blocks(left, right, 70.0) == [(3, 7, 100.0)] and len(seen) < 100
