@@ -326,3 +326,14 @@ def test_pack(spark):
     assert packing.pack(docs.where("false"), packing.vocabulary()).count() == 0
     light = {(r["doc_id"], r["start"], r["ids_crc32"]) for r in packing.pack_digest(docs, 256).collect()}
     assert light == {(r["doc_id"], r["start"], zlib.crc32(bytes(r["ids"]))) for r in got}
+
+
+def test_threshold_counts_all_labelled_rows(spark):
+    """Bad rows that are few among very many labelled ones move the range and the threshold; none is left to chance."""
+    usual = np.array([[200, 1000, 5, 0, 10, 10, 20, 30, 120]]) + np.random.default_rng(2).integers(0, 9, (30_000, 9))
+    odd = [[200, 1000, 900, 8, 90, 10, 900, 900, 20]] * 3
+    rows = [(i, *map(int, c)) for i, c in enumerate([*usual.tolist(), *odd])]
+    counted = spark.createDataFrame(rows, ", ".join(["doc_id long", *[f"{c} long" for c in quality.COUNTS]]))
+    model = quality.fitted(counted, counted.selectExpr("doc_id", "if(doc_id < 30000, 1, 0) AS quality"))
+    score = model.forest.score(quality.features(np.array([*usual[:500].tolist(), *odd])))
+    assert (score[-3:] > model.threshold).all() and (score[:-3] <= model.threshold).mean() > 0.98
