@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One character of Unicode white space, in Java's dialect.
+#: One character of Unicode white space, in Java's dialect, and all these characters.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Typographic characters and what stands for them.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -18,7 +19,8 @@ trans dr prof mr mrs ms st inc ltd co dept univ est min max avg std""".split()
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    """Looks at the ends alone: a pattern would be tried at each character of a long text."""
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def collapse(col: Column) -> Column:

@@ -164,3 +164,12 @@ def test_no_strings_are_built_for_pairs_that_bounds_settle(monkeypatch):
     seen, many = [], fuzzy.token_set_ratios
     monkeypatch.setattr(fuzzy, "token_set_ratios", lambda a, b: seen.extend(a) or many(a, b))
     assert fuzzy.scored_blocks(left, right, 70.0) == [(3, 7, 100.0)] and len(seen) < 100
+
+
+def test_strip_takes_all_white_space_and_looks_at_the_ends_alone(spark):
+    marks = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(m, f"{m}a {m} b\n{m}{m}") for m in marks] + [("", " \n\u2003"), ("", "")], "m string, t string")
+    plain = F.regexp_replace("t", f"^{text.WS}+|{text.WS}+$", "")
+    got = rows.select("m", text.strip(F.col("t")).alias("a"), plain.alias("b"))
+    assert got.where("NOT a <=> b").count() == 0 and got.where("a <> ''").where(~F.col("a").contains(F.col("m"))).count() == 0
+    assert "regexp_replace" not in rows.select(text.strip(F.col("t")))._jdf.queryExecution().toString()

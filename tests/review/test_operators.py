@@ -75,6 +75,30 @@ def test_resplit(spark, lines, found):
     assert sections.accept_resplit(found, new).count() == 5 and sections.first_of_kinds(found, ["results", "background"]).first()["label"] == "2 Related Work"
 
 
+def test_resplit_of_many_papers_equals_a_plain_search(spark):
+    draw, rows, wanted, want = random.Random(3), [], [], set()
+    for p in range(60):
+        own = [draw.choice(["A", "B", "C", "1 A", "text"]) for _ in range(draw.randrange(4, 14))]
+        titles = [(i, draw.choice(["", "1"]), draw.choice("ABC")) for i in range(draw.randrange(1, 6))]
+        rows += [(f"p{p}", i, t, 1) for i, t in enumerate(own)]
+        wanted += [(f"p{p}", *t) for t in titles]
+        used, at, hits = set(), -1, []
+        for _, number, title in titles:
+            free = [i for i, t in enumerate(own) if t in (title, f"{number} {title}".strip()) and i not in used]
+            if free:
+                at = next((i for i in free if i > at), free[0])
+                used.add(at)
+                hits.append((at, number, title))
+        if len(hits) >= 3:
+            want |= {(f"p{p}", number, title, sum(h[0] < n for h in hits)) for n, number, title in hits}
+            want |= {(f"p{p}", "", "Front matter", -1)} if min(used) else set()
+    got = sections.resplit(spark.createDataFrame(rows, "paper_id string, line_no int, text string, page int"), spark.createDataFrame(wanted, "paper_id string, ord int, number string, title string"))
+    front = F.expr("CASE WHEN title = 'Front matter' THEN -1 ELSE section_idx - max(CASE WHEN title = 'Front matter' THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id) END")
+    assert {tuple(r) for r in got.select("paper_id", "number", "title", front).collect()} == want and len(want) > 50
+    # papers are not handed to Python one by one
+    assert "InPandas" not in got._jdf.queryExecution().toString() and "InPandas" not in sections.accept_resplit(got, got)._jdf.queryExecution().toString()
+
+
 def test_captions(lines, found):
     got = captions.with_mentions(captions.captions(lines), captions.mentions(lines, found))
     assert {(r["id"], r["referenced_in_text"]) for r in got.collect()} == {("Table 1", True), ("Figure 1", False)}
