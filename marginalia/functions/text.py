@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One character of Unicode white space, in Java's dialect, and all these characters.
-WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: One character of Unicode white space, in Java's dialect (as [\\s\\x1c-\\x1f\\x85\\p{Z}], but without asking for categories), and all
+#: these characters.
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Typographic characters and what stands for them.
@@ -41,33 +44,37 @@ def join_lines(texts: Column) -> Column:
 
 
 def _goes_on(piece: Column) -> Column:
-    token = F.regexp_extract(F.regexp_replace(piece, f"{WS}+$", ""), r"([A-Za-z.]+)\.$", 1)
+    token = F.regexp_extract(F.substring_index(F.rtrim(piece, F.lit(BLANKS)), " ", -1), r"([A-Za-z.]+)\.$", 1)
     return token.rlike("^[A-Z]$") | F.regexp_replace(F.lower(token), r"\.+$", "").isin(ABBREVIATIONS)
 
 
+def _flat(text: Column) -> Column:
+    """Lines without blanks at their ends, joined by a blank; empty ones go."""
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), " ")
+
+
 def sentences(text: Column) -> Column:
     """An array of sentences. Whether a piece goes on depends on its own last token alone, so pieces are joined by a blank or by
     a mark in one pass, and cut at the marks."""
-    flat = strip(F.regexp_replace(text, rf"{WS}*\n{WS}*", " "))
-    pieces = F.split(flat, rf"(?<=[.!?]){WS}+(?=[A-Z\[(])")
+    pieces = F.split(_flat(text), rf"(?<=[.!?]){WS}+(?=[A-Z\[(])")
     marked = F.array_join(F.transform(pieces, lambda p: F.concat(p, F.when(_goes_on(p), " ").otherwise("\x01"))), "")
     return F.filter(F.transform(F.split(marked, "\x01"), strip), lambda s: s != "")
 
 
 def sentence_pieces(text: Column) -> Column:
     """The pieces before abbreviations are looked at."""
-    flat = strip(F.regexp_replace(text, rf"{WS}*\n{WS}*", " "))
-    return F.filter(F.split(flat, rf"(?<=[.!?]){WS}+(?=[A-Z\[(])"), lambda s: s != "")
+    return F.filter(F.split(_flat(text), rf"(?<=[.!?]){WS}+(?=[A-Z\[(])"), lambda s: s != "")
 
 
 def raw_tokens(sentence: Column) -> Column:
     """White-space chunks without brackets, commas and the like at their ends."""
-    return F.transform(F.filter(F.split(sentence, f"{WS}+"), lambda c: c != ""), lambda c: F.regexp_replace(c, r"^[.,;:()\[\]{}\"]+|[.,;:()\[\]{}\"]+$", ""))
+    return F.transform(F.filter(F.split(sentence, f"{WS}+"), lambda c: c != ""), lambda c: F.btrim(c, F.lit('.,;:()[]{}"')))
 
 
 def token_of(raw: Column) -> Column:
     """A raw token without quotes and hyphens at its ends and without a possessive."""
-    return F.regexp_replace(F.regexp_replace(raw, r"^['\u2019-]+|['\u2019-]+$", ""), r"['\u2019]s$", "")
+    bare = F.btrim(raw, F.lit("'\u2019-"))
+    return F.when(F.right(bare, F.lit(2)).isin("'s", "\u2019s"), F.substring(bare, F.lit(1), F.length(bare) - 2)).otherwise(bare)
 
 
 def checkable(token: Column, raw: Column, least: int = 3) -> Column:
@@ -77,7 +84,9 @@ def checkable(token: Column, raw: Column, least: int = 3) -> Column:
 
 def without_markup(text: Column) -> Column:
     """LaTeX commands and formulas, then addresses and DOIs, give way to a blank."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\[A-Za-z]+|\$[^$]*\$", " "), r"https?://\S+|www\.\S+|\b10\.\d{4,9}/\S+", " ")
+    has = lambda c, *marks: functools.reduce(Column.__or__, [c.contains(F.lit(m)) for m in marks])
+    plain = F.when(has(text, "\\", "$"), F.regexp_replace(text, r"\\[A-Za-z]+|\$[^$]*\$", " ")).otherwise(text)
+    return F.when(has(plain, "http", "www.", "10."), F.regexp_replace(plain, r"https?://\S+|www\.\S+|\b10\.\d{4,9}/\S+", " ")).otherwise(plain)
 
 
 def clip(col: Column, most: int, mark: str = "...") -> Column:

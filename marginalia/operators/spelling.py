@@ -26,7 +26,7 @@ def allowlist(papers: DataFrame, refs: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame, *by: str, least: int = 3) -> DataFrame:
     """(by, word, n): checkable tokens of texts(by, text) in small letters, with how often each stands for each value of by. Equal raw
     tokens are counted before any pattern is run on them."""
-    raw = texts.select(*by, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n"))
+    raw = texts.select(*by, F.explode_outer(raw_tokens(F.col("text"))).alias("raw")).where("raw is not null").groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n"))
     t = raw.withColumn("token", token_of(F.col("raw"))).where(checkable(F.col("token"), F.col("raw"), least))
     return t.groupBy(*by, F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
 
@@ -40,14 +40,16 @@ def ranked(words: DataFrame, by: list[str], most: int) -> DataFrame:
 def unknown(words: DataFrame, allow: DataFrame, lexicon: DataFrame, least: int = 3) -> DataFrame:
     """The rows of words(paper_id, word, language, ...) that neither allow(paper_id, word) nor lexicon(word, language) has, nor the list
     of common words. A word with hyphens is unknown if one of its parts of `least` letters or more is, and is itself not allowed."""
-    open_ = words.where(~F.col("word").isin(COMMON_ACADEMIC)).join(allow, ["paper_id", "word"], "left_anti")
-    known = lexicon.select("word", "language")
-    plain = open_.where(~F.col("word").contains("-")).join(known, ["word", "language"], "left_anti")
-    joined = open_.where(F.col("word").contains("-"))
+    known = lexicon.select("word", "language").distinct().withColumn("_known", F.lit(True))
+    hyphened = F.col("word").contains("-")
+    # the lexicon knows most words, so it goes first, and what is left is small
+    open_ = words.where(~F.col("word").isin(COMMON_ACADEMIC)).join(known, ["word", "language"], "left").where(hyphened | F.col("_known").isNull())
+    open_ = stored(open_.select(words.columns), "open-words")
+    joined = open_.where(hyphened)
     parts = joined.select("paper_id", "language", F.col("word").alias("whole"), F.explode(F.split("word", "-")).alias("word")).distinct()
     odd = parts.where((F.length("word") >= least) & ~F.col("word").isin(COMMON_ACADEMIC)).join(allow, ["paper_id", "word"], "left_anti").join(known, ["word", "language"], "left_anti")
     odd = odd.select("paper_id", F.col("whole").alias("word")).distinct()
-    return plain.select(words.columns).unionByName(joined.join(odd, ["paper_id", "word"], "left_semi").select(words.columns))
+    return open_.where(~hyphened).unionByName(joined.join(odd, ["paper_id", "word"], "left_semi").select(words.columns)).join(allow, ["paper_id", "word"], "left_anti").select(words.columns)
 
 
 def candidates(sections: DataFrame, allow: DataFrame, lexicon: DataFrame, least: int = 3, most: int = 120, languages: DataFrame | None = None) -> DataFrame:
@@ -60,22 +62,28 @@ def candidates(sections: DataFrame, allow: DataFrame, lexicon: DataFrame, least:
     equals; null if there is none."""
     several = "language" in lexicon.columns
     lexicon = lexicon.withColumns({"language": language(F.col("language")) if several else F.lit(""), "frequency": F.col("frequency") if "frequency" in lexicon.columns else F.lit(1)})
-    said = sections.select("paper_id", "section_idx", sentences(without_markup(F.col("text"))).alias("said"))
     place = F.concat("label", F.lit(" (p. "), F.col("start_page").cast("string"), F.lit(")"))
-    spots = said.select("paper_id", "section_idx", F.posexplode("said").alias("s", "sentence")).select("paper_id", "section_idx", "s", F.posexplode(raw_tokens(F.col("sentence"))).alias("t", "raw"))
-    # equal raw tokens of a section meet before any pattern is run on them; their sentences are looked up once they are chosen
-    raw = spots.groupBy("paper_id", "section_idx", "raw").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "t")).alias("at"))
-    raw = raw.withColumn("token", token_of(F.col("raw"))).where(checkable(F.col("token"), F.col("raw"), least))
-    words = raw.groupBy("paper_id", "section_idx", F.lower("token").alias("word")).agg(F.sum("n").alias("occurrences"), F.min(F.struct("at", "token")).alias("m"))
+    section = ["paper_id", "section_idx"]
+    own = sections.select(*section, "text", place.alias("location"))
     if several and languages is not None:
-        words = words.join(languages.select("paper_id", F.nullif(language(F.col("language")), F.lit("")).alias("_spoken")), "paper_id", "left")
-        words = words.withColumn("language", F.coalesce("_spoken", F.lit("en"))).drop("_spoken")
+        own = own.join(languages.select("paper_id", F.nullif(language(F.col("language")), F.lit("")).alias("_spoken")), "paper_id", "left")
+        own = own.withColumn("language", F.coalesce("_spoken", F.lit("en"))).drop("_spoken")
     else:
-        words = words.withColumn("language", F.lit("en" if several else ""))
-    found = stored(ranked(unknown(words, allow, lexicon, least), ["paper_id", "section_idx"], most), "unknown")
+        own = own.withColumn("language", F.lit("en" if several else ""))
+    # a section's tokens are counted where it lies; a place is one number, sentence and token, so that counting needs no sort
+    said = stored(own.select(*section, "language", "location", sentences(without_markup(F.col("text"))).alias("said")), "said")
+    spots = said.repartition(*section).select(*section, "language", F.posexplode("said").alias("s", "sentence"))
+    # explode() alone would make each array twice, once to filter empty ones out
+    spots = spots.select(*section, "language", "s", F.posexplode_outer(raw_tokens(F.col("sentence"))).alias("t", "raw")).where("raw is not null")
+    # equal raw tokens of a section meet before any pattern is run on them; their sentences are looked up once they are chosen
+    raw = spots.groupBy(*section, "language", "raw").agg(F.count(F.lit(1)).alias("n"), F.min(F.shiftleft(F.col("s").cast("bigint"), 32) + F.col("t")).alias("at"))
+    raw = raw.withColumn("token", token_of(F.col("raw"))).where(checkable(F.col("token"), F.col("raw"), least))
+    words = raw.groupBy(*section, "language", F.lower("token").alias("word")).agg(F.sum("n").alias("occurrences"), F.min("at").alias("at"))
+    found = stored(ranked(unknown(words, allow, lexicon, least), section, most), "unknown")
     better = suggestions(found.select("word", "language").distinct(), lexicon, "language")
-    found = found.join(better, ["word", "language"], "left").join(said, ["paper_id", "section_idx"]).join(sections.select("paper_id", "section_idx", place.alias("location")), ["paper_id", "section_idx"])
-    return found.select("paper_id", "section_idx", F.col("m.token").alias("token"), clip(F.get("said", F.col("m.at.s")), 300).alias("sentence"), "location", "occurrences", "suggestion")
+    found = found.join(better, ["word", "language"], "left").join(said.drop("language"), section).withColumn("sentence", F.get("said", F.shiftright("at", 32).cast("int")))
+    token = token_of(F.get(raw_tokens(F.col("sentence")), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
+    return found.select(*section, token.alias("token"), clip(F.col("sentence"), 300).alias("sentence"), "location", "occurrences", "suggestion")
 
 
 def lean(word: Column) -> Column:

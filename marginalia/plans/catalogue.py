@@ -280,7 +280,8 @@ TOKEN_SQL = r"""regexp_replace(regexp_replace({0}, '^[''’-]+|[''’-]+$', '',
   SELECT paper_id, CAST(section_idx AS BIGINT) AS section_idx, token, CASE WHEN length(sentence) <= 300 THEN sentence ELSE substr(sentence, 1, 297) || '...' END AS sentence, label || ' (p. ' || start_page || ')' AS location, n AS occurrences, suggestion FROM top LEFT JOIN better ON better.word = top.w""")
 def section_spelling(spark, d):
     s = stored(sections.sections(lines(spark, d)), "sections")
-    t = spelling.word_counts(s, "paper_id").groupBy("word").agg(F.count_distinct("paper_id").alias("n")).where("n >= 3").select("word")
+    # a paper's words are counted where it lies, each once
+    t = spelling.word_counts(s.repartition("paper_id"), "paper_id").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("word")
     found = spelling.candidates(s, spelling.allowlist(view(spark, d, PAPERS), references.references(s)), stored(t, "lexicon"))
     return found.withColumn("section_idx", F.col("section_idx").cast("bigint"))
 

@@ -169,7 +169,27 @@ def test_no_strings_are_built_for_pairs_that_bounds_settle(monkeypatch):
 def test_strip_takes_all_white_space_and_looks_at_the_ends_alone(spark):
     marks = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
     rows = spark.createDataFrame([(m, f"{m}a {m} b\n{m}{m}") for m in marks] + [("", " \n\u2003"), ("", "")], "m string, t string")
-    plain = F.regexp_replace("t", f"^{text.WS}+|{text.WS}+$", "")
+    plain = F.regexp_replace("t", r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
     got = rows.select("m", text.strip(F.col("t")).alias("a"), plain.alias("b"))
+    assert rows.where(F.col("m").rlike(f"^{text.WS}\\z") != F.col("m").rlike(r"^[\s\x1c-\x1f\x85\p{Z}]\z")).count() == 0
     assert got.where("NOT a <=> b").count() == 0 and got.where("a <> ''").where(~F.col("a").contains(F.col("m"))).count() == 0
     assert "regexp_replace" not in rows.select(text.strip(F.col("t")))._jdf.queryExecution().toString()
+
+
+def test_tokens_and_sentences_equal_their_patterns(spark):
+    draw = random.Random(5)
+    rows = [("".join(draw.choice("aBs.,'\u2019-( \n\u2003!$\\[") for _ in range(draw.randrange(40))),) for _ in range(3000)]
+    rows += [("See Fig.\u2003A et al. The $x$ \\cmd http://a.b www.c 10.1234/x \n\n B.",)]
+    df = spark.createDataFrame(rows, "t string")
+    ws = r"[\s\x1c-\x1f\x85\p{Z}]"
+    raw = F.transform(F.filter(F.split("t", f"{ws}+"), lambda c: c != ""), lambda c: F.regexp_replace(c, r"^[.,;:()\[\]{}\"]+|[.,;:()\[\]{}\"]+$", ""))
+    token = lambda c: F.regexp_replace(F.regexp_replace(c, r"^['\u2019-]+|['\u2019-]+$", ""), r"['\u2019]s$", "")
+    bare = F.regexp_replace(F.regexp_replace("t", r"\\[A-Za-z]+|\$[^$]*\$", " "), r"https?://\S+|www\.\S+|\b10\.\d{4,9}/\S+", " ")
+    flat = F.regexp_replace(F.regexp_replace("t", rf"{ws}*\n{ws}*", " "), f"^{ws}+|{ws}+$", "")
+    last = lambda p: F.regexp_extract(F.regexp_replace(p, f"{ws}+$", ""), r"([A-Za-z.]+)\.$", 1)
+    goes_on = lambda p: last(p).rlike("^[A-Z]$") | F.regexp_replace(F.lower(last(p)), r"\.+$", "").isin(text.ABBREVIATIONS)
+    marked = F.array_join(F.transform(F.split(flat, rf"(?<=[.!?]){ws}+(?=[A-Z\[(])"), lambda p: F.concat(p, F.when(goes_on(p), " ").otherwise("\x01"))), "")
+    said = F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.regexp_replace(x, f"^{ws}+|{ws}+$", "")), lambda x: x != "")
+    t = F.col("t")
+    pairs = [(text.raw_tokens(t), raw), (F.transform(text.raw_tokens(t), text.token_of), F.transform(raw, token)), (text.without_markup(t), bare), (text.sentences(t), said)]
+    assert [df.where(~a.eqNullSafe(b)).count() for a, b in pairs] == [0, 0, 0, 0]

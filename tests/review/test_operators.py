@@ -99,6 +99,19 @@ def test_resplit_of_many_papers_equals_a_plain_search(spark):
     assert "InPandas" not in got._jdf.queryExecution().toString() and "InPandas" not in sections.accept_resplit(got, got)._jdf.queryExecution().toString()
 
 
+def test_tokens_of_a_section_are_counted_where_it_lies(spark, found):
+    none, known = spark.createDataFrame([], "paper_id string, word string"), spark.createDataFrame([("caches",)], "word string")
+    plan = spelling.candidates(found, none, known)._jdf.queryExecution().toString()
+    # neither sentences nor tokens are made twice, and no count needs a sort
+    assert "SortAggregate" not in plan and "regexp_replace(text" not in plan
+    texts = spark.createDataFrame([("p", "a b")], "paper_id string, text string").repartition("paper_id")
+    ran = spelling.word_counts(texts, "paper_id")._jdf.queryExecution()
+    assert ran.executedPlan().toString().count("Exchange hashpartitioning") == 1 and "size(transform" not in ran.optimizedPlan().toString()
+    allow, lexicon = spark.createDataFrame([("p", "zork-caches")], "paper_id string, word string"), spark.createDataFrame([("caches",), ("caches",)], "word string")
+    words = spark.createDataFrame([("p", w, "", 1) for w in ("zork-caches", "zork-mem", "caches-caches", "mem", "caches", "et")], "paper_id string, word string, language string, n int")
+    assert sorted(r["word"] for r in spelling.unknown(words, allow, lexicon.withColumn("language", F.lit(""))).collect()) == ["mem", "zork-mem"]
+
+
 def test_captions(lines, found):
     got = captions.with_mentions(captions.captions(lines), captions.mentions(lines, found))
     assert {(r["id"], r["referenced_in_text"]) for r in got.collect()} == {("Table 1", True), ("Figure 1", False)}
