@@ -154,9 +154,15 @@ class Replies:
         open_ = requests.dropDuplicates(["request_hash"]).join(self.kept().where("ok").select("request_hash"), "request_hash", "left_anti")
         open_ = stored(open_, "open")
         waves = max(1, -(-open_.count() // self.wave))
-        for w in range(waves):
-            own = open_.where(F.pmod(F.xxhash64("request_hash"), F.lit(waves)) == w)
-            self.put(own).write.mode("append").parquet(self.path)
+        if waves == 1:
+            self.put(open_).write.mode("append").parquet(self.path)
+        else:
+            # each wave reads its own requests, not all, and is dealt over all cores
+            dealt = stored(open_.withColumn("_wave", F.pmod(F.xxhash64("request_hash"), F.lit(waves))), "waves", by="_wave")
+            cores = self.spark.sparkContext.defaultParallelism
+            for w in range(waves):
+                own = dealt.where(F.col("_wave") == w).drop("_wave").repartition(cores)
+                self.put(own).write.mode("append").parquet(self.path)
         return stored(requests.join(self.kept().drop("stage", "label"), "request_hash"), "replies")
 
 

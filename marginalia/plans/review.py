@@ -56,12 +56,17 @@ class Review:
     calls: DataFrame
 
 
+def cited(lines: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
+    """Captions and references of papers whose sections are found."""
+    caps = stored(captions.with_mentions(captions.captions(lines), captions.mentions(lines, found)), "captions")
+    return {"sections": found, "captions": caps, "references": stored(references.citing_sentences(references.references(found), found), "references")}
+
+
 def extracted(lines: DataFrame, papers: DataFrame, found: DataFrame, lexicon: DataFrame, languages: DataFrame | None = None) -> dict[str, DataFrame]:
     """What can be read out of papers whose sections are found."""
-    caps = stored(captions.with_mentions(captions.captions(lines), captions.mentions(lines, found)), "captions")
-    refs = stored(references.citing_sentences(references.references(found), found), "references")
-    words = spelling.candidates(found, spelling.allowlist(papers, refs), lexicon, languages=languages)
-    return {"sections": found, "captions": caps, "references": refs, "tables": stored(captions.table_windows(lines, caps), "tables"), "candidates": stored(words, "candidates")}
+    parts = cited(lines, found)
+    words = spelling.candidates(found, spelling.allowlist(papers, parts["references"]), lexicon, languages=languages)
+    return parts | {"tables": stored(captions.table_windows(lines, parts["captions"]), "tables"), "candidates": stored(words, "candidates")}
 
 
 def _typed(replies: DataFrame, schema: str) -> DataFrame:
@@ -218,9 +223,12 @@ def review(spark: SparkSession, lines: DataFrame, papers: DataFrame, means: Mean
     report, or the rules do where it gives none. Passes that are not among means.passes are left out with what they give."""
     replies = model_calls.Replies(spark, means.replies, means.ask)
     found = stored(sections.sections(lines), "sections")
-    parts = extracted(lines, papers, found, means.lexicon)
     inventories = _none(spark, f"paper_id string, reply {REPLIES['pass0']}")
-    if "pass0" in means.passes:
+    if "pass0" not in means.passes:
+        parts = extracted(lines, papers, found, means.lexicon)
+    else:
+        # words and tables wait for the sections that pass 0 may split anew
+        parts = cited(lines, found)
         asked = replies.ask(payloads.pass0(papers, found, parts["captions"], parts["references"], means.limit("pass0")))
         inventories = stored(_typed(asked, "pass0").select("paper_id", "reply"), "inventories")
         wanted = inventories.select("paper_id", F.posexplode("reply.sections").alias("ord", "s")).select("paper_id", "ord", "s.number", "s.title")

@@ -196,3 +196,19 @@ def test_dictionaries_with_affixes(spark, tmp_path):
     (tmp_path / "x.dic").write_text("5\nhello\ntry/B\nWork/AB po:verb\nquick/CA\ny/B\n")
     got = {r["word"] for r in affixes.lexicon(spark, f"{tmp_path}/x.aff", f"{tmp_path}/x.dic").collect()}
     assert got == {"hello", "try", "tried", "work", "rework", "worked", "reworked", "quick", "quickly", "requick", "y"}
+
+
+def test_waves_read_their_own_requests_alone(spark, tmp_path):
+    asked, plans = [], []
+
+    def ask(requests):
+        plans.append(requests._jdf.queryExecution().toString())
+        asked.append([r["request_hash"] for r in requests.collect()])
+        none = {c.split()[0]: c.split()[1] for c in model_calls.RESULT.split(", ")}
+        rows = requests.withColumns({"json": F.lit("{}"), "ok": F.lit(True), "attempts": F.lit(1)})
+        return rows.select(*[rows[c] if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+    requests = spark.createDataFrame([(f"h{i % 40}", "pass0", "", f"p{i % 40}") for i in range(50)], "request_hash string, stage string, label string, payload string")
+    got = model_calls.Replies(spark, str(tmp_path / "replies"), ask, wave=10).ask(requests)
+    assert got.count() == 50 and sorted(sum(asked, [])) == sorted(f"h{i}" for i in range(40)) and len(asked) == 4
+    assert all("PartitionFilters: [isnotnull(_wave" in p for p in plans)
