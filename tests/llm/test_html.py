@@ -140,3 +140,60 @@ def test_clashing_names_long_pages_and_empty_tables(spark):
     out = html.extract(df, id_col="text")
     assert out.columns == ["text", "url", "_text", "n_chars", "n_repeated"] and out.first()["n_chars"] == 399_999
     assert html.extract(df.limit(0), id_col="text").collect() == []
+
+
+def test_articles_are_asked_too(spark):
+    """What articles share is found, and the article still stays whole; a card that all pages show yields to a page's own text, which
+    stays although an article elsewhere quotes it."""
+    rng = np.random.default_rng(11)
+    quote, card = words(rng, 15), words(rng, 10)
+    own = [words(rng, 30) for _ in range(6)]
+    rows = [(i, f"http://a.org/{i}", f"<div>{words(rng, 9)}</div><article><p>{t}</p><p>{quote}</p></article>") for i, t in enumerate(own[:2])]
+    rows += [(2 + i, f"http://a.org/c{i}", f"<article>{card}</article><div><p>{t}</p></div>") for i, t in enumerate(own[2:4])]
+    # the first article without markup, and copies of one article under menus of their own
+    rows += [(4, "http://a.org/print", f"<p>{own[0]}</p><p>{words(rng, 9)}</p>")]
+    rows += [(5 + i, f"http://a.org/d{i}", f"<div>{words(rng, 9)}</div><article>{own[4]}</article>") for i in range(2)]
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == (f"{own[0]} {quote}", 45) and got[1] == (f"{own[1]} {quote}", 15)
+    assert got[2] == (own[2], 10) and got[3] == (own[3], 10)
+    assert got[4][0].startswith(own[0]) and len(got[4][0].split()) == 39
+    assert got[5] == got[6] == (own[4], 30)
+
+
+@pytest.mark.parametrize("crowd", [2_000, 2])
+def test_articles_against_all_windows_of_a_host(spark, monkeypatch, crowd):
+    """As above, of pages with articles: what stands outside of them is repeated only if it is so outside."""
+    monkeypatch.setattr(html, "MOST_CLASSES", crowd)
+    monkeypatch.setattr(html, "MOST_TOKENS", 90)
+    rng = np.random.default_rng(13)
+    pool = [words(rng, 3) for _ in range(12)]
+    some = lambda n: "".join(f"<p>{pool[k]}</p>" for k in rng.integers(0, 12, n))
+    rows = [(i, "http://x.org/" if i % 5 else f"http://y{i}.org/", f"{some(4)}<article>{some(6)}</article>{some(3)}" if i % 2 else some(8)) for i in range(90)]
+    streams, pages = {}, defaultdict(lambda: (set(), set()))
+    for i, url, page in rows:
+        found = html.settled(html.blocks(page))
+        s = html.stream(found)
+        inside = [sure for text, _, sure in found for _ in range(text.count(" ") + 2)]
+        streams[i] = (url, s, inside)
+        for k in range(len(s) - html.WINDOW + 1):
+            anywhere, outside = pages[url, tuple(s[k : k + html.WINDOW])]
+            anywhere.add(tuple(s))
+            if not all(inside[k : k + html.WINDOW]):
+                outside.add(tuple(s))
+    want = {}
+    for i, (url, s, inside) in streams.items():
+        hit = set()
+        for k in range(len(s) - html.WINDOW + 1):
+            anywhere, outside = pages[url, tuple(s[k : k + html.WINDOW])]
+            if len(anywhere if all(inside[k : k + html.WINDOW]) else outside) > 1:
+                hit |= set(range(k, k + html.WINDOW))
+        want[i] = sum(s[k] != "\n" for k in hit)
+    got = {r["page_id"]: r["n_repeated"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and any(v for k, v in want.items() if k % 2)
+
+
+def test_packed_names():
+    rng = np.random.default_rng(15)
+    for names in ([5], [0, 1, 2**32], [0, 2**32 + 1], [3, 2**43], rng.integers(0, 2**44, 5_000)):
+        names = np.unique(np.array(names, np.uint64))
+        assert (html._unpacked_names(html._packed_names(names)) == names).all()
