@@ -4,6 +4,7 @@ import json
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -579,6 +580,50 @@ def test_leaders_of_large_blocks(spark, monkeypatch, head):
     assert {(r["ord"], r["stability"]) for r in findings.merge_runs(rows, 3).collect()} == {(first[k], "stable" if len(seen[k]) == 3 else "unstable") for k in seen}
 
 
+def test_dedupe_reads_whole_quotes(spark):
+    """Quotes alike at the beginning alone are two issues; quotes alike but for the beginning are one."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=5)) for _ in range(n))
+    head, body = prose(30), prose(300)
+    quotes = [head + " " + prose(300), head + " " + prose(300), prose(20) + " " + body, prose(20) + " " + body]
+    assert len({q[:120] for q in quotes}) == 3
+    got = findings.dedupe(table(spark, *[finding(i, quote=q) for i, q in enumerate(quotes)])).collect()
+    assert sorted(r["ord"] for r in got) == [0, 1, 2]
+
+
+def test_dedupe_of_whole_documents(spark):
+    d = "/root/testdata/sf0.001"
+    want, kept = set(), {}
+    rank = {"critical": 1, "major": 2, "minor": 3}
+    for r in sorted(catalogue.view(spark, d, catalogue.FINDING).collect(), key=lambda r: (rank[r["severity"]], r["ord"])):
+        block = kept.setdefault((r["paper_id"], r["source_pass"], r["category"], r["location"]), [])
+        q = " ".join(r["quote"].split()).lower()
+        if not any(k == q or k and q and fuzzy.ratio(k, q) >= 88 for k in block):
+            block.append(q)
+            want.add(r["ord"])
+    got = [r["ord"] for r in catalogue.QUERIES["findings_dedupe_fuzzy"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_classes_of_letters_lose_no_pair(monkeypatch):
+    rng, texts = random.Random(7), []
+    for n in (0, 3, 50, 400, 2500):
+        for _ in range(4):
+            base = rng.choices("aaabbcdefgh  ißü\U0001F600", k=n)
+            for share in (0, 0.05, 0.11, 0.118, 0.125):
+                own = list(base)
+                for _ in range(int(n * share)):
+                    own[rng.randrange(n)] = rng.choice("xyzabc\ud800")
+                texts.append("".join(own))
+    i, j = np.triu_indices(len(texts), 1)
+    want = {(x, y) for x, y in zip(i.tolist(), j.tolist()) if texts[x] and texts[y] and abs(len(texts[x]) - len(texts[y])) < 400 and fuzzy.ratio(texts[x], texts[y]) >= 88}
+    for side_by_side in (1, 10**9):
+        monkeypatch.setattr(fuzzy, "SIDE_BY_SIDE", side_by_side)
+        known = fuzzy.Texts(texts)
+        left = list(zip(*(x.tolist() for x in known.open(i, j, 88.0))))
+        assert want <= set(left) and {(x, y) for x, y in left if texts[x] and texts[y] and known.reaches(x, y, 88.0)} == want and len(left) < len(i) // 4
+
+
 def test_job_registry_keeps_legal_steps_and_recent_jobs(spark, tmp_path):
     """Illegal steps are rejected, replayed events change nothing, the oldest jobs give way, and a silent running job fails."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
